@@ -44,3 +44,47 @@ FROM pages GROUP BY 1
 def q_clean_bytes_by_host(spark, sf):
     return cleaning_report(read_table(spark, sf, "pages"))
 FLAGSHIP = "clean_bytes_by_host"
+
+
+# F1-F21 profiles on round-trip pages ----------------------------------------
+from pagelens.plans import fixtures as FX  # noqa: E402
+from pagelens.operators import profiles as PR  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+RESULT_OUT = ["page_id", "rank", "url", "title", "content", "thumbnail"]
+
+
+@register("web_search_results", FX.SEARCH_RESULTS_SQL)
+def q_web_search_results(spark, sf):
+    pages = FX.search_pages(read_table(spark, sf, "documents"))
+    res, _ = PR.extract(pages, "google_web")
+    return res.select(*RESULT_OUT)
+
+
+@register("web_search_suggestions", FX.SEARCH_SUGGESTIONS_SQL)
+def q_web_search_suggestions(spark, sf):
+    pages = FX.search_pages(read_table(spark, sf, "documents"))
+    _, sugg = PR.extract(pages, "google_web")
+    return sugg
+
+
+@register("news_results", FX.NEWS_RESULTS_SQL)
+def q_news_results(spark, sf):
+    pages = FX.news_pages(read_table(spark, sf, "documents"))
+    res, _ = PR.extract(pages, "google_news")
+    return res.select(*RESULT_OUT)
+
+
+@register("debenture_cards", FX.CARDS_SQL)
+def q_debenture_cards(spark, sf):
+    pages = FX.card_pages(read_table(spark, sf, "orders"))
+    nodes = PR.profile_nodes(pages, PR.get_profile("anbima_debentures"))
+    return PR.debenture_table(nodes)
+
+
+@register("debenture_fields", FX.CARD_JSON_SQL)
+def q_debenture_fields(spark, sf):
+    pages = FX.card_pages(read_table(spark, sf, "orders"))
+    res, _ = PR.extract(pages, "anbima_debentures")
+    return res.select("page_id", "rank", "url", "title",
+                      F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields")))).alias("fields_json"))
