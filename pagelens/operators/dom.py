@@ -155,15 +155,39 @@ def _match_chain(nodes: DataFrame, chain) -> DataFrame:
     if prev_single:
         t = prev_chain[0][1].tag
         if comb == " ":
-            return cand.filter(F.exists("anc", lambda x: x["tag"] == t))
-        return cand.filter(F.try_element_at("anc", F.lit(-1))["tag"] == t)
+            return cand.filter(F.array_contains("anc_tags", t))
+        return cand.filter(F.try_element_at("anc_tags", F.lit(-1)) == t)
     prev = _match_chain(nodes, prev_chain).select("page_id", F.col("node_id").alias("_a"))
     if comb == ">":
         return cand.join(prev.withColumnRenamed("_a", "parent_id"), ["page_id", "parent_id"], "left_semi")
-    ex = cand.withColumn("_a", F.explode(F.col("anc")["id"]))
+    ex = cand.withColumn("_a", F.explode("anc"))
     return ex.join(prev, ["page_id", "_a"], "left_semi").drop("_a").dropDuplicates(KEY)
 
 
+def selector_tags(sel: str):
+    """Tags the selector's subjects can have, or None when any tag can match."""
+    tags = set()
+    for g in parse_selector(sel):
+        t = g[-1][1].tag
+        if t is None:
+            return None
+        tags.add(t)
+    return tags
+
+
+def _tag_array(tags) -> Column:
+    return F.array(*[F.lit(t) for t in sorted(tags)])
+
+
+def anc_ids(tags=None) -> Column:
+    """Ancestor ids, optionally only those whose tag is in ``tags``."""
+    if not tags:
+        return F.col("anc")
+    arr = _tag_array(tags)
+    z = F.arrays_zip(F.col("anc").alias("i"), F.col("anc_tags").alias("t"))
+    return F.transform(F.filter(z, lambda x: F.array_contains(arr, x["t"])), lambda x: x["i"])
+
+
 def select(nodes: DataFrame, sel: str) -> DataFrame:
     """Element rows matching ``sel`` (each node once)."""
     groups = parse_selector(sel)
@@ -179,22 +203,24 @@ def select(nodes: DataFrame, sel: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # navigation
 # ---------------------------------------------------------------------------
-def within(matches: DataFrame, containers: DataFrame, cid: str = "cid") -> DataFrame:
+def within(matches: DataFrame, containers: DataFrame, cid: str = "cid",
+           container_tags=None) -> DataFrame:
     """Matches that lie inside a container. ``containers`` has
     ``page_id`` and ``cid`` (a node id). The match is selected on the whole
     tree first, so an ancestor part of the selector may lie outside the
-    container. One output row per (container, match)."""
-    ex = matches.withColumn(cid, F.explode(F.col("anc")["id"]))
+    container. One output row per (container, match). ``container_tags``
+    (when known) drops impossible ancestors before the join."""
+    ex = matches.withColumn(cid, F.explode(anc_ids(container_tags)))
     return ex.join(containers.select("page_id", cid).distinct(), ["page_id", cid])
 
 
 def first_within(matches: DataFrame, containers: DataFrame, cols, cid: str = "cid",
-                 order=("open_pos",)) -> DataFrame:
+                 order=("open_pos",), container_tags=None) -> DataFrame:
     """D4 + D5: per container the first match in document order (or by
     ``order``, e.g. a strategy priority then position).
     Returns ``page_id, cid`` plus the requested match columns."""
-    need = list(dict.fromkeys(["page_id", "anc", *order, *cols]))
-    inside = within(matches.select(*need), containers, cid)
+    need = list(dict.fromkeys(["page_id", "anc", "anc_tags", *order, *cols]))
+    inside = within(matches.select(*need), containers, cid, container_tags)
     key = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
     first = F.min_by(F.struct(*[F.col(c) for c in cols]), key)
     return inside.groupBy("page_id", cid).agg(first.alias("_f")).select("page_id", cid, "_f.*")
@@ -202,7 +228,7 @@ def first_within(matches: DataFrame, containers: DataFrame, cols, cid: str = "ci
 
 def closest_id(tag: str) -> Column:
     """Nearest ancestor-or-self with ``tag``; NULL when none."""
-    up = F.try_element_at(F.filter("anc", lambda x: x["tag"] == tag), F.lit(-1))["id"]
+    up = F.try_element_at(anc_ids({tag}), F.lit(-1))
     return F.when(F.col("tag") == tag, F.col("node_id")).otherwise(up)
 
 
@@ -215,17 +241,21 @@ def text_nodes(nodes: DataFrame, drop_tags=()) -> DataFrame:
     t = nodes.filter(F.col("kind") == "text")
     if drop_tags:
         banned = F.array(*[F.lit(x) for x in drop_tags])
-        t = t.filter(~F.exists("anc", lambda x: F.array_contains(banned, x["tag"])))
-    return t.select("page_id", "open_pos", "text", "anc")
+        t = t.filter(~F.arrays_overlap("anc_tags", banned))
+    return t.select("page_id", "open_pos", "text", "anc", "anc_tags")
 
 
 def subtree_text(nodes: DataFrame, targets: DataFrame, tid: str = "tid",
-                 drop_tags=()) -> DataFrame:
+                 drop_tags=(), tags=None) -> DataFrame:
     """D6/D7 raw: ``targets(page_id, tid)`` -> ``(page_id, tid, text)`` with
     the text of all text nodes below the target in document order.
-    Targets without text get ''."""
+    Targets without text get ''. ``tags``: the possible target tags; text
+    nodes without such an ancestor are dropped before the explode and the
+    exploded ancestors are filtered by tag before the join."""
     t = text_nodes(nodes, drop_tags)
-    ex = t.select("page_id", "open_pos", "text", F.explode(F.col("anc")["id"]).alias(tid))
+    if tags:
+        t = t.filter(F.arrays_overlap("anc_tags", _tag_array(tags)))
+    ex = t.select("page_id", "open_pos", "text", F.explode(anc_ids(tags)).alias(tid))
     keys = targets.select("page_id", tid).distinct()
     joined = ex.join(keys, ["page_id", tid])
     agg = joined.groupBy("page_id", tid).agg(
@@ -235,22 +265,22 @@ def subtree_text(nodes: DataFrame, targets: DataFrame, tid: str = "tid",
         "page_id", tid, F.coalesce("text", F.lit("")).alias("text"))
 
 
-def text_trim(nodes, targets, tid="tid") -> DataFrame:
+def text_trim(nodes, targets, tid="tid", tags=None) -> DataFrame:
     """``.text().trim()``."""
-    r = subtree_text(nodes, targets, tid)
+    r = subtree_text(nodes, targets, tid, tags=tags)
     return r.withColumn("text", js_trim("text"))
 
 
-def text_clean(nodes, targets, tid="tid") -> DataFrame:
+def text_clean(nodes, targets, tid="tid", tags=None) -> DataFrame:
     """Text without script, whitespace collapsed, trimmed."""
-    r = subtree_text(nodes, targets, tid, drop_tags=("script",))
+    r = subtree_text(nodes, targets, tid, drop_tags=("script",), tags=tags)
     return r.withColumn("text", js_collapse_ws("text"))
 
 
 def walk_up_levels(df: DataFrame, k: int, id_col: str = "node_id") -> DataFrame:
     """D10 helper: (page_id, id, level 1..k, cid) for the first k ancestors
     (level 1 = parent)."""
-    rev = F.slice(F.reverse(F.col("anc")["id"]), 1, k)
+    rev = F.slice(F.reverse(F.col("anc")), 1, k)
     return df.select("page_id", F.col(id_col).alias("_src"),
                      F.posexplode(rev).alias("level", "cid")).withColumn("level", F.col("level") + 1)
 
@@ -268,10 +298,10 @@ def table_rows(nodes: DataFrame) -> DataFrame:
     per_tr = per_tr.filter(F.col("n_td") >= 2)
     trs = nodes.filter((F.col("kind") == "el") & (F.col("tag") == "tr")).select(
         "page_id", F.col("node_id").alias("tr_id"), F.col("open_pos").alias("tr_pos"),
-        F.explode(F.filter("anc", lambda x: x["tag"] == "table")).alias("t"))
+        F.explode(anc_ids({"table"})).alias("table_id"))
     tables = nodes.filter((F.col("kind") == "el") & (F.col("tag") == "table")).select(
         "page_id", F.col("node_id").alias("table_id"), F.col("open_pos").alias("table_pos"))
-    rows = trs.select("page_id", "tr_id", "tr_pos", F.col("t")["id"].alias("table_id")) \
+    rows = trs.select("page_id", "tr_id", "tr_pos", "table_id") \
         .join(per_tr, ["page_id", "tr_id"]).join(tables, ["page_id", "table_id"])
     return rows.select(
         "page_id", "table_id", "table_pos", "tr_id", "tr_pos",

@@ -5,13 +5,15 @@ One row per element or text node::
     nodes(page_id long, node_id int, parent_id int, depth int,
           open_pos int, close_pos int, kind string, tag string,
           attrs map<string,string>, classes array<string>, text string,
-          anc array<struct<id:int, tag:string>>)
+          anc array<int>, anc_tags array<string>)
 
 Node 0 of every page is the document (kind 'doc'); its ``attrs`` carry the
 parse time in ms (E14). ``open_pos``/``close_pos`` come from one counter per
 page, so a subtree is an interval and document order is ``open_pos``;
-``anc`` lists the ancestors root -> parent (the document excluded), so
-"descendant of" is an equi join on an exploded ``anc`` id.
+``anc``/``anc_tags`` list the ancestor ids and tags root -> parent (the
+document excluded; two flat aligned arrays are much cheaper to move and
+store than an array of structs), so "descendant of" is an equi join on an
+exploded ``anc`` id.
 
 Tokenising is the only Python in the engine: a stdlib ``html.parser`` per
 Arrow batch (``mapInArrow``), with the implied-end-tag rules of HTML for
@@ -43,9 +45,6 @@ DL_STOP = SCOPE_STOP | {"dl"}
 ROW_STOP = frozenset(("table", "html", "template"))
 CELL_STOP = ROW_STOP | {"tr"}
 
-ANC_TYPE = T.ArrayType(T.StructType([
-    T.StructField("id", T.IntegerType()), T.StructField("tag", T.StringType())]))
-
 NODE_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("node_id", T.IntegerType()),
@@ -58,16 +57,17 @@ NODE_SCHEMA = T.StructType([
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("classes", T.ArrayType(T.StringType())),
     T.StructField("text", T.StringType()),
-    T.StructField("anc", ANC_TYPE),
+    T.StructField("anc", T.ArrayType(T.IntegerType())),
+    T.StructField("anc_tags", T.ArrayType(T.StringType())),
 ])
 
-_ARROW_ANC = pa.list_(pa.struct([("id", pa.int32()), ("tag", pa.string())]))
 ARROW_SCHEMA = pa.schema([
     ("page_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()),
     ("depth", pa.int32()), ("open_pos", pa.int32()), ("close_pos", pa.int32()),
     ("kind", pa.string()), ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("classes", pa.list_(pa.string())),
-    ("text", pa.string()), ("anc", _ARROW_ANC),
+    ("text", pa.string()), ("anc", pa.list_(pa.int32())),
+    ("anc_tags", pa.list_(pa.string())),
 ])
 
 
@@ -83,11 +83,11 @@ class _TreeBuilder(HTMLParser):
         self.tags = ["#document"]
         self.pos = 1
         self.pending = []        # adjacent text pieces
-        self.rows.append([0, None, 0, 0, None, "doc", "#document", None, None, None, []])
+        self.rows.append([0, None, 0, 0, None, "doc", "#document", None, None, None, ([], [])])
 
     # -- helpers ---------------------------------------------------------
     def _anc(self):
-        return [(self.stack[i], self.tags[i]) for i in range(1, len(self.stack))]
+        return (self.stack[1:], self.tags[1:])
 
     def _flush_text(self):
         if not self.pending:
@@ -231,7 +231,8 @@ def _batches(it, keep_tags, keep_text, max_rows=65536):
                 cols["attrs"].append(list(r[7].items()) if r[7] is not None else None)
                 cols["classes"].append(r[8])
                 cols["text"].append(r[9])
-                cols["anc"].append([{"id": a, "tag": t} for a, t in r[10]])
+                cols["anc"].append(r[10][0])
+                cols["anc_tags"].append(r[10][1])
             if len(cols["page_id"]) >= max_rows:
                 yield emit()
     if cols["page_id"]:

@@ -29,7 +29,7 @@ from pagelens.functions.text import (base64url_to_latin1, decode_uri_component,
                                      js_trim, latin1_to_utf8)
 from pagelens.operators import dom
 from pagelens.operators.nodes import to_nodes
-from pagelens.session import cut_lineage
+from pagelens.session import write_table
 
 RESULT_COLS = ["page_id", "rank", "url", "title", "content", "fields", "thumbnail"]
 FIELDS_TYPE = T.MapType(T.StringType(), T.StringType())
@@ -100,9 +100,9 @@ def _dedupe_first(df: DataFrame, key: str, pos: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def _ordered_texts(nodes, matches: DataFrame) -> DataFrame:
+def _ordered_texts(nodes, matches: DataFrame, tags=None) -> DataFrame:
     """Trimmed non-empty texts of matches: (page_id, pos, text)."""
-    t = dom.text_trim(nodes, matches.select("page_id", F.col("node_id").alias("tid")))
+    t = dom.text_trim(nodes, matches.select("page_id", F.col("node_id").alias("tid")), tags=tags)
     pos = matches.select("page_id", F.col("node_id").alias("tid"), F.col("open_pos").alias("pos"))
     return t.join(pos, ["page_id", "tid"]).filter(F.col("text") != "").select("page_id", "pos", "text")
 
@@ -110,8 +110,8 @@ def _ordered_texts(nodes, matches: DataFrame) -> DataFrame:
 def _fallback_suggestions(nodes, first_sel: str, second_sel: str) -> DataFrame:
     """F11 pattern: the second selector only for pages where the first gave
     no non-empty text."""
-    a = _ordered_texts(nodes, dom.select(nodes, first_sel))
-    b = _ordered_texts(nodes, dom.select(nodes, second_sel))
+    a = _ordered_texts(nodes, dom.select(nodes, first_sel), dom.selector_tags(first_sel))
+    b = _ordered_texts(nodes, dom.select(nodes, second_sel), dom.selector_tags(second_sel))
     b = b.join(a.select("page_id").distinct(), "page_id", "left_anti")
     return _rank(a.unionByName(b), "pos").select("page_id", "rank", "text")
 
@@ -141,7 +141,7 @@ def _google_web(nodes: DataFrame):
     # first `a h3`, its closest `a`
     h3 = dom.select(nodes, "a h3").withColumn("link_id", dom.closest_id("a"))
     first_h3 = dom.first_within(h3, cont, ["node_id", "link_id"]).withColumnRenamed("node_id", "h3_id")
-    title = dom.text_trim(nodes, first_h3.select("page_id", F.col("h3_id").alias("tid"))) \
+    title = dom.text_trim(nodes, first_h3.select("page_id", F.col("h3_id").alias("tid")), tags={"h3"}) \
         .withColumnRenamed("tid", "h3_id").withColumnRenamed("text", "title")
     href = dom.elements(nodes).select("page_id", F.col("node_id").alias("link_id"),
                                       F.col("attrs")["href"].alias("href"))
@@ -212,8 +212,8 @@ def _walk_first(nodes, cand, sel_df, k, value_col):
 
 def _google_news(nodes: DataFrame):
     a = dom.select(nodes, 'a[href^="./read/"]')
-    a = a.select("page_id", "node_id", "open_pos", "anc", F.col("attrs")["href"].alias("href"))
-    title = dom.text_trim(nodes, a.select("page_id", F.col("node_id").alias("tid"))) \
+    a = a.select("page_id", "node_id", "open_pos", "anc", "anc_tags", F.col("attrs")["href"].alias("href"))
+    title = dom.text_trim(nodes, a.select("page_id", F.col("node_id").alias("tid")), tags={"a"}) \
         .withColumnRenamed("tid", "node_id").withColumnRenamed("text", "title")
     cand = a.join(title, ["page_id", "node_id"]).filter(F.length("title") >= 10)
     link = F.concat(F.lit("https://news.google.com"), F.expr("substring(href, 2)"))
@@ -222,9 +222,10 @@ def _google_news(nodes: DataFrame):
 
     # F16: source and time, 5 levels, first non-empty level per field
     def meta(sel, k):
-        m = dom.select(nodes, sel).select("page_id", "node_id", "open_pos", "anc")
+        m = dom.select(nodes, sel).select("page_id", "node_id", "open_pos", "anc", "anc_tags")
         hits = _walk_first(nodes, cand, m, k, "open_pos")
-        txt = dom.text_trim(nodes, hits.select("page_id", F.col("node_id").alias("tid")))
+        txt = dom.text_trim(nodes, hits.select("page_id", F.col("node_id").alias("tid")),
+                            tags=dom.selector_tags(sel))
         hits = hits.join(txt.withColumnRenamed("tid", "node_id"), ["page_id", "node_id"])
         hits = hits.filter(F.col("text") != "")
         return hits.groupBy("page_id", "_src").agg(F.min_by("text", "level").alias("v"))
@@ -234,7 +235,7 @@ def _google_news(nodes: DataFrame):
 
     # thumbnail, 3 levels, only the first img per level counts
     imgs = dom.select(nodes, "img").select(
-        "page_id", "node_id", "open_pos", "anc",
+        "page_id", "node_id", "open_pos", "anc", "anc_tags",
         F.coalesce(F.col("attrs")["src"], F.lit("")).alias("src"))
     th = _walk_first(nodes, cand, imgs, 3, "src").filter(F.col("src").startswith("http"))
     th = th.groupBy("page_id", "_src").agg(F.min_by("src", "level").alias("thumbnail"))
@@ -273,10 +274,10 @@ def _debenture_cards(nodes: DataFrame):
     cards = dom.select(nodes, "li.list-item__container").select(
         "page_id", F.col("node_id").alias("cid"), F.col("open_pos").alias("cpos"))
     anchors = dom.select(nodes, "h2.list-item__title a")
-    first_a = dom.first_within(anchors, cards, ["node_id"])
+    first_a = dom.first_within(anchors, cards, ["node_id"], container_tags={"li"})
     href = dom.elements(nodes).select("page_id", "node_id", F.col("attrs")["href"].alias("href"))
     first_a = first_a.join(href, ["page_id", "node_id"])
-    txt = dom.text_trim(nodes, first_a.select("page_id", F.col("node_id").alias("tid")))
+    txt = dom.text_trim(nodes, first_a.select("page_id", F.col("node_id").alias("tid")), tags={"a"})
     first_a = first_a.join(txt.withColumnRenamed("tid", "node_id"), ["page_id", "node_id"])
     ticker = F.split(F.col("text"), r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
                                      r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]")[0]
@@ -284,16 +285,20 @@ def _debenture_cards(nodes: DataFrame):
         (F.col("title") != "") & F.col("href").isNotNull() & (F.col("href") != ""))
 
     # each dl inside the card: first dt -> key, first dd -> value
-    dls = dom.within(dom.select(nodes, "dl").select("page_id", "node_id", "open_pos", "anc"),
-                     cards.select("page_id", "cid")).select(
+    dls = dom.within(dom.select(nodes, "dl").select("page_id", "node_id", "open_pos", "anc", "anc_tags"),
+                     cards.select("page_id", "cid"), container_tags={"li"}).select(
         "page_id", "cid", F.col("node_id").alias("dl_id"), F.col("open_pos").alias("dl_pos"))
     dl_keys = dls.select("page_id", F.col("dl_id").alias("cid"))
-    dt = dom.first_within(dom.select(nodes, "dt"), dl_keys, ["node_id"]).withColumnRenamed("node_id", "dt_id")
-    dd = dom.first_within(dom.select(nodes, "dd"), dl_keys, ["node_id"]).withColumnRenamed("node_id", "dd_id")
-    dt_t = dom.text_trim(nodes, dt.select("page_id", F.col("dt_id").alias("tid"))) \
-        .withColumnRenamed("tid", "dt_id").withColumnRenamed("text", "label")
-    dd_t = dom.text_trim(nodes, dd.select("page_id", F.col("dd_id").alias("tid"))) \
-        .withColumnRenamed("tid", "dd_id").withColumnRenamed("text", "value")
+    dt = dom.first_within(dom.select(nodes, "dt"), dl_keys, ["node_id"], container_tags={"dl"}) \
+        .withColumnRenamed("node_id", "dt_id")
+    dd = dom.first_within(dom.select(nodes, "dd"), dl_keys, ["node_id"], container_tags={"dl"}) \
+        .withColumnRenamed("node_id", "dd_id")
+    # one text pass for both label and value cells
+    both = dt.select("page_id", F.col("dt_id").alias("tid")).unionByName(
+        dd.select("page_id", F.col("dd_id").alias("tid")))
+    texts = dom.text_trim(nodes, both, tags={"dt", "dd"})
+    dt_t = texts.withColumnRenamed("tid", "dt_id").withColumnRenamed("text", "label")
+    dd_t = texts.withColumnRenamed("tid", "dd_id").withColumnRenamed("text", "value")
     fmap = F.create_map(*[x for lab, key in DEBENTURE_FIELDS for x in (F.lit(lab), F.lit(key))])
     kv = (dls.join(dt.withColumnRenamed("cid", "dl_id"), ["page_id", "dl_id"])
           .join(dt_t, ["page_id", "dt_id"])
@@ -344,10 +349,12 @@ def _base(nodes: DataFrame, options: dict | None):
         return _empty_results(spark), _empty_suggestions(spark)
     cont = dom.select(nodes, res_sel).select("page_id", F.col("node_id").alias("cid"),
                                              F.col("open_pos").alias("cpos"))
+    cont_tags = dom.selector_tags(res_sel)
 
     def first_text(sel, name):
-        f = dom.first_within(dom.select(nodes, sel), cont, ["node_id"])
-        t = dom.text_trim(nodes, f.select("page_id", F.col("node_id").alias("tid")))
+        f = dom.first_within(dom.select(nodes, sel), cont, ["node_id"], container_tags=cont_tags)
+        t = dom.text_trim(nodes, f.select("page_id", F.col("node_id").alias("tid")),
+                          tags=dom.selector_tags(sel))
         return f.join(t.withColumnRenamed("tid", "node_id"), ["page_id", "node_id"]) \
             .select("page_id", "cid", F.col("text").alias(name), F.col("node_id").alias(name + "_id"))
 
@@ -369,7 +376,7 @@ def _base(nodes: DataFrame, options: dict | None):
         res = res.withColumn("content", F.lit(""))
     if thumb_sel:
         th = dom.first_within(dom.select(nodes, thumb_sel), cont,
-                              ["node_id"]).join(
+                              ["node_id"], container_tags=cont_tags).join(
             dom.elements(nodes).select("page_id", "node_id", F.col("attrs")["src"].alias("thumbnail")),
             ["page_id", "node_id"]).select("page_id", "cid", "thumbnail")
         res = res.join(th, ["page_id", "cid"], "left").withColumn(
@@ -379,7 +386,7 @@ def _base(nodes: DataFrame, options: dict | None):
     res = _rank(res, "cpos").select("page_id", "rank", "url", "title", "content",
                                     F.lit(None).cast(FIELDS_TYPE).alias("fields"), "thumbnail")
     if sugg_sel:
-        s = _ordered_texts(nodes, dom.select(nodes, sugg_sel))
+        s = _ordered_texts(nodes, dom.select(nodes, sugg_sel), dom.selector_tags(sugg_sel))
         sugg = _rank(s, "pos").select("page_id", "rank", "text")
     else:
         sugg = _empty_suggestions(spark)
@@ -405,7 +412,7 @@ def profile_nodes(pages: DataFrame, profile: Profile, prefilter: bool = True,
     if cond is not None:
         src = src.filter(cond)
     nodes = to_nodes(src)
-    return cut_lineage(nodes) if materialize else nodes
+    return write_table(nodes, "nodes") if materialize else nodes
 
 
 def extract_nodes(nodes: DataFrame, profile_name: str, options: dict | None = None):

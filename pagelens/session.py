@@ -53,5 +53,17 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Materialise ``df`` as parquet under the shared checkpoint folder and
+    read it back: a lineage cut that survives executor loss and, unlike an
+    RDD checkpoint, keeps column pruning and filter pushdown for every
+    reader."""
+    import uuid
+    root = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
