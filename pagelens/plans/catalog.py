@@ -88,3 +88,104 @@ def q_debenture_fields(spark, sf):
     res, _ = PR.extract(pages, "anbima_debentures")
     return res.select("page_id", "rank", "url", "title",
                       F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields")))).alias("fields_json"))
+
+
+# E7-E16 on the pages table ---------------------------------------------------
+from pagelens.functions.text import JS_WS_CLASS  # noqa: E402
+from pagelens.operators import content as CT  # noqa: E402
+from pagelens.operators import process as PS  # noqa: E402
+
+NL = "chr(10)"
+
+
+def duck_unescape(expr: str, keep_amp: bool = False) -> str:
+    """Entities that occur in the pages table, decoded like the parser."""
+    out = (f"replace(replace(replace(replace(replace(replace({expr}, '&quot;', '\"'), '&copy;', '©'), "
+           f"'&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160))")
+    return out if keep_amp else f"replace({out}, '&amp;', '&')"
+
+
+ARTICLE = r"regexp_extract(html, '<article>([\s\S]*?)</article>', 1)"
+
+
+def duck_tidy_md(expr: str) -> str:
+    e = f"regexp_replace({expr}, '[ \\t]+\\n', {NL}, 'g')"
+    e = f"regexp_replace({e}, '\\n[ \\t]+', {NL}, 'g')"
+    e = f"regexp_replace({e}, '\\n(\\*\\*|\\*|`)\\n', '\\1' || {NL}, 'g')"
+    e = f"regexp_replace({e}, '\\n{{3,}}', {NL} || {NL}, 'g')"
+    return f"regexp_replace({e}, '^[{JS_WS_CLASS}]+|[{JS_WS_CLASS}]+$', '', 'g')"
+
+
+_MD = f"regexp_replace({ARTICLE}, '[{JS_WS_CLASS}]+', ' ', 'g')"
+_MD = f"regexp_replace({_MD}, '<h1>([^<]*)</h1>', {NL}||{NL}||'# \\1'||{NL}||{NL}, 'g')"
+_MD = f"regexp_replace({_MD}, '<p><b>([^<]*)<br>', {NL}||{NL}||'**\\1'||{NL}||'**'||{NL}||{NL}, 'g')"
+_MD = f"regexp_replace({_MD}, '<p>([^<]*)</p>', {NL}||{NL}||'\\1'||{NL}||{NL}, 'g')"
+
+
+@register("page_markdown", f"SELECT page_id, {duck_tidy_md(duck_unescape(_MD))} AS content FROM pages")
+def q_page_markdown(spark, sf):
+    pages = read_table(spark, sf, "pages")
+    nodes = PS.content_nodes_table(pages)
+    return CT.render(pages, nodes, "markdown")
+
+
+_HT = f"regexp_replace({ARTICLE}, '<p><b>([^<]*)<br>', '<p><b>\\1<br></b></p>', 'g')"
+
+
+@register("page_html", f"SELECT page_id, '<article>' || {duck_unescape(_HT, keep_amp=True)} || '</article>' "
+                       f"AS content FROM pages")
+def q_page_html(spark, sf):
+    pages = read_table(spark, sf, "pages")
+    nodes = PS.content_nodes_table(pages)
+    return CT.render(pages, nodes, "html")
+
+
+_SEGS = f"regexp_split_to_array({ARTICLE}, '<[^>]*>')"
+_WC = (f"CAST(list_sum(list_transform({_SEGS}, lambda s: len(list_filter(regexp_split_to_array("
+       f"{duck_unescape('s')}, '[{JS_WS_CLASS}]+'), lambda x: x <> '')))) AS BIGINT)")
+_TITLE = duck_unescape("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+
+
+@register("page_metadata", f"""
+SELECT page_id,
+       regexp_replace({_TITLE}, '^[{JS_WS_CLASS}]+|[{JS_WS_CLASS}]+$', '', 'g') AS title,
+       CAST(NULL AS VARCHAR) AS author, CAST(NULL AS VARCHAR) AS description,
+       CAST(NULL AS VARCHAR) AS published,
+       regexp_replace({DUCK_HOST}, '^www\\.', '') AS domain, CAST(NULL AS VARCHAR) AS site,
+       {_WC} AS word_count
+FROM pages""")
+def q_page_metadata(spark, sf):
+    pages = read_table(spark, sf, "pages")
+    nodes = PS.content_nodes_table(pages)
+    meta = CT.metadata(pages, nodes)
+    words = CT.content_word_count(CT.content_nodes(nodes))
+    return meta.join(words, "page_id", "left").withColumn(
+        "word_count", F.coalesce("word_count", F.lit(0).cast("long")))
+
+
+_LINKS = r"regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 0)"
+
+
+@register("page_links", f"""
+WITH l AS (SELECT page_id, url AS page_url, unnest({_LINKS}) AS tag FROM pages)
+SELECT page_id, regexp_extract(tag, 'href="([^"]*)"', 1) AS href,
+       {DUCK_HOST.replace('url', 'page_url')} AS host_check,
+       CASE WHEN regexp_extract(tag, 'href="([^"]*)"', 1) LIKE '/%'
+            THEN regexp_extract(page_url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)
+                 || regexp_extract(tag, 'href="([^"]*)"', 1)
+            ELSE regexp_extract(tag, 'href="([^"]*)"', 1) END AS url,
+       regexp_replace(regexp_replace({duck_unescape("regexp_extract(tag, '>([^<]*)<', 1)")},
+                      '[{JS_WS_CLASS}]+', ' ', 'g'), '^ | $', '', 'g') AS text
+FROM l""")
+def q_page_links(spark, sf):
+    pages = read_table(spark, sf, "pages")
+    nodes = PS.content_nodes_table(pages)
+    out = CT.links(pages, nodes).join(pages.select("page_id", "url").withColumnRenamed("url", "page_url"),
+                                      "page_id")
+    return out.select("page_id", "href", F.try_parse_url("page_url", F.lit("HOST")).alias("host_check"),
+                      "url", "text")
+
+
+@register("page_json")
+def q_page_json(spark, sf):
+    return PS.process(read_table(spark, sf, "pages"), "json").select("page_id", "content", "format", "engine")
