@@ -189,3 +189,187 @@ def q_page_links(spark, sf):
 @register("page_json")
 def q_page_json(spark, sf):
     return PS.process(read_table(spark, sf, "pages"), "json").select("page_id", "content", "format", "engine")
+
+
+# G: request planning ----------------------------------------------------------
+from pagelens.functions import llm as LL  # noqa: E402
+from pagelens.operators import llm_batch as LB  # noqa: E402
+
+_WSC = JS_WS_CLASS
+
+
+def _duck_strip_images(e: str) -> str:
+    e = f"regexp_replace({e}, '\\[!\\[[^\\]]*\\]\\([^)]+\\)\\]\\([^)]+\\)', '', 'g')"
+    e = f"regexp_replace({e}, '!\\[[^\\]]*\\]\\([^)]+\\)', '', 'g')"
+    e = f"regexp_replace({e}, '\\[\\]\\([^)]+\\)[{_WSC}]*', '', 'g')"
+    return f"regexp_replace({e}, '\\n{{3,}}', {NL} || {NL}, 'g')"
+
+
+def _llm_sql(model: str, max_context: int) -> str:
+    n = max_context * 3
+    qwen = "qwen" in model and "reader-lm" not in model
+    prompt = _duck_strip_images(f"CASE WHEN length(text) > {n} THEN left(text, {n}) ELSE text END")
+    tokens = "CAST(ceil(length(prompt) / 3.0) AS BIGINT)"
+    ctx = f"greatest(4096, least(CAST(ceil({tokens} * 1.5) AS BIGINT), {max_context}))"
+    return f"""
+WITH p AS (SELECT doc_id, text, {prompt} AS prompt FROM documents)
+SELECT doc_id AS key, length(text) AS input_chars, length(text) > {n} AS truncated,
+       CASE WHEN length(text) > {n} THEN 'Content truncated from ' || CAST(floor(length(text) / 1024.0 + 0.5) AS BIGINT)
+            || 'KB to {round(n / 1024)}KB to fit AI context window ({max_context} tokens). Some content may be missing.'
+       END AS warning,
+       {tokens} AS tokens, {ctx} AS num_ctx,
+       CAST({0.7 if qwen else 0.0} AS DOUBLE) AS temperature,
+       {'CAST(0.8 AS DOUBLE)' if qwen else 'CAST(NULL AS DOUBLE)'} AS top_p,
+       {'20' if qwen else 'CAST(NULL AS INTEGER)'} AS top_k,
+       {f'least({tokens}, 8192)' if qwen else 'CAST(NULL AS BIGINT)'} AS num_predict,
+       sha256(prompt) AS prompt_sha
+FROM p"""
+
+
+def _llm_query(model, max_context):
+    def q(spark, sf):
+        docs = read_table(spark, sf, "documents")
+        r = LB.plan_requests(docs, "text", "doc_id", model, max_context)
+        return r.select("key", "input_chars", "truncated", "warning", "tokens", "num_ctx",
+                        F.col("options.temperature").alias("temperature"), F.col("options.top_p").alias("top_p"),
+                        F.col("options.top_k").alias("top_k"), F.col("options.num_predict").alias("num_predict"),
+                        F.sha2("prompt", 256).alias("prompt_sha"))
+    return q
+
+
+register("llm_requests", _llm_sql(LL.DEFAULT_MODEL, LL.DEFAULT_MAX_CONTEXT))(
+    _llm_query(LL.DEFAULT_MODEL, LL.DEFAULT_MAX_CONTEXT))
+register("llm_requests_qwen_4k", _llm_sql("qwen3:8b", 4096))(_llm_query("qwen3:8b", 4096))
+
+
+@register("llm_token_report", f"""
+WITH r AS ({_llm_sql("qwen3:8b", 4096)}), d AS (SELECT doc_id, source FROM documents)
+SELECT source, count(*) AS requests, CAST(sum(CAST(truncated AS INTEGER)) AS BIGINT) AS truncated,
+       CAST(sum(tokens) AS BIGINT) AS tokens, max(tokens) AS max_tokens,
+       CAST(sum(CASE WHEN num_ctx <= 4096 THEN 1 ELSE 0 END) AS BIGINT) AS ctx_4k,
+       CAST(sum(CASE WHEN num_ctx > 4096 AND num_ctx <= 32768 THEN 1 ELSE 0 END) AS BIGINT) AS ctx_32k,
+       CAST(sum(CASE WHEN num_ctx > 32768 THEN 1 ELSE 0 END) AS BIGINT) AS ctx_large
+FROM r JOIN d ON r.key = d.doc_id GROUP BY source""")
+def q_llm_token_report(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    r = LB.plan_requests(docs, "text", "doc_id", "qwen3:8b", 4096)
+    r = r.join(docs.select(F.col("doc_id").alias("key"), "source"), "key")
+    return LB.token_report(r, "source")
+
+
+@register("chat_requests", """
+SELECT conv_id, CAST(count(*) + 1 AS INTEGER) AS n_messages,
+       CAST(ceil(sum(length(text)) / 3.0) AS BIGINT) AS tokens,
+       greatest(4096, least(CAST(ceil(CAST(ceil(sum(length(text)) / 3.0) AS BIGINT) * 1.5) AS BIGINT), 131072))
+         AS num_ctx
+FROM conversations GROUP BY conv_id""")
+def q_chat_requests(spark, sf):
+    c = LB.chat_requests(read_table(spark, sf, "conversations"))
+    return c.select("conv_id", (F.col("n_messages") + 1).alias("n_messages"), "tokens", "num_ctx")
+
+
+# B: request table ---------------------------------------------------------------
+from pagelens.operators import requests as RQ  # noqa: E402
+
+_B_FMT = ("CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'format=json&' WHEN 2 THEN 'format=html&' "
+          "ELSE 'format=xml&' END")
+_B_WAIT = "CASE page_id % 5 WHEN 0 THEN '3' WHEN 1 THEN '0.5' WHEN 2 THEN '' WHEN 3 THEN '10s' ELSE '7' END"
+_B_Q = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)"
+_B_T = "regexp_extract(url, '^([^?#]*)', 1)"
+
+
+def _render_requests(spark, sf):
+    p = read_table(spark, sf, "pages").select("page_id", "url")
+    fmt = F.expr(_B_FMT)
+    orig_q = F.regexp_extract("url", r"^[^?#]*\?([^#]*)", 1)
+    target = F.regexp_extract("url", r"^([^?#]*)", 1)
+    q = F.concat(F.when(orig_q == "", F.lit("")).otherwise(F.concat(orig_q, F.lit("&"))), fmt,
+                 F.lit("wait="), F.expr(_B_WAIT),
+                 F.lit("&article="), F.expr("CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'True' END"),
+                 F.lit("&q=p"), F.col("page_id"), F.lit("&q=dup&engine=ai&blank"))
+    return p.select("page_id", F.concat(F.lit("/render/"), target).alias("path"), q.alias("query"))
+
+
+@register("render_requests", f"""
+WITH r AS (SELECT page_id, {_B_T} AS t, {_B_Q} AS q FROM pages)
+SELECT page_id,
+  t || '?' || CASE WHEN q = '' THEN '' ELSE q || '&' END || 'q=p' || page_id || '&blank=' AS target_url,
+  CASE page_id % 4 WHEN 0 THEN 'markdown' WHEN 1 THEN 'json' WHEN 2 THEN 'html' ELSE 'xml' END AS format,
+  'ai' AS engine,
+  CAST(CASE page_id % 5 WHEN 0 THEN 3.0 WHEN 1 THEN 0.5 WHEN 2 THEN 2.0 WHEN 3 THEN 10.0 ELSE 7.0 END AS DOUBLE) AS wait,
+  page_id % 2 = 0 AS article, false AS images,
+  CASE WHEN page_id % 4 = 3 THEN 'Invalid format. Must be ''markdown'', ''html'', or ''json''' END AS error
+FROM r""")
+def q_render_requests(spark, sf):
+    s = RQ.split_render_path(_render_requests(spark, sf))
+    ok, bad = RQ.validate_render(s)
+    both = ok.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
+    return both.select("page_id", "target_url", "format", "engine", "wait", "article", "images", "error")
+
+
+@register("scraper_render_requests", f"""
+WITH r AS (SELECT page_id, {_B_T} AS t, {_B_Q} AS q FROM pages)
+SELECT page_id,
+  t || '?' || CASE WHEN q = '' THEN '' ELSE q || '&' END
+    || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'format=json&' WHEN 2 THEN 'format=html&' ELSE 'format=xml&' END
+    || 'article=' || CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'True' END
+    || '&q=p' || page_id || '&q=dup&engine=ai&blank=' AS target_url,
+  CAST(CASE page_id % 5 WHEN 0 THEN 3.0 WHEN 1 THEN 0.5 WHEN 2 THEN 2.0 WHEN 3 THEN 2.0 ELSE 7.0 END AS DOUBLE) AS wait
+FROM r""")
+def q_scraper_render_requests(spark, sf):
+    s = RQ.split_render_path(_render_requests(spark, sf), keep_duplicates=True)
+    return s.select("page_id", "target_url", "wait")
+
+
+_PROFILES_SQL = "['google_web', 'google_news', 'base', 'anbima_debentures', 'bing']"
+
+
+def _extract_requests(spark, sf):
+    p = read_table(spark, sf, "pages").select("page_id", "url")
+    raw = F.expr("CASE page_id % 3 WHEN 0 THEN regexp_replace(url, '^https?://', '') "
+                 "WHEN 1 THEN '  ' || url || ' ' ELSE url END")
+    prof = F.element_at(F.array(*[F.lit(x) for x in
+                                  ["google_web", "google_news", "base", "anbima_debentures", "bing"]]),
+                        (F.col("page_id") % 5 + 1).cast("int"))
+    return p.select("page_id", RQ.normalise_url(raw).alias("url"), prof.alias("profile"),
+                    F.when(F.col("page_id") % 2 == 1, F.lit(1.5)).alias("wait_after_load"),
+                    F.when(F.col("page_id") % 3 == 1, F.lit(15000)).alias("timeout"))
+
+
+@register("extract_requests", f"""
+WITH r AS (
+  SELECT page_id,
+    CASE WHEN page_id % 3 = 0 AND NOT (url LIKE 'http://%' OR url LIKE 'https://%') THEN url
+         WHEN page_id % 3 = 0 THEN 'https://' || regexp_replace(url, '^https?://', '') ELSE url END AS url,
+    {_PROFILES_SQL}[page_id % 5 + 1] AS profile, page_id % 2 = 1 AS odd, page_id % 3 = 1 AS t15
+  FROM pages)
+SELECT page_id, url, profile,
+  CASE WHEN profile = 'bing' THEN 'Unknown profile: bing. Available: google_web, google_news, base, anbima_debentures'
+  END AS error,
+  CASE WHEN profile = 'bing' THEN NULL WHEN odd THEN 1.5
+       WHEN profile IN ('google_web', 'base') THEN 2.0 ELSE 3.0 END::DOUBLE AS wait_after_load,
+  CASE WHEN profile = 'bing' THEN NULL WHEN t15 THEN 15000 ELSE 30000 END AS timeout,
+  CASE WHEN profile = 'google_web' THEN 'a h3' WHEN profile = 'anbima_debentures' THEN 'li.list-item__container'
+  END AS wait_for_selector
+FROM r""")
+def q_extract_requests(spark, sf):
+    ok, bad = RQ.validate_extract(_extract_requests(spark, sf))
+    ok = RQ.resolve_profile(ok).withColumn("error", F.lit(None).cast("string"))
+    bad = bad.select("page_id", "url", "profile", "error",
+                     F.lit(None).cast("double").alias("wait_after_load"),
+                     F.lit(None).cast("int").alias("timeout"),
+                     F.lit(None).cast("string").alias("wait_for_selector"))
+    return ok.select("page_id", "url", "profile", "error", "wait_after_load", "timeout",
+                     "wait_for_selector").unionByName(bad)
+
+
+@register("captcha_split", """
+SELECT page_id, CAST(page_id % 7 = 3 AS BOOLEAN) AS captcha FROM pages""")
+def q_captcha_split(spark, sf):
+    p = read_table(spark, sf, "pages").select(
+        "page_id", "url", "html",
+        F.when(F.col("page_id") % 7 == 3, F.concat(F.lit("https://www.google.com/sorry/index?continue="),
+                                                    F.col("url"))).otherwise(F.col("url")).alias("final_url"))
+    ok, blocked = RQ.split_captcha(p, PR.get_profile("google_web").captcha_patterns)
+    return ok.select("page_id", F.lit(False).alias("captcha")).unionByName(
+        blocked.select("page_id", F.lit(True).alias("captcha")))

@@ -238,3 +238,97 @@ SELECT CAST(o_orderkey // 20 AS BIGINT) AS page_id,
        || '","vencimento":"' || strftime(o_orderdate, '%d/%m/%Y') || '"}' AS fields_json
 FROM orders WHERE o_orderkey % 17 <> 5
 """
+
+
+# ---------------------------------------------------------------------------
+# bot-test probe pages (I1-I4), from events
+# ---------------------------------------------------------------------------
+EVENTS_PER_PAGE = 20
+
+
+def bot_test_pages(events: DataFrame) -> DataFrame:
+    e = F.col("event_id")
+    v = F.col("value")
+    suffix = F.when(e % 7 == 1, F.lit(" (Old)")).when(e % 7 == 2, F.lit(" (New)")).otherwise(F.lit(""))
+    name = F.concat(F.col("event_type"), F.lit(" "), F.col("user_id"), suffix)
+    cls = (F.when(v < 50, F.lit("result passed")).when(v < 100, F.lit("warn"))
+           .when(v < 200, F.lit("result failed")).otherwise(F.lit("info")))
+    value = F.concat(F.col("props"), F.lit(" "), F.repeat(F.lit("x"), (e % 90).cast("int")))
+    row = F.when(e % 11 == 3, F.concat(F.lit("<tr><td>"), name, F.lit("</td></tr>"))).otherwise(
+        F.concat(F.lit("<tr><td>"), name, F.lit('</td><td class="'), cls, F.lit('"> '), value,
+                 F.lit(" </td></tr>")))
+    d = events.select((e / EVENTS_PER_PAGE).cast("long").alias("page_id"), "event_id", row.alias("row"))
+    pages = d.groupBy("page_id").agg(_page_concat(d, "event_id", "row").alias("rows"))
+    p = F.col("page_id")
+    nested = F.concat(F.lit('<table><tr><td>Summary</td><td class="info"><table><tr><td>nested '), p,
+                      F.lit('</td><td class="passed">ok</td></tr></table></td></tr></table>'))
+    html = F.concat(F.lit("<html><body><table><tr><th>Test Name</th><th>Result</th></tr>"), F.col("rows"),
+                    F.lit("</table>"), nested, F.lit("</body></html>"))
+    return pages.select("page_id", F.concat(F.lit("https://probe.example.org/bot?p="), p).alias("url"),
+                        html.alias("html"))
+
+
+BOT_TESTS_SQL = """
+WITH r AS (
+  SELECT CAST(event_id // 20 AS BIGINT) AS page_id, 0 AS grp, event_id AS pos,
+         event_type || ' ' || user_id AS name,
+         CASE WHEN value < 50 THEN 'passed' WHEN value < 100 THEN 'warn' WHEN value < 200 THEN 'failed' END AS status,
+         left(props || ' ' || repeat('x', CAST(event_id % 90 AS INTEGER)), 80) AS value
+  FROM events WHERE event_id % 11 <> 3 AND value < 200
+  UNION ALL
+  SELECT DISTINCT CAST(event_id // 20 AS BIGINT), g, 0, 'nested ' || (event_id // 20), 'passed', 'ok'
+  FROM events, (VALUES (1), (2)) t(g))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY grp, pos) AS INTEGER) AS test_no,
+       name, status, rtrim(value) AS value
+FROM r
+"""
+
+
+# ---------------------------------------------------------------------------
+# TLS probe pages (I9-I11), from events
+# ---------------------------------------------------------------------------
+FIREFOX_UA = "Mozilla/5.0 (X11; Linux x86_64; rv:128.0) Gecko/20100101 Firefox/128.0"
+OTHER_UA = "Mozilla/5.0 (Windows NT 10.0) AppleWebKit/537.36 Chrome/120.0 Safari/537.36"
+
+
+def tls_pages(events: DataFrame) -> DataFrame:
+    e = F.col("event_id")
+    ua = F.when(F.col("user_id") % 2 == 0, F.lit(FIREFOX_UA)).otherwise(F.lit(OTHER_UA))
+    hk = F.struct(F.lit("User-Agent").alias("key"), ua.alias("value"))
+    hn = F.struct(F.lit("user-agent").alias("name"), ua.alias("value"))
+    accept = F.struct(F.lit("accept").alias("key"), F.lit("*/*").alias("value"))
+    tls = F.struct(F.concat(F.lit("771,"), F.col("user_id")).alias("ja3"),
+                   F.md5(F.concat(F.lit("ja3-"), F.col("user_id"))).alias("ja3_hash"),
+                   F.concat(F.lit("t13d"), F.col("user_id") % 100).alias("ja4"),
+                   F.when(e % 5 == 0, F.lit("")).otherwise(F.md5(F.col("event_type"))).alias("peetprint_hash"),
+                   F.lit("771").alias("tls_version_record"))
+    kind = e % 4
+    http1 = F.when(kind == 0, F.struct(F.array(accept, hk).alias("headers"))).when(
+        kind == 2, F.struct(F.array().cast("array<struct<key:string,value:string>>").alias("headers")))
+    http2 = F.struct(F.when(kind == 1, F.array(hn)).when(kind == 2, F.array(hk)).alias("sent_headers"),
+                     F.md5(F.concat(F.lit("h2-"), F.col("event_type"))).alias("akamai_fingerprint_hash"))
+    doc = F.to_json(F.struct(F.concat(F.lit("10.0."), F.col("user_id") % 256, F.lit(".1")).alias("ip"),
+                             tls.alias("tls"), http1.alias("http_1"), http2.alias("http_2")))
+    shape = e % 3
+    html = (F.when(shape == 0, F.concat(F.lit("<html><body>"), doc, F.lit("</body></html>")))
+            .when(shape == 1, F.concat(F.lit("<html><body><h1>TLS</h1><pre>"), doc, F.lit("</pre></body></html>")))
+            .otherwise(F.concat(F.lit("<html><body><pre>{broken "), e, F.lit("</pre></body></html>"))))
+    return events.select(F.col("event_id").alias("page_id"),
+                         F.concat(F.lit("https://tls.example.org/api/all?e="), e).alias("url"), html.alias("html"))
+
+
+TLS_SQL = f"""
+SELECT event_id AS page_id,
+  CASE WHEN event_id % 3 = 2 THEN 'Could not parse TLS data as JSON' END AS error,
+  CASE WHEN event_id % 3 <> 2 THEN '771,' || user_id END AS ja3,
+  CASE WHEN event_id % 3 <> 2 THEN md5('ja3-' || user_id) END AS ja3_hash,
+  CASE WHEN event_id % 3 <> 2 THEN 't13d' || (user_id % 100) END AS ja4,
+  CASE WHEN event_id % 3 <> 2 AND event_id % 5 <> 0 THEN md5(event_type) END AS peetprint_hash,
+  CASE WHEN event_id % 3 <> 2 THEN md5('h2-' || event_type) END AS h2_fingerprint_hash,
+  CASE WHEN event_id % 3 <> 2 THEN '771' END AS tls_version,
+  CASE WHEN event_id % 3 <> 2 THEN '10.0.' || (user_id % 256) || '.1' END AS ip,
+  CASE WHEN event_id % 3 <> 2 AND event_id % 4 <> 3
+       THEN CASE WHEN user_id % 2 = 0 THEN '{FIREFOX_UA}' ELSE '{OTHER_UA}' END END AS user_agent,
+  CASE WHEN event_id % 3 <> 2 AND event_id % 4 <> 3 THEN user_id % 2 = 0 END AS is_firefox
+FROM events
+"""
