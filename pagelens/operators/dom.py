@@ -265,6 +265,14 @@ def subtree_text(nodes: DataFrame, targets: DataFrame, tid: str = "tid",
         "page_id", tid, F.coalesce("text", F.lit("")).alias("text"))
 
 
+def page_text(nodes: DataFrame, drop_tags=()) -> DataFrame:
+    """Text of the whole document per page: (page_id, text)."""
+    t = text_nodes(nodes, drop_tags)
+    return t.groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("open_pos", "text"))),
+                                 lambda x: x["text"]), "").alias("text"))
+
+
 def text_trim(nodes, targets, tid="tid", tags=None) -> DataFrame:
     """``.text().trim()``."""
     r = subtree_text(nodes, targets, tid, tags=tags)

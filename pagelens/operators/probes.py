@@ -149,8 +149,9 @@ _HDR = "array<struct<key:string,name:string,value:string>>"
 def tls_fields(nodes: DataFrame) -> DataFrame:
     """JSON from the page body text, else the first <pre>, else an
     error row; then the flattened fingerprint fields."""
-    doc = nodes.filter(F.col("kind") == "doc").select("page_id", F.col("node_id").alias("tid"))
-    body = dom.subtree_text(nodes, doc).select("page_id", py_strip("text").alias("body"))
+    doc = nodes.filter(F.col("kind") == "doc").select("page_id")
+    body = doc.join(dom.page_text(nodes), "page_id", "left").select(
+        "page_id", py_strip(F.coalesce("text", F.lit(""))).alias("body"))
     pre = dom.select(nodes, "pre").groupBy("page_id").agg(F.min_by("node_id", "open_pos").alias("tid"))
     pre_t = dom.subtree_text(nodes, pre, tags={"pre"}).select("page_id", py_strip("text").alias("pre"))
     j = body.join(pre_t, "page_id", "left")

@@ -373,3 +373,172 @@ def q_captcha_split(spark, sf):
     ok, blocked = RQ.split_captcha(p, PR.get_profile("google_web").captcha_patterns)
     return ok.select("page_id", F.lit(False).alias("captcha")).unionByName(
         blocked.select("page_id", F.lit(True).alias("captcha")))
+
+
+# H: reports -----------------------------------------------------------------------
+from pagelens.operators import report as RP  # noqa: E402
+
+NOW = "2024-01-31 12:00:00"
+
+
+@register("capped_documents", """
+SELECT doc_id, length(text) AS chars,
+  sha256(CASE WHEN length(text) > 50000 THEN left(text, 50000) || chr(10) || chr(10) || '... [truncated, '
+              || (length(text) - 50000) || ' chars omitted]' ELSE text END) AS capped_sha,
+  CASE WHEN length(text) > 20000 THEN right(left(text, 20000) || chr(10) || chr(10) || '... [truncated, '
+              || (length(text) - 20000) || ' chars omitted]', 40) ELSE right(text, 40) END AS cap20k_tail,
+  CASE WHEN length(text) < 1024 THEN length(text) || ' chars'
+       ELSE printf('%.1f', round(length(text) / 1024.0, 1)) || ' KB' END AS size_label
+FROM documents""")
+def q_capped_documents(spark, sf):
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", F.length("text").alias("chars"), F.sha2(RP.cap_text("text"), 256).alias("capped_sha"),
+                    F.substring(RP.cap_text("text", 20000), -40, 40).alias("cap20k_tail"),
+                    RP.size_label("text").alias("size_label"))
+
+
+_HIST_SRC = """SELECT event_id AS id, 'https://example.org/u/' || user_id || '/' || event_type AS url,
+       CASE WHEN event_type IN ('click', 'view') THEN 'render' ELSE 'extract' END AS mode, ts FROM events"""
+
+
+@register("history_latest", f"""
+WITH h AS ({_HIST_SRC}),
+l AS (SELECT *, row_number() OVER (PARTITION BY url, mode ORDER BY ts DESC, id DESC) AS rn FROM h)
+SELECT id, url, mode, ts FROM l WHERE rn = 1 ORDER BY ts DESC, id DESC LIMIT 20""")
+def q_history_latest(spark, sf):
+    e = read_table(spark, sf, "events")
+    h = e.select(F.col("event_id").alias("id"),
+                 F.concat(F.lit("https://example.org/u/"), F.col("user_id"), F.lit("/"), F.col("event_type"))
+                 .alias("url"),
+                 F.when(F.col("event_type").isin("click", "view"), F.lit("render")).otherwise(F.lit("extract"))
+                 .alias("mode"), "ts")
+    return RP.upsert_history(h)
+
+
+@register("recency_labels", f"""
+WITH d AS (SELECT event_id, ts, CAST(floor((epoch_ms(TIMESTAMP '{NOW}') - epoch_ms(ts)) / 60000.0) AS BIGINT) AS m
+           FROM events)
+SELECT event_id,
+  CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago'
+       WHEN floor(m / 60.0) < 24 THEN CAST(floor(m / 60.0) AS BIGINT) || 'h ago'
+       WHEN floor(floor(m / 60.0) / 24.0) < 7 THEN CAST(floor(floor(m / 60.0) / 24.0) AS BIGINT) || 'd ago'
+       ELSE strftime(ts, '%-m/%-d/%Y') END AS label
+FROM d""")
+def q_recency_labels(spark, sf):
+    e = read_table(spark, sf, "events")
+    return e.select("event_id", RP.recency("ts", F.lit(NOW).cast("timestamp")).alias("label"))
+
+
+@register("short_urls", f"""
+SELECT page_id, lower({DUCK_HOST}) || CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)
+       IN ('', '/') THEN '' ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) END AS short
+FROM pages""")
+def q_short_urls(spark, sf):
+    return read_table(spark, sf, "pages").select("page_id", RP.short_url("url").alias("short"))
+
+
+_LIST_SQL = f"""
+WITH res AS ({FX.SEARCH_RESULTS_SQL}),
+sug AS ({FX.SEARCH_SUGGESTIONS_SQL}),
+rb AS (SELECT page_id, count(*) AS n,
+         string_agg(rank || '. ' || title || {NL} || '   URL: ' || url
+                    || CASE WHEN content <> '' THEN {NL} || '   ' || content ELSE '' END || {NL},
+                    {NL} ORDER BY rank) AS blocks FROM res GROUP BY page_id),
+sb AS (SELECT page_id, string_agg('  - ' || text, {NL} ORDER BY rank) AS sugg FROM sug GROUP BY page_id),
+pg AS (SELECT page_id FROM rb UNION SELECT page_id FROM sb)
+SELECT pg.page_id,
+  concat_ws({NL}, 'Found ' || coalesce(n, 0) || ' results from google_web profile:' || {NL},
+            CASE WHEN coalesce(n, 0) > 0 THEN blocks END,
+            CASE WHEN sugg IS NOT NULL THEN 'Related searches:' || {NL} || sugg END) AS text
+FROM pg LEFT JOIN rb USING (page_id) LEFT JOIN sb USING (page_id)"""
+
+
+@register("result_listing", _LIST_SQL)
+def q_result_listing(spark, sf):
+    pages = FX.search_pages(read_table(spark, sf, "documents"))
+    res, sugg = PR.extract(pages, "google_web")
+    return RP.listing(res, sugg, "google_web")
+
+
+@register("search_page_status", f"""
+WITH res AS ({FX.SEARCH_RESULTS_SQL}), sug AS ({FX.SEARCH_SUGGESTIONS_SQL}),
+pg AS (SELECT DISTINCT CAST(doc_id // 10 AS BIGINT) AS page_id FROM documents)
+SELECT page_id,
+  CAST(CASE WHEN page_id % 9 = 4 THEN 0 ELSE coalesce((SELECT count(*) FROM res WHERE res.page_id = pg.page_id), 0) END
+       AS BIGINT) AS results,
+  CAST(CASE WHEN page_id % 9 = 4 THEN 0 ELSE coalesce((SELECT count(*) FROM sug WHERE sug.page_id = pg.page_id), 0) END
+       AS BIGINT) AS suggestions,
+  page_id % 9 = 4 AS captcha,
+  CASE WHEN page_id % 9 = 4 THEN 'CAPTCHA detected' END AS error
+FROM pg""")
+def q_search_page_status(spark, sf):
+    pages = FX.search_pages(read_table(spark, sf, "documents")).withColumn(
+        "final_url", F.when(F.col("page_id") % 9 == 4, F.lit("https://www.google.com/sorry/index"))
+        .otherwise(F.col("url")))
+    ok, blocked = RQ.split_captcha(pages, PR.get_profile("google_web").captcha_patterns)
+    res, sugg = PR.extract(ok, "google_web")
+    return RP.page_status(pages, res, sugg, blocked)
+
+
+# I: probe analytics --------------------------------------------------------------
+from pagelens.operators import probes as PB  # noqa: E402
+from pagelens.operators.nodes import to_nodes as _to_nodes  # noqa: E402
+
+
+@register("bot_tests", FX.BOT_TESTS_SQL)
+def q_bot_tests(spark, sf):
+    nodes = _to_nodes(FX.bot_test_pages(read_table(spark, sf, "events")))
+    return PB.test_rows(nodes)
+
+
+@register("bot_scorecard", f"""
+WITH t AS ({FX.BOT_TESTS_SQL}),
+a AS (SELECT page_id, count_if(status = 'passed') AS passed, count_if(status = 'warn') AS warn,
+             count_if(status = 'failed') AS failed FROM t GROUP BY page_id)
+SELECT page_id, passed, warn, failed, CAST(passed + warn + failed AS BIGINT) AS total,
+  passed || '/' || (passed + warn + failed) || ' passed'
+    || CASE WHEN warn > 0 THEN ', ' || warn || ' warnings' ELSE '' END
+    || CASE WHEN failed > 0 THEN ', ' || failed || ' failed' ELSE '' END AS score,
+  CAST(round_even(passed / (passed + warn + failed) * 100.0, 0) AS BIGINT) || '%' AS percent,
+  CASE WHEN passed / (passed + warn + failed) * 100.0 >= 90 THEN 'green'
+       WHEN passed / (passed + warn + failed) * 100.0 >= 70 THEN 'yellow' ELSE 'red' END AS grade,
+  CASE WHEN failed = 0 THEN 'green' WHEN failed > 3 THEN 'red' ELSE 'yellow' END AS failed_level
+FROM a""")
+def q_bot_scorecard(spark, sf):
+    nodes = _to_nodes(FX.bot_test_pages(read_table(spark, sf, "events")))
+    return PB.scorecard(PB.test_rows(nodes))
+
+
+_IP_RE = r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b"
+
+
+@register("ip_report", f"""
+WITH x AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_IP_RE}', 1)) AS ip FROM documents)
+SELECT doc_id, ip,
+  ip LIKE '10.%' OR ip LIKE '192.168.%' OR ip LIKE '172.16.%' OR ip LIKE '172.17.%' OR ip LIKE '172.18.%'
+    OR ip LIKE '172.19.%' OR ip LIKE '172.2%' OR ip LIKE '172.3%' AS private_reference,
+  coalesce(TRY_CAST(split_part(ip, '.', 1) AS INTEGER) = 10
+    OR (TRY_CAST(split_part(ip, '.', 1) AS INTEGER) = 172 AND TRY_CAST(split_part(ip, '.', 2) AS INTEGER) BETWEEN 16 AND 31)
+    OR (TRY_CAST(split_part(ip, '.', 1) AS INTEGER) = 192 AND TRY_CAST(split_part(ip, '.', 2) AS INTEGER) = 168), false)
+    AS private_strict
+FROM x WHERE NOT ip LIKE '0.%' AND ip <> '0.0.0.0'""")
+def q_ip_report(spark, sf):
+    return PB.ip_report(read_table(spark, sf, "documents"), "doc_id", "text")
+
+
+@register("tls_fingerprints", FX.TLS_SQL)
+def q_tls_fingerprints(spark, sf):
+    nodes = _to_nodes(FX.tls_pages(read_table(spark, sf, "events")))
+    return PB.tls_fields(nodes)
+
+
+@register("clean_snapshot_diff", f"""
+SELECT page_id, left(sha256(html), 16) AS hash_before,
+       left(sha256({duck_pre_clean_sql('html')}), 16) AS hash_after,
+       CASE WHEN sha256(html) = sha256({duck_pre_clean_sql('html')}) THEN 'same' ELSE 'changed' END AS status
+FROM pages""")
+def q_clean_snapshot_diff(spark, sf):
+    from pagelens.functions.cleaning import pre_clean
+    p = read_table(spark, sf, "pages")
+    return PB.snapshot_diff(p.select("page_id", "html"), p.select("page_id", pre_clean("html").alias("html")),
+                            "page_id", "html")

@@ -294,9 +294,10 @@ OTHER_UA = "Mozilla/5.0 (Windows NT 10.0) AppleWebKit/537.36 Chrome/120.0 Safari
 def tls_pages(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     ua = F.when(F.col("user_id") % 2 == 0, F.lit(FIREFOX_UA)).otherwise(F.lit(OTHER_UA))
-    hk = F.struct(F.lit("User-Agent").alias("key"), ua.alias("value"))
-    hn = F.struct(F.lit("user-agent").alias("name"), ua.alias("value"))
-    accept = F.struct(F.lit("accept").alias("key"), F.lit("*/*").alias("value"))
+    none = F.lit(None).cast("string")
+    hk = F.struct(F.lit("User-Agent").alias("key"), none.alias("name"), ua.alias("value"))
+    hn = F.struct(none.alias("key"), F.lit("user-agent").alias("name"), ua.alias("value"))
+    accept = F.struct(F.lit("accept").alias("key"), none.alias("name"), F.lit("*/*").alias("value"))
     tls = F.struct(F.concat(F.lit("771,"), F.col("user_id")).alias("ja3"),
                    F.md5(F.concat(F.lit("ja3-"), F.col("user_id"))).alias("ja3_hash"),
                    F.concat(F.lit("t13d"), F.col("user_id") % 100).alias("ja4"),
@@ -304,7 +305,7 @@ def tls_pages(events: DataFrame) -> DataFrame:
                    F.lit("771").alias("tls_version_record"))
     kind = e % 4
     http1 = F.when(kind == 0, F.struct(F.array(accept, hk).alias("headers"))).when(
-        kind == 2, F.struct(F.array().cast("array<struct<key:string,value:string>>").alias("headers")))
+        kind == 2, F.struct(F.array().cast("array<struct<key:string,name:string,value:string>>").alias("headers")))
     http2 = F.struct(F.when(kind == 1, F.array(hn)).when(kind == 2, F.array(hk)).alias("sent_headers"),
                      F.md5(F.concat(F.lit("h2-"), F.col("event_type"))).alias("akamai_fingerprint_hash"))
     doc = F.to_json(F.struct(F.concat(F.lit("10.0."), F.col("user_id") % 256, F.lit(".1")).alias("ip"),
