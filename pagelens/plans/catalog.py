@@ -542,3 +542,39 @@ def q_clean_snapshot_diff(spark, sf):
     p = read_table(spark, sf, "pages")
     return PB.snapshot_diff(p.select("page_id", "html"), p.select("page_id", pre_clean("html").alias("html")),
                             "page_id", "html")
+
+
+# L4 in batch form (the streaming jobs run the same expressions) -------------------
+from pagelens.streaming import jobs as SJ  # noqa: E402
+
+
+@register("event_rates_tumbling", """
+SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start,
+       time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '10 minutes' AS window_end,
+       event_type, count(*) AS n
+FROM events GROUP BY ALL""")
+def q_event_rates_tumbling(spark, sf):
+    return SJ.outcome_rates(read_table(spark, sf, "events"), "tumbling", "10 minutes", by="event_type",
+                            delay=None)
+
+
+@register("event_rates_sliding", """
+WITH w AS (
+  SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type FROM events
+  UNION ALL
+  SELECT time_bucket(INTERVAL '5 minutes', ts) - INTERVAL '5 minutes', event_type FROM events)
+SELECT window_start, window_start + INTERVAL '10 minutes' AS window_end, event_type, count(*) AS n
+FROM w GROUP BY ALL""")
+def q_event_rates_sliding(spark, sf):
+    return SJ.outcome_rates(read_table(spark, sf, "events"), "sliding", "10 minutes", "5 minutes",
+                            by="event_type", delay=None)
+
+
+@register("user_sessions", """
+WITH o AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
+s AS (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL '5 minutes' THEN 1 ELSE 0 END)
+        OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM o)
+SELECT min(ts) AS window_start, max(ts) + INTERVAL '5 minutes' AS window_end, user_id, count(*) AS n
+FROM s GROUP BY user_id, sid""")
+def q_user_sessions(spark, sf):
+    return SJ.outcome_rates(read_table(spark, sf, "events"), "session", "5 minutes", by="user_id", delay=None)
