@@ -211,7 +211,9 @@ def within(matches: DataFrame, containers: DataFrame, cid: str = "cid",
     container. One output row per (container, match). ``container_tags``
     (when known) drops impossible ancestors before the join."""
     ex = matches.withColumn(cid, F.explode(anc_ids(container_tags)))
-    return ex.join(containers.select("page_id", cid).distinct(), ["page_id", cid])
+    # semi join: duplicates in ``containers`` never multiply rows, and the
+    # container plan is consumed once
+    return ex.join(containers.select("page_id", cid), ["page_id", cid], "left_semi")
 
 
 def first_within(matches: DataFrame, containers: DataFrame, cols, cid: str = "cid",
@@ -249,20 +251,18 @@ def subtree_text(nodes: DataFrame, targets: DataFrame, tid: str = "tid",
                  drop_tags=(), tags=None) -> DataFrame:
     """D6/D7 raw: ``targets(page_id, tid)`` -> ``(page_id, tid, text)`` with
     the text of all text nodes below the target in document order.
-    Targets without text get ''. ``tags``: the possible target tags; text
+    Targets without any text node are absent (callers left-join and
+    coalesce to ''). ``tags``: the possible target tags; text
     nodes without such an ancestor are dropped before the explode and the
     exploded ancestors are filtered by tag before the join."""
     t = text_nodes(nodes, drop_tags)
     if tags:
         t = t.filter(F.arrays_overlap("anc_tags", _tag_array(tags)))
     ex = t.select("page_id", "open_pos", "text", F.explode(anc_ids(tags)).alias(tid))
-    keys = targets.select("page_id", tid).distinct()
-    joined = ex.join(keys, ["page_id", tid])
-    agg = joined.groupBy("page_id", tid).agg(
+    joined = ex.join(targets.select("page_id", tid), ["page_id", tid], "left_semi")
+    return joined.groupBy("page_id", tid).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("open_pos", "text"))),
                                  lambda x: x["text"]), "").alias("text"))
-    return keys.join(agg, ["page_id", tid], "left").select(
-        "page_id", tid, F.coalesce("text", F.lit("")).alias("text"))
 
 
 def page_text(nodes: DataFrame, drop_tags=()) -> DataFrame:
@@ -273,15 +273,25 @@ def page_text(nodes: DataFrame, drop_tags=()) -> DataFrame:
                                  lambda x: x["text"]), "").alias("text"))
 
 
-def text_trim(nodes, targets, tid="tid", tags=None) -> DataFrame:
-    """``.text().trim()``."""
+def _with_empty(targets: DataFrame, r: DataFrame, tid: str) -> DataFrame:
+    return targets.select("page_id", tid).join(r, ["page_id", tid], "left").select(
+        "page_id", tid, F.coalesce("text", F.lit("")).alias("text"))
+
+
+def text_trim(nodes, targets, tid="tid", tags=None, keep_empty=False) -> DataFrame:
+    """``.text().trim()``. Targets without text nodes are absent unless
+    ``keep_empty`` (then they get '')."""
     r = subtree_text(nodes, targets, tid, tags=tags)
+    if keep_empty:
+        r = _with_empty(targets, r, tid)
     return r.withColumn("text", js_trim("text"))
 
 
-def text_clean(nodes, targets, tid="tid", tags=None) -> DataFrame:
+def text_clean(nodes, targets, tid="tid", tags=None, keep_empty=False) -> DataFrame:
     """Text without script, whitespace collapsed, trimmed."""
     r = subtree_text(nodes, targets, tid, drop_tags=("script",), tags=tags)
+    if keep_empty:
+        r = _with_empty(targets, r, tid)
     return r.withColumn("text", js_collapse_ws("text"))
 
 

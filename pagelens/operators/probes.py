@@ -44,9 +44,10 @@ def test_rows(nodes: DataFrame) -> DataFrame:
     status = (F.when(cls.contains("passed"), F.lit("passed")).when(cls.contains("warn"), F.lit("warn"))
               .when(cls.contains("failed"), F.lit("failed")))
     j = (rows.join(txt.select("page_id", F.col("tid").alias("cell0_id"), F.col("text").alias("t0")),
-                   ["page_id", "cell0_id"])
+                   ["page_id", "cell0_id"], "left")
          .join(txt.select("page_id", F.col("tid").alias("cell1_id"), F.col("text").alias("t1")),
-               ["page_id", "cell1_id"]))
+               ["page_id", "cell1_id"], "left")
+         .withColumn("t0", F.coalesce("t0", F.lit(""))).withColumn("t1", F.coalesce("t1", F.lit(""))))
     j = j.select("page_id", "table_pos", "tr_pos", name.alias("name"), status.alias("status"),
                  F.substring(py_strip("t1"), 1, VALUE_CHARS).alias("value")).filter(F.col("status").isNotNull())
     w = Window.partitionBy("page_id").orderBy("table_pos", "tr_pos")

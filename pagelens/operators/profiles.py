@@ -281,29 +281,31 @@ def _debenture_cards(nodes: DataFrame):
     first_a = first_a.join(txt.withColumnRenamed("tid", "node_id"), ["page_id", "node_id"])
     ticker = F.split(F.col("text"), r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
                                      r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]")[0]
+    raw_cards = cards
     cards = cards.join(first_a, ["page_id", "cid"]).withColumn("title", ticker).filter(
         (F.col("title") != "") & F.col("href").isNotNull() & (F.col("href") != ""))
 
-    # each dl inside the card: first dt -> key, first dd -> value
+    # each dl inside the card: first dt -> key, first dd -> value. The
+    # dl rows hang off the raw card selection (one scan); rows of rejected
+    # cards fall away when the caller joins to ``cards``.
     dls = dom.within(dom.select(nodes, "dl").select("page_id", "node_id", "open_pos", "anc", "anc_tags"),
-                     cards.select("page_id", "cid"), container_tags={"li"}).select(
+                     raw_cards.select("page_id", "cid"), container_tags={"li"}).select(
         "page_id", "cid", F.col("node_id").alias("dl_id"), F.col("open_pos").alias("dl_pos"))
-    dl_keys = dls.select("page_id", F.col("dl_id").alias("cid"))
-    dt = dom.first_within(dom.select(nodes, "dt"), dl_keys, ["node_id"], container_tags={"dl"}) \
-        .withColumnRenamed("node_id", "dt_id")
-    dd = dom.first_within(dom.select(nodes, "dd"), dl_keys, ["node_id"], container_tags={"dl"}) \
-        .withColumnRenamed("node_id", "dd_id")
-    # one text pass for both label and value cells
-    both = dt.select("page_id", F.col("dt_id").alias("tid")).unionByName(
-        dd.select("page_id", F.col("dd_id").alias("tid")))
-    texts = dom.text_trim(nodes, both, tags={"dt", "dd"})
-    dt_t = texts.withColumnRenamed("tid", "dt_id").withColumnRenamed("text", "label")
-    dd_t = texts.withColumnRenamed("tid", "dd_id").withColumnRenamed("text", "value")
+    # first dt and first dd of every dl in one pass (grouped by dl and tag)
+    cells = nodes.filter((F.col("kind") == "el") & F.col("tag").isin("dt", "dd")).select(
+        "page_id", "node_id", "tag", "open_pos", "anc", "anc_tags")
+    cells = dom.within(cells, dls.select("page_id", F.col("dl_id").alias("cid")), container_tags={"dl"})
+    cells = cells.groupBy("page_id", F.col("cid").alias("dl_id"), "tag").agg(
+        F.min_by("node_id", "open_pos").alias("tid"))
+    texts = dom.text_trim(nodes, cells, tags={"dt", "dd"})
+    cells = cells.join(texts, ["page_id", "tid"], "left")
+    per_dl = cells.groupBy("page_id", "dl_id").agg(
+        F.max(F.when(F.col("tag") == "dt", F.col("text"))).alias("label"),
+        F.max(F.when(F.col("tag") == "dd", F.coalesce("text", F.lit("")))).alias("value"),
+        F.max((F.col("tag") == "dt").cast("int")).alias("has_dt"))
     fmap = F.create_map(*[x for lab, key in DEBENTURE_FIELDS for x in (F.lit(lab), F.lit(key))])
-    kv = (dls.join(dt.withColumnRenamed("cid", "dl_id"), ["page_id", "dl_id"])
-          .join(dt_t, ["page_id", "dt_id"])
-          .join(dd.withColumnRenamed("cid", "dl_id"), ["page_id", "dl_id"], "left")
-          .join(dd_t, ["page_id", "dd_id"], "left"))
+    kv = dls.join(per_dl.filter(F.col("has_dt") == 1), ["page_id", "dl_id"])
+    kv = kv.withColumn("label", F.coalesce("label", F.lit("")))
     kv = kv.withColumn("key", fmap[F.lower("label")]).filter(F.col("key").isNotNull())
     kv = kv.withColumn("value", F.coalesce("value", F.lit("")))
     kv = kv.withColumn("value", F.when(F.col("value") == "-", F.lit("")).otherwise(F.col("value")))
@@ -355,8 +357,9 @@ def _base(nodes: DataFrame, options: dict | None):
         f = dom.first_within(dom.select(nodes, sel), cont, ["node_id"], container_tags=cont_tags)
         t = dom.text_trim(nodes, f.select("page_id", F.col("node_id").alias("tid")),
                           tags=dom.selector_tags(sel))
-        return f.join(t.withColumnRenamed("tid", "node_id"), ["page_id", "node_id"]) \
-            .select("page_id", "cid", F.col("text").alias(name), F.col("node_id").alias(name + "_id"))
+        return f.join(t.withColumnRenamed("tid", "node_id"), ["page_id", "node_id"], "left") \
+            .select("page_id", "cid", F.coalesce("text", F.lit("")).alias(name),
+                    F.col("node_id").alias(name + "_id"))
 
     u = first_text(url_sel, "url_text")
     href = dom.elements(nodes).select("page_id", F.col("node_id").alias("url_text_id"),

@@ -23,6 +23,13 @@ def html_escape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Generated pages come out of one aggregate; give them as many
+    partitions as there are cores so the parse runs in parallel."""
+    n = pages.sparkSession.sparkContext.defaultParallelism * 2
+    return pages.repartition(n, "page_id")
+
+
 def _page_concat(rows: DataFrame, order: str, piece: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, piece))),
                                     lambda x: x[piece]), "")
@@ -80,8 +87,8 @@ def search_pages(documents: DataFrame) -> DataFrame:
     html = F.concat(F.lit("<!DOCTYPE html><html><head><title>Search "), p,
                     F.lit("</title></head><body><div id=\""), wrapper, F.lit('">'), F.col("blocks"),
                     F.lit("</div>"), sponsored, sugg_block, F.lit("</body></html>"))
-    return pages.select("page_id", F.concat(F.lit("https://www.google.com/search?q=p"), p).alias("url"),
-                        html.alias("html"))
+    return spread(pages.select("page_id", F.concat(F.lit("https://www.google.com/search?q=p"), p).alias("url"),
+                               html.alias("html")))
 
 
 SEARCH_RESULTS_SQL = f"""
@@ -149,8 +156,8 @@ def news_pages(documents: DataFrame) -> DataFrame:
     pages = d.groupBy("page_id").agg(_page_concat(d, "doc_id", "block").alias("blocks"))
     html = F.concat(F.lit("<html><body><main><h1>Top stories</h1>"), F.col("blocks"),
                     F.lit("</main></body></html>"))
-    return pages.select("page_id", F.concat(F.lit("https://news.google.com/topics/p"),
-                                            F.col("page_id")).alias("url"), html.alias("html"))
+    return spread(pages.select("page_id", F.concat(F.lit("https://news.google.com/topics/p"),
+                                                   F.col("page_id")).alias("url"), html.alias("html")))
 
 
 NEWS_RESULTS_SQL = f"""
@@ -209,8 +216,8 @@ def card_pages(orders: DataFrame) -> DataFrame:
     d = orders.select((k / CARDS_PER_PAGE).cast("long").alias("page_id"), "o_orderkey", card.alias("card"))
     pages = d.groupBy("page_id").agg(_page_concat(d, "o_orderkey", "card").alias("cards"))
     html = F.concat(F.lit('<html><body><ul class="list">'), F.col("cards"), F.lit("</ul></body></html>"))
-    return pages.select("page_id", F.concat(F.lit("https://data.example.org/busca/debentures?page="),
-                                            F.col("page_id")).alias("url"), html.alias("html"))
+    return spread(pages.select("page_id", F.concat(F.lit("https://data.example.org/busca/debentures?page="),
+                                                   F.col("page_id")).alias("url"), html.alias("html")))
 
 
 CARDS_SQL = """
@@ -264,8 +271,8 @@ def bot_test_pages(events: DataFrame) -> DataFrame:
                       F.lit('</td><td class="passed">ok</td></tr></table></td></tr></table>'))
     html = F.concat(F.lit("<html><body><table><tr><th>Test Name</th><th>Result</th></tr>"), F.col("rows"),
                     F.lit("</table>"), nested, F.lit("</body></html>"))
-    return pages.select("page_id", F.concat(F.lit("https://probe.example.org/bot?p="), p).alias("url"),
-                        html.alias("html"))
+    return spread(pages.select("page_id", F.concat(F.lit("https://probe.example.org/bot?p="), p).alias("url"),
+                               html.alias("html")))
 
 
 BOT_TESTS_SQL = """

@@ -65,5 +65,16 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def ensure_parallel(df: DataFrame, key: str = "page_id", per_core: int = 2) -> DataFrame:
+    """Spread a narrow input before per-row Python work. Only when it has
+    fewer partitions than the cluster has cores (small inputs, a single
+    file); a large input already has many splits and is left alone, so no
+    extra shuffle of the raw data happens at scale."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want * per_core, key)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
