@@ -90,7 +90,14 @@ def stream_dedupe(df: DataFrame, key: str = "url", event_time: str = "ts",
                   delay: str = "10 minutes") -> DataFrame:
     """L3: first sighting of each key; duplicates within the watermark delay
     are dropped across batches, state older than the watermark is purged."""
-    return df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    return _as_event_time(df, event_time).withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+
+
+def _as_event_time(df: DataFrame, event_time: str) -> DataFrame:
+    """Watermarks need TIMESTAMP; a TIMESTAMP_NTZ column is read as UTC."""
+    if dict(df.dtypes).get(event_time) == "timestamp_ntz":
+        df = df.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return df
 
 
 def outcome_rates(df: DataFrame, kind: str = "tumbling", size: str = "10 minutes",
@@ -99,7 +106,7 @@ def outcome_rates(df: DataFrame, kind: str = "tumbling", size: str = "10 minutes
     """L4: counts per window and outcome. ``kind``: tumbling, sliding or
     session (``size`` is the gap). With ``delay`` a watermark bounds state."""
     if delay:
-        df = df.withWatermark(event_time, delay)
+        df = _as_event_time(df, event_time).withWatermark(event_time, delay)
     if kind == "tumbling":
         w = F.window(event_time, size)
     elif kind == "sliding":
