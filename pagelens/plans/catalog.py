@@ -43,7 +43,7 @@ FROM pages GROUP BY 1
 """)
 def q_clean_bytes_by_host(spark, sf):
     return cleaning_report(read_table(spark, sf, "pages"))
-FLAGSHIP = "clean_bytes_by_host"
+FLAGSHIP = "page_markdown"
 
 
 # F1-F21 profiles on round-trip pages ----------------------------------------
