@@ -24,7 +24,9 @@ close everything above their match, unknown end tags ignored).
 
 from __future__ import annotations
 
+import re
 import time
+from html import unescape as _unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -45,6 +47,12 @@ DL_STOP = SCOPE_STOP | {"dl"}
 ROW_STOP = frozenset(("table", "html", "template"))
 CELL_STOP = ROW_STOP | {"tr"}
 
+# Written node tables are sorted by (kind, tag) inside each page bucket and
+# use small row groups, so a selector's tag/kind filter skips row groups by
+# their min/max statistics instead of decoding every node.
+NODE_SORT = ("kind", "tag", "page_id")
+NODE_ROW_GROUP = 4 * 1024 * 1024
+
 NODE_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("node_id", T.IntegerType()),
@@ -180,6 +188,13 @@ class _TreeBuilder(HTMLParser):
         if data:
             self.pending.append(data)
 
+    def finish_fast(self):
+        self._flush_text()
+        while len(self.stack) > 1:
+            self._pop()
+        self.rows[0][4] = self.pos
+        return self.rows
+
     def finish(self):
         self.close()
         self._flush_text()
@@ -189,27 +204,152 @@ class _TreeBuilder(HTMLParser):
         return self.rows
 
 
-def parse_html(html: str, keep_tags=None, keep_text=True):
-    """Node rows of one page (without page_id)."""
+# One master pattern: comment, markup declaration / processing instruction,
+# end tag, start tag (quoted values may hold '>'), text run, lone '<'.
+_TOKEN_RE = re.compile(r"""
+    <!--.*?(?:--!?>|\Z)
+  | <[!?][^>]*>?
+  | </(?P<end>[a-zA-Z][^\t\n\r\f />\x00]*)[^>]*>?
+  | <(?P<start>[a-zA-Z][^\t\n\r\f />\x00]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>
+  | [^<]+
+  | <
+""", re.S | re.X)
+_ATTR_RE = re.compile(r"""((?<=['"\s/])[^\s/>][^\s/=>]*)(\s*=+\s*('[^']*'|"[^"]*"|(?!['"])[^>\s]*))?""")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\t\n\r\f />])", re.I) for t in ("script", "style")}
+_RCDATA_END = {t: re.compile(rf"</{t}(?=[\t\n\r\f />])", re.I) for t in RAW_TEXT}
+
+
+def _attrs(raw: str):
+    out = []
+    for m in _ATTR_RE.finditer(" " + raw):
+        name, rest, val = m.group(1), m.group(2), m.group(3)
+        if not rest:
+            v = None
+        elif val[:1] in ("'", '"') and val[:1] == val[-1:] and len(val) >= 2:
+            v = val[1:-1]
+        else:
+            v = val
+        if v and "&" in v:
+            v = _unescape(v)
+        out.append((name.lower(), v))
+    return out
+
+
+def _feed_fast(b: "_TreeBuilder", html: str) -> None:
+    """Regex tokenizer driving the same tree-building callbacks."""
+    pos, n = 0, len(html)
+    match = _TOKEN_RE.match
+    while pos < n:
+        m = match(html, pos)
+        end_pos = m.end()
+        start = m.group("start")
+        if start is not None:
+            tag = start.lower()
+            b.handle_starttag(tag, _attrs(m.group("attrs")))
+            closer = _RAW_END.get(tag) or _RCDATA_END.get(tag)
+            if closer is not None and b.tags[-1] == tag:
+                e = closer.search(html, end_pos)
+                stop = e.start() if e else n
+                body = html[end_pos:stop]
+                if body:
+                    b.pending.append(_unescape(body) if tag in RAW_TEXT and "&" in body else body)
+                if e:
+                    gt = html.find(">", e.end())
+                    b.handle_endtag(tag)
+                    end_pos = n if gt < 0 else gt + 1
+                else:
+                    end_pos = n
+        elif m.group("end") is not None:
+            b.handle_endtag(m.group("end").lower())
+        else:
+            tok = m.group(0)
+            if tok.startswith("<!--") and not tok.endswith(">"):
+                b.pending.append(_unescape(tok) if "&" in tok else tok)   # unclosed comment: text
+            elif tok.startswith("<!") or tok.startswith("<?"):
+                pass                                   # comment / doctype / PI
+            else:
+                b.pending.append(_unescape(tok) if "&" in tok else tok)
+        pos = end_pos
+
+
+def parse_html(html: str, keep_tags=None, keep_text=True, tokenizer: str = "fast"):
+    """Node rows of one page (without page_id). ``tokenizer='stdlib'`` uses
+    html.parser (the reference path the fast tokenizer is tested against)."""
     b = _TreeBuilder(keep_tags, keep_text)
     try:
+        if tokenizer == "fast":
+            _feed_fast(b, html or "")
+            return b.finish_fast()
         b.feed(html or "")
     except Exception:  # noqa: BLE001 - tag soup never fails a page
         pass
     return b.finish()
 
 
-def _batches(it, keep_tags, keep_text, max_rows=65536):
-    cols = {n: [] for n in ARROW_SCHEMA.names}
+class _Columns:
+    """Column buffers for one Arrow batch. Nested columns are kept as flat
+    value lists plus offsets and assembled with ``from_arrays`` (no
+    per-row Python objects for lists and maps)."""
+
+    SCALARS = ("page_id", "node_id", "parent_id", "depth", "open_pos", "close_pos", "kind", "tag", "text")
+
+    def __init__(self):
+        self.s = {n: [] for n in self.SCALARS}
+        self.attr_off, self.attr_k, self.attr_v, self.attr_null = [0], [], [], []
+        self.cls_off, self.cls_v, self.cls_null = [0], [], []
+        self.anc_off, self.anc_v, self.tag_v = [0], [], []
+        self.n = 0
+
+    def add(self, pid, r):
+        s = self.s
+        s["page_id"].append(pid)
+        s["node_id"].append(r[0])
+        s["parent_id"].append(r[1])
+        s["depth"].append(r[2])
+        s["open_pos"].append(r[3])
+        s["close_pos"].append(r[4])
+        s["kind"].append(r[5])
+        s["tag"].append(r[6])
+        s["text"].append(r[9])
+        a = r[7]
+        if a is None:
+            self.attr_null.append(True)
+        else:
+            self.attr_null.append(False)
+            self.attr_k.extend(a.keys())
+            self.attr_v.extend(a.values())
+        self.attr_off.append(len(self.attr_k))
+        c = r[8]
+        if c is None:
+            self.cls_null.append(True)
+        else:
+            self.cls_null.append(False)
+            self.cls_v.extend(c)
+        self.cls_off.append(len(self.cls_v))
+        ids, tags = r[10]
+        self.anc_v.extend(ids)
+        self.tag_v.extend(tags)
+        self.anc_off.append(len(self.anc_v))
+        self.n += 1
+
+    def batch(self):
+        f = ARROW_SCHEMA.field
+        arrays = {n: pa.array(self.s[n], type=f(n).type) for n in self.SCALARS}
+        attr_off = pa.array(self.attr_off, type=pa.int32())
+        arrays["attrs"] = pa.MapArray.from_arrays(
+            attr_off, pa.array(self.attr_k, type=pa.string()), pa.array(self.attr_v, type=pa.string()),
+            mask=pa.array(self.attr_null, type=pa.bool_()))
+        arrays["classes"] = pa.ListArray.from_arrays(
+            pa.array(self.cls_off, type=pa.int32()), pa.array(self.cls_v, type=pa.string()),
+            mask=pa.array(self.cls_null, type=pa.bool_()))
+        anc_off = pa.array(self.anc_off, type=pa.int32())
+        arrays["anc"] = pa.ListArray.from_arrays(anc_off, pa.array(self.anc_v, type=pa.int32()))
+        arrays["anc_tags"] = pa.ListArray.from_arrays(anc_off, pa.array(self.tag_v, type=pa.string()))
+        return pa.RecordBatch.from_arrays([arrays[n] for n in ARROW_SCHEMA.names], schema=ARROW_SCHEMA)
 
-    def emit():
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(cols[n], type=ARROW_SCHEMA.field(n).type) for n in ARROW_SCHEMA.names],
-            schema=ARROW_SCHEMA)
-        for n in cols:
-            cols[n] = []
-        return batch
 
+def _batches(it, keep_tags, keep_text, max_rows=65536):
+    cols = _Columns()
     for batch in it:
         ids = batch.column("page_id").to_pylist()
         htmls = batch.column("html").to_pylist()
@@ -220,23 +360,12 @@ def _batches(it, keep_tags, keep_text, max_rows=65536):
             for r in rows:
                 if keep_tags is not None and r[5] == "el" and r[6] not in keep_tags:
                     continue
-                cols["page_id"].append(pid)
-                cols["node_id"].append(r[0])
-                cols["parent_id"].append(r[1])
-                cols["depth"].append(r[2])
-                cols["open_pos"].append(r[3])
-                cols["close_pos"].append(r[4])
-                cols["kind"].append(r[5])
-                cols["tag"].append(r[6])
-                cols["attrs"].append(list(r[7].items()) if r[7] is not None else None)
-                cols["classes"].append(r[8])
-                cols["text"].append(r[9])
-                cols["anc"].append(r[10][0])
-                cols["anc_tags"].append(r[10][1])
-            if len(cols["page_id"]) >= max_rows:
-                yield emit()
-    if cols["page_id"]:
-        yield emit()
+                cols.add(pid, r)
+            if cols.n >= max_rows:
+                yield cols.batch()
+                cols = _Columns()
+    if cols.n:
+        yield cols.batch()
 
 
 def to_nodes(pages: DataFrame, html_col: str = "html", keep_tags=None,
@@ -256,3 +385,24 @@ def parse_time(nodes: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
     return nodes.filter(F.col("kind") == "doc").select(
         "page_id", F.col("attrs")["parse_ms"].cast("double").alias("parse_ms"))
+
+
+def node_table(src: DataFrame, name: str = "nodes", materialize: bool = True) -> DataFrame:
+    """D1 plus the lineage cut used by multi-branch plans.
+
+    ``spark.pagelens.nodeLayout`` picks the physical layout of the cut:
+    ``plain`` (default) writes parquet and lets every join shuffle on its
+    keys; ``bucketed`` hash-partitions the pages by ``page_id`` once and
+    writes a table bucketed by ``page_id`` (sorted by kind, tag), so the
+    page-keyed joins and aggregates downstream need no shuffle at all -
+    the better layout when shuffles cross a network; on one machine the
+    extra sorts cost more than the local shuffles they replace."""
+    from pagelens.session import node_buckets, write_bucketed, write_table
+    if not materialize:
+        return to_nodes(src)
+    spark = src.sparkSession
+    if spark.conf.get("spark.pagelens.nodeLayout", "plain") == "bucketed":
+        buckets = node_buckets(spark)
+        nodes = to_nodes(src.repartition(buckets, "page_id"))
+        return write_bucketed(nodes, name, buckets=buckets, sort_by=NODE_SORT, row_group_bytes=NODE_ROW_GROUP)
+    return write_table(to_nodes(src), name)

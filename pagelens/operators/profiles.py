@@ -28,8 +28,7 @@ from pyspark.sql import types as T
 from pagelens.functions.text import (base64url_to_latin1, decode_uri_component,
                                      js_trim, latin1_to_utf8)
 from pagelens.operators import dom
-from pagelens.operators.nodes import to_nodes
-from pagelens.session import write_table
+from pagelens.operators.nodes import node_table, to_nodes
 
 RESULT_COLS = ["page_id", "rank", "url", "title", "content", "fields", "thumbnail"]
 FIELDS_TYPE = T.MapType(T.StringType(), T.StringType())
@@ -414,8 +413,7 @@ def profile_nodes(pages: DataFrame, profile: Profile, prefilter: bool = True,
     cond = prefilter_condition(profile) if prefilter else None
     if cond is not None:
         src = src.filter(cond)
-    nodes = to_nodes(src)
-    return write_table(nodes, "nodes") if materialize else nodes
+    return node_table(src, "nodes", materialize)
 
 
 def extract_nodes(nodes: DataFrame, profile_name: str, options: dict | None = None):

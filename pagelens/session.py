@@ -16,9 +16,12 @@ def get_spark(master: str | None = None, app: str = "pagelens",
     b = (
         SparkSession.builder.master(master).appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # joins on (page_id, x) may use a page_id bucketing/partitioning
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("PAGELENS_DRIVER_MEMORY", "16g"))
@@ -65,6 +68,37 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def node_buckets(spark: SparkSession) -> int:
+    """Bucket count of page-keyed tables: ``spark.pagelens.buckets`` when
+    set (size it so a bucket holds a few hundred MB of nodes), else two per
+    core."""
+    conf = spark.conf.get("spark.pagelens.buckets", None)
+    return int(conf) if conf else max(8, 2 * spark.sparkContext.defaultParallelism)
+
+
+def write_bucketed(df: DataFrame, name: str, key: str = "page_id", buckets: int | None = None,
+                   sort_by=None, row_group_bytes: int | None = None) -> DataFrame:
+    """Write ``df`` as a table bucketed (and sorted) by ``key`` under the
+    shared checkpoint folder and read it back. Every later join, aggregate
+    and window keyed by ``key`` (plus more columns) is then planned without
+    a shuffle: the scan reports hash partitioning on ``key`` and
+    ``spark.sql.requireAllClusterKeysForCoPartition=false`` lets joins on
+    ``(key, x)`` use it. The caller hash-partitions the input by ``key``
+    into ``buckets`` partitions first, so each task writes one file."""
+    import uuid
+    spark = df.sparkSession
+    buckets = buckets or node_buckets(spark)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    root = checkpoint_dir(spark).rstrip("/")
+    table = f"pagelens_{name}_{uuid.uuid4().hex[:12]}"
+    w = df.write.format("parquet").option("path", f"{root}/tables/{table}")
+    if row_group_bytes:
+        w = w.option("parquet.block.size", str(row_group_bytes))
+    sort_cols = list(sort_by) if sort_by else [key]
+    w.bucketBy(buckets, key).sortBy(*sort_cols).saveAsTable(table)
+    return spark.table(table)
+
+
 def ensure_parallel(df: DataFrame, key: str = "page_id", per_core: int = 2) -> DataFrame:
     """Spread a narrow input before per-row Python work. Only when it has
     fewer partitions than the cluster has cores (small inputs, a single
