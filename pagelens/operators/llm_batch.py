@@ -33,9 +33,13 @@ def plan_requests(df: DataFrame, content_col: str = "content", key_col: str = "p
         F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
     req = F.struct(m.alias("model"), messages.alias("messages"), F.col("options").alias("options"))
     staged = staged.withColumn("request", F.to_json(req))
+    # one id per input row (identical inputs keep separate ids, so a reply
+    # table keyed by request_id never multiplies rows); ``request_hash``
+    # is the same for identical requests, for a serving layer that dedupes
+    rid = F.sha2(F.concat_ws("\u0000", F.col("key").cast("string"), F.col("request")), 256)
     return staged.select(
-        "key", F.sha2("request", 256).alias("request_id"), m.alias("model"), "input_chars", "truncated",
-        "warning", "prompt", "tokens", "num_ctx", "options", "request")
+        "key", rid.alias("request_id"), F.sha2("request", 256).alias("request_hash"), m.alias("model"),
+        "input_chars", "truncated", "warning", "prompt", "tokens", "num_ctx", "options", "request")
 
 
 def chat_requests(turns: DataFrame, model: str = L.DEFAULT_MODEL,
@@ -54,7 +58,8 @@ def chat_requests(turns: DataFrame, model: str = L.DEFAULT_MODEL,
                    L.model_options(F.lit(model), tokens, num_ctx).alias("options"))
     return msgs.select("conv_id", F.size("turns").alias("n_messages"), tokens.alias("tokens"),
                        num_ctx.alias("num_ctx"), F.to_json(req).alias("request")) \
-        .withColumn("request_id", F.sha2("request", 256))
+        .withColumn("request_id", F.sha2(F.concat_ws("\u0000", F.col("conv_id").cast("string"),
+                                                     F.col("request")), 256))
 
 
 def apply_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:

@@ -578,3 +578,76 @@ SELECT min(ts) AS window_start, max(ts) + INTERVAL '5 minutes' AS window_end, us
 FROM s GROUP BY user_id, sid""")
 def q_user_sessions(spark, sf):
     return SJ.outcome_rates(read_table(spark, sf, "events"), "session", "5 minutes", by="user_id", delay=None)
+
+
+# Model replies joined back by request id -------------------------------
+def _replies(req):
+    """Replies derived by Spark from the requests: even keys come back
+    fenced, odd keys plain, every seventh key has no reply."""
+    k = F.col("key")
+    reply = F.when(k % 2 == 0, F.concat(F.lit("```markdown\n"), F.col("prompt"), F.lit("\n```")))\
+        .otherwise(F.col("prompt"))
+    return req.filter(k % 7 != 0).select("request_id", reply.alias("reply"))
+
+
+_REPLY_SQL = f"""
+WITH r AS ({_llm_sql("qwen3:8b", 4096).replace("sha256(prompt) AS prompt_sha", "prompt")})
+SELECT key,
+  CASE WHEN key % 7 = 0 THEN NULL ELSE sha256(
+    regexp_replace(prompt, '^[{_WSC}]+|[{_WSC}]+$', '', 'g')
+    || CASE WHEN warning IS NULL THEN '' ELSE {NL} || {NL} || '---' || {NL} || '_' || warning || '_' END) END
+    AS content_sha,
+  CASE WHEN key % 7 = 0 THEN 'no model response' END AS error
+FROM r"""
+
+
+@register("llm_replies", _REPLY_SQL)
+def q_llm_replies(spark, sf):
+    req = LB.plan_requests(read_table(spark, sf, "documents"), "text", "doc_id", "qwen3:8b", 4096)
+    out = LB.apply_responses(req, _replies(req))
+    return out.select("key", F.sha2("content", 256).alias("content_sha"), "error")
+
+
+# Article-mode block scores on the pages table ---------------------------------
+_BLOCKS = r"regexp_extract_all(" + ARTICLE + r", '<(h1|p)>(?:<b>)?([^<]*)', 0)"
+
+
+@register("article_blocks", f"""
+WITH b AS (SELECT page_id, unnest({_BLOCKS}) AS blk, generate_subscripts({_BLOCKS}, 1) AS i FROM pages),
+w AS (SELECT page_id, i, starts_with(blk, '<h1>') AS heading,
+        CAST(len(list_filter(regexp_split_to_array({duck_unescape("regexp_replace(blk, '^<(h1|p)>(<b>)?', '')")},
+             '[{JS_WS_CLASS}]+'), lambda x: x <> '')) AS BIGINT) AS words
+      FROM b),
+s AS (SELECT *, coalesce(lag(words) OVER (PARTITION BY page_id ORDER BY i), 0) AS prev_words,
+                coalesce(lead(words) OVER (PARTITION BY page_id ORDER BY i), 0) AS next_words FROM w)
+SELECT page_id, CAST(i AS INTEGER) AS block_no, words, CAST(0 AS BIGINT) AS link_words,
+       heading OR words >= 10 OR (prev_words >= 10 AND next_words >= 10) AS kept
+FROM s""")
+def q_article_blocks(spark, sf):
+    pages = read_table(spark, sf, "pages")
+    nodes = PS.content_nodes_table(pages)
+    b = CT.block_scores(CT.content_nodes(nodes))
+    w = Window.partitionBy("page_id").orderBy("bpos")
+    return b.select("page_id", F.row_number().over(w).alias("block_no"), "words", "link_words", "kept")
+
+
+from pyspark.sql import Window  # noqa: E402
+
+
+@register("webrtc_report", FX.WEBRTC_SQL)
+def q_webrtc_report(spark, sf):
+    nodes = _to_nodes(FX.webrtc_pages(read_table(spark, sf, "documents")))
+    r = PB.webrtc_report(nodes)
+    return r.select("page_id", F.coalesce("leaked_ips", F.array().cast("array<string>")).alias("leaked_ips"),
+                    "webrtc_support", "spoofed", "detected_ip")
+
+
+@register("extract_envelopes")
+def q_extract_envelopes(spark, sf):
+    """A4: one JSON envelope per search page, captcha pages included."""
+    pages = FX.search_pages(read_table(spark, sf, "documents")).withColumn(
+        "final_url", F.when(F.col("page_id") % 9 == 4, F.lit("https://www.google.com/sorry/index"))
+        .otherwise(F.col("url")))
+    ok, blocked = RQ.split_captcha(pages, PR.get_profile("google_web").captcha_patterns)
+    res, sugg = PR.extract(ok, "google_web")
+    return RP.extract_envelope(pages, res, sugg, blocked)

@@ -340,3 +340,32 @@ SELECT event_id AS page_id,
   CASE WHEN event_id % 3 <> 2 AND event_id % 4 <> 3 THEN user_id % 2 = 0 END AS is_firefox
 FROM events
 """
+
+
+# ---------------------------------------------------------------------------
+# WebRTC probe pages (I5, I7, I8), from documents
+# ---------------------------------------------------------------------------
+def webrtc_pages(documents: DataFrame) -> DataFrame:
+    i = F.col("doc_id")
+    esc = html_escape(F.col("text"))
+    support = F.concat(F.lit("<table><tr><td>WebRTC Support</td><td> "),
+                       F.when(i % 2 == 0, F.lit("True")).otherwise(F.lit("False")), F.lit(" </td></tr></table>"))
+    ice = F.when(i % 3 != 0, F.concat(F.lit('<div id="ice-list">'), esc, F.lit("</div>"))).otherwise(
+        F.concat(F.lit('<div class="log"><p>candidate: '), esc, F.lit("</p></div>")))
+    ipbox = F.when(i % 5 != 0, F.concat(F.lit('<div class="ip-box">Your IP: 203.0.113.'), i % 250,
+                                         F.lit("</div>"))).otherwise(F.lit(""))
+    html = F.concat(F.lit("<html><body><h1>WebRTC Leak Test</h1>"), support, ice, ipbox, F.lit("</body></html>"))
+    return spread(documents.select(i.alias("page_id"),
+                                   F.concat(F.lit("https://probe.example.org/webrtc?d="), i).alias("url"),
+                                   html.alias("html")))
+
+
+WEBRTC_SQL = r"""
+SELECT doc_id AS page_id,
+  list_sort(list_distinct(list_filter(regexp_extract_all(text, '\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b', 1),
+            lambda ip: NOT ip LIKE '0.%' AND ip <> '0.0.0.0'))) AS leaked_ips,
+  CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END AS webrtc_support,
+  doc_id % 2 = 0 AS spoofed,
+  CASE WHEN doc_id % 5 <> 0 THEN '203.0.113.' || (doc_id % 250) END AS detected_ip
+FROM documents
+"""
