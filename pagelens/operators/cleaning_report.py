@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from pagelens.functions.cleaning import pre_clean
 from pagelens.functions.text import url_host
+from pagelens.session import ensure_parallel
 
 
 def cleaning_report(pages: DataFrame, images: bool = False) -> DataFrame:
+    pages = ensure_parallel(pages.select("page_id", "url", "html"))
     cleaned = pages.select(
         url_host("url").alias("host"),
         F.octet_length("html").cast("long").alias("raw_bytes"),

@@ -482,7 +482,12 @@ def q_search_page_status(spark, sf):
 
 # I: probe analytics --------------------------------------------------------------
 from pagelens.operators import probes as PB  # noqa: E402
-from pagelens.operators.nodes import to_nodes as _to_nodes  # noqa: E402
+from pagelens.operators.nodes import node_table as _node_table  # noqa: E402
+
+
+def _to_nodes(pages):
+    """Probe pages -> node table written once (several branches read it)."""
+    return _node_table(pages.select("page_id", "html"), "probe_nodes")
 
 
 @register("bot_tests", FX.BOT_TESTS_SQL)

@@ -28,6 +28,9 @@ def get_spark(master: str | None = None, app: str = "pagelens",
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if os.environ.get("PAGELENS_EVENT_LOG_DIR"):   # stage timings for profiling
+        b = b.config("spark.eventLog.enabled", "true").config(
+            "spark.eventLog.dir", os.environ["PAGELENS_EVENT_LOG_DIR"])
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
