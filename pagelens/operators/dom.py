@@ -265,6 +265,24 @@ def subtree_text(nodes: DataFrame, targets: DataFrame, tid: str = "tid",
                                  lambda x: x["text"]), "").alias("text"))
 
 
+def subtree_texts(nodes: DataFrame, targets: DataFrame, tid: str = "tid", tags=None) -> DataFrame:
+    """One pass, two texts per target: ``text`` (all text nodes, D6) and
+    ``text_noscript`` (without text inside <script>, D7 before collapsing)."""
+    t = nodes.filter(F.col("kind") == "text").select(
+        "page_id", "open_pos", "text", "anc", "anc_tags",
+        F.array_contains("anc_tags", "script").alias("in_script"))
+    if tags:
+        t = t.filter(F.arrays_overlap("anc_tags", _tag_array(tags)))
+    ex = t.select("page_id", "open_pos", "text", "in_script", F.explode(anc_ids(tags)).alias(tid))
+    joined = ex.join(targets.select("page_id", tid), ["page_id", tid], "left_semi")
+    parts = F.array_sort(F.collect_list(F.struct("open_pos", "text", "in_script")))
+    return joined.groupBy("page_id", tid).agg(parts.alias("_p")).select(
+        "page_id", tid,
+        F.array_join(F.transform("_p", lambda x: x["text"]), "").alias("text"),
+        F.array_join(F.transform(F.filter("_p", lambda x: ~x["in_script"]), lambda x: x["text"]), "")
+        .alias("text_noscript"))
+
+
 def page_text(nodes: DataFrame, drop_tags=()) -> DataFrame:
     """Text of the whole document per page: (page_id, text)."""
     t = text_nodes(nodes, drop_tags)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelens.functions.text import (base64url_to_latin1, decode_uri_component,
-                                     js_trim, latin1_to_utf8)
+                                     js_collapse_ws, js_trim, latin1_to_utf8)
 from pagelens.operators import dom
 from pagelens.operators.nodes import node_table, to_nodes
 
@@ -137,38 +137,49 @@ def _google_web(nodes: DataFrame):
         "page_has_rso", F.max("in_rso").over(Window.partitionBy("page_id")))
     cont = cont.filter(F.col("in_rso") | ~F.col("page_has_rso")).select("page_id", "cid", "cpos")
 
-    # first `a h3`, its closest `a`
-    h3 = dom.select(nodes, "a h3").withColumn("link_id", dom.closest_id("a"))
-    first_h3 = dom.first_within(h3, cont, ["node_id", "link_id"]).withColumnRenamed("node_id", "h3_id")
-    title = dom.text_trim(nodes, first_h3.select("page_id", F.col("h3_id").alias("tid")), tags={"h3"}) \
-        .withColumnRenamed("tid", "h3_id").withColumnRenamed("text", "title")
-    href = dom.elements(nodes).select("page_id", F.col("node_id").alias("link_id"),
-                                      F.col("attrs")["href"].alias("href"))
-
-    # F8: snippet by strategy priority; the first strategy present wins
-    strategies = [('[data-sncf*="1"]', 1), ('[data-snf="nke7rc"]', 2), (".VwiC3b", 3)]
-    snips = None
-    for sel, prio in strategies:
-        s = dom.select(nodes, sel).withColumn("prio", F.lit(prio))
-        snips = s if snips is None else snips.unionByName(s)
-    first_snip = dom.first_within(snips, cont, ["node_id"], order=("prio", "open_pos")) \
-        .withColumnRenamed("node_id", "snip_id")
-    snip_text = dom.text_clean(nodes, first_snip.select("page_id", F.col("snip_id").alias("tid"))) \
-        .withColumnRenamed("tid", "snip_id").withColumnRenamed("text", "content")
-
-    # thumbnail
+    # F5/F8/F9 in one containment pass: per container the first `a h3`
+    # (with its closest `a` and that link's href), the first snippet by
+    # strategy priority, and the first usable thumbnail.
+    cols = ["page_id", "node_id", "open_pos", "anc", "anc_tags"]
+    none_s = F.lit(None).cast("string")
+    h3 = dom.select(nodes, "a h3").select(*cols, F.lit("h3").alias("kind"), F.lit(0).alias("prio"),
+                                          dom.closest_id("a").alias("link_id"), none_s.alias("src"))
+    parts = [h3]
+    for sel, prio in [('[data-sncf*="1"]', 1), ('[data-snf="nke7rc"]', 2), (".VwiC3b", 3)]:
+        parts.append(dom.select(nodes, sel).select(*cols, F.lit("snip").alias("kind"), F.lit(prio).alias("prio"),
+                                                   F.lit(None).cast("int").alias("link_id"), none_s.alias("src")))
     src = F.coalesce(F.col("attrs")["src"], F.lit(""))
-    imgs = dom.select(nodes, "img:not(.XNo5Ab)").withColumn("src", src).filter(
-        F.col("src").startswith("http")
-        | (F.col("src").startswith("data:image") & (F.length("src") > 200)))
-    thumb = dom.first_within(imgs, cont, ["src"]).withColumnRenamed("src", "thumbnail")
-
-    res = (cont.join(first_h3, ["page_id", "cid"])
-           .join(title, ["page_id", "h3_id"])
+    parts.append(dom.select(nodes, "img:not(.XNo5Ab)")
+                 .filter(src.startswith("http") | (src.startswith("data:image") & (F.length(src) > 200)))
+                 .select(*cols, F.lit("img").alias("kind"), F.lit(0).alias("prio"),
+                         F.lit(None).cast("int").alias("link_id"), src.alias("src")))
+    matches = parts[0]
+    for p in parts[1:]:
+        matches = matches.unionByName(p)
+    inside = dom.within(matches, cont)
+    firsts = inside.groupBy("page_id", "cid", "kind").agg(
+        F.min_by(F.struct("node_id", "link_id", "src"), F.struct("prio", "open_pos")).alias("f"))
+
+    def of(kind, field):
+        return F.max(F.when(F.col("kind") == kind, F.col("f")[field]))
+    per = firsts.groupBy("page_id", "cid").agg(
+        of("h3", "node_id").alias("h3_id"), of("h3", "link_id").alias("link_id"),
+        of("snip", "node_id").alias("snip_id"), of("img", "src").alias("thumbnail"))
+    per = per.filter(F.col("h3_id").isNotNull())
+    # one text pass for titles (all text) and snippets (script text dropped)
+    targets = per.select("page_id", F.col("h3_id").alias("tid")).unionByName(
+        per.filter(F.col("snip_id").isNotNull()).select("page_id", F.col("snip_id").alias("tid")))
+    texts = dom.subtree_texts(nodes, targets)
+    title = texts.select("page_id", F.col("tid").alias("h3_id"), js_trim("text").alias("title"))
+    snip_text = texts.select("page_id", F.col("tid").alias("snip_id"),
+                             js_collapse_ws("text_noscript").alias("content"))
+    href = dom.select(nodes, "a").select("page_id", F.col("node_id").alias("link_id"),
+                                         F.col("attrs")["href"].alias("href"))
+    res = (cont.join(per, ["page_id", "cid"])
+           .join(title, ["page_id", "h3_id"], "left")
            .join(href, ["page_id", "link_id"], "left")
-           .join(first_snip, ["page_id", "cid"], "left")
-           .join(snip_text, ["page_id", "snip_id"], "left")
-           .join(thumb, ["page_id", "cid"], "left"))
+           .join(snip_text, ["page_id", "snip_id"], "left"))
+    res = res.withColumn("title", F.coalesce("title", F.lit("")))
     res = res.withColumn("url", clean_google_url(F.coalesce("href", F.lit(""))))
     res = res.filter((F.col("title") != "") & F.col("url").isNotNull() & F.col("url").startswith("http"))
     res = _dedupe_first(res, "url", "cpos")
@@ -200,15 +211,6 @@ def decode_news_link(link: Column) -> Column:
     return F.when((part.isNotNull()) & (part != "") & decoded.isNotNull(), decoded).otherwise(link)
 
 
-def _walk_first(nodes, cand, sel_df, k, value_col):
-    """Per candidate, per ancestor level 1..k, the first match of
-    ``sel_df`` inside that ancestor. Returns (page_id, _src, level, value)."""
-    levels = dom.walk_up_levels(cand, k)
-    conts = levels.select("page_id", "cid").distinct()
-    firsts = dom.first_within(sel_df, conts, ["node_id", value_col])
-    return levels.join(firsts, ["page_id", "cid"])
-
-
 def _google_news(nodes: DataFrame):
     a = dom.select(nodes, 'a[href^="./read/"]')
     a = a.select("page_id", "node_id", "open_pos", "anc", "anc_tags", F.col("attrs")["href"].alias("href"))
@@ -219,30 +221,38 @@ def _google_news(nodes: DataFrame):
     cand = cand.withColumn("url", decode_news_link(link))
     cand = _dedupe_first(cand, "url", "open_pos")
 
-    # F16: source and time, 5 levels, first non-empty level per field
-    def meta(sel, k):
-        m = dom.select(nodes, sel).select("page_id", "node_id", "open_pos", "anc", "anc_tags")
-        hits = _walk_first(nodes, cand, m, k, "open_pos")
-        txt = dom.text_trim(nodes, hits.select("page_id", F.col("node_id").alias("tid")),
-                            tags=dom.selector_tags(sel))
-        hits = hits.join(txt.withColumnRenamed("tid", "node_id"), ["page_id", "node_id"])
-        hits = hits.filter(F.col("text") != "")
-        return hits.groupBy("page_id", "_src").agg(F.min_by("text", "level").alias("v"))
-
-    src = meta("[data-n-tid]", 5).withColumnRenamed("v", "source")
-    tim = meta("time", 5).withColumnRenamed("v", "pub_time")
-
-    # thumbnail, 3 levels, only the first img per level counts
-    imgs = dom.select(nodes, "img").select(
-        "page_id", "node_id", "open_pos", "anc", "anc_tags",
-        F.coalesce(F.col("attrs")["src"], F.lit("")).alias("src"))
-    th = _walk_first(nodes, cand, imgs, 3, "src").filter(F.col("src").startswith("http"))
-    th = th.groupBy("page_id", "_src").agg(F.min_by("src", "level").alias("thumbnail"))
-
-    res = (cand.withColumnRenamed("node_id", "_src")
-           .join(src, ["page_id", "_src"], "left")
-           .join(tim, ["page_id", "_src"], "left")
-           .join(th, ["page_id", "_src"], "left"))
+    # F16/F17 in one walk: ancestors 1..5 of every candidate; per ancestor
+    # the first [data-n-tid], time and img inside it (one union, one
+    # containment join); source/time take the first level with non-empty
+    # text (5 levels), the thumbnail the first level (of 3) whose first img
+    # has an http src.
+    levels = dom.walk_up_levels(cand, 5)
+    cols = ["page_id", "node_id", "open_pos", "anc", "anc_tags"]
+    matches = (dom.select(nodes, "[data-n-tid]").select(*cols, F.lit("src").alias("kind"),
+                                                         F.lit(None).cast("string").alias("img_src"))
+               .unionByName(dom.select(nodes, "time").select(*cols, F.lit("time").alias("kind"),
+                                                             F.lit(None).cast("string").alias("img_src")))
+               .unionByName(dom.select(nodes, "img").select(*cols, F.lit("img").alias("kind"),
+                                                            F.coalesce(F.col("attrs")["src"], F.lit(""))
+                                                            .alias("img_src"))))
+    inside = dom.within(matches, levels.select("page_id", "cid"))
+    firsts = inside.groupBy("page_id", "cid", "kind").agg(
+        F.min_by(F.struct("node_id", "img_src"), "open_pos").alias("f")).select(
+        "page_id", "cid", "kind", "f.node_id", "f.img_src")
+    hits = levels.join(firsts, ["page_id", "cid"]).filter((F.col("kind") != "img") | (F.col("level") <= 3))
+    txt = dom.text_trim(nodes, hits.filter(F.col("kind") != "img").select("page_id", F.col("node_id").alias("tid")))
+    hits = hits.join(txt.withColumnRenamed("tid", "node_id"), ["page_id", "node_id"], "left")
+    value = F.when(F.col("kind") == "img", F.col("img_src")).otherwise(F.coalesce("text", F.lit("")))
+    good = F.when(F.col("kind") == "img", value.startswith("http")).otherwise(value != "")
+    hits = hits.select("page_id", "_src", "kind", "level", value.alias("value"), good.alias("good"))
+
+    def pick(kind):
+        ok = (F.col("kind") == kind) & F.col("good")
+        return F.min_by(F.when(ok, F.col("value")), F.when(ok, F.col("level")))
+    meta = hits.groupBy("page_id", "_src").agg(pick("src").alias("source"), pick("time").alias("pub_time"),
+                                               pick("img").alias("thumbnail"))
+
+    res = cand.withColumnRenamed("node_id", "_src").join(meta, ["page_id", "_src"], "left")
     res = res.withColumn("content", F.concat_ws(
         " / ", F.when(F.col("source") != "", F.col("source")),
         F.when(F.col("pub_time") != "", F.col("pub_time"))))
