@@ -282,10 +282,8 @@ DEBENTURE_KEYS = [k for _, k in DEBENTURE_FIELDS]
 def _debenture_cards(nodes: DataFrame):
     cards = dom.select(nodes, "li.list-item__container").select(
         "page_id", F.col("node_id").alias("cid"), F.col("open_pos").alias("cpos"))
-    anchors = dom.select(nodes, "h2.list-item__title a")
-    first_a = dom.first_within(anchors, cards, ["node_id"], container_tags={"li"})
-    href = dom.elements(nodes).select("page_id", "node_id", F.col("attrs")["href"].alias("href"))
-    first_a = first_a.join(href, ["page_id", "node_id"])
+    anchors = dom.select(nodes, "h2.list-item__title a").withColumn("href", F.col("attrs")["href"])
+    first_a = dom.first_within(anchors, cards, ["node_id", "href"], container_tags={"li"})
     txt = dom.text_trim(nodes, first_a.select("page_id", F.col("node_id").alias("tid")), tags={"a"})
     first_a = first_a.join(txt.withColumnRenamed("tid", "node_id"), ["page_id", "node_id"])
     ticker = F.split(F.col("text"), r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
