@@ -61,7 +61,7 @@ def read_scrape_replies(spark: SparkSession, path: str) -> DataFrame:
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """A2: pre-fetched HTML files, one page per file."""
-    df = spark.read.option("wholetext", "true").text(path).select(
+    df = spark.read.text(path, wholetext=True).select(
         F.col("value").alias("html"), F.input_file_name().alias("url"))
     return df.select(F.xxhash64("url").alias("page_id"), "url", "html",
                      F.lit(200).alias("status"), F.col("url").alias("final_url"))
