@@ -20,6 +20,9 @@ def get_spark(master: str | None = None, app: str = "pagelens",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # session windows: merge sessions inside each partition before the
+        # shuffle, so one very active key does not arrive as raw events
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         # joins on (page_id, x) may use a page_id bucketing/partitioning
         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.session.timeZone", "UTC")
