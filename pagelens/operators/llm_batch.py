@@ -77,6 +77,9 @@ def call_model(requests: DataFrame, fn) -> DataFrame:
     request JSON) -> pandas.Series of replies`` run per Arrow batch."""
     import pandas as pd
 
+    from pagelens.session import ship_package
+    ship_package(requests.sparkSession)
+
     def run(it):
         for pdf in it:
             yield pd.DataFrame({"request_id": pdf["request_id"], "reply": fn(pdf["request"])})

@@ -374,7 +374,8 @@ def to_nodes(pages: DataFrame, html_col: str = "html", keep_tags=None,
     columns are handed to Python (column pruning reaches the scan).
     ``keep_tags`` prunes element rows not needed by the caller's selectors
     (ancestry and positions are unchanged)."""
-    from pagelens.session import ensure_parallel
+    from pagelens.session import ensure_parallel, ship_package
+    ship_package(pages.sparkSession)
     src = ensure_parallel(pages.select("page_id", pages[html_col].alias("html")))
     keep = frozenset(keep_tags) if keep_tags is not None else None
     return src.mapInArrow(lambda it: _batches(it, keep, keep_text), NODE_SCHEMA)

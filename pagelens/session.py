@@ -40,6 +40,31 @@ def get_spark(master: str | None = None, app: str = "pagelens",
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pagelens`` importable in Python workers: zip the package once
+    per SparkContext and ``addPyFile`` it (what ``--py-files`` does on
+    submit). Spark distributes the archive to every executor; workers that
+    can already import the package are unaffected."""
+    import zipfile
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="pagelens-pyfiles-"), "pagelens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts. Read from the session
     (``spark.checkpoint.dir``); only when unset (local tests) a scratch
