@@ -17,6 +17,8 @@ from pagelens.functions import llm as L
 def plan_requests(df: DataFrame, content_col: str = "content", key_col: str = "page_id",
                   model: str = L.DEFAULT_MODEL, max_context: int = L.DEFAULT_MAX_CONTEXT) -> DataFrame:
     """Truncate -> strip images -> size -> options -> request row."""
+    from pagelens.session import ensure_parallel
+    df = ensure_parallel(df.select(key_col, content_col), key_col)
     c = F.col(content_col)
     m = F.lit(model)
     staged = df.select(
