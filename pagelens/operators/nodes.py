@@ -91,11 +91,15 @@ class _TreeBuilder(HTMLParser):
         self.tags = ["#document"]
         self.pos = 1
         self.pending = []        # adjacent text pieces
-        self.rows.append([0, None, 0, 0, None, "doc", "#document", None, None, None, ([], [])])
+        self.rows.append([0, None, 0, 0, None, "doc", "#document", None, None, None, ((), ())])
+        # ancestors of the insertion point (document excluded), as tuples
+        # shared by every node opened at the same depth
+        self.anc_ids = ()
+        self.anc_tags = ()
 
     # -- helpers ---------------------------------------------------------
     def _anc(self):
-        return (self.stack[1:], self.tags[1:])
+        return (self.anc_ids, self.anc_tags)
 
     def _flush_text(self):
         if not self.pending:
@@ -113,6 +117,8 @@ class _TreeBuilder(HTMLParser):
     def _pop(self):
         nid = self.stack.pop()
         self.tags.pop()
+        self.anc_ids = self.anc_ids[:-1]
+        self.anc_tags = self.anc_tags[:-1]
         self.rows[nid][4] = self.pos
         self.pos += 1
 
@@ -142,6 +148,8 @@ class _TreeBuilder(HTMLParser):
         self.pos += 1
         self.stack.append(nid)
         self.tags.append(tag)
+        self.anc_ids = self.anc_ids + (nid,)
+        self.anc_tags = self.anc_tags + (tag,)
 
     # -- parser callbacks ------------------------------------------------
     def handle_starttag(self, tag, attrs):

@@ -284,13 +284,9 @@ def _debenture_cards(nodes: DataFrame):
         "page_id", F.col("node_id").alias("cid"), F.col("open_pos").alias("cpos"))
     anchors = dom.select(nodes, "h2.list-item__title a").withColumn("href", F.col("attrs")["href"])
     first_a = dom.first_within(anchors, cards, ["node_id", "href"], container_tags={"li"})
-    txt = dom.text_trim(nodes, first_a.select("page_id", F.col("node_id").alias("tid")), tags={"a"})
-    first_a = first_a.join(txt.withColumnRenamed("tid", "node_id"), ["page_id", "node_id"])
     ticker = F.split(F.col("text"), r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
                                      r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]")[0]
     raw_cards = cards
-    cards = cards.join(first_a, ["page_id", "cid"]).withColumn("title", ticker).filter(
-        (F.col("title") != "") & F.col("href").isNotNull() & (F.col("href") != ""))
 
     # each dl inside the card: first dt -> key, first dd -> value. The
     # dl rows hang off the raw card selection (one scan); rows of rejected
@@ -304,8 +300,13 @@ def _debenture_cards(nodes: DataFrame):
     cells = dom.within(cells, dls.select("page_id", F.col("dl_id").alias("cid")), container_tags={"dl"})
     cells = cells.groupBy("page_id", F.col("cid").alias("dl_id"), "tag").agg(
         F.min_by("node_id", "open_pos").alias("tid"))
-    texts = dom.text_trim(nodes, cells, tags={"dt", "dd"})
+    # one text pass for the card anchors and the label/value cells
+    targets = cells.select("page_id", "tid").unionByName(first_a.select("page_id", F.col("node_id").alias("tid")))
+    texts = dom.text_trim(nodes, targets, tags={"a", "dt", "dd"})
     cells = cells.join(texts, ["page_id", "tid"], "left")
+    first_a = first_a.join(texts.withColumnRenamed("tid", "node_id"), ["page_id", "node_id"])
+    cards = raw_cards.join(first_a, ["page_id", "cid"]).withColumn("title", ticker).filter(
+        (F.col("title") != "") & F.col("href").isNotNull() & (F.col("href") != ""))
     per_dl = cells.groupBy("page_id", "dl_id").agg(
         F.max(F.when(F.col("tag") == "dt", F.col("text"))).alias("label"),
         F.max(F.when(F.col("tag") == "dd", F.coalesce("text", F.lit("")))).alias("value"),
