@@ -87,3 +87,43 @@ def test_prefilter_is_equivalent(spark, tmp_path):
 def test_unknown_profile():
     assert PR.get_profile("nope") is None
     assert PR.list_profiles() == ["google_web", "google_news", "base", "anbima_debentures"]
+
+
+def test_news_link_decoding_cases(spark):
+    import base64
+    from pagelens.operators.profiles import decode_news_link
+
+    def link(payload):
+        return "https://news.google.com/read/" + base64.urlsafe_b64encode(payload).decode().rstrip("=") + "?hl=en"
+    # bytes chosen so the base64url text contains '-' and '_'
+    dash = b"\xfb\xff\xbf" + b"https://x.org/~a?b=\xc3\xa9" + b"\xd2tail"
+    no_sep = b"\x01" + b"https://y.org/path"
+    bad_utf8 = b"\x02" + b"https://z.org/\xff\xfe" + b"\xd2"
+    no_http = b"\x03nothing here"
+    cases = [link(dash), link(no_sep), link(bad_utf8), link(no_http), "https://news.google.com/other/x"]
+    assert "-" in cases[0] or "_" in cases[0]
+    df = spark.createDataFrame([(c,) for c in cases], "l string")
+    got = [r.u for r in df.select(decode_news_link(F.col("l")).alias("u")).collect()]
+    assert got == ["https://x.org/~a?b=é", "https://y.org/path", "https://z.org/��",
+                   cases[3], cases[4]]
+
+
+def test_bucketed_layout_and_pruned_parse(spark):
+    from pagelens.operators.nodes import parse_html, to_nodes
+    from pagelens.plans import fixtures as FX
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pages = FX.search_pages(docs)
+    plain, _ = PR.extract(pages, "google_web")
+    spark.conf.set("spark.pagelens.nodeLayout", "bucketed")
+    try:
+        bucketed, _ = PR.extract(pages, "google_web")
+        assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, bucketed.collect()))
+    finally:
+        spark.conf.unset("spark.pagelens.nodeLayout")
+    # keep_tags drops other element rows but keeps positions and ancestry
+    full = parse_html("<div><p>a<b>b</b></p></div>")
+    pruned = to_nodes(pages_df(spark, ["<div><p>a<b>b</b></p></div>"]), keep_tags={"p"}).collect()
+    assert {r.tag for r in pruned if r.kind == "el"} == {"p"}
+    p_full = [r for r in full if r[6] == "p"][0]
+    p_pruned = [r for r in pruned if r.tag == "p"][0]
+    assert (p_pruned.open_pos, p_pruned.close_pos, p_pruned.anc_tags) == (p_full[3], p_full[4], ["div"])
