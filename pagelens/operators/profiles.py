@@ -140,22 +140,31 @@ def _google_web(nodes: DataFrame):
     # F5/F8/F9 in one containment pass: per container the first `a h3`
     # (with its closest `a` and that link's href), the first snippet by
     # strategy priority, and the first usable thumbnail.
-    cols = ["page_id", "node_id", "open_pos", "anc", "anc_tags"]
-    none_s = F.lit(None).cast("string")
-    h3 = dom.select(nodes, "a h3").select(*cols, F.lit("h3").alias("kind"), F.lit(0).alias("prio"),
-                                          dom.closest_id("a").alias("link_id"), none_s.alias("src"))
-    parts = [h3]
-    for sel, prio in [('[data-sncf*="1"]', 1), ('[data-snf="nke7rc"]', 2), (".VwiC3b", 3)]:
-        parts.append(dom.select(nodes, sel).select(*cols, F.lit("snip").alias("kind"), F.lit(prio).alias("prio"),
-                                                   F.lit(None).cast("int").alias("link_id"), none_s.alias("src")))
+    # one scan of the node table for all five kinds; a node matching
+    # several kinds is exploded into one row per kind
     src = F.coalesce(F.col("attrs")["src"], F.lit(""))
-    parts.append(dom.select(nodes, "img:not(.XNo5Ab)")
-                 .filter(src.startswith("http") | (src.startswith("data:image") & (F.length(src) > 200)))
-                 .select(*cols, F.lit("img").alias("kind"), F.lit(0).alias("prio"),
-                         F.lit(None).cast("int").alias("link_id"), src.alias("src")))
-    matches = parts[0]
-    for p in parts[1:]:
-        matches = matches.unionByName(p)
+
+    def pred(sel):
+        return dom.compound_pred(dom.parse_selector(sel)[0][0][1])
+    kinds = [
+        ("h3", 0, pred("h3") & F.array_contains("anc_tags", "a")),
+        ("snip", 1, pred('[data-sncf*="1"]')),
+        ("snip", 2, pred('[data-snf="nke7rc"]')),
+        ("snip", 3, pred(".VwiC3b")),
+        ("img", 0, pred("img:not(.XNo5Ab)")
+         & (src.startswith("http") | (src.startswith("data:image") & (F.length(src) > 200)))),
+    ]
+    any_kind = kinds[0][2]
+    for _, _, p in kinds[1:]:
+        any_kind = any_kind | p
+    tagged = F.filter(F.array(*[F.when(p, F.struct(F.lit(k).alias("kind"), F.lit(prio).alias("prio")))
+                                for k, prio, p in kinds]), lambda x: x.isNotNull())
+    matches = nodes.filter(any_kind).select(
+        "page_id", "node_id", "open_pos", "anc", "anc_tags", dom.closest_id("a").alias("link_id"),
+        src.alias("src"), F.explode(tagged).alias("k")).select(
+        "page_id", "node_id", "open_pos", "anc", "anc_tags", "k.kind", "k.prio",
+        F.when(F.col("k.kind") == "h3", F.col("link_id")).alias("link_id"),
+        F.when(F.col("k.kind") == "img", F.col("src")).alias("src"))
     inside = dom.within(matches, cont)
     firsts = inside.groupBy("page_id", "cid", "kind").agg(
         F.min_by(F.struct("node_id", "link_id", "src"), F.struct("prio", "open_pos")).alias("f"))
