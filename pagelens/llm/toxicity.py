@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -302,22 +303,20 @@ def score_column(spark, model: Model, text="text"):
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("e_value", pa.float64())]))
 
     @F.arrow_udf("score double, passages array<struct<start int, end int, e_value double>>")
-    def toxicity(batches: pa.Array) -> pa.Array:
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        cache = _caches.setdefault(shared.id, _Cache(m))
-        scores, found = [], []
-        for x in batches:
-            s, segs = score_text(x.as_py(), m, cache)
-            scores.append(s)
-            found.append([dict(start=a, end=b, e_value=e) for a, b, e in segs])
-        return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(found, kind)], names=["score", "passages"])
+        cache = _Cache(m)
+        for batch in batches:
+            scores, found = [], []
+            for x in batch:
+                s, segs = score_text(x.as_py(), m, cache)
+                scores.append(s)
+                found.append([dict(start=a, end=b, e_value=e) for a, b, e in segs])
+            yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(found, kind)], names=["score", "passages"])
 
     return toxicity(F.col(text) if isinstance(text, str) else text)
 
 
-_caches: dict = {}
-
-
 def score(docs: DataFrame, model: Model, text_col="text", out="toxicity") -> DataFrame:
     """Append ``out``: struct(score, passages).
 
