@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pagelens.llm import toxicity
+from pagelens.llm import packing, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_packing": packing.query,
 }
 
 ORACLES: dict[str, str] = {}
