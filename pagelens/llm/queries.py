@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pagelens.llm import packing, toxicity
+from pagelens.llm import license_scan, packing, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_packing": packing.query,
+    "op3_license_scan": license_scan.query,
+    "op4_url_filter": url_filter.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_filter": url_filter.ORACLE,
+}
