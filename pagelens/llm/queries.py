@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pagelens.llm import license_scan, packing, toxicity, url_filter
+from pagelens.llm import license_scan, packing, toxicity, url_filter, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_packing": packing.query,
     "op3_license_scan": license_scan.query,
     "op4_url_filter": url_filter.query,
+    "op6_winnowing": winnowing.query,
 }
 
 ORACLES: dict[str, str] = {
