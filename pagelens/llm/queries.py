@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelens.llm import license_scan, packing, sharding, toxicity, url_filter, winnowing
+from pagelens.llm import license_scan, packing, secret_scan, sharding, toxicity, url_filter, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_license_scan": license_scan.query,
     "op4_url_filter": url_filter.query,
     "op6_winnowing": winnowing.query,
+    "op7_secret_scan": secret_scan.query,
     "op8_sharding": sharding.query,
 }
 
