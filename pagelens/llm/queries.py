@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelens.llm import license_scan, packing, secret_scan, sharding, toxicity, url_filter, winnowing
+from pagelens.llm import license_scan, packing, secret_scan, sharding, simhash, toxicity, url_filter, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_winnowing": winnowing.query,
     "op7_secret_scan": secret_scan.query,
     "op8_sharding": sharding.query,
+    "op10_simhash": simhash.query,
 }
 
 ORACLES: dict[str, str] = {
