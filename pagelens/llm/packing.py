@@ -16,6 +16,7 @@ lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
 import zlib
 from dataclasses import dataclass
 
@@ -158,6 +159,7 @@ def _pack_documents(shared, limits: Limits, end_id: int, with_ids: bool):
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"] + ["ids"] * with_ids
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # one core per task
         from pagelens.llm.tokens import Encoder
         json = shared.value
         key = zlib.crc32(json.encode())
