@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pagelens.llm import license_scan, packing, secret_scan, sharding, simhash, toxicity, url_filter, winnowing
+from pagelens.llm import decontaminate, license_scan, packing, secret_scan, sharding, simhash, toxicity, url_filter, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_packing": packing.query,
     "op3_license_scan": license_scan.query,
     "op4_url_filter": url_filter.query,
+    "op5_decontamination": decontaminate.query,
     "op6_winnowing": winnowing.query,
     "op7_secret_scan": secret_scan.query,
     "op8_sharding": sharding.query,
