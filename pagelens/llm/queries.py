@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelens.llm import decontaminate, license_scan, packing, secret_scan, sharding, simhash, toxicity, url_filter, winnowing
+from pagelens.llm import decontaminate, license_scan, packing, ppm, secret_scan, sharding, simhash, toxicity, url_filter, winnowing
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_winnowing": winnowing.query,
     "op7_secret_scan": secret_scan.query,
     "op8_sharding": sharding.query,
+    "op9_ppm": ppm.query,
     "op10_simhash": simhash.query,
 }
 
