@@ -201,7 +201,8 @@ def _leaks(docs: DataFrame, bench: DataFrame, seed: int, coverage: float) -> Dat
     pairs = (held.select("row", F.explode("seeds").alias("hash")).join(known, "hash")
              .groupBy("row", "item", "words").agg(F.sum("places").alias("shared"))
              .where(F.col("shared") * seed >= F.col("words") * coverage).select("row", "item"))
-    full = (pairs.join(held.select("row", "id", "stretches"), "row").join(bench.select("item", "text"), "item")
+    texts = bench.select(F.col("item").alias("of"), "text")
+    full = (pairs.join(held.select("row", "id", "stretches"), "row").join(texts, F.col("item").eqNullSafe(F.col("of")))
             .select("row", "id", "item", "stretches", "text"))
     return full.mapInArrow(_tile(seed, coverage), f"row long, id {kind}, item {item_kind}, n_tiles int, n_matched int, coverage double")
 
@@ -218,7 +219,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", i
 
     Words are runs of word characters, lower-cased. Null and empty texts leak
     nothing; an item of fewer than ``seed`` words has no seeds and is in no
-    pair; repeated rows give repeated pairs; a null id is reported as null. An
+    pair; repeated rows give repeated pairs; null ids, of either side, are reported as null. An
     empty table on either side gives no pairs. Other columns are not read."""
     data = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = _leaks(data, _items(bench, item_col, item_text), seed, coverage).drop("row")
