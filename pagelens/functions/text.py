@@ -42,15 +42,26 @@ def or_absent(c) -> Column:
 
 
 def decode_uri_component(c) -> Column:
-    """``decodeURIComponent``: '+' stays '+', malformed escapes give NULL
-    (the JS call throws; callers drop such rows)."""
-    return F.try_url_decode(F.replace(col_(c), F.lit("+"), F.lit("%2B")))
+    """``decodeURIComponent``: '+' stays '+'; malformed escapes and escapes
+    that are no UTF-8 give NULL (the JS call throws; callers drop such rows).
+    The decoder marks invalid bytes by U+FFFD, so a mark that the input did
+    not write itself shows them."""
+    c = col_(c)
+    out = F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    mark = "\ufffd"
+    marks = F.length(out) - F.length(F.replace(out, F.lit(mark), F.lit("")))
+    own = F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit(""))) + F.regexp_count(c, F.lit("(?i)%EF%BF%BD"))
+    return F.when(marks == own, out)
 
 
 def base64url_to_latin1(c) -> Column:
     """Decode a base64url payload; the bytes come back as a Latin-1 string so
-    byte searches (``indexOf``) are plain string searches."""
-    b64 = F.translate(col_(c), "-_", "+/")
+    byte searches (``indexOf``) are plain string searches. Like a lenient
+    decoder: it ends at '=', other foreign characters are skipped, and a last
+    character that makes no byte is dropped."""
+    b64 = F.substring_index(F.translate(col_(c), "-_", "+/"), "=", 1)
+    b64 = F.regexp_replace(b64, "[^A-Za-z0-9+/]", "")
+    b64 = F.when(F.length(b64) % 4 == 1, F.left(b64, F.length(b64) - 1)).otherwise(b64)
     return F.decode(F.unbase64(b64), "ISO-8859-1")
 
 

@@ -15,10 +15,11 @@ from pagelens.functions import llm as L
 
 
 def plan_requests(df: DataFrame, content_col: str = "content", key_col: str = "page_id",
-                  model: str = L.DEFAULT_MODEL, max_context: int = L.DEFAULT_MAX_CONTEXT) -> DataFrame:
-    """Truncate -> strip images -> size -> options -> request row."""
+                  model: str = L.DEFAULT_MODEL, max_context: int = L.DEFAULT_MAX_CONTEXT, keep=()) -> DataFrame:
+    """Truncate -> strip images -> size -> options -> request row.
+    Columns in ``keep`` pass through (a group for ``token_report``)."""
     from pagelens.session import ensure_parallel
-    df = ensure_parallel(df.select(key_col, content_col), key_col)
+    df = ensure_parallel(df.select(key_col, content_col, *keep), key_col)
     c = F.col(content_col)
     m = F.lit(model)
     staged = df.select(
@@ -26,7 +27,7 @@ def plan_requests(df: DataFrame, content_col: str = "content", key_col: str = "p
         F.length(c).alias("input_chars"),
         (F.length(c) > L.max_chars(max_context)).alias("truncated"),
         L.truncation_warning(c, max_context).alias("warning"),
-        L.strip_md_images(L.truncate_for_context(c, max_context)).alias("prompt"))
+        L.strip_md_images(L.truncate_for_context(c, max_context)).alias("prompt"), *keep)
     staged = staged.withColumn("tokens", L.estimate_tokens("prompt"))
     staged = staged.withColumn("num_ctx", L.dynamic_context(F.col("tokens"), max_context))
     staged = staged.withColumn("options", L.model_options(m, F.col("tokens"), F.col("num_ctx")))
@@ -41,7 +42,7 @@ def plan_requests(df: DataFrame, content_col: str = "content", key_col: str = "p
     rid = F.sha2(F.concat_ws("\u0000", F.col("key").cast("string"), F.col("request")), 256)
     return staged.select(
         "key", rid.alias("request_id"), F.sha2("request", 256).alias("request_hash"), m.alias("model"),
-        "input_chars", "truncated", "warning", "prompt", "tokens", "num_ctx", "options", "request")
+        "input_chars", "truncated", "warning", "prompt", "tokens", "num_ctx", "options", "request", *keep)
 
 
 def chat_requests(turns: DataFrame, model: str = L.DEFAULT_MODEL,

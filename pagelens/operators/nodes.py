@@ -86,21 +86,14 @@ class _TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.keep_tags = keep_tags
         self.keep_text = keep_text
-        self.rows = []           # [node_id, parent, depth, open, close, kind, tag, attrs, classes, text, anc]
+        self.rows = []           # [node_id, parent, depth, open, close, kind, tag, attrs, classes, text]
         self.stack = [0]         # node ids; 0 = document
         self.tags = ["#document"]
         self.pos = 1
         self.pending = []        # adjacent text pieces
-        self.rows.append([0, None, 0, 0, None, "doc", "#document", None, None, None, ((), ())])
-        # ancestors of the insertion point (document excluded), as tuples
-        # shared by every node opened at the same depth
-        self.anc_ids = ()
-        self.anc_tags = ()
+        self.rows.append([0, None, 0, 0, None, "doc", "#document", None, None, None])
 
     # -- helpers ---------------------------------------------------------
-    def _anc(self):
-        return (self.anc_ids, self.anc_tags)
-
     def _flush_text(self):
         if not self.pending:
             return
@@ -111,14 +104,12 @@ class _TreeBuilder(HTMLParser):
             return
         nid = len(self.rows)
         self.rows.append([nid, self.stack[-1], len(self.stack) - 1, self.pos, self.pos,
-                          "text", None, None, None, text, self._anc()])
+                          "text", None, None, None, text])
         self.pos += 1
 
     def _pop(self):
         nid = self.stack.pop()
         self.tags.pop()
-        self.anc_ids = self.anc_ids[:-1]
-        self.anc_tags = self.anc_tags[:-1]
         self.rows[nid][4] = self.pos
         self.pos += 1
 
@@ -144,12 +135,10 @@ class _TreeBuilder(HTMLParser):
         cls = amap.get("class")
         classes = cls.split() if cls else []
         self.rows.append([nid, self.stack[-1], len(self.stack) - 1, self.pos, None,
-                          "el", tag, amap, classes, None, self._anc()])
+                          "el", tag, amap, classes, None])
         self.pos += 1
         self.stack.append(nid)
         self.tags.append(tag)
-        self.anc_ids = self.anc_ids + (nid,)
-        self.anc_tags = self.anc_tags + (tag,)
 
     # -- parser callbacks ------------------------------------------------
     def handle_starttag(self, tag, attrs):
@@ -203,14 +192,6 @@ class _TreeBuilder(HTMLParser):
         self.rows[0][4] = self.pos
         return self.rows
 
-    def finish(self):
-        self.close()
-        self._flush_text()
-        while len(self.stack) > 1:
-            self._pop()
-        self.rows[0][4] = self.pos
-        return self.rows
-
 
 # One master pattern: comment, markup declaration / processing instruction,
 # end tag, start tag (quoted values may hold '>'), text run, lone '<'.
@@ -245,9 +226,14 @@ def _attrs(raw: str):
 
 def _feed_fast(b: "_TreeBuilder", html: str) -> None:
     """Regex tokenizer driving the same tree-building callbacks."""
-    pos, n = 0, len(html)
+    pos, n, last = 0, len(html), html.rfind(">")
     match = _TOKEN_RE.match
     while pos < n:
+        if pos > last and not html.startswith(("<!", "<?"), pos):
+            # no tag can end from here on: what is left is text
+            rest = html[pos:]
+            b.pending.append(_unescape(rest) if "&" in rest else rest)
+            break
         m = match(html, pos)
         end_pos = m.end()
         start = m.group("start")
@@ -281,17 +267,23 @@ def _feed_fast(b: "_TreeBuilder", html: str) -> None:
 
 
 def parse_html(html: str, keep_tags=None, keep_text=True, tokenizer: str = "fast"):
-    """Node rows of one page (without page_id). ``tokenizer='stdlib'`` uses
-    html.parser (the reference path the fast tokenizer is tested against)."""
+    """Node rows of one page (without page_id), in document order.
+    ``tokenizer='stdlib'`` uses html.parser (the path the fast tokenizer is
+    tested against). A page whose parse breaks off keeps the rows made so far
+    and says so: the document's attributes get ``parse_error``."""
     b = _TreeBuilder(keep_tags, keep_text)
+    error = None
     try:
         if tokenizer == "fast":
             _feed_fast(b, html or "")
-            return b.finish_fast()
-        b.feed(html or "")
-    except Exception:  # noqa: BLE001 - tag soup never fails a page
-        pass
-    return b.finish()
+        else:
+            b.feed(html or "")
+            b.close()
+    except Exception as e:  # noqa: BLE001 - reported with the page
+        error = f"{type(e).__name__}: {e}"
+    rows = b.finish_fast()
+    rows[0][7] = {"parse_error": error} if error else {}
+    return rows
 
 
 class _Columns:
@@ -308,7 +300,7 @@ class _Columns:
         self.anc_off, self.anc_v, self.tag_v = [0], [], []
         self.n = 0
 
-    def add(self, pid, r):
+    def add(self, pid, r, ids, tags):
         s = self.s
         s["page_id"].append(pid)
         s["node_id"].append(r[0])
@@ -334,7 +326,6 @@ class _Columns:
             self.cls_null.append(False)
             self.cls_v.extend(c)
         self.cls_off.append(len(self.cls_v))
-        ids, tags = r[10]
         self.anc_v.extend(ids)
         self.tag_v.extend(tags)
         self.anc_off.append(len(self.anc_v))
@@ -356,22 +347,29 @@ class _Columns:
         return pa.RecordBatch.from_arrays([arrays[n] for n in ARROW_SCHEMA.names], schema=ARROW_SCHEMA)
 
 
-def _batches(it, keep_tags, keep_text, max_rows=65536):
+def _batches(it, keep_tags, keep_text, max_rows=65536, max_ancestors=2_000_000):
+    """Node rows as Arrow batches. Ancestors are read off the open path while
+    the rows go out, and a batch ends at either bound, also inside a page, so
+    that memory does not grow with depth."""
     cols = _Columns()
     for batch in it:
         ids = batch.column("page_id").to_pylist()
-        htmls = batch.column("html").to_pylist()
-        for pid, html in zip(ids, htmls):
+        for pid, html in zip(ids, batch.column("html")):
             t0 = time.perf_counter()
-            rows = parse_html(html, keep_tags, keep_text)
-            rows[0][7] = {"parse_ms": f"{(time.perf_counter() - t0) * 1000.0:.3f}"}
+            rows = parse_html(html.as_py(), keep_tags, keep_text)
+            rows[0][7]["parse_ms"] = f"{(time.perf_counter() - t0) * 1000.0:.3f}"
+            path_ids, path_tags = [], []
             for r in rows:
-                if keep_tags is not None and r[5] == "el" and r[6] not in keep_tags:
-                    continue
-                cols.add(pid, r)
-            if cols.n >= max_rows:
-                yield cols.batch()
-                cols = _Columns()
+                depth = r[2] if r[5] != "doc" else 0
+                del path_ids[depth:], path_tags[depth:]
+                if not (keep_tags is not None and r[5] == "el" and r[6] not in keep_tags):
+                    cols.add(pid, r, path_ids, path_tags)
+                if r[5] == "el":
+                    path_ids.append(r[0])
+                    path_tags.append(r[6])
+                if cols.n >= max_rows or len(cols.anc_v) >= max_ancestors:
+                    yield cols.batch()
+                    cols = _Columns()
     if cols.n:
         yield cols.batch()
 
@@ -396,6 +394,13 @@ def parse_time(nodes: DataFrame) -> DataFrame:
         "page_id", F.col("attrs")["parse_ms"].cast("double").alias("parse_ms"))
 
 
+def parse_errors(nodes: DataFrame) -> DataFrame:
+    """(page_id, message) of pages whose parse broke off."""
+    from pyspark.sql import functions as F
+    return nodes.filter((F.col("kind") == "doc") & F.col("attrs")["parse_error"].isNotNull()).select(
+        "page_id", F.col("attrs")["parse_error"].alias("message"))
+
+
 def node_table(src: DataFrame, name: str = "nodes", materialize: bool = True) -> DataFrame:
     """D1 plus the lineage cut used by multi-branch plans.
 

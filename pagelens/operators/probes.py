@@ -54,8 +54,11 @@ def test_rows(nodes: DataFrame) -> DataFrame:
     return j.withColumn("test_no", F.row_number().over(w)).select("page_id", "test_no", "name", "status", "value")
 
 
-def scorecard(tests: DataFrame) -> DataFrame:
-    """Counts, score text, percent and the two traffic lights."""
+def scorecard(tests: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Counts, score text, percent and the two traffic lights. With
+    ``pages`` a page without tests has a row too (``0/0 passed``)."""
+    if pages is not None:
+        tests = tests.select("page_id", "status").unionByName(pages.select("page_id", F.lit(None).cast("string").alias("status")))
     agg = tests.groupBy("page_id").agg(
         F.count_if(F.col("status") == "passed").alias("passed"),
         F.count_if(F.col("status") == "warn").alias("warn"),

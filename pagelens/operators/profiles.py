@@ -205,10 +205,11 @@ def _google_web(nodes: DataFrame):
 # google_news
 # ---------------------------------------------------------------------------
 def decode_news_link(link: Column) -> Column:
-    """payload after /read/ (else /articles/) up to '?', base64url bytes,
-    from 'http' up to byte 0xD2, read as UTF-8; any failure -> the link."""
-    after_read = F.substring_index(link, "/read/", -1)
-    after_art = F.substring_index(link, "/articles/", -1)
+    """payload after the first /read/ (else /articles/) up to '?',
+    base64url bytes, from 'http' up to byte 0xD2, read as UTF-8; any failure
+    -> the link."""
+    after = lambda mark: F.substring(link, F.locate(mark, link) + len(mark), F.lit(1 << 30))
+    after_read, after_art = after("/read/"), after("/articles/")
     part = F.when(F.locate("/read/", link) > 0, after_read).when(
         F.locate("/articles/", link) > 0, after_art)
     part = F.substring_index(part, "?", 1)
@@ -412,15 +413,20 @@ def _base(nodes: DataFrame, options: dict | None):
     return res, sugg
 
 
-# ---------------------------------------------------------------------------
+# Character references of letters, '.', '/', '-' and '_'.
+ENCODED_RE = "&(#|period;|sol;|lowbar;|UnderBar;)"
+
+
 def prefilter_condition(profile: Profile) -> Column | None:
-    """Rule 1 of the plan: a native necessary condition on raw html."""
+    """Rule 1 of the plan: a native necessary condition on raw html. The
+    literals are attribute text, which may also be written with character
+    references; of those that stand for a character of a literal, numeric ones
+    and the names below exist, so any of them lets a page through."""
     if not profile.prefilter:
         return None
-    cond = None
+    cond = F.col("html").rlike(ENCODED_RE)
     for lit in profile.prefilter:
-        c = F.col("html").contains(lit)
-        cond = c if cond is None else (cond | c)
+        cond = cond | F.col("html").contains(lit)
     return cond
 
 

@@ -252,8 +252,7 @@ SELECT source, count(*) AS requests, CAST(sum(CAST(truncated AS INTEGER)) AS BIG
 FROM r JOIN d ON r.key = d.doc_id GROUP BY source""")
 def q_llm_token_report(spark, sf):
     docs = read_table(spark, sf, "documents")
-    r = LB.plan_requests(docs, "text", "doc_id", "qwen3:8b", 4096)
-    r = r.join(docs.select(F.col("doc_id").alias("key"), "source"), "key")
+    r = LB.plan_requests(docs, "text", "doc_id", "qwen3:8b", 4096, keep=("source",))
     return LB.token_report(r, "source")
 
 
@@ -445,7 +444,7 @@ rb AS (SELECT page_id, count(*) AS n,
                     || CASE WHEN content <> '' THEN {NL} || '   ' || content ELSE '' END || {NL},
                     {NL} ORDER BY rank) AS blocks FROM res GROUP BY page_id),
 sb AS (SELECT page_id, string_agg('  - ' || text, {NL} ORDER BY rank) AS sugg FROM sug GROUP BY page_id),
-pg AS (SELECT page_id FROM rb UNION SELECT page_id FROM sb)
+pg AS (SELECT DISTINCT CAST(doc_id // 10 AS BIGINT) AS page_id FROM documents UNION ALL SELECT page_id + 1000000000 FROM pages)
 SELECT pg.page_id,
   concat_ws({NL}, 'Found ' || coalesce(n, 0) || ' results from google_web profile:' || {NL},
             CASE WHEN coalesce(n, 0) > 0 THEN blocks END,
@@ -455,9 +454,15 @@ FROM pg LEFT JOIN rb USING (page_id) LEFT JOIN sb USING (page_id)"""
 
 @register("result_listing", _LIST_SQL)
 def q_result_listing(spark, sf):
-    pages = FX.search_pages(read_table(spark, sf, "documents"))
+    # ordinary pages have no results: each still has its line
+    pages = FX.search_pages(read_table(spark, sf, "documents")).unionByName(_ordinary(spark, sf))
     res, sugg = PR.extract(pages, "google_web")
-    return RP.listing(res, sugg, "google_web")
+    return RP.listing(res, sugg, "google_web", pages)
+
+
+def _ordinary(spark, sf):
+    """The pages table with ids of its own."""
+    return read_table(spark, sf, "pages").select((F.col("page_id") + 10 ** 9).alias("page_id"), "url", "html")
 
 
 @register("search_page_status", f"""
@@ -498,20 +503,21 @@ def q_bot_tests(spark, sf):
 
 @register("bot_scorecard", f"""
 WITH t AS ({FX.BOT_TESTS_SQL}),
-a AS (SELECT page_id, count_if(status = 'passed') AS passed, count_if(status = 'warn') AS warn,
-             count_if(status = 'failed') AS failed FROM t GROUP BY page_id)
+u AS (SELECT page_id, status FROM t UNION ALL SELECT page_id + 1000000000, NULL FROM pages),
+a AS (SELECT page_id, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'warn') AS warn,
+             count(*) FILTER (status = 'failed') AS failed FROM u GROUP BY page_id)
 SELECT page_id, passed, warn, failed, CAST(passed + warn + failed AS BIGINT) AS total,
   passed || '/' || (passed + warn + failed) || ' passed'
     || CASE WHEN warn > 0 THEN ', ' || warn || ' warnings' ELSE '' END
     || CASE WHEN failed > 0 THEN ', ' || failed || ' failed' ELSE '' END AS score,
-  CAST(round_even(passed / (passed + warn + failed) * 100.0, 0) AS BIGINT) || '%' AS percent,
-  CASE WHEN passed / (passed + warn + failed) * 100.0 >= 90 THEN 'green'
-       WHEN passed / (passed + warn + failed) * 100.0 >= 70 THEN 'yellow' ELSE 'red' END AS grade,
+  CAST(round_even(coalesce(passed / nullif(passed + warn + failed, 0), 0) * 100.0, 0) AS BIGINT) || '%' AS percent,
+  CASE WHEN passed / nullif(passed + warn + failed, 0) * 100.0 >= 90 THEN 'green'
+       WHEN passed / nullif(passed + warn + failed, 0) * 100.0 >= 70 THEN 'yellow' ELSE 'red' END AS grade,
   CASE WHEN failed = 0 THEN 'green' WHEN failed > 3 THEN 'red' ELSE 'yellow' END AS failed_level
 FROM a""")
 def q_bot_scorecard(spark, sf):
-    nodes = _to_nodes(FX.bot_test_pages(read_table(spark, sf, "events")))
-    return PB.scorecard(PB.test_rows(nodes))
+    pages = FX.bot_test_pages(read_table(spark, sf, "events")).unionByName(_ordinary(spark, sf))
+    return PB.scorecard(PB.test_rows(_to_nodes(pages)), pages)
 
 
 _IP_RE = r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,37 +68,83 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts. Read from the session
-    (``spark.checkpoint.dir``); only when unset (local tests) a scratch
-    folder is created."""
+    """The shared folder for lineage cuts, read from the session
+    (``spark.checkpoint.dir``). Only a local master may go without: it gets a
+    scratch folder. On a cluster every executor would write to a disk of its
+    own, so an unset folder is an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = sc.master or ""
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="pagelens-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives the
-    loss of executors, unlike a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+# Tables written under the checkpoint folder and not removed yet:
+# (path, catalog table or None), by application.
+_TABLES: dict[str, list] = {}
+
+
+def _remember(spark: SparkSession, path: str, table: str | None = None) -> None:
+    import atexit
+    key = spark.sparkContext.applicationId
+    if key not in _TABLES:
+        _TABLES[key] = []
+        atexit.register(_forget, spark, key)
+    _TABLES[key].append((path, table))
+
+
+def _forget(spark: SparkSession, key: str) -> None:
+    # at the end of the program; a stopped session leaves nothing to do
+    if spark.sparkContext._jsc is not None:
+        drop_tables(spark)
+
+
+def drop_tables(spark: SparkSession, keep: int = 0) -> int:
+    """Remove the intermediate tables of this application, but for the
+    ``keep`` oldest; returns how many. Results that were not consumed yet
+    cannot be read afterwards."""
+    held = _TABLES.get(spark.sparkContext.applicationId, [])
+    gone = held[keep:]
+    del held[keep:]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path, table in gone:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        top = jvm.org.apache.hadoop.fs.Path(path)
+        top.getFileSystem(conf).delete(top, True)
+    return len(gone)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """``with scratch(spark): df.write...`` removes the intermediate tables
+    made inside when it ends."""
+    held = len(_TABLES.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        drop_tables(spark, held)
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Materialise ``df`` as parquet under the shared checkpoint folder and
-    read it back: a lineage cut that survives executor loss and, unlike an
-    RDD checkpoint, keeps column pruning and filter pushdown for every
-    reader."""
+    """Materialise ``df`` (now, not lazily) as parquet under the shared
+    checkpoint folder and read it back: a lineage cut that survives executor
+    loss and, unlike an RDD checkpoint, keeps column pruning and filter
+    pushdown for every reader. Removed by ``scratch``, ``drop_tables`` or the
+    end of the program."""
     import uuid
     root = checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _remember(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def node_buckets(spark: SparkSession) -> int:
@@ -119,7 +167,8 @@ def write_bucketed(df: DataFrame, name: str, key: str = "page_id", buckets: int
     import uuid
     spark = df.sparkSession
     buckets = buckets or node_buckets(spark)
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    if spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") != "false":
+        warnings.warn("set spark.sql.requireAllClusterKeysForCoPartition=false, or joins on (page_id, x) shuffle", stacklevel=2)
     root = checkpoint_dir(spark).rstrip("/")
     table = f"pagelens_{name}_{uuid.uuid4().hex[:12]}"
     w = df.write.format("parquet").option("path", f"{root}/tables/{table}")
@@ -127,6 +176,7 @@ def write_bucketed(df: DataFrame, name: str, key: str = "page_id", buckets: int
         w = w.option("parquet.block.size", str(row_group_bytes))
     sort_cols = list(sort_by) if sort_by else [key]
     w.bucketBy(buckets, key).sortBy(*sort_cols).saveAsTable(table)
+    _remember(spark, f"{root}/tables/{table}", table)
     return spark.table(table)
 
 

@@ -50,21 +50,38 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 def read_scrape_replies(spark: SparkSession, path: str) -> DataFrame:
     """A1: JSON lines of ``{html, status, url}`` replies; ``url`` is the final
-    URL after redirects. Ids are derived from the URL so they are stable
-    across re-reads (a recomputed task yields the same ids)."""
+    URL after redirects. Ids come from the URL and the content, so they are
+    stable across re-reads and two scrapes of one URL are two pages; equal
+    replies are one page (``with_page_ids``)."""
     df = spark.read.schema(SCRAPE_REPLY_SCHEMA).json(path)
-    return df.select(
-        F.xxhash64("url").alias("page_id"), "url", "html",
+    return with_page_ids(df.select(
+        "url", "html",
         F.coalesce("status", F.lit(0)).alias("status"),
-        F.col("url").alias("final_url"))
+        F.col("url").alias("final_url")))
+
+
+def with_page_ids(df: DataFrame) -> DataFrame:
+    """Give rows (url, html, ...) a ``page_id``: the first 63 bits of the
+    SHA-256 of url and html. Rows that agree in both are one page and are
+    merged by the full digest; different pages whose 63 bits agree would make
+    a wrong page, so ``check_page_ids`` reports them."""
+    digest = F.sha2(F.concat_ws("\u0000", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), 256)
+    short = F.conv(F.substring("_digest", 1, 16), 16, 10).cast("decimal(20,0)")
+    out = df.withColumn("_digest", digest).dropDuplicates(["_digest"])
+    return out.select((short % F.lit(str(2 ** 63)).cast("decimal(20,0)")).cast("long").alias("page_id"), *df.columns)
+
+
+def check_page_ids(pages: DataFrame) -> DataFrame:
+    """(page_id, n) of ids that more than one row has; empty for a table that
+    may go into the node table."""
+    return pages.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """A2: pre-fetched HTML files, one page per file."""
     df = spark.read.text(path, wholetext=True).select(
         F.col("value").alias("html"), F.input_file_name().alias("url"))
-    return df.select(F.xxhash64("url").alias("page_id"), "url", "html",
-                     F.lit(200).alias("status"), F.col("url").alias("final_url"))
+    return with_page_ids(df.select("url", "html", F.lit(200).alias("status"), F.col("url").alias("final_url")))
 
 
 def split_missing_html(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 
 def write_content(processed: DataFrame, path: str) -> None:
-    """A3: ``process`` output (page_id, content, format, ...) to one folder
-    per format: html and markdown as text-bearing parquet, json rows as
-    JSON lines (the content already is a JSON document)."""
+    """A3: ``process`` output (page_id, content, format, ...) as parquet by
+    format, and the bare contents beside it: JSON documents as JSON lines
+    (their own text, so numbers stay numbers), markdown and HTML as text
+    with a record separator after each page."""
     base = path.rstrip("/")
     processed.write.mode("overwrite").partitionBy("format").parquet(f"{base}/content")
-    js = processed.filter(F.col("format") == "json").select(
-        "page_id", F.from_json("content", "map<string,string>").alias("doc"))
-    js.write.mode("overwrite").json(f"{base}/json")
+    processed.filter(F.col("format") == "json").select(F.col("content").alias("value")).write.mode("overwrite").text(f"{base}/json")
+    for fmt in ("markdown", "html"):
+        (processed.filter(F.col("format") == fmt).select(F.col("content").alias("value"))
+         .write.mode("overwrite").option("lineSep", "\u001e\n").text(f"{base}/{fmt}"))
 
 
 def write_envelopes(envelopes: DataFrame, path: str) -> None:

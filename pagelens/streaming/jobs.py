@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pagelens.operators import profiles as PR
 from pagelens.operators import report as RP
 from pagelens.operators.requests import split_captcha
+from pagelens.session import scratch
 from pagelens.sources.pages import PAGE_SCHEMA
 
 
@@ -41,14 +42,15 @@ def stream_extract(pages_stream: DataFrame, profile: str, sink: str, checkpoint:
             batch = batch.withColumn("final_url", F.col("url"))
         batch = batch.withColumn("final_url", F.coalesce("final_url", "url"))
         ok, blocked = split_captcha(batch, prof.captcha_patterns)
-        res, sugg = PR.extract(ok, profile, options)
         base = f"{sink.rstrip('/')}"
-        res.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .parquet(f"{base}/results/batch_id={batch_id}")
-        sugg.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-            .parquet(f"{base}/suggestions/batch_id={batch_id}")
-        RP.page_status(batch, res, sugg, blocked).write.mode("overwrite") \
-            .parquet(f"{base}/status/batch_id={batch_id}")
+        with scratch(batch.sparkSession):     # the batch's node table goes with it
+            res, sugg = PR.extract(ok, profile, options)
+            res.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+                .parquet(f"{base}/results/batch_id={batch_id}")
+            sugg.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+                .parquet(f"{base}/suggestions/batch_id={batch_id}")
+            RP.page_status(batch, res, sugg, blocked).write.mode("overwrite") \
+                .parquet(f"{base}/status/batch_id={batch_id}")
 
     w = pages_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -59,31 +61,39 @@ def stream_history(entries_stream: DataFrame, table_path: str, checkpoint: str,
                    available_now: bool = True):
     """L2: ``entries(id, url, mode, ts, ...)``; the history table at
     ``table_path`` holds at most ``keep`` rows, so merging it with a batch
-    is cheap. Each batch writes a new version folder and then a pointer
-    file; readers use ``read_history``."""
+    is cheap. Each batch writes a version folder of its own; readers use
+    ``read_history``."""
     spark = entries_stream.sparkSession
 
     def run(batch: DataFrame, batch_id: int):
-        cur = read_history(spark, table_path, batch.schema)
+        # a replayed batch starts from the version before its own
+        cur = read_history(spark, table_path, batch.schema, before=batch_id)
         merged = RP.upsert_history(cur.unionByName(batch), keep)
         merged.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/v={batch_id}")
-        spark.createDataFrame([(batch_id,)], "v long").coalesce(1).write.mode("overwrite") \
-            .json(f"{table_path.rstrip('/')}/_latest")
 
     w = entries_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def read_history(spark: SparkSession, table_path: str, schema) -> DataFrame:
+def read_history(spark: SparkSession, table_path: str, schema, before: int | None = None) -> DataFrame:
+    """The newest complete version: the highest ``v=`` folder with the
+    writer's success mark. Only a missing folder means that there is none yet;
+    any other failure is raised."""
     base = table_path.rstrip("/")
-    try:
-        v = spark.read.json(f"{base}/_latest").first()
-    except Exception:  # noqa: BLE001 - no version yet
-        v = None
-    if v is None:
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(base)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = []
+    if fs.exists(top):
+        for st in fs.listStatus(top):
+            name = st.getPath().getName()
+            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/_SUCCESS")):
+                versions.append(int(name[2:]))
+    versions = [v for v in versions if before is None or v < before]
+    if not versions:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{base}/v={v['v']}")
+    return spark.read.schema(schema).parquet(f"{base}/v={max(versions)}")
 
 
 def stream_dedupe(df: DataFrame, key: str = "url", event_time: str = "ts",

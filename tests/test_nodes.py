@@ -51,9 +51,11 @@ def test_intervals_nest_and_text_is_kept(parts):
     for r in rows:
         o, c = r[3], r[4]
         assert o <= c
-        for a in r[10][0]:
+        a = r[1]
+        while a is not None:
             ao, ac = pos[a]
             assert ao < o and c < ac
+            a = rows[a][1]
         if r[1] is not None:
             po, pc = pos[r[1]]
             assert po < o and c < pc
@@ -62,3 +64,45 @@ def test_intervals_nest_and_text_is_kept(parts):
         .replace("<p>", "").replace("</p>", "").replace("<b>", "").replace("</b>", "") \
         .replace("<br>", "").replace("<li>", "").replace("<ul>", "").replace("</ul>", "") \
         .replace("<table>", "").replace("<tr>", "").replace("<td>", "").replace("</table>", "")
+
+
+def test_ancestors_follow_parents(spark):
+    from pagelens.operators.nodes import to_nodes
+    html = "<div><p>a<b>b<i>c</i></b><p>d<ul><li>e<li>f</ul></div>g<table><tr><td>h<td>i</table>"
+    rows = {r["node_id"]: r for r in to_nodes(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()}
+    for r in rows.values():
+        chain, up = [], r["parent_id"]
+        while up:
+            chain.append(up)
+            up = rows[up]["parent_id"]
+        assert list(r["anc"]) == chain[::-1]
+        assert list(r["anc_tags"]) == [rows[a]["tag"] for a in chain[::-1]]
+
+
+def test_deep_and_unfinished_pages_stay_bounded():
+    import pyarrow as pa
+
+    from pagelens.operators.nodes import _batches
+    deep = pa.RecordBatch.from_pydict({"page_id": [1], "html": ["<b>" * 3000 + "x"]})
+    n = most = 0
+    for b in _batches(iter([deep]), None, True):
+        n += b.num_rows
+        most = max(most, len(b.column("anc").flatten()))
+    assert n == 3002 and most <= 2_000_000 + 3000
+    import time
+    t = time.perf_counter()
+    rows = parse_html("<a " * 40_000)
+    assert time.perf_counter() - t < 5 and [r[5] for r in rows] == ["doc", "text"]
+    t = time.perf_counter()
+    assert len(parse_html("<b>" * 40_000)) == 40_001 and time.perf_counter() - t < 10
+
+
+def test_broken_parse_is_reported(spark, monkeypatch):
+    from pagelens.operators import nodes as N
+
+    def broken(b, html):
+        b.handle_starttag("p", [])
+        raise RuntimeError("no")
+    monkeypatch.setattr(N, "_feed_fast", broken)
+    rows = N.parse_html("<p>x")
+    assert rows[0][7] == {"parse_error": "RuntimeError: no"} and rows[1][6] == "p"
