@@ -145,3 +145,31 @@ def query(spark, sf_dir: str) -> DataFrame:
     base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"] < len(BASE)), text), ",")
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(base.cast("binary"), 256).alias("base_sha256"),
                         F.array_join(F.transform("spans", text), ",").alias("spans"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the query: every rule on every text, spans placed by
+    the gaps between matches."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for k, (kind, regex, group, least) in enumerate(RULES):
+        r = q(regex)
+        parts.append(f"""
+  SELECT doc_id, {k} AS kind, {q(kind)} AS name, stop - length(hit) AS s, stop AS e FROM (
+    SELECT doc_id, hit, val, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+      SELECT doc_id, unnest(hits) AS hit, unnest(vals) AS val, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM (
+        SELECT doc_id, regexp_extract_all(text, {r}, 0) AS hits, regexp_extract_all(text, {r}, {group}) AS vals, regexp_split_to_array(text, {r}) AS gaps
+        FROM documents WHERE regexp_matches(text, {r}))))
+  WHERE length(val) >= {least}""")
+    return f"""
+WITH spans AS ({" UNION ALL ".join(parts)}),
+per AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS h,
+    string_agg(name || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, kind, e) FILTER (kind < {len(BASE)}) AS base,
+    string_agg(name || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, kind, e) AS every FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM documents d LEFT JOIN per USING (doc_id)"""
+
+
+ORACLE = oracle()
