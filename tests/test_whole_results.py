@@ -166,3 +166,15 @@ def test_intermediate_tables_go_with_their_scope(spark):
         assert CT.render(pages, PS.content_nodes_table(pages)).count() == 1
         assert held() - before
     assert held() == before
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<pre>def f():\n    return 1\n\n\n\nx</pre>", "```\ndef f():\n    return 1\n\n\n\nx\n```"),
+    ("<ul><li>a<ul><li>b<ol><li>c<li>d</ol></ul><li>e</ul>", "- a\n  - b\n    1. c\n    2. d\n- e"),
+    ("<blockquote>q</blockquote><p>after</p>", "> q\n\nafter"),
+    ("<p>x</p><blockquote><p>a</p><blockquote><p>b</p></blockquote><p>c</p></blockquote>", "x\n\n> a\n>\n> > b\n>\n> c"),
+    ("<table><tr><th>h|1<th>k</tr><tr><td>a<td>b|c</tr></table>", "| h\\|1 | k |\n| --- | --- |\n| a | b\\|c |"),
+    ('<p>see <a href="x">the <b>link</b></a> and <code>c|d</code></p>', "see [the **link**](https://example.org/p/x) and `c|d`"),
+])
+def test_markdown_structure(spark, html, want):
+    assert rendered(spark, f"<body>{html}</body>")[0] == want
