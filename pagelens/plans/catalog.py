@@ -75,6 +75,19 @@ def q_news_results(spark, sf):
     return res.select(*RESULT_OUT)
 
 
+@register("base_results", FX.LISTING_RESULTS_SQL)
+def q_base_results(spark, sf):
+    """A site that the caller describes by selectors."""
+    res, _ = PR.extract(FX.listing_pages(read_table(spark, sf, "documents")), "base", FX.BASE_OPTIONS)
+    return res.select(*RESULT_OUT)
+
+
+@register("base_suggestions", FX.LISTING_SUGGESTIONS_SQL)
+def q_base_suggestions(spark, sf):
+    _, sugg = PR.extract(FX.listing_pages(read_table(spark, sf, "documents")), "base", FX.BASE_OPTIONS)
+    return sugg
+
+
 @register("debenture_cards", FX.CARDS_SQL)
 def q_debenture_cards(spark, sf):
     pages = FX.card_pages(read_table(spark, sf, "orders"))
@@ -140,6 +153,26 @@ def q_page_html(spark, sf):
     return CT.render(pages, nodes, "html")
 
 
+@register("content_markdown", FX.CONTENT_MARKDOWN_SQL)
+def q_content_markdown(spark, sf):
+    """One page per document that holds what the removal
+    and rendering rules name."""
+    pages = FX.content_pages(read_table(spark, sf, "documents"))
+    return CT.render(pages, PS.content_nodes_table(pages), "markdown")
+
+
+@register("content_metadata", FX.CONTENT_METADATA_SQL)
+def q_content_metadata(spark, sf):
+    pages = FX.content_pages(read_table(spark, sf, "documents"))
+    return CT.metadata(pages, PS.content_nodes_table(pages))
+
+
+@register("content_links", FX.CONTENT_LINKS_SQL)
+def q_content_links(spark, sf):
+    pages = FX.content_pages(read_table(spark, sf, "documents"))
+    return CT.links(pages, PS.content_nodes_table(pages)).select("page_id", "href", "url", "text")
+
+
 _SEGS = f"regexp_split_to_array({ARTICLE}, '<[^>]*>')"
 _WC = (f"CAST(list_sum(list_transform({_SEGS}, lambda s: len(list_filter(regexp_split_to_array("
        f"{duck_unescape('s')}, '[{JS_WS_CLASS}]+'), lambda x: x <> '')))) AS BIGINT)")
@@ -186,9 +219,15 @@ def q_page_links(spark, sf):
                       "url", "text")
 
 
-@register("page_json")
+@register("page_json", f"""
+WITH h AS ({ORACLES["page_html"]}), m AS ({ORACLES["page_metadata"]})
+SELECT page_id, '{{"title":' || CAST(to_json(title) AS VARCHAR) || coalesce(',"domain":' || CAST(to_json(nullif(domain, '')) AS VARCHAR), '')
+  || ',"content":' || CAST(to_json(content) AS VARCHAR) || ',"wordCount":' || word_count || '}}' AS content, 'json' AS format, 'standard' AS engine
+FROM m JOIN h USING (page_id)""")
 def q_page_json(spark, sf):
-    return PS.process(read_table(spark, sf, "pages"), "json").select("page_id", "content", "format", "engine")
+    """E9 but for the parse time, which differs from run to run."""
+    out = PS.process(read_table(spark, sf, "pages"), "json")
+    return out.select("page_id", F.regexp_replace("content", ',"parseTime":[0-9.E+-]+', "").alias("content"), "format", "engine")
 
 
 # G: request planning ----------------------------------------------------------
@@ -653,7 +692,18 @@ def q_webrtc_report(spark, sf):
                     "webrtc_support", "spoofed", "detected_ip")
 
 
-@register("extract_envelopes")
+_ENVELOPE_SQL = f"""
+WITH res AS ({FX.SEARCH_RESULTS_SQL}), sug AS ({FX.SEARCH_SUGGESTIONS_SQL}),
+pg AS (SELECT DISTINCT CAST(doc_id // 10 AS BIGINT) AS page_id FROM documents),
+a AS (SELECT page_id, string_agg('{{"url":' || CAST(to_json(url) AS VARCHAR) || ',"title":' || CAST(to_json(title) AS VARCHAR) || ',"content":' || CAST(to_json(content) AS VARCHAR)
+        || coalesce(',"thumbnail":' || CAST(to_json(thumbnail) AS VARCHAR), '') || '}}', ',' ORDER BY rank) AS j FROM res GROUP BY page_id),
+b AS (SELECT page_id, string_agg(CAST(to_json(text) AS VARCHAR), ',' ORDER BY rank) AS j FROM sug GROUP BY page_id)
+SELECT page_id, CASE WHEN page_id % 9 = 4 THEN '{{"results":[],"suggestions":[],"captcha":true,"error":"CAPTCHA detected"}}'
+  ELSE '{{"results":[' || coalesce(a.j, '') || '],"suggestions":[' || coalesce(b.j, '') || '],"captcha":false,"error":null}}' END AS envelope
+FROM pg LEFT JOIN a USING (page_id) LEFT JOIN b USING (page_id)"""
+
+
+@register("extract_envelopes", _ENVELOPE_SQL)
 def q_extract_envelopes(spark, sf):
     """A4: one JSON envelope per search page, captcha pages included."""
     pages = FX.search_pages(read_table(spark, sf, "documents")).withColumn(

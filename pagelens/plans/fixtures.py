@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.functions.text import JS_WS_CLASS
+from pagelens.functions.text import JS_WS_CLASS, js_collapse_ws
 
 ROWS_PER_PAGE = 10
 
@@ -369,3 +369,97 @@ SELECT doc_id AS page_id,
   CASE WHEN doc_id % 5 <> 0 THEN '203.0.113.' || (doc_id % 250) END AS detected_ip
 FROM documents
 """
+
+
+# ---------------------------------------------------------------------------
+# Listing pages for the base profile (F1-F3), from documents
+# ---------------------------------------------------------------------------
+BASE_OPTIONS = {"results_selector": "div.item", "url_selector": "a.go", "title_selector": "h2", "content_selector": "p.sum",
+                "thumbnail_selector": "img.pic", "suggestion_selector": "ul.more li"}
+
+
+def listing_pages(documents: DataFrame) -> DataFrame:
+    """Ten items a page. Planted: no href (the link's text counts), an empty
+    href, no link at all, a blank or missing title, two titles (the first
+    counts), no summary, pictures without a source, blank suggestions."""
+    i = F.col("doc_id")
+    n = i.cast("string")
+    link = (F.when(i % 7 == 3, F.concat(F.lit('<a class="go"> go/'), n, F.lit(" </a>")))
+            .when(i % 7 == 4, F.concat(F.lit('<a class="go" href="">empty/'), n, F.lit("</a>")))
+            .when(i % 17 == 5, F.lit('<a href="/other">other</a>'))
+            .otherwise(F.concat(F.lit('<a class="x go" href="/item?id='), n, F.lit('&amp;s=1">link</a>'))))
+    title = (F.when(i % 11 == 6, F.lit("<h2>  </h2>")).when(i % 13 == 7, F.lit(""))
+             .otherwise(F.concat(F.lit("<h2> Item <b>"), n, F.lit("</b> "), F.col("lang"), F.lit(" </h2><h2>second</h2>"))))
+    summary = F.when(i % 3 == 1, F.lit("")).otherwise(F.concat(F.lit('<p class="sum">'), html_escape(F.substring("text", 1, 400)), F.lit("</p>")))
+    picture = F.when(i % 4 == 0, F.concat(F.lit('<img class="pic" src="/p/'), n, F.lit('.png">'))).when(i % 4 == 1, F.lit('<img class="pic">')).otherwise(F.lit(""))
+    block = F.concat(F.lit('<div class="item">'), link, title, summary, picture, F.lit("</div>"))
+    more = F.when(i % 5 == 2, F.lit("<li> </li>")).otherwise(F.concat(F.lit("<li> more "), n, F.lit("</li>")))
+    d = documents.select((i / ROWS_PER_PAGE).cast("long").alias("page_id"), "doc_id", block.alias("block"), more.alias("more"))
+    pages = d.groupBy("page_id").agg(_page_concat(d, "doc_id", "block").alias("blocks"), _page_concat(d, "doc_id", "more").alias("more"))
+    html = F.concat(F.lit("<html><body><h2>Listing</h2>"), F.col("blocks"), F.lit('<ul class="more">'), F.col("more"), F.lit("</ul></body></html>"))
+    return spread(pages.select("page_id", F.concat(F.lit("https://list.example.org/"), F.col("page_id")).alias("url"), html.alias("html")))
+
+
+LISTING_RESULTS_SQL = f"""
+WITH d AS (SELECT doc_id AS i, CAST(doc_id // 10 AS BIGINT) AS page_id, lang, text FROM documents),
+r AS (
+  SELECT page_id, i,
+    CASE WHEN i % 7 = 3 THEN 'go/' || i WHEN i % 7 = 4 THEN 'empty/' || i WHEN i % 17 = 5 THEN '' ELSE '/item?id=' || i || '&s=1' END AS url,
+    CASE WHEN i % 11 = 6 OR i % 13 = 7 THEN '' ELSE 'Item ' || i || ' ' || lang END AS title,
+    CASE WHEN i % 3 = 1 THEN '' ELSE regexp_replace(left(text, 400), '^[{JS_WS_CLASS}]+|[{JS_WS_CLASS}]+$', '', 'g') END AS content,
+    CASE WHEN i % 4 = 0 THEN '/p/' || i || '.png' END AS thumbnail FROM d)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INTEGER) AS rank, url, title, content, thumbnail
+FROM r WHERE url <> '' AND title <> ''"""
+
+LISTING_SUGGESTIONS_SQL = """
+SELECT CAST(doc_id // 10 AS BIGINT) AS page_id, CAST(row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS INTEGER) AS rank,
+  'more ' || doc_id AS text FROM documents WHERE doc_id % 5 <> 2"""
+
+
+# ---------------------------------------------------------------------------
+# Article pages with everything the content rules name (C3-C7, E1-E16), one
+# per document
+# ---------------------------------------------------------------------------
+_HREFS = ["/a/{i}", "rel?{i}", "../up/{i}", "./x/../y/{i}", "#f{i}", "//other.example.org/{i}", "https://abs.example.org/{i}", "?q={i}"]
+_RESOLVED = ["https://c.example.org/a/{i}", "https://c.example.org/d/e/rel?{i}", "https://c.example.org/d/up/{i}", "https://c.example.org/d/e/y/{i}",
+             "https://c.example.org/d/e/{i}.html#f{i}", "https://other.example.org/{i}", "https://abs.example.org/{i}", "https://c.example.org/d/e/{i}.html?q={i}"]
+_HEAD = ('<html><head><meta property="og:title" content=" OG {i} "><meta name="author" content="Author {lang}"><meta name="description" content="About &amp; {i}">'
+         '<meta property="article:published_time" content="2024-01-02T00:00:{i}"><meta property="og:site_name" content="Site {lang}"><title>T {i}</title></head>')
+_ARTICLE = ('<body><header>top {i}</header><nav>menu {i}</nav><article><h1>Head {i}</h1><div hidden>hidden {i}</div><p style="display: none">none {i}</p>'
+            '<div aria-hidden="true">aria {i}</div><p>{t}</p><div class="share-box">share {i}</div><nav>inner {i}</nav><div class="sidebar">side {i}</div>'
+            '<svg><text>drawn {i}</text></svg><noscript>nos {i}</noscript><iframe src="f">framed</iframe><picture><img src="/p.png" width="300"></picture>'
+            '<ul><li>one {i}<ul><li>two {i}</ul><li>three</ul><ol><li>first<li>second {i}</ol><pre>code {i}\n  indented\n\n\nend</pre>'
+            '<blockquote>quote {i}</blockquote><table><tr><th>k<th>v|w</tr><tr><td>{i}<td>{lang}</tr></table>'
+            '<p>see <a href="{href}">link {i}</a> <em>em</em> <strong>st</strong> <code>c</code></p><hr><p>last {i}</p></article><footer>foot {i}</footer></body></html>')
+_MARKDOWN = ("# Head {i}\n\n{t}\n\n- one {i}\n  - two {i}\n- three\n\n1. first\n2. second {i}\n\n```\ncode {i}\n  indented\n\n\nend\n```\n\n> quote {i}\n\n"
+             "| k | v\\|w |\n| --- | --- |\n| {i} | {lang} |\n\nsee [link {i}]({href}) *em* **st** `c`\n\n---\n\nlast {i}")
+
+
+def _filled(template: str, **values: Column) -> Column:
+    import re
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if k % 2 else F.lit(x) for k, x in enumerate(parts)])
+
+
+def _filled_sql(template: str, **values: str) -> str:
+    import re
+    parts = re.split(r"\{(\w+)\}", template)
+    lit = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return " || ".join(values[x] if k % 2 else lit(x) for k, x in enumerate(parts) if x)
+
+
+def content_pages(documents: DataFrame) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    href = F.element_at(F.array(*[_filled(h, i=i) for h in _HREFS]), (F.col("doc_id") % 8 + 1).cast("int"))
+    text = html_escape(js_collapse_ws(F.substring("text", 1, 300)))
+    html = _filled(_HEAD + _ARTICLE, i=i, lang=F.col("lang"), t=text, href=href)
+    return spread(documents.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://c.example.org/d/e/"), i, F.lit(".html")).alias("url"), html.alias("html")))
+
+
+_HREF_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN {_filled_sql(h, i='doc_id')}" for k, h in enumerate(_RESOLVED)) + " END"
+_HREF_RAW_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN {_filled_sql(h, i='doc_id')}" for k, h in enumerate(_HREFS)) + " END"
+CONTENT_MARKDOWN_SQL = f"""SELECT doc_id AS page_id, {_filled_sql(_MARKDOWN, i='doc_id', lang='lang', t=duck_collapse('left(text, 300)'), href=_HREF_SQL)} AS content
+FROM documents"""
+CONTENT_METADATA_SQL = """SELECT doc_id AS page_id, 'OG ' || doc_id AS title, 'Author ' || lang AS author, 'About & ' || doc_id AS description,
+  '2024-01-02T00:00:' || doc_id AS published, 'c.example.org' AS domain, 'Site ' || lang AS site FROM documents"""
+CONTENT_LINKS_SQL = f"SELECT doc_id AS page_id, {_HREF_RAW_SQL} AS href, {_HREF_SQL} AS url, 'link ' || doc_id AS text FROM documents"
