@@ -14,6 +14,8 @@ are spread as the scan is.
 from __future__ import annotations
 
 import json
+import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -50,13 +52,13 @@ NAMES = [
 ]
 # Notices that name no license of the table.
 NOTICES = [
-    ("public-domain", 2, "<public><domain>", "<(?:in|into|to)><the><public><domain>"),
+    ("public-domain", 2, "<domain>", "<(?:in|into|to)><the><public><domain>"),
     ("all-rights-reserved", 2, "<rights>", "<all><rights><reserved>"),
     ("copyright", 3, "<copyright>", "<copyright>(?:<c>)?<(?:19|20)[0-9]{2}>"),
     ("spdx", 2, "<spdx>", "<spdx><license><identifier><[^>]+>"),
     ("proprietary", 2, "<proprietary>", "<proprietary><and><confidential>"),
     ("no-warranty", 3, "<warranty>", "<without><warranty><of><any><kind>"),
-    ("as-is", 3, "<as><is>", "<provided><as><is>"),
+    ("as-is", 3, "<provided>", "<provided><as><is>"),
 ]
 BASE = [("mit", "<mit><license>"), ("apache", "<apache><license>"), ("gpl", "<general><public><license>")]
 #: Weight of evidence by tier: an identifier, a grant, a name, a notice.
@@ -90,13 +92,22 @@ def rules() -> list[dict]:
     return out
 
 
-def words_of(text: Column) -> Column:
-    """``<w0><w1>...`` of a text; '' when it has no words or is null."""
+def spaced(text: Column) -> Column:
+    """The words of a text, lower-cased, with one space between."""
+    # lower() also maps the Kelvin sign to k; no phrase depends on it
     low = F.lower(F.coalesce(text, F.lit("")))
-    # Java's lower() also maps the Kelvin sign to k; no phrase depends on it
-    joined = F.regexp_replace(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "><")
-    inner = F.regexp_replace(joined, "^><|><$", "")
-    return F.when(inner == "", "").otherwise(F.concat(F.lit("<"), inner, F.lit(">")))
+    return F.trim(F.regexp_replace(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
+
+
+def gate(table) -> list[str]:
+    """Plain strings of which every text with a detection has one: the stem of
+    all words for a license where a rule asks for it, else the longest word
+    of its keyword."""
+    stems = {"licen"}
+    for r in table:
+        if "licen" not in r["regex"]:
+            stems.add(max(re.findall(r"[^<>]+", r["keyword"]), key=len))
+    return sorted(stems)
 
 
 def count_words(s: str) -> str:
@@ -124,10 +135,9 @@ def detect(df: DataFrame, text_col: str = "text", out: str = "license", table=No
     detections of equal interval and tier go to the earlier rule."""
     table = rules() if table is None else table
     out = common.fresh(df.columns, out)
-    w, r, hits = (common.fresh(df.columns + [out], x) for x in ("_words", "_rules", "_hits"))
+    plain, w, r, hits = (common.fresh(df.columns + [out], x) for x in ("_plain", "_words", "_rules", "_hits"))
     listed = [x | {"rule": i} for i, x in enumerate(table)]
     literal = F.from_json(F.lit(json.dumps(listed)), SCHEMA.replace("tier:int", "tier:int,rule:int"))
-    keywords = "|".join(sorted({x["keyword"] for x in table} | {"<license>"}))
     base = "concat(" + ", ".join(
         f"if(contains({w}, '{p}'), {spans_sql(w, repr(p), f'2 as tier, -1 as rule, {label!r} as label')}, cast(array() as array<struct<start:int,size:int,tier:int,rule:int,label:string>>))"
         for label, p in BASE) + ")"
@@ -139,19 +149,20 @@ def detect(df: DataFrame, text_col: str = "text", out: str = "license", table=No
             transform(acc.far, (e, i) -> if(i >= d.tier, greatest(e, d.start - d.size), e)) as far,
             if(acc.far[d.tier] >= d.start - d.size, acc.out, concat(acc.out, array(d))) as out),
         acc -> acc.out)"""
-    gated = df.withColumn(w, words_of(F.col(text_col)))
-    # one regular expression decides whether a text has any keyword at all
-    gated = gated.withColumn(r, F.when(F.col(w).rlike(keywords), literal))
+    gated = df.withColumn(plain, spaced(F.col(text_col)))
+    # a few plain searches decide whether a text needs any rule at all
+    some = reduce(lambda x, y: x | y, [F.contains(F.col(plain), F.lit(k)) for k in gate(table)])
+    gated = gated.withColumns({w: F.when(some, F.concat(F.lit("<"), F.replace(F.col(plain), F.lit(" "), F.lit("><")), F.lit(">"))), r: F.when(some, literal)})
     gated = gated.withColumn(hits, F.expr(f"if({r} is null, null, named_struct('base', {base}, 'kept', {kept}))"))
     empty = "cast(array() as array<struct<start:int,size:int,tier:int,rule:int,label:string>>)"
     return gated.withColumn(out, F.expr(
-        f"named_struct('n_words', cast({count_words(w)} as bigint), 'base', coalesce({hits}.base, {empty}), 'kept', coalesce({hits}.kept, {empty}))")).drop(w, r, hits)
+        f"named_struct('n_words', cast(if({plain} = '', 0, octet_length({plain}) - octet_length(replace({plain}, ' ', '')) + 1) as bigint), 'base', coalesce({hits}.base, {empty}), 'kept', coalesce({hits}.kept, {empty}))")).drop(plain, w, r, hits)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = detect(common.documents(spark, sf_dir).select("doc_id", "text"))
     doubt = ", ".join(str(round(1 - c, 4)) for c in CONFIDENCE)
-    return found.selectExpr(
+    scored = found.selectExpr(
         "doc_id", "license.n_words as n_words", "cast(size(license.base) as bigint) as n_base",
         "cast(array_min(transform(license.base, x -> x.start)) as bigint) as first_word",
         "cast(array_max(transform(license.base, x -> x.start)) as bigint) as last_word",
@@ -161,3 +172,39 @@ def query(spark, sf_dir: str) -> DataFrame:
         f"""1 - aggregate(transform(array_distinct(transform(concat(license.base, license.kept), x -> x.label)),
               l -> array_min(transform(filter(concat(license.base, license.kept), x -> x.label = l), x -> x.tier))),
             cast(1.0 as double), (p, t) -> p * array({doubt})[t]) as score""")
+    return scored.withColumn("score", F.round("score", 6))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the query: every rule on every text that has its
+    keyword; a detection goes where one of an equal or stronger tier that
+    comes earlier in the order holds it."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    table = ", ".join(f"({k}, {r['tier']}, {q(r['label'])}, {q(r['keyword'])}, {q(r['regex'])})" for k, r in enumerate(rules()))
+    base = ", ".join(f"(-1, 2, {q(label)}, {q(p)}, {q(p)})" for label, p in BASE)
+    doubt = " ".join(f"WHEN {t} THEN {round(1 - c, 4)}" for t, c in enumerate(CONFIDENCE))
+    return f"""
+WITH w AS (
+  SELECT doc_id, regexp_replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), '^ | $', '', 'g') AS p FROM documents),
+m AS (SELECT doc_id, CASE WHEN p = '' THEN '' ELSE '<' || replace(p, ' ', '><') || '>' END AS w FROM w),
+r(rule, tier, label, keyword, regex) AS (VALUES {base}, {table}),
+g AS (SELECT doc_id, rule, tier, label, regex, regexp_extract_all(w, regex) AS hits, regexp_split_to_array(w, regex) AS gaps FROM m JOIN r ON contains(w, keyword)),
+u AS (SELECT doc_id, rule, tier, label, regex, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM g),
+c AS (SELECT *, length(hit) - length(replace(hit, '<', '')) AS size, length(gap) - length(replace(gap, '<', '')) AS skip FROM u),
+d AS (SELECT doc_id, rule, tier, label, size, sum(size + skip) OVER (PARTITION BY doc_id, rule, label ORDER BY i) AS stop FROM c),
+e AS (SELECT doc_id, rule, tier, label, size, stop - size AS start, stop FROM d),
+k AS (
+  SELECT x.doc_id, x.label, x.tier FROM e x WHERE x.rule >= 0 AND NOT EXISTS (
+    SELECT 1 FROM e y WHERE y.rule >= 0 AND y.doc_id = x.doc_id AND y.tier <= x.tier AND y.start <= x.start AND y.stop >= x.stop
+      AND (y.start, -y.size, y.tier, y.rule) < (x.start, -x.size, x.tier, x.rule))
+  UNION ALL SELECT doc_id, label, tier FROM e WHERE rule < 0),
+best AS (SELECT doc_id, label, min(tier) AS tier FROM k GROUP BY ALL),
+s AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels, 1 - product(CASE tier {doubt} END) AS score FROM best GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n, min(start) AS a, max(start) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM e WHERE rule < 0 GROUP BY doc_id)
+SELECT m.doc_id, length(w) - length(replace(w, '<', '')) AS n_words, coalesce(n, 0) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word,
+  coalesce(b.labels, '') AS base_labels, coalesce(s.labels, '') AS labels, round(coalesce(score, 0.0), 6) AS score
+FROM m LEFT JOIN s USING (doc_id) LEFT JOIN b USING (doc_id)"""
+
+
+ORACLE = oracle()

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_license_scan": license_scan.ORACLE,
     "op4_url_filter": url_filter.ORACLE,
+    "op7_secret_scan": secret_scan.ORACLE,
 }
