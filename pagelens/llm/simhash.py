@@ -10,12 +10,13 @@ that share the values of some m blocks. m grows with the number of distinct
 fingerprints, so that these buckets stay small. A bucket above ``BLOCK`` rows
 is cut into chunks, and pairs of chunks are compared in tasks of their own.
 
-Comparison. A task stores its bucket's fingerprints as 64 vertical bit planes
-packed into machine words and compares one pivot with all lanes at once:
-carry-save counters add the differing planes, and a word of lanes is abandoned
-as soon as all its lanes exceed the radius. Lanes that are linked leave the
-bucket and become pivots in turn (a search from neighbour to neighbour), so a
-dense bucket gives at most one link per row, and no linked text is missed.
+Comparison. A task stores fingerprints as 64 vertical bit planes packed into
+machine words and compares all lanes at once, with one pivot or, for many
+small buckets together, with the lanes t places on: carry-save counters add
+the differing planes, and a word of lanes is abandoned as soon as all its
+lanes exceed the radius. In a large bucket, lanes that are linked leave it and
+become pivots in turn (a search from neighbour to neighbour). Either way a
+bucket gives fewer links than it has rows, and no linked text is missed.
 
 Groups. Links form a forest per bucket; star contraction over written tables
 joins them across buckets.
@@ -76,78 +77,94 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", width: int =
 
 # ---------------------------------------------------------------- comparison
 
+def planes_of(values: np.ndarray) -> np.ndarray:
+    """64 vertical bit planes; lane i is bit i % 64 of word i // 64."""
+    n = len(values)
+    bits = np.zeros((-(-n // 64) * 64, 64), np.uint8)
+    bits[:n] = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8").reshape(64, -1)
+
+
+def lanes_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bit) of every set lane."""
+    return np.nonzero(np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+
+
+def packed(lanes: np.ndarray) -> np.ndarray:
+    """Booleans as words of lanes."""
+    wide = np.zeros(-(-len(lanes) // 64) * 64, bool)
+    wide[:len(lanes)] = lanes
+    return np.packbits(wide, bitorder="little").view("<u8")
+
+
+def within(diff, live: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, lanes) whose distance is at most ``radius``. ``diff(i, at)``
+    gives the differing lanes of plane i at some words. Three planes at a time
+    are added by a carry-save step into counter planes that saturate in
+    ``over``; words without a lane left are abandoned."""
+    width = max(1, int(radius).bit_length())
+    at = np.flatnonzero(live)
+    live = live[at]
+    count = np.zeros((width, len(at)), np.uint64)
+    over = np.zeros(len(at), np.uint64)
+
+    def add(level, plane):
+        nonlocal over
+        while level < width:
+            plane, count[level] = count[level] & plane, count[level] ^ plane
+            level += 1
+        over = over | plane
+
+    for lo in range(0, 64, 3):
+        if not len(at):
+            break
+        d = [diff(i, at) for i in range(lo, min(lo + 3, 64))]
+        if len(d) == 3:
+            half = d[0] ^ d[1]
+            add(0, half ^ d[2])
+            add(1, (d[0] & d[1]) | (half & d[2]))
+        else:
+            add(0, d[0])
+        if lo % 12 == 9:
+            some = (live & ~over) != 0
+            if not some.all():
+                at, live, over, count = at[some], live[some], over[some], count[:, some]
+    # the counter is exact where it has not run over: compare with the radius
+    above, equal = over.copy(), ~np.zeros(len(at), np.uint64)
+    for level in range(width - 1, -1, -1):
+        if radius >> level & 1:
+            equal &= count[level]
+        else:
+            above |= equal & count[level]
+            equal &= ~count[level]
+    hit = live & ~above
+    some = hit != 0
+    return at[some], hit[some]
+
+
 class Planes:
-    """Fingerprints as vertical bit planes; lane i is bit i % 64 of word i // 64."""
+    """One bucket, for comparing a pivot with all its live lanes."""
 
     def __init__(self, values: np.ndarray):
-        n = len(values)
-        self.n, words = n, -(-n // 64)
-        bits = np.zeros((words * 64, 64), np.uint8)
-        bits[:n] = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        packed = np.packbits(bits.T, axis=1, bitorder="little")            # plane by plane
-        self.planes = np.ascontiguousarray(packed).view("<u8").reshape(64, words)
-        self.live = np.zeros(words, np.uint64)
-        self.live[:] = ~np.uint64(0)
-        if n % 64:
-            self.live[-1] = (_ONE << np.uint64(n % 64)) - _ONE
+        self.planes = planes_of(values)
+        self.live = packed(np.ones(len(values), bool)).copy()
 
     def near(self, pivot: int, radius: int) -> np.ndarray:
-        """Live lanes within ``radius`` bits of the pivot. Differing planes are
-        added three at a time (carry-save) into a counter of bit planes that
-        saturates in ``over``; words without a lane left are dropped."""
-        width = max(1, int(radius).bit_length())
-        at = np.flatnonzero(self.live)
-        live = self.live[at]
-        count = np.zeros((width, len(at)), np.uint64)
-        over = np.zeros(len(at), np.uint64)
-
-        def add(level, plane):
-            nonlocal over
-            while level < width:
-                plane, count[level] = count[level] & plane, count[level] ^ plane
-                level += 1
-            over = over | plane
-
-        for lo in range(0, 64, 3):
-            d = [self.planes[i][at] ^ (~np.uint64(0) if pivot >> i & 1 else np.uint64(0)) for i in range(lo, min(lo + 3, 64))]
-            if len(d) == 3:
-                half = d[0] ^ d[1]
-                add(0, half ^ d[2])
-                add(1, (d[0] & d[1]) | (half & d[2]))
-            else:
-                add(0, d[0])
-            if lo % 12 == 9 or lo == 63:
-                left = live & ~over
-                some = left != 0
-                if not some.all():
-                    if not some.any():
-                        return np.zeros(0, np.int64)
-                    at, live, over, count = at[some], live[some], over[some], count[:, some]
-        # the counter is exact where it has not run over: compare with the radius
-        above, equal = over.copy(), ~np.zeros(len(at), np.uint64)
-        for level in range(width - 1, -1, -1):
-            if radius >> level & 1:
-                equal &= count[level]
-            else:
-                above |= equal & count[level]
-                equal &= ~count[level]
-        hit = live & ~above
-        words = np.flatnonzero(hit)
-        lanes = np.unpackbits(hit[words].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        w, b = np.nonzero(lanes)
-        return at[words[w]] * 64 + b
+        """Live lanes within ``radius`` bits of the pivot."""
+        full = ~np.uint64(0)
+        at, hit = within(lambda i, at: self.planes[i][at] ^ full if pivot >> i & 1 else self.planes[i][at], self.live, radius)
+        w, b = lanes_of(hit)
+        return at[w] * 64 + b
 
     def drop(self, lanes: np.ndarray) -> None:
         np.bitwise_and.at(self.live, lanes // 64, ~(_ONE << (lanes % 64).astype(np.uint64)))
 
 
-def links(values: np.ndarray, radius: int = RADIUS, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A forest of the links among distinct fingerprints. With ``side`` (0 or
-    1) links within a side are known elsewhere, but taken too."""
+def links(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """A forest of the links among the distinct fingerprints of one bucket."""
     planes, out = Planes(values), []
-    todo = list(range(len(values)))
     done = np.zeros(len(values), bool)
-    for first in todo:
+    for first in range(len(values)):
         if done[first]:
             continue
         done[first] = True
@@ -164,37 +181,79 @@ def links(values: np.ndarray, radius: int = RADIUS, side: np.ndarray | None = No
     return out
 
 
-def _compare(radius: int):
+def links_of_many(values: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """The same for many small buckets that stand one after the other, none
+    above 64 rows: all lanes are compared with the lanes t places on, for
+    every t, where both are of one bucket."""
+    planes = planes_of(values)
+    after = np.concatenate([planes[:, 1:], np.zeros((64, 1), np.uint64)], axis=1)
+    root, out = {}, []
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for t in range(1, min(64, len(values))):
+        same = np.zeros(len(values), bool)
+        same[:-t] = bucket[t:] == bucket[:-t]
+        if not same.any():
+            break
+        down, up = np.uint64(t), np.uint64(64 - t)
+        at, hit = within(lambda i, at: planes[i][at] ^ ((planes[i][at] >> down) | (after[i][at] << up)), packed(same), radius)
+        w, b = lanes_of(hit)
+        for i in (at[w] * 64 + b).tolist():
+            a, c = find(i), find(i + t)
+            if a != c:                 # one link fewer than a group has rows
+                root[max(a, c)] = min(a, c)
+                out.append((i, i + t))
+    return out
+
+
+def _compare(radius: int, batch_rows: int = 1 << 15):
     """Rows (bucket, fp) sorted by bucket; gives links (a, b)."""
     def run(batches):
-        held_key, held = None, []
+        small, small_rows = [], 0
+
+        def batch(values, pairs):
+            a, b = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(values[a].view(np.int64)), pa.array(values[b].view(np.int64))], names=["a", "b"])
 
-        def close():
+        def flush():
+            nonlocal small, small_rows
+            values = np.concatenate(small)
+            which = np.repeat(np.arange(len(small)), [len(x) for x in small])
+            small, small_rows = [], 0
+            return batch(values, links_of_many(values, which, radius))
+
+        def close(held):
+            nonlocal small_rows
             values = np.unique(np.concatenate(held)).view(np.uint64)
-            pairs = links(values, radius) if len(values) > 1 else []
-            a = values[[p for p, _ in pairs]].view(np.int64) if pairs else np.zeros(0, np.int64)
-            b = values[[q for _, q in pairs]].view(np.int64) if pairs else np.zeros(0, np.int64)
-            return a, b
-
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            fps = batch.column(1).to_numpy(zero_copy_only=False)
+            if 1 < len(values) <= 64:
+                small.append(values)
+                small_rows += len(values)
+                if small_rows >= batch_rows:
+                    yield flush()
+            elif len(values) > 64:
+                yield batch(values, links(values, radius))
+
+        held_key, held = None, []
+        for b in batches:
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            fps = b.column(1).to_numpy(zero_copy_only=False)
             cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            found = []
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(keys)]):
                 if hi == lo:
                     continue
-                if held_key is not None and keys[lo] != held_key:
-                    if len(held) > 1 or len(held[0]) > 1:
-                        found.append(close())
+                if held and keys[lo] != held_key:
+                    yield from close(held)
                     held = []
                 held_key = keys[lo]
                 held.append(fps[lo:hi])
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
         if held:
-            a, b = close()
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield from close(held)
+        if small:
+            yield flush()
     return run
 
 

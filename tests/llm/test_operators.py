@@ -594,6 +594,14 @@ def test_planes_and_links():
             assert set(planes.near(int(v[i]), radius).tolist()) == set(np.flatnonzero(far[i] <= radius).tolist())
         pairs = [(i, j) for i in range(len(v)) for j in range(i) if far[i, j] <= radius]
         assert groups(len(v), pairs) == groups(len(v), simhash.links(v, radius))
+        # the same rows dealt to small buckets at random
+        bucket = np.sort(rng.integers(0, len(v) // 20, len(v)))
+        mixed = rng.permutation(v)
+        far2 = np.bitwise_count(mixed[:, None] ^ mixed[None, :])
+        inside = [(i, j) for i in range(len(v)) for j in range(i) if far2[i, j] <= radius and bucket[i] == bucket[j]]
+        got = simhash.links_of_many(mixed, bucket, radius)
+        assert all(far2[a, b] <= radius and bucket[a] == bucket[b] for a, b in got) and len(got) < len(v)
+        assert groups(len(v), inside) == groups(len(v), got)
 
 
 @pytest.mark.parametrize("block", [simhash.BLOCK, 8])
