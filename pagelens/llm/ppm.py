@@ -33,7 +33,8 @@ from pagelens.llm import common
 ORDER, MAX_PAIRS = 5, 1 << 21
 FREQUENT = 300_000        # words in the broadcast, about
 FLUSH_WORDS = 400_000     # words a task holds before it hands on sums
-SLICE = 1 << 21           # positions handled at once
+SLICE = 1 << 19           # positions scored at once: tables and slice share the cache
+COUNTED = 1 << 20         # positions counted at once
 END = 0                   # byte that ends a text
 
 
@@ -79,12 +80,12 @@ def _count_grams(order: int):
 
         for b in batches:
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(0)]
-            for group, _ in pieces(texts, order):
+            for group, _ in pieces(texts, order, COUNTED):
                 k, c = np.unique(grams_of(group, order)[0], return_counts=True)
                 both, where = np.unique(np.concatenate([keys, k]), return_inverse=True)
                 counts = np.bincount(where, weights=np.concatenate([counts, c]).astype(float), minlength=len(both)).astype(np.int64)
                 keys = both
-                if len(keys) > 1_500_000:
+                if len(keys) > 1_000_000:
                     yield batch(keys, counts)
                     keys, counts = keys[:0], counts[:0]
         yield batch(keys, counts)
@@ -112,16 +113,15 @@ class _Table:
     """Row number by 64-bit key: open addressing, looked up by the array."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
+        self.keys = keys
+        bits = max(4, (len(keys) * 4 // 3 + 1).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.row = np.full(1 << bits, -1, np.int32)
-        self.key = np.zeros(1 << bits, np.uint64)
-        todo = np.arange(len(keys))
+        todo = np.arange(len(keys), dtype=np.int32)
         slot = self._slot(keys)
         while len(todo):
             free = self.row[slot] < 0
             self.row[slot[free]] = todo[free]             # of several, the last stays
-            self.key[slot[free]] = keys[todo[free]]
             rest = self.row[slot] != todo
             todo, slot = todo[rest], (slot[rest] + 1) & self.mask
 
@@ -129,18 +129,20 @@ class _Table:
         with np.errstate(over="ignore"):
             x = keys * np.uint64(0x9E3779B97F4A7C15)
             x ^= x >> np.uint64(29)
-            return ((x * np.uint64(0xBF58476D1CE4E5B9)) >> self.shift).astype(np.int64)
+            return ((x * np.uint64(0xBF58476D1CE4E5B9)) >> self.shift).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row numbers; -1 where a key is not there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
         slot = self._slot(keys)
         row = self.row[slot]
-        out = np.where(self.key[slot] == keys, row, -1)
+        out = np.where(self.keys[row] == keys, row, -1)    # an empty slot reads the last key: its row is -1 all the same
         open_ = np.flatnonzero((row >= 0) & (out < 0))
         while len(open_):
             slot_ = slot[open_] = (slot[open_] + 1) & self.mask
             row = self.row[slot_]
-            hit = (row >= 0) & (self.key[slot_] == keys[open_])
+            hit = (row >= 0) & (self.keys[row] == keys[open_])
             out[open_[hit]] = row[hit]
             open_ = open_[~hit & (row >= 0)]
         return out
@@ -153,22 +155,29 @@ class Model:
         self.order = order
         keys, counts = grams.astype(np.uint64), counts.astype(np.int64)
         self.levels: list = [None] * (order + 1)
+        above = None            # the level above: keys, context of each, and the level
         for k in range(order, -1, -1):
-            mask = np.uint64((1 << (8 * (k + 1))) - 1) if k < 7 else ~np.uint64(0)
-            keys, where = np.unique(keys & mask, return_inverse=True)
-            counts = np.bincount(where, weights=counts.astype(float), minlength=len(keys)).astype(np.int64)
+            if k < order:
+                mask = np.uint64((1 << (8 * (k + 1))) - 1)
+                keys, where = np.unique(keys & mask, return_inverse=True)
+                counts = np.bincount(where, weights=counts, minlength=len(keys))
+                del where
+            else:
+                at = np.argsort(keys)
+                keys, counts = keys[at], counts[at]
+                del at
             context, ctx_of = np.unique(keys >> np.uint64(8), return_inverse=True)
-            total = np.bincount(ctx_of, weights=counts.astype(float), minlength=len(context))
+            ctx_of = ctx_of.astype(np.int32)
+            total = np.bincount(ctx_of, weights=counts, minlength=len(context))
             kinds = np.bincount(ctx_of, minlength=len(context)).astype(float)
-            self.levels[k] = {"pairs": _Table(keys), "count": counts.astype(float), "contexts": _Table(context), "total": total, "kinds": kinds,
-                              "first": np.log10(counts / (total + kinds)[ctx_of]) if len(keys) else np.zeros(0), "keys": keys, "ctx_of": ctx_of}
-        for k in range(order, 0, -1):
-            up, low = self.levels[k], self.levels[k - 1]
-            mask = np.uint64((1 << (8 * k)) - 1)
-            inside = low["count"][low["pairs"].find(up["keys"] & mask)] if len(up["keys"]) else np.zeros(0)
-            up["own"] = np.bincount(up["ctx_of"], weights=inside, minlength=len(up["total"]))
-        for level in self.levels:
-            del level["keys"], level["ctx_of"]
+            level = self.levels[k] = {
+                "pairs": _Table(keys), "count": counts.astype(np.float32), "contexts": _Table(context), "total": total, "kinds": kinds,
+                "first": np.log10(counts / (total + kinds)[ctx_of]).astype(np.float32) if len(keys) else np.zeros(0, np.float32)}
+            if above is not None:
+                up_keys, up_ctx, up = above
+                inside = counts[level["pairs"].find(up_keys & mask)] if len(up_keys) else np.zeros(0)
+                up["own"] = np.bincount(up_ctx, weights=inside, minlength=len(up["total"]))
+            above = keys, ctx_of, level
 
     def log10(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each gram, given the rest."""
@@ -239,8 +248,6 @@ _loaded: dict = {}
 
 def _score(shared):
     names = ["row", "id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
-    rare_kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
-
     def run(batches):
         key, order, grams, counts, words, freq = shared.value
         if key not in _loaded:
@@ -251,18 +258,24 @@ def _score(shared):
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
                 texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in part.column(3)]
-                out: list = [[], [], [], []]
+                n, n_known, base, ends, tokens, times = [], [], [], [0], [], []
                 for x in texts:
                     w = x.lower().split()
                     w.append(b"")
                     c = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
                     seen = c > 0
-                    rare = Counter(w[i] for i in np.flatnonzero(~seen).tolist())
-                    for col, v in zip(out, (len(w), int(seen.sum()), float(np.log10(c[seen] + 0.5).sum()), [{"token": t, "n": n} for t, n in rare.items()])):
-                        col.append(v)
+                    rare = Counter([w[i] for i in np.flatnonzero(~seen).tolist()])
+                    n.append(len(w))
+                    n_known.append(int(seen.sum()))
+                    base.append(float(np.log10(c[seen] + 0.5).sum()))
+                    tokens.extend(rare.keys())
+                    times.extend(rare.values())
+                    ends.append(len(tokens))
+                pairs = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(times, pa.int64())], names=["token", "n"])
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(1), part.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
-                    pa.array(out[2], pa.float64()), pa.array(model.score(texts), pa.float64()), pa.array(out[3], rare_kind)], names=names)
+                    part.column(0), part.column(1), part.column(2), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()),
+                    pa.array(base, pa.float64()), pa.array(model.score(texts), pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=names)
     return run
 
 
