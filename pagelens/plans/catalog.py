@@ -299,11 +299,15 @@ def q_llm_token_report(spark, sf):
 SELECT conv_id, CAST(count(*) + 1 AS INTEGER) AS n_messages,
        CAST(ceil(sum(length(text)) / 3.0) AS BIGINT) AS tokens,
        greatest(4096, least(CAST(ceil(CAST(ceil(sum(length(text)) / 3.0) AS BIGINT) * 1.5) AS BIGINT), 131072))
-         AS num_ctx
+         AS num_ctx,
+       sha256('{"model":"' || """ + f"'{LL.DEFAULT_MODEL}'" + """ || '","messages":[{"role":"system","content":' || CAST(to_json(""" + "'" + LL.SYSTEM_PROMPT.replace("'", "''") + "'" + """) AS VARCHAR) || '},'
+         || string_agg('{"role":' || CAST(to_json(role) AS VARCHAR) || ',"content":' || CAST(to_json(text) AS VARCHAR) || '}', ',' ORDER BY turn)
+         || '],"options":{"temperature":0.0,"num_ctx":' || greatest(4096, least(CAST(ceil(CAST(ceil(sum(length(text)) / 3.0) AS BIGINT) * 1.5) AS BIGINT), 131072))
+         || '}}') AS request_sha
 FROM conversations GROUP BY conv_id""")
 def q_chat_requests(spark, sf):
     c = LB.chat_requests(read_table(spark, sf, "conversations"))
-    return c.select("conv_id", (F.col("n_messages") + 1).alias("n_messages"), "tokens", "num_ctx")
+    return c.select("conv_id", (F.col("n_messages") + 1).alias("n_messages"), "tokens", "num_ctx", F.sha2("request", 256).alias("request_sha"))
 
 
 # B: request table ---------------------------------------------------------------
@@ -444,13 +448,16 @@ WITH h AS ({_HIST_SRC}),
 l AS (SELECT *, row_number() OVER (PARTITION BY url, mode ORDER BY ts DESC, id DESC) AS rn FROM h)
 SELECT id, url, mode, ts FROM l WHERE rn = 1 ORDER BY ts DESC, id DESC LIMIT 20""")
 def q_history_latest(spark, sf):
+    return RP.upsert_history(_history_entries(spark, sf))
+
+
+def _history_entries(spark, sf):
     e = read_table(spark, sf, "events")
-    h = e.select(F.col("event_id").alias("id"),
+    return e.select(F.col("event_id").alias("id"),
                  F.concat(F.lit("https://example.org/u/"), F.col("user_id"), F.lit("/"), F.col("event_type"))
                  .alias("url"),
                  F.when(F.col("event_type").isin("click", "view"), F.lit("render")).otherwise(F.lit("extract"))
                  .alias("mode"), "ts")
-    return RP.upsert_history(h)
 
 
 @register("recency_labels", f"""
@@ -627,7 +634,7 @@ s AS (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL '5
 SELECT min(ts) AS window_start, max(ts) + INTERVAL '5 minutes' AS window_end, user_id, count(*) AS n
 FROM s GROUP BY user_id, sid""")
 def q_user_sessions(spark, sf):
-    return SJ.outcome_rates(read_table(spark, sf, "events"), "session", "5 minutes", by="user_id", delay=None)
+    return SJ.sessions(read_table(spark, sf, "events"), "user_id", "5 minutes")
 
 
 # Model replies joined back by request id -------------------------------
@@ -712,3 +719,103 @@ def q_extract_envelopes(spark, sf):
     ok, blocked = RQ.split_captcha(pages, PR.get_profile("google_web").captcha_patterns)
     res, sugg = PR.extract(ok, "google_web")
     return RP.extract_envelope(pages, res, sugg, blocked)
+
+
+# L1-L3: streams run to the end of what is there, their sinks read back --------------
+def _stream_folder(spark, name):
+    import uuid
+
+    from pagelens.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+
+
+@register("stream_search_results", FX.SEARCH_RESULTS_SQL)
+def q_stream_search_results(spark, sf):
+    """L1: the search pages arrive as files."""
+    at = _stream_folder(spark, "extract")
+    pages = FX.search_pages(read_table(spark, sf, "documents"))
+    pages.withColumns({"status": F.lit(200), "final_url": F.col("url")}).write.parquet(f"{at}/in")
+    SJ.stream_extract(SJ.read_page_stream(spark, f"{at}/in"), "google_web", f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out/results").select(*RESULT_OUT)
+
+
+@register("stream_history_latest", ORACLES["history_latest"])
+def q_stream_history_latest(spark, sf):
+    """L2: history entries arrive as files, a few at a time."""
+    at = _stream_folder(spark, "history")
+    h = _history_entries(spark, sf)
+    h.repartition(3, "id").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(h.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    SJ.stream_history(stream, f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return SJ.read_history(spark, f"{at}/table", h.schema)
+
+
+@register("stream_first_sightings", "SELECT DISTINCT user_id FROM events")
+def q_stream_first_sightings(spark, sf):
+    """L3: one row for each key of the stream."""
+    at = _stream_folder(spark, "dedupe")
+    e = read_table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    e.write.parquet(f"{at}/in")
+    first = SJ.stream_dedupe(spark.readStream.schema(e.schema).parquet(f"{at}/in"), "user_id", "ts", "36500 days")
+    (first.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{at}/out").select("user_id")
+
+
+# A1, A2, B4b, B6, G1 and E16 ------------------------------------------------------------
+from pagelens.sources import pages as SP  # noqa: E402
+
+
+@register("scrape_replies", """
+SELECT url, html, CAST(CASE WHEN page_id % 3 = 0 THEN 0 ELSE 200 END AS INTEGER) AS status FROM pages WHERE html IS NOT NULL AND html <> ''
+UNION ALL SELECT url, html || '<!-- again -->', 200 FROM pages WHERE page_id % 2 = 0""")
+def q_scrape_replies(spark, sf):
+    """A1: replies as JSON lines; every second url is scraped twice with other
+    content, every fifth reply is delivered twice. A2: none lacks html."""
+    at = _stream_folder(spark, "replies")
+    p = read_table(spark, sf, "pages")
+    reply = p.select("url", "html", F.when(F.col("page_id") % 3 != 0, 200).cast("int").alias("status"), "page_id")
+    again = reply.where("page_id % 2 = 0").select("url", F.concat("html", F.lit("<!-- again -->")).alias("html"), F.lit(200).alias("status"), "page_id")
+    reply.unionByName(again).unionByName(reply.where("page_id % 5 = 0")).drop("page_id").write.json(at)
+    got = SP.read_scrape_replies(spark, at)
+    ok, _ = SP.split_missing_html(got)
+    return ok.join(SP.check_page_ids(got).select("page_id"), "page_id", "left_anti").select("url", "html", "status")
+
+
+@register("request_ranges", """
+WITH r AS (SELECT page_id, CASE WHEN page_id % 6 = 5 THEN 'not a url' ELSE url END AS url, page_id % 40 - 4 AS wait,
+    CASE WHEN page_id % 4 = 0 THEN NULL ELSE page_id * 977 % 130000 END AS timeout FROM pages),
+c AS (SELECT page_id, CASE WHEN url = 'not a url' THEN 'invalid url' WHEN wait < 0 OR wait > 30 THEN 'wait out of range'
+    WHEN timeout < 1000 OR timeout > 120000 THEN 'timeout out of range' END AS reason FROM r)
+SELECT page_id, reason, reason IS NULL AS valid FROM c""")
+def q_request_ranges(spark, sf):
+    r = read_table(spark, sf, "pages").select(
+        "page_id", F.when(F.col("page_id") % 6 == 5, "not a url").otherwise(F.col("url")).alias("url"), (F.col("page_id") % 40 - 4).alias("wait"),
+        F.when(F.col("page_id") % 4 != 0, F.col("page_id") * 977 % 130000).alias("timeout"))
+    return RQ.range_checks(r).select("page_id", "reason", "valid")
+
+
+@register("engine_names", """
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'ai' ELSE 'standard' END AS engine FROM documents""")
+def q_engine_names(spark, sf):
+    asked = F.element_at(F.array(F.lit("ai"), F.lit("AI"), F.lit(""), F.lit(None)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return read_table(spark, sf, "documents").select("doc_id", PS.normalise_engine(asked).alias("engine"))
+
+
+@register("ai_requests", f"""
+WITH c AS ({ORACLES["page_markdown"]}),
+p AS (SELECT page_id, content, {_duck_strip_images("CASE WHEN length(content) > 1536 THEN left(content, 1536) ELSE content END")} AS prompt FROM c)
+SELECT page_id, length(content) AS input_chars, length(content) > 1536 AS truncated, CAST(ceil(length(prompt) / 3.0) AS BIGINT) AS tokens, sha256(prompt) AS prompt_sha
+FROM p""")
+def q_ai_requests(spark, sf):
+    """G1 end to end: pages -> clean -> markdown without images -> request."""
+    out = PS.process(read_table(spark, sf, "pages"), "markdown", "ai", images=True)
+    r = LB.plan_requests(out, "content", "page_id", LL.DEFAULT_MODEL, 512)
+    return r.select(F.col("key").alias("page_id"), "input_chars", "truncated", "tokens", F.sha2("prompt", 256).alias("prompt_sha"))
+
+
+@register("page_link_density", FX.LINK_DENSITY_SQL)
+def q_page_link_density(spark, sf):
+    pages = FX.content_pages(read_table(spark, sf, "documents"))
+    nodes = PS.content_nodes_table(pages)
+    return CT.link_density(pages, nodes).select("page_id", "link_words", "words")

@@ -463,3 +463,6 @@ FROM documents"""
 CONTENT_METADATA_SQL = """SELECT doc_id AS page_id, 'OG ' || doc_id AS title, 'Author ' || lang AS author, 'About & ' || doc_id AS description,
   '2024-01-02T00:00:' || doc_id AS published, 'c.example.org' AS domain, 'Site ' || lang AS site FROM documents"""
 CONTENT_LINKS_SQL = f"SELECT doc_id AS page_id, {_HREF_RAW_SQL} AS href, {_HREF_SQL} AS url, 'link ' || doc_id AS text FROM documents"
+# words outside scripts: two of every planted two-word piece, the fixed ones, and the text's own
+LINK_DENSITY_SQL = f"""SELECT doc_id AS page_id, CAST(2 AS BIGINT) AS link_words,
+  CAST(48 + len(list_filter(regexp_split_to_array(left(text, 300), '[{JS_WS_CLASS}]+'), lambda x: x <> '')) AS BIGINT) AS words FROM documents"""

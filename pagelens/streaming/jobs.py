@@ -15,7 +15,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelens.operators import profiles as PR
@@ -128,3 +128,19 @@ def outcome_rates(df: DataFrame, kind: str = "tumbling", size: str = "10 minutes
     g = df.groupBy(w.alias("w"), F.col(by))
     return g.agg(F.count(F.lit(1)).alias("n")).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), by, "n")
+
+
+def sessions(df: DataFrame, by: str, gap: str, event_time: str = "ts", slice_unit: str = "hour") -> DataFrame:
+    """L4, batch form for sessions that may be very large: sessions within
+    (key, time slice) first, so that a key's events are spread over its
+    slices, then the slices' sessions of a key are joined where they touch.
+    What meets in one task is a key's sessions, whose number is bounded by
+    time, not by events. Same result as ``outcome_rates(kind='session')``."""
+    part = df.groupBy(F.col(by), F.date_trunc(slice_unit, F.col(event_time)).alias("_slice"), F.session_window(event_time, gap).alias("w")).agg(
+        F.count(F.lit(1)).alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    order = Window.partitionBy(by).orderBy("start", "end")
+    so_far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(so_far.isNull() | (F.col("start") >= so_far), 1).otherwise(0)
+    numbered = part.withColumn("_new", opens).withColumn("_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(by, "_no").agg(F.min("start").alias("window_start"), F.max("end").alias("window_end"), F.sum("n").alias("n")).select(
+        "window_start", "window_end", by, "n")
