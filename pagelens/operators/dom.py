@@ -250,8 +250,9 @@ def text_nodes(nodes: DataFrame, drop_tags=()) -> DataFrame:
 def subtree_text(nodes: DataFrame, targets: DataFrame, tid: str = "tid",
                  drop_tags=(), tags=None) -> DataFrame:
     """D6/D7 raw: ``targets(page_id, tid)`` -> ``(page_id, tid, text)`` with
-    the text of all text nodes below the target in document order.
-    Targets without any text node are absent (callers left-join and
+    the text of all text nodes below the target in document order (without
+    ``targets``: below every element with one of ``tags``). Targets without any
+    text node are absent (callers left-join and
     coalesce to ''). ``tags``: the possible target tags; text
     nodes without such an ancestor are dropped before the explode and the
     exploded ancestors are filtered by tag before the join."""
@@ -259,7 +260,7 @@ def subtree_text(nodes: DataFrame, targets: DataFrame, tid: str = "tid",
     if tags:
         t = t.filter(F.arrays_overlap("anc_tags", _tag_array(tags)))
     ex = t.select("page_id", "open_pos", "text", F.explode(anc_ids(tags)).alias(tid))
-    joined = ex.join(targets.select("page_id", tid), ["page_id", tid], "left_semi")
+    joined = ex if targets is None else ex.join(targets.select("page_id", tid), ["page_id", tid], "left_semi")
     return joined.groupBy("page_id", tid).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("open_pos", "text"))),
                                  lambda x: x["text"]), "").alias("text"))

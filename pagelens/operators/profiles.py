@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelens.functions.text import (base64url_to_latin1, decode_uri_component,
+from pagelens.functions.text import (JS_WS_CLASS, base64url_to_latin1, decode_uri_component,
                                      js_collapse_ws, js_trim, latin1_to_utf8)
 from pagelens.operators import dom
 from pagelens.operators.nodes import node_table, to_nodes
@@ -290,39 +290,41 @@ DEBENTURE_KEYS = [k for _, k in DEBENTURE_FIELDS]
 
 
 def _debenture_cards(nodes: DataFrame):
-    cards = dom.select(nodes, "li.list-item__container").select(
-        "page_id", F.col("node_id").alias("cid"), F.col("open_pos").alias("cpos"))
-    anchors = dom.select(nodes, "h2.list-item__title a").withColumn("href", F.col("attrs")["href"])
-    first_a = dom.first_within(anchors, cards, ["node_id", "href"], container_tags={"li"})
-    txt = dom.text_trim(nodes, first_a.select("page_id", F.col("node_id").alias("tid")), tags={"a"})
-    first_a = first_a.join(txt.withColumnRenamed("tid", "node_id"), ["page_id", "node_id"])
-    ticker = F.split(F.col("text"), r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}"
-                                     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]")[0]
-    raw_cards = cards
-    cards = cards.join(first_a, ["page_id", "cid"]).withColumn("title", ticker).filter(
-        (F.col("title") != "") & F.col("href").isNotNull() & (F.col("href") != ""))
-
-    # each dl inside the card: first dt -> key, first dd -> value. The
-    # dl rows hang off the raw card selection (one scan); rows of rejected
-    # cards fall away when the caller joins to ``cards``.
-    dls = dom.within(dom.select(nodes, "dl").select("page_id", "node_id", "open_pos", "anc", "anc_tags"),
-                     raw_cards.select("page_id", "cid"), container_tags={"li"}).select(
-        "page_id", "cid", F.col("node_id").alias("dl_id"), F.col("open_pos").alias("dl_pos"))
-    # first dt and first dd of every dl in one pass (grouped by dl and tag)
-    cells = nodes.filter((F.col("kind") == "el") & F.col("tag").isin("dt", "dd")).select(
-        "page_id", "node_id", "tag", "open_pos", "anc", "anc_tags")
-    cells = dom.within(cells, dls.select("page_id", F.col("dl_id").alias("cid")), container_tags={"dl"})
-    cells = cells.groupBy("page_id", F.col("cid").alias("dl_id"), "tag").agg(
-        F.min_by("node_id", "open_pos").alias("tid"))
-    texts = dom.text_trim(nodes, cells, tags={"dt", "dd"})
-    cells = cells.join(texts, ["page_id", "tid"], "left")
-    per_dl = cells.groupBy("page_id", "dl_id").agg(
-        F.max(F.when(F.col("tag") == "dt", F.col("text"))).alias("label"),
-        F.max(F.when(F.col("tag") == "dd", F.coalesce("text", F.lit("")))).alias("value"),
-        F.max((F.col("tag") == "dt").cast("int")).alias("has_dt"))
+    """(cards, field values) from three passes over the node table: the card
+    and title ids of each page, the elements of cards, and the texts of their
+    links and cells."""
+    own = F.col("kind") == "el"
+    sets = nodes.filter(own & F.col("tag").isin("li", "h2")).groupBy("page_id").agg(
+        F.collect_set(F.when((F.col("tag") == "li") & F.array_contains("classes", "list-item__container"), F.col("node_id"))).alias("card_ids"),
+        F.collect_set(F.when((F.col("tag") == "h2") & F.array_contains("classes", "list-item__title"), F.col("node_id"))).alias("title_ids")
+    ).filter(F.size("card_ids") > 0)
+    el = nodes.filter(own & F.col("tag").isin("li", "a", "dl", "dt", "dd")).select(
+        "page_id", "node_id", "tag", "open_pos", F.col("attrs")["href"].alias("href"), "anc", dom.anc_ids({"dl"}).alias("dl_ids"))
+    el = el.join(sets, "page_id").withColumn("cids", F.array_intersect("anc", "card_ids"))
+    tag = F.col("tag")
+    el = el.filter(((tag == "li") & F.array_contains("card_ids", F.col("node_id")))
+                   | ((tag == "a") & (F.size("cids") > 0) & F.arrays_overlap("anc", "title_ids"))
+                   | ((tag == "dl") & (F.size("cids") > 0)) | (tag.isin("dt", "dd") & (F.size("dl_ids") > 0)))
+    # every element of interest with its text, once
+    text = dom.subtree_text(nodes, None, "node_id", tags={"a", "dt", "dd"})
+    el = el.drop("anc", "card_ids", "title_ids").join(text, ["page_id", "node_id"], "left").withColumn("text", js_trim(F.coalesce("text", F.lit(""))))
+    # one aggregate per container: a card's first link, a list's first cells
+    keyed = el.select("*", F.when(tag == "li", F.array("node_id")).when(tag == "a", F.col("cids")).when(tag == "dl", F.array("node_id"))
+                      .otherwise(F.col("dl_ids")).alias("boxes")).select("*", F.explode("boxes").alias("box"))
+    first = lambda t, *cols: F.min_by(F.struct(*cols), F.when(tag == t, F.col("open_pos")))
+    box = keyed.groupBy("page_id", "box").agg(
+        F.max(F.when(tag == "li", F.col("open_pos"))).alias("cpos"), first("a", "href", "text").alias("a"),
+        F.max(F.when(tag == "dl", F.col("open_pos"))).alias("dl_pos"), F.max(F.when(tag == "dl", F.col("cids"))).alias("cids"),
+        first("dt", "text").alias("dt"), first("dd", "text").alias("dd"))
+    ticker = F.split(F.col("a.text"), f"[{JS_WS_CLASS}]")[0]
+    cards = box.filter(F.col("cpos").isNotNull() & F.col("a").isNotNull()).select(
+        "page_id", F.col("box").alias("cid"), "cpos", F.col("a.href").alias("href"), ticker.alias("title")).filter(
+        (F.col("title") != "") & (F.coalesce("href", F.lit("")) != ""))
+
+    # each dl inside a card: first dt -> key, first dd -> value
+    kv = box.filter(F.col("dl_pos").isNotNull() & F.col("dt").isNotNull()).select(
+        "page_id", F.explode("cids").alias("cid"), "dl_pos", F.col("dt.text").alias("label"), F.col("dd.text").alias("value"))
     fmap = F.create_map(*[x for lab, key in DEBENTURE_FIELDS for x in (F.lit(lab), F.lit(key))])
-    kv = dls.join(per_dl.filter(F.col("has_dt") == 1), ["page_id", "dl_id"])
-    kv = kv.withColumn("label", F.coalesce("label", F.lit("")))
     kv = kv.withColumn("key", fmap[F.lower("label")]).filter(F.col("key").isNotNull())
     kv = kv.withColumn("value", F.coalesce("value", F.lit("")))
     kv = kv.withColumn("value", F.when(F.col("value") == "-", F.lit("")).otherwise(F.col("value")))
