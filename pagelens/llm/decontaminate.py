@@ -30,7 +30,7 @@ SEED, COVERAGE = 5, 0.5
 FILTER_BITS = 1 << 26        # 8 MB, whatever the benchmark
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 200_000
 
 
 class _Hashes(dict):

@@ -1,6 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
-Training (labelled rows only):
+Training (labelled rows only, one of each group of copies: a passage that is
+copied a hundred times is one observation, not a hundred):
 
 1. Every word gives features: the word itself and its prefixes of 4 to 8
    characters (invented or inflected abuse shares stems). A document counts a
@@ -43,6 +44,9 @@ MAX_TRAIN_ROWS = 30_000    # bound of the labelled sample (expected size)
 FLUSH = 300_000            # features a task holds before it hands on partial sums
 THRESHOLD = 0.7
 MIN_E = 1e-280
+MIN_Z, MIN_WEIGHT = 3.0, 1.0
+TAIL = 0.99                # quantile of clean texts at which K is fitted, beside the mean
+MOST = 2.0                 # most that one document counts a feature
 
 
 @dataclass
@@ -67,7 +71,20 @@ def features(text: str):
             if len(w) < k:
                 break
             out[w[:k]] += n
-    return {f: min(math.log2(1 + n), 2.0) for f, n in out.items()}
+    return {f: min(math.log2(1 + n), MOST) for f, n in out.items()}
+
+
+def sketches(text: str) -> list[int]:
+    """Three min-hashes of the five-word shingles: copies agree in them."""
+    from xxhash import xxh64_intdigest
+    words = text.lower().split()
+    h = np.array([xxh64_intdigest(" ".join(words[i:i + 5]).encode("utf-8", "surrogatepass"), 1) for i in range(max(1, len(words) - 4))], np.uint64)
+    out = []
+    with np.errstate(over="ignore"):
+        for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
+            x = h * np.uint64(m)
+            out.append(int((x ^ (x >> np.uint64(31))).min().astype(np.int64)))
+    return out
 
 
 def word_weight(word: str, weights: dict, gap: float) -> float:
@@ -88,7 +105,7 @@ class _Cache(dict):
         self.model = model
 
     def __missing__(self, word):
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = v = word_weight(word, self.model.weights, self.model.gap)
         return v
@@ -169,21 +186,24 @@ def score_text(text: str | None, model: Model, cache: _Cache):
     return posterior(p, model.prior), [x for x in found if x[2] <= model.alpha]
 
 
-def weigh(rows, n_toxic: float, n_clean: float, alpha0: float = 100.0, min_z: float = 2.6):
-    """Feature weights from (feature, toxic count, clean count)."""
+def weigh(rows, n_toxic: float, n_clean: float, alpha0: float = 100.0, min_z: float = MIN_Z, min_weight: float = MIN_WEIGHT):
+    """Feature weights from (feature, toxic count, clean count); ``n_toxic``
+    and ``n_clean`` are the most that a feature could have, so that a class of
+    longer texts does not raise every common word. A weight must matter, not
+    only be certain: small shifts of a whole language carry none."""
     total = n_toxic + n_clean
     out = {}
     for f, t, c in rows:
-        a = 0.5 + alpha0 * (t + c) / total
+        a = 0.5 + alpha0 * (t + c) / max(total, 1.0)
         t, c = t + a, c + a
-        nt, nc = n_toxic + alpha0, n_clean + alpha0
-        delta = math.log(t / max(nt - t, 1e-9)) - math.log(c / max(nc - c, 1e-9))
+        nt, nc = n_toxic + 2 * a + 1, n_clean + 2 * a + 1
+        delta = math.log(t / (nt - t)) - math.log(c / (nc - c))
         sd = math.sqrt(1 / t + 1 / c)
         z = delta / sd
-        if z >= min_z:
-            out[f] = (delta - sd if delta > sd else 0.0, z)
-        elif z <= -min_z:
-            out[f] = (max(delta + sd, -2.0) if delta < -sd else 0.0, z)
+        if z >= min_z and delta - sd >= min_weight:
+            out[f] = (delta - sd, z)
+        elif z <= -min_z and delta + sd <= -min_weight:
+            out[f] = (max(delta + sd, -2.0), z)
     return out
 
 
@@ -245,8 +265,25 @@ def _background(models):
     return run
 
 
+def _sketch(text: str):
+    @F.arrow_udf("array<long>")
+    def sketch(texts: pa.Array) -> pa.Array:
+        return pa.array([sketches(t.as_py() or "") for t in texts], pa.list_(pa.int64()))
+    return sketch(text)
+
+
+def _without_copies(table: DataFrame) -> DataFrame:
+    """Rows of the bounded sample whose id is the smallest of its class with
+    each of its sketches."""
+    left = table.select("id", "label", "k")
+    for j in range(3):
+        least = left.groupBy("label", F.col("k")[j].alias("kj")).agg(F.min("id").alias("id")).select("id")
+        left = left.join(F.broadcast(least), "id", "left_semi")
+    return table.join(F.broadcast(left.select("id")), "id", "left_semi").select("text", "fold", "label")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic",
-          max_rows: int = MAX_TRAIN_ROWS, min_z: float = 3.0, gap: float = 0.1, usable=None) -> Model:
+          max_rows: int = MAX_TRAIN_ROWS, min_z: float = MIN_Z, gap: float = 0.1, usable=None) -> Model:
     """Fit the model on labelled rows that ``usable`` (a condition on the id)
     admits, at most about ``max_rows`` of them by a hash of the id.
 
@@ -261,24 +298,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     share = min(1.0, max_rows / max(1, rows.count()))
     sample = rows.where(h < F.lit(int(share * (1 << 30)))).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(2)).cast("int"))
-    counted = sample.groupBy("label").count().collect()
-    size = {r["label"]: r["count"] for r in counted}
-    # the sample is bounded by max_rows, so its ids may be broadcast
+    # the sample is bounded by max_rows, so its ids may be broadcast; a
+    # repeated id counts once
     table = common.written(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .join(F.broadcast(sample), "id").select("text", "fold", "label").repartition(max(1, min(64, spark.sparkContext.defaultParallelism * 2))),
-        "toxicity-train")
+        .join(F.broadcast(sample), "id").groupBy("id", "fold", "label").agg(F.min("text").alias("text"))
+        .select("id", "fold", "label", "text", _sketch("text").alias("k")), "toxicity-sample")
+    table = _without_copies(table)
     sums = common.written(
         table.select("text", "fold", "label").mapInArrow(_count_features, "feature string, fold int, label int, n double")
         .groupBy("feature").agg(*[
             F.sum(F.when((F.col("fold") == f) & (F.col("label") == y), F.col("n")).otherwise(0.0)).alias(f"n{f}{y}")
             for f in (0, 1) for y in (0, 1)]), "toxicity-features")
-    tot = sums.where(F.col("feature").startswith("=")).agg(*[F.sum(f"n{f}{y}").alias(f"n{f}{y}") for f in (0, 1) for y in (0, 1)]).first()
-    n = {k: float(tot[k] or 0.0) for k in ("n00", "n01", "n10", "n11")}
+    counted = table.groupBy("fold", "label").count().collect()
+    docs_of = {(r["fold"], r["label"]): r["count"] for r in counted}
+    n = {f"n{f}{y}": MOST * docs_of.get((f, y), 0) for f in (0, 1) for y in (0, 1)}
     # a feature of fewer than two toxic and six clean counts cannot reach min_z
     rough = sums.where((F.col("n01") + F.col("n11") >= 2) | (F.col("n00") + F.col("n10") >= 6))
     t, c = F.col("n01") + F.col("n11") + 0.5, F.col("n00") + F.col("n10") + 0.5
-    nt, nc = n["n01"] + n["n11"] + 1, n["n00"] + n["n10"] + 1
+    nt, nc = n["n01"] + n["n11"] + 1.0, n["n00"] + n["n10"] + 1.0
     z = F.abs(F.log(t / nt) - F.log(c / nc)) / F.sqrt(1 / t + 1 / c)
     best = rough.withColumn("z", z).where(F.col("z") >= min_z * 0.6).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
     def half(f):
@@ -286,13 +324,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     whole = weigh(((r["feature"], r["n01"] + r["n11"], r["n00"] + r["n10"]) for r in best), n["n01"] + n["n11"], n["n00"] + n["n10"], min_z=min_z)
     model = Model(whole, gap)
     crossed = common.broadcast(spark, [Model(half(1), gap), Model(half(0), gap)])
-    back = common.written(table.where("label = 0").select("text", "fold").mapInArrow(_background(crossed), "kind int, x double, y double"), "toxicity-background")
+    clean = table.where("label = 0").select("text", "fold")
+    back = common.written(clean.mapInArrow(_background(crossed), "kind int, x double, y double"), "toxicity-background")
     hist = {r["x"]: r["n"] for r in back.where("kind = 0").groupBy("x").agg(F.sum("y").alias("n")).collect()}
     if hist and any(s > 0 for s in hist):
         model.lam = solve_lambda(hist)
-        mean = back.where("kind = 1").agg(F.avg(F.lit(model.lam) * F.col("y") - F.log("x"))).first()[0]
-        model.log_k = float(mean) - 0.5772156649
-    model.prior = (size.get(1, 0) + 1) / (size.get(0, 0) + size.get(1, 0) + 2)
+        top = F.lit(model.lam) * F.col("y") - F.log("x")
+        mean, tail = back.where("kind = 1").agg(F.avg(top), F.percentile_approx(top, TAIL, 10_000)).first()
+        # K from the mean of the maxima and from their tail; the stricter holds
+        model.log_k = max(float(mean) - 0.5772156649, float(tail) + math.log(-math.log(TAIL)))
+    toxic = docs_of.get((0, 1), 0) + docs_of.get((1, 1), 0)
+    model.prior = (toxic + 1) / (sum(docs_of.values()) + 2)
     return model
 
 
