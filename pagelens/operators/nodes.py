@@ -15,7 +15,7 @@ document excluded; two flat aligned arrays are much cheaper to move and
 store than an array of structs), so "descendant of" is an equi join on an
 exploded ``anc`` id.
 
-Tokenising is the only Python in the engine: a stdlib ``html.parser`` per
+Tokenising is the only Python in the page engine: one regex tokenizer per
 Arrow batch (``mapInArrow``), with the implied-end-tag rules of HTML for
 the common cases (void elements, ``p`` closed by blocks, ``li``/``dt``/
 ``dd``/``tr``/``td``/``option`` closing their open sibling, end tags that
@@ -27,7 +27,6 @@ from __future__ import annotations
 import re
 import time
 from html import unescape as _unescape
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,11 +78,10 @@ ARROW_SCHEMA = pa.schema([
 ])
 
 
-class _TreeBuilder(HTMLParser):
+class _TreeBuilder:
     """Builds flat node rows for one page."""
 
     def __init__(self, keep_tags=None, keep_text=True):
-        super().__init__(convert_charrefs=True)
         self.keep_tags = keep_tags
         self.keep_text = keep_text
         self.rows = []           # [node_id, parent, depth, open, close, kind, tag, attrs, classes, text]
@@ -142,9 +140,6 @@ class _TreeBuilder(HTMLParser):
 
     # -- parser callbacks ------------------------------------------------
     def handle_starttag(self, tag, attrs):
-        if self.tags[-1] in RAW_TEXT:
-            self.pending.append(self.get_starttag_text() or "")
-            return
         self._flush_text()
         if tag in CLOSES_P:
             self._close_to("p", SCOPE_STOP)
@@ -158,20 +153,13 @@ class _TreeBuilder(HTMLParser):
         elif tag in ("td", "th"):
             if not self._close_to("td", CELL_STOP):
                 self._close_to("th", CELL_STOP)
-        elif tag == "option":
-            self._close_to("option", SCOPE_STOP)
+        elif tag in ("option", "a"):     # a link never lies inside a link
+            self._close_to(tag, SCOPE_STOP)
         self._open(tag, attrs)
         if tag in VOID:
             self._pop()
 
-    def handle_startendtag(self, tag, attrs):
-        # HTML ignores the slash of non-void elements: same as a start tag.
-        self.handle_starttag(tag, attrs)
-
     def handle_endtag(self, tag):
-        if self.tags[-1] in RAW_TEXT and tag != self.tags[-1]:
-            self.pending.append(f"</{tag}>")
-            return
         self._flush_text()
         if tag in VOID:
             return
@@ -181,11 +169,7 @@ class _TreeBuilder(HTMLParser):
                     self._pop()
                 return
 
-    def handle_data(self, data):
-        if data:
-            self.pending.append(data)
-
-    def finish_fast(self):
+    def finish(self):
         self._flush_text()
         while len(self.stack) > 1:
             self._pop()
@@ -203,29 +187,30 @@ _TOKEN_RE = re.compile(r"""
   | [^<]+
   | <
 """, re.S | re.X)
-_ATTR_RE = re.compile(r"""((?<=['"\s/])[^\s/>][^\s/=>]*)(\s*=+\s*('[^']*'|"[^"]*"|(?!['"])[^>\s]*))?""")
+# HTML's attribute rules: a name runs to white space, '/', '>' or '=' (but may
+# begin with '='); a value is quoted, or runs to white space or '>'.
+_ATTR_RE = re.compile(r"""
+    (?P<name>[^\t\n\f\r />][^\t\n\f\r />=]*)
+    (?P<value>[\t\n\f\r ]*=[\t\n\f\r ]*(?:"(?P<double>[^"]*)"|'(?P<single>[^']*)'|(?P<plain>[^\t\n\f\r >]*)))?
+""", re.X)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\t\n\r\f />])", re.I) for t in ("script", "style")}
 _RCDATA_END = {t: re.compile(rf"</{t}(?=[\t\n\r\f />])", re.I) for t in RAW_TEXT}
 
 
 def _attrs(raw: str):
     out = []
-    for m in _ATTR_RE.finditer(" " + raw):
-        name, rest, val = m.group(1), m.group(2), m.group(3)
-        if not rest:
-            v = None
-        elif val[:1] in ("'", '"') and val[:1] == val[-1:] and len(val) >= 2:
-            v = val[1:-1]
-        else:
-            v = val
-        if v and "&" in v:
-            v = _unescape(v)
-        out.append((name.lower(), v))
+    for m in _ATTR_RE.finditer(raw):
+        v = None
+        if m.group("value") is not None:
+            v = next(x for x in (m.group("double"), m.group("single"), m.group("plain")) if x is not None)
+            if "&" in v:
+                v = _unescape(v)
+        out.append((m.group("name").lower(), v))
     return out
 
 
-def _feed_fast(b: "_TreeBuilder", html: str) -> None:
-    """Regex tokenizer driving the same tree-building callbacks."""
+def _feed(b: "_TreeBuilder", html: str) -> None:
+    """Regex tokenizer driving the tree builder."""
     pos, n, last = 0, len(html), html.rfind(">")
     match = _TOKEN_RE.match
     while pos < n:
@@ -266,22 +251,17 @@ def _feed_fast(b: "_TreeBuilder", html: str) -> None:
         pos = end_pos
 
 
-def parse_html(html: str, keep_tags=None, keep_text=True, tokenizer: str = "fast"):
-    """Node rows of one page (without page_id), in document order.
-    ``tokenizer='stdlib'`` uses html.parser (the path the fast tokenizer is
-    tested against). A page whose parse breaks off keeps the rows made so far
-    and says so: the document's attributes get ``parse_error``."""
+def parse_html(html: str, keep_tags=None, keep_text=True):
+    """Node rows of one page (without page_id), in document order. A page
+    whose parse breaks off keeps the rows made so far and says so: the
+    document's attributes get ``parse_error``."""
     b = _TreeBuilder(keep_tags, keep_text)
     error = None
     try:
-        if tokenizer == "fast":
-            _feed_fast(b, html or "")
-        else:
-            b.feed(html or "")
-            b.close()
+        _feed(b, html or "")
     except Exception as e:  # noqa: BLE001 - reported with the page
         error = f"{type(e).__name__}: {e}"
-    rows = b.finish_fast()
+    rows = b.finish()
     rows[0][7] = {"parse_error": error} if error else {}
     return rows
 

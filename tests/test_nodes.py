@@ -103,6 +103,24 @@ def test_broken_parse_is_reported(spark, monkeypatch):
     def broken(b, html):
         b.handle_starttag("p", [])
         raise RuntimeError("no")
-    monkeypatch.setattr(N, "_feed_fast", broken)
+    monkeypatch.setattr(N, "_feed", broken)
     rows = N.parse_html("<p>x")
     assert rows[0][7] == {"parse_error": "RuntimeError: no"} and rows[1][6] == "p"
+
+
+def test_attribute_rules():
+    from pagelens.operators.nodes import _attrs
+    assert _attrs(""" A=1 b='x y' c="p>q" d e= f=&lt; g==h =i a=2 j="&amp;" / k=l/m """) == [
+        ("a", "1"), ("b", "x y"), ("c", "p>q"), ("d", None), ("e", "f=&lt;".replace("&lt;", "<")), ("g", "=h"), ("=i", None), ("a", "2"), ("j", "&"), ("k", "l/m")]
+
+
+def test_links_do_not_nest():
+    rows = parse_html("<p><a href=1>x<b>y<a href=2>z</a></p><table><tr><td><a>u<td><a>v</table>")
+    links = [r for r in rows if r[6] == "a"]
+    by = {r[0]: r for r in rows}
+    for r in links:
+        up = r[1]
+        while up:
+            assert by[up][6] != "a"
+            up = by[up][1]
+    assert len(links) == 4
