@@ -723,10 +723,8 @@ def q_extract_envelopes(spark, sf):
 
 # L1-L3: streams run to the end of what is there, their sinks read back --------------
 def _stream_folder(spark, name):
-    import uuid
-
-    from pagelens.session import checkpoint_dir
-    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    from pagelens.session import scratch_folder
+    return scratch_folder(spark, f"stream-{name}")
 
 
 @register("stream_search_results", FX.SEARCH_RESULTS_SQL)

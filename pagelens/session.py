@@ -133,6 +133,14 @@ def scratch(spark: SparkSession):
         drop_tables(spark, held)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder, removed like a table."""
+    import uuid
+    path = f"{checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    _remember(spark, path)
+    return path
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Materialise ``df`` (now, not lazily) as parquet under the shared
     checkpoint folder and read it back: a lineage cut that survives executor

@@ -178,3 +178,25 @@ def test_intermediate_tables_go_with_their_scope(spark):
 ])
 def test_markdown_structure(spark, html, want):
     assert rendered(spark, f"<body>{html}</body>")[0] == want
+
+
+def test_micro_batches_leave_no_tables(spark, tmp_path):
+    from pagelens.plans import fixtures as FX
+    root = session.checkpoint_dir(spark).rstrip("/").removeprefix("file:")
+    held = lambda: set(os.listdir(f"{root}/tables")) if os.path.isdir(f"{root}/tables") else set()
+    pages = FX.search_pages(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).withColumns({"status": F.lit(200), "final_url": F.col("url")})
+    pages.repartition(3).write.parquet(str(tmp_path / "in"))
+    before = held()
+    stream = SJ.read_page_stream(spark, str(tmp_path / "in"), max_files=1)
+    SJ.stream_extract(stream, "google_web", str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    assert held() == before
+    want, _ = PR.extract(pages, "google_web")
+    assert spark.read.parquet(str(tmp_path / "out" / "results")).count() == want.count() > 0
+
+
+def test_sessions_of_one_user_match_the_window(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").withColumn("user_id", F.lit(1))
+    for gap in ("1 minute", "5 minutes", "3 hours"):
+        a = SJ.sessions(ev, "user_id", gap)
+        b = SJ.outcome_rates(ev, "session", gap, by="user_id", delay=None)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
