@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark import Broadcast
@@ -45,9 +44,5 @@ def crc_of_id(id_col="doc_id", modulus: int = 3):
     return F.pmod(F.crc32(text.cast("binary")), F.lit(modulus))
 
 
-def sql_list(values) -> str:
-    return json.dumps(list(values))
-
-
 def token() -> str:
     return uuid.uuid4().hex[:12]
