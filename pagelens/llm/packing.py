@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagelens.llm import common
 
-TOKENS, SEGMENTS, WINDOW, END_ID = 2048, 64, 2048, 1
+TOKENS, SEGMENTS, WINDOW, END_ID = 2048, 64, 512, 1
 
 
 @dataclass
