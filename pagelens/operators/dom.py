@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import js_collapse_ws, js_trim
@@ -40,9 +40,10 @@ class Compound:
     classes: list = field(default_factory=list)
     attrs: list = field(default_factory=list)      # (name, op, value)
     nots: list = field(default_factory=list)       # Compound
+    nth: list = field(default_factory=list)        # (a, b, from the end): place among siblings is a*n + b
 
     def tag_only(self) -> bool:
-        return self.tag is not None and not (self.ids or self.classes or self.attrs or self.nots)
+        return self.tag is not None and not (self.ids or self.classes or self.attrs or self.nots or self.nth)
 
 
 _TOKEN = re.compile(
@@ -52,8 +53,24 @@ _TOKEN = re.compile(
       | \.(?P<cls>-?[_A-Za-z][_A-Za-z0-9-]*)
       | \#(?P<id>-?[_A-Za-z0-9][_A-Za-z0-9-]*)
       | \[\s*(?P<an>[^\s~|^$*=\]]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*)?\]
+      | :(?P<place>first-child|last-child|only-child)
+      | :nth-(?P<last>last-)?child\((?P<nth>[^)]*)\)
       | :not\((?P<not>[^)]*)\)
     )""", re.X)
+_NTH = re.compile(r"(?:(?P<a>[+-]?\d*)n)?\s*(?P<b>[+-]?\s*\d+)?", re.I)
+
+
+def _nth(text: str) -> tuple[int, int]:
+    """``an+b`` of a structural pseudo-class."""
+    text = text.strip().lower()
+    if text in ("odd", "even"):
+        return 2, int(text == "odd")
+    m = _NTH.fullmatch(text)
+    if not m or (m.group("a") is None and m.group("b") is None):
+        raise ValueError(f"unsupported place: {text!r}")
+    a = m.group("a")
+    a = 0 if a is None else int(a + "1") if a in ("", "+", "-") else int(a)
+    return a, int((m.group("b") or "0").replace(" ", ""))
 
 
 def _parse_compound_list(text: str):
@@ -78,10 +95,8 @@ def _parse_compound_list(text: str):
             if c == ",":
                 groups.append(chain)
                 chain, comb = [], " "
-            elif c in "+~":
-                raise ValueError("sibling combinators are not supported")
             else:
-                comb = ">"
+                comb = c
             continue
         if cur is None:
             cur = Compound()
@@ -95,6 +110,13 @@ def _parse_compound_list(text: str):
             val = m.group("dq") if m.group("dq") is not None else (
                 m.group("sq") if m.group("sq") is not None else m.group("bare"))
             cur.attrs.append((m.group("an").lower(), m.group("op"), val))
+        elif m.group("place"):
+            if m.group("place") != "last-child":
+                cur.nth.append((0, 1, False))
+            if m.group("place") != "first-child":
+                cur.nth.append((0, 1, True))
+        elif m.group("nth") is not None:
+            cur.nth.append((*_nth(m.group("nth")), m.group("last") is not None))
         elif m.group("not") is not None:
             inner = _parse_compound_list(m.group("not"))
             if len(inner) != 1 or len(inner[0]) != 1:
@@ -136,11 +158,30 @@ def compound_pred(c: Compound) -> Column:
             p = p & F.array_contains(F.split(a, r"\s+"), val)
         elif op == "|=":
             p = p & ((a == val) | a.startswith(val + "-"))
+    for step, first, from_end in c.nth:
+        off = (F.col("_siblings") - F.col("_place") + 1 if from_end else F.col("_place")) - first
+        p = p & ((off == 0) if step == 0 else ((off % step == 0) & (off * (1 if step > 0 else -1) >= 0)))
     for n in c.nots:
         p = p & ~F.coalesce(compound_pred(n), F.lit(False))
     return F.coalesce(p, F.lit(False))
 
 
+_SIBLING_COLS = ["_place", "_siblings", "_before"]
+
+
+def _needs_siblings(groups) -> bool:
+    return any(comb in "+~" or c.nth or any(n.nth for n in c.nots) for g in groups for comb, c in g)
+
+
+def _with_siblings(nodes: DataFrame) -> DataFrame:
+    """Element rows with their place among the parent's elements, how many
+    these are, and the element before. Only for selectors that ask."""
+    w = Window.partitionBy("page_id", "parent_id")
+    el = elements(nodes)
+    return el.withColumn("_place", F.row_number().over(w.orderBy("open_pos"))).withColumn(
+        "_siblings", F.count("*").over(w)).withColumn("_before", F.lag("node_id").over(w.orderBy("open_pos")))
+
+
 def elements(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind") == "el")
 
@@ -151,13 +192,19 @@ def _match_chain(nodes: DataFrame, chain) -> DataFrame:
     if len(chain) == 1:
         return cand
     prev_chain = chain[:-1]
-    prev_single = len(prev_chain) == 1 and prev_chain[0][1].tag_only()
+    prev_single = len(prev_chain) == 1 and prev_chain[0][1].tag_only() and comb in " >"
     if prev_single:
         t = prev_chain[0][1].tag
         if comb == " ":
             return cand.filter(F.array_contains("anc_tags", t))
         return cand.filter(F.try_element_at("anc_tags", F.lit(-1)) == t)
-    prev = _match_chain(nodes, prev_chain).select("page_id", F.col("node_id").alias("_a"))
+    prev = _match_chain(nodes, prev_chain)
+    if comb == "~":
+        first = prev.groupBy("page_id", "parent_id").agg(F.min("open_pos").alias("_first"))
+        return cand.join(first, ["page_id", "parent_id"]).filter(F.col("open_pos") > F.col("_first")).drop("_first")
+    prev = prev.select("page_id", F.col("node_id").alias("_a"))
+    if comb == "+":
+        return cand.join(prev.withColumnRenamed("_a", "_before"), ["page_id", "_before"], "left_semi")
     if comb == ">":
         return cand.join(prev.withColumnRenamed("_a", "parent_id"), ["page_id", "parent_id"], "left_semi")
     ex = cand.withColumn("_a", F.explode("anc"))
@@ -191,13 +238,16 @@ def anc_ids(tags=None) -> Column:
 def select(nodes: DataFrame, sel: str) -> DataFrame:
     """Element rows matching ``sel`` (each node once)."""
     groups = parse_selector(sel)
+    columns = nodes.columns
+    if _needs_siblings(groups):
+        nodes = _with_siblings(nodes)
     parts = [_match_chain(nodes, g) for g in groups]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     if len(parts) > 1:
         out = out.dropDuplicates(KEY)
-    return out
+    return out.select(*columns) if nodes.columns != columns else out
 
 
 # ---------------------------------------------------------------------------

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pagelens.operators import dom
@@ -44,3 +45,21 @@ def test_table_rows_nested(spark):
     # outer table: its row + the nested row; inner table: the nested row again
     assert len(rows) == 3
     assert sorted(r.cell1_class for r in rows) == ["passed", "warn", "warn"]
+
+
+@pytest.mark.parametrize("sel, want", [
+    ("h2 + p", ["p1", "p4"]), ("h2 ~ p", ["p1", "p2", "p4"]), ("h2 ~ p + p", ["p2"]), ("div > p:first-child", ["p3"]),
+    ("p:last-child", ["p2", "p4"]), ("li:nth-child(odd)", ["l1", "l3"]), ("li:nth-child(2n)", ["l2", "l4"]),
+    ("li:nth-child(-n+2)", ["l1", "l2"]), ("li:nth-child(3)", ["l3"]), ("li:nth-last-child(1)", ["l4"]), ("li:nth-child(n+3)", ["l3", "l4"]),
+    ("li:not(:first-child)", ["l2", "l3", "l4"]), ("b:only-child", ["b1"]), ("li + li, h2 + p", ["l2", "l3", "l4", "p1", "p4"]), (".x ~ li", ["l3", "l4"]),
+])
+def test_siblings_and_places(spark, sel, want):
+    from pagelens.operators import dom
+    from pagelens.operators.nodes import to_nodes
+    html = ('<div><h2>a</h2>text<p id=p1>1</p><p id=p2>2</p></div><div><p id=p3><b id=b1>3</b></p><h2>b</h2><p id=p4>4</p></div>'
+            '<ul><li id=l1>1<li id=l2 class=x>2<li id=l3>3<li id=l4>4</ul>')
+    nodes = to_nodes(spark.createDataFrame([(1, html), (2, html)], "page_id long, html string"))
+    got = dom.select(nodes, sel)
+    assert got.columns == nodes.columns
+    rows = got.collect()
+    assert sorted(r["attrs"]["id"] for r in rows if r["page_id"] == 1) == want and len(rows) == 2 * len(want)
