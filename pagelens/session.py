@@ -101,9 +101,11 @@ def _remember(spark: SparkSession, path: str, table: str | None = None) -> None:
 
 
 def _forget(spark: SparkSession, key: str) -> None:
-    # at the end of the program; a stopped session leaves nothing to do
-    if spark.sparkContext._jsc is not None:
-        drop_tables(spark)
+    # at the end of the program; a stopped session leaves nothing to do, and
+    # the JVM may have gone first
+    with contextlib.suppress(Exception):
+        if spark.sparkContext._jsc is not None:
+            drop_tables(spark)
 
 
 def drop_tables(spark: SparkSession, keep: int = 0) -> int:
