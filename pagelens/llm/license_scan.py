@@ -15,11 +15,14 @@ from __future__ import annotations
 
 import json
 import re
+import re._parser as P
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagelens.llm import common
+from pagelens.llm.secret_rules import MAX_SET, _exact as exact_strings
 
 # License names as word sequences, the SPDX form, and the label.
 NAMES = [
@@ -99,15 +102,36 @@ def spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
 
 
+def needed(regex: str) -> list[frozenset[str]]:
+    """Sets of plain strings: the words of every match hold one of each set.
+    Only what the regex cannot do without counts, no optional part."""
+    out, now = [], {""}
+    for op, arg in [*P.parse(regex), (None, None)]:
+        one = exact_strings([(op, arg)])
+        if one and "" not in one and len(now) * len(one) <= MAX_SET:
+            now = {a + b for a in now for b in one}
+            continue
+        out.append(frozenset(s.replace("><", " ").strip("<>") for s in now))
+        now = one if one and "" not in one else {""}
+    return [x for x in out if "" not in x]
+
+
 def gate(table) -> list[str]:
     """Plain strings of which every text with a detection has one: the stem of
-    all words for a license where a rule asks for it, else the longest word
-    of its keyword."""
+    all words for a license where a rule cannot match without it, else what
+    most other rules need too, else the longest; the longest word of its
+    keyword for a rule without such strings."""
+    sets = [needed(r["regex"]) for r in table]
+    shared = Counter(x for own in sets for x in set(own))
     stems = {"licen"}
-    for r in table:
-        if "licen" not in r["regex"]:
+    for r, own in zip(table, sets):
+        if any(all("licen" in s for s in x) for x in own):
+            continue
+        if own:
+            stems |= max(own, key=lambda x: (shared[x], min(map(len, x)), sorted(x)))
+        else:
             stems.add(max(re.findall(r"[^<>]+", r["keyword"]), key=len))
-    return sorted(stems)
+    return sorted(s for s in stems if not any(t != s and t in s for t in stems))
 
 
 def count_words(s: str) -> str:
