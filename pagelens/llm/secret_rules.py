@@ -6,31 +6,38 @@ import re._constants as C
 import re._parser as P
 from dataclasses import dataclass
 
+# A key runs from BEGIN to END, or without END over the header lines and the
+# base64 that follows, to its last long line and what is left after that. Line
+# breaks may be written as \n. Lines are no loop: Java recurses in loops over groups.
+_HEADERS = r"(?:[\r\n\\][\r\n\t\x20\\]*[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*){0,64}"
+_LINES = r"[\r\n\t\x20\\]*[A-Za-z0-9+/=]{16,}(?:[A-Za-z0-9+/=\r\n\t\x20\\]*[A-Za-z0-9+/=]{16,})?[A-Za-z0-9+/=\r\n\\]*"
+_END = r"[^-]*-----END [A-Z0-9\x20]*PRIVATE KEY(?: BLOCK)?-----"
+PRIVATE_KEY = rf"-----BEGIN [A-Z0-9\x20]*PRIVATE KEY(?: BLOCK)?-----(?:{_HEADERS}{_END}|{_HEADERS}{_LINES})?"
 #: (kind, regex, group whose length counts, least length). the
 #: first three kinds and their order are those of the scan's contract.
 RULES = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
-    ("private_key", r"-----BEGIN (?:RSA |DSA |EC |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----", 0, 1),
-    ("github", r"gh[opsur]_[A-Za-z0-9]{36,255}", 0, 1),
-    ("github_fine", r"github_pat_[A-Za-z0-9_]{22,255}", 0, 1),
-    ("gitlab", r"glpat-[A-Za-z0-9_-]{20,64}", 0, 1),
-    ("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,250}", 0, 1),
-    ("slack_hook", r"hooks\.slack\.com/services/[A-Za-z0-9/]{20,80}", 0, 1),
+    ("private_key", PRIVATE_KEY, 0, 1),
+    ("github", r"gh[opsur]_[A-Za-z0-9]{36,}", 0, 1),
+    ("github_fine", r"github_pat_[A-Za-z0-9_]{22,}", 0, 1),
+    ("gitlab", r"glpat-[A-Za-z0-9_-]{20,}", 0, 1),
+    ("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("slack_hook", r"hooks\.slack\.com/services/[A-Za-z0-9/]{20,}", 0, 1),
     ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 1),
-    ("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,128}", 0, 1),
+    ("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", 0, 1),
     ("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}", 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
     ("npm", r"npm_[A-Za-z0-9]{36}", 0, 1),
     ("pypi", r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}", 0, 1),
     ("hub", r"hf_[A-Za-z]{34}", 0, 1),
     ("twilio", r"SK[0-9a-f]{32}", 0, 1),
-    ("square", r"sq0(?:atp|csp)-[A-Za-z0-9_-]{22,43}", 0, 1),
+    ("square", r"sq0(?:atp|csp)-[A-Za-z0-9_-]{22,}", 0, 1),
     ("shopify", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}", 0, 1),
-    ("azure", r"AccountKey=[A-Za-z0-9+/=]{40,100}", 0, 1),
-    ("bearer", r"(?i:bearer)\x20+[A-Za-z0-9._~+/=-]{20,500}", 0, 1),
-    ("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\x00-\x20/:@]{1,60}:[^\x00-\x20/:@]{1,60}@", 0, 1),
+    ("azure", r"AccountKey=[A-Za-z0-9+/=]{40,}", 0, 1),
+    ("bearer", r"(?i:bearer)\x20+[A-Za-z0-9._~+/=-]{20,}", 0, 1),
+    ("url_login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\x00-\x20/:@]*:[^\x00-\x20/:@]+@", 0, 1),
     ("ssh_key", r"ssh-(?:rsa|dss|ed25519)\x20AAAA[A-Za-z0-9+/=]{40,}", 0, 1),
     ("age", r"AGE-SECRET-KEY-1[A-Z0-9]{58}", 0, 1),
     ("telegram", r"[0-9]{8,10}:AA[A-Za-z0-9_-]{33}", 0, 1),
