@@ -1,11 +1,13 @@
 """Benchmark decontamination by greedy string tiling.
 
 1. Seeds: every run of ``seed`` words of a benchmark item is a 64-bit
-   Karp-Rabin hash. A Bloom filter of fixed size holds them all.
+   Karp-Rabin hash; an item of fewer words is one run. A Bloom filter of fixed
+   size holds them all.
 2. Each document's runs are hashed the same way, in one pass over whole texts.
    Documents with runs in the filter give their distinct hashes and the
    stretches of words that those runs cover. Any match of at least ``seed``
-   words lies inside one stretch, so nothing else of the text is needed.
+   words, or of a whole shorter item, lies inside one stretch, so nothing else
+   of the text is needed.
 3. Hashes are joined to the items' seeds; pairs (document, item) whose shared
    seeds could cover enough of the item stay.
 4. Each pair is tiled: running Karp-Rabin finds matches of a search length
@@ -28,7 +30,10 @@ from pagelens.llm import common
 
 SEED, COVERAGE = 5, 0.5
 FILTER_BITS = 1 << 26        # 8 MB, whatever the benchmark
-_WORD = re.compile(r"\w+")
+# Scripts without spaces between words: each character is a word.
+_UNSPACED = ("\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u0edc-\u0edf\u1000-\u103f\u1050-\u108f\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff"
+             "\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+_WORD, _SPACED = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]"), re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORDS_KEPT = 200_000
 
@@ -69,7 +74,8 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    text = text or ""
+    return (_SPACED if text.isascii() else _WORD).findall(text.lower())
 
 
 def tiles(doc: list[list[str]], item: list[str], least: int) -> list[tuple[int, int, int, int]]:
@@ -130,7 +136,7 @@ def _item_seeds(seed: int):
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = words_of(t)
-                h = rolling(word_hashes(w), seed)
+                h = rolling(word_hashes(w), min(seed, len(w))) if w else np.zeros(0, np.uint64)
                 one, two = _places(h)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([i] * len(h), b.column(0).type), pa.array([len(w)] * len(h), pa.int32()), pa.array(h.view(np.int64)),
@@ -138,7 +144,8 @@ def _item_seeds(seed: int):
     return run
 
 
-def _stretches(shared, seed: int):
+def _stretches(shared, lengths: list[int]):
+    """``lengths``: how many words the seeds have."""
     names = ["row", "id", "seeds", "stretches"]
 
     def run(batches):
@@ -148,16 +155,24 @@ def _stretches(shared, seed: int):
                 part, out = b.slice(lo, 512), []
                 for row, i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                     w = words_of(t.as_py())
-                    h = rolling(word_hashes(w), seed)
-                    one, two = _places(h)
-                    hit = (bits[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8)) & (bits[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
-                    at = np.flatnonzero(hit)
-                    if not len(at):
+                    hashes, starts, ends, of_words = [], [], [], word_hashes(w)
+                    for n in lengths:
+                        h = rolling(of_words, n)
+                        one, two = _places(h)
+                        hit = (bits[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8)) & (bits[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
+                        at = np.flatnonzero(hit)
+                        hashes.append(h[at])
+                        starts.append(at)
+                        ends.append(at + n)
+                    start, end = np.concatenate(starts), np.concatenate(ends)
+                    if not len(start):
                         continue
                     # runs that touch or overlap are one stretch
-                    cut = np.flatnonzero(np.diff(at) > seed) + 1
-                    spans = [(int(x[0]), int(x[-1]) + seed) for x in np.split(at, cut)]
-                    out.append((row, i, np.unique(h[at]).view(np.int64), [" ".join(w[s:e]) for s, e in spans]))
+                    order = np.argsort(start, kind="stable")
+                    start, end = start[order], np.maximum.accumulate(end[order])
+                    cut = np.flatnonzero(start[1:] > end[:-1])
+                    spans = zip(start[np.concatenate([[0], cut + 1])].tolist(), end[np.concatenate([cut, [len(end) - 1]])].tolist())
+                    out.append((row, i, np.unique(np.concatenate(hashes)).view(np.int64), [" ".join(w[s:e]) for s, e in spans]))
                 cols = list(zip(*out)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([
                     pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), part.column(1).type),
@@ -173,7 +188,7 @@ def _tile(seed: int, coverage: float):
             out = []
             for row, i, item, stretches, text in zip(*(c.to_pylist() for c in b.columns)):
                 words = words_of(text)
-                found = tiles([s.split(" ") for s in stretches], words, seed)
+                found = tiles([s.split(" ") for s in stretches], words, max(1, min(seed, len(words))))
                 n = sum(x[3] for x in found)
                 if words and n >= coverage * len(words):
                     out.append((row, i, item, len(found), n, n / len(words)))
@@ -194,8 +209,12 @@ def _leaks(docs: DataFrame, bench: DataFrame, seed: int, coverage: float) -> Dat
     place = seeds.select(F.explode(F.array("one", "two")).alias("p"))
     for r in place.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("b")).toLocalIterator():
         bits[4 * r["w"]:4 * r["w"] + 4] |= np.frombuffer(int(r["b"]).to_bytes(4, "little"), np.uint8)
+    # at most ``seed`` numbers
+    lengths = sorted(r[0] for r in seeds.select(F.least("words", F.lit(seed))).distinct().collect())
+    if not lengths:
+        return spark.createDataFrame([], f"row long, id {kind}, item {item_kind}, n_tiles int, n_matched int, coverage double")
     held = common.written(docs.select("row", "id", "text").mapInArrow(
-        _stretches(common.broadcast(spark, bits), seed), f"row long, id {kind}, seeds array<long>, stretches array<string>"), "doc-stretches")
+        _stretches(common.broadcast(spark, bits), lengths), f"row long, id {kind}, seeds array<long>, stretches array<string>"), "doc-stretches")
     # places of an item, by hash; a pair's shared places bound what tiles can cover
     known = seeds.groupBy("hash", "item", "words").agg(F.count("*").alias("places"))
     pairs = (held.select("row", F.explode("seeds").alias("hash")).join(known, "hash")
@@ -207,31 +226,38 @@ def _leaks(docs: DataFrame, bench: DataFrame, seed: int, coverage: float) -> Dat
     return full.mapInArrow(_tile(seed, coverage), f"row long, id {kind}, item {item_kind}, n_tiles int, n_matched int, coverage double")
 
 
-def _items(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    # one text per item: a repeated item id keeps its longest, then last in order
-    return (bench.select(F.col(id_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-            .groupBy("item").agg(F.max_by("text", F.struct(F.length("text"), F.col("text"))).alias("text")))
+def _items(bench: DataFrame, text_col: str) -> DataFrame:
+    """(item, text): the distinct texts, numbered. Written, so that the numbers stay."""
+    texts = bench.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
+    return common.written(texts.select(F.monotonically_increasing_id().alias("item"), "text"), "items")
 
 
 def leaks(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text",
           seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
     """(id, item, n_tiles, n_matched, coverage) of every leak.
 
-    Words are runs of word characters, lower-cased. Null and empty texts leak
-    nothing; an item of fewer than ``seed`` words has no seeds and is in no
-    pair; repeated rows give repeated pairs; null ids, of either side, are reported as null. An
-    empty table on either side gives no pairs. Other columns are not read."""
+    Words are runs of word characters, lower-cased; in scripts without spaces
+    each character is one. Null and empty texts leak nothing; an item of fewer
+    than ``seed`` words leaks as a whole only. Every text of an item id, null
+    or repeated, is an item of its own; repeated rows of the benchmark count
+    once, repeated documents give repeated pairs; null ids, of either side, are
+    reported as null. An empty table on either side gives no pairs. Other
+    columns are not read."""
     data = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = _leaks(data, _items(bench, item_col, item_text), seed, coverage).drop("row")
-    return found.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
+    items = _items(bench, item_text)
+    names = (bench.select(F.col(item_col).alias("name"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).distinct()
+             .join(items, "text").select("item", "name"))
+    found = _leaks(data, items, seed, coverage).join(names, "item")
+    return found.select(F.col("id").alias(id_col), F.col("name").alias(item_col), "n_tiles", "n_matched", "coverage")
 
 
 def clean(docs: DataFrame, bench: DataFrame, text_col="text", item_col="item_id", item_text="text", seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
     """Documents that leak no item; columns unchanged. Rows are told apart by
-    the hash and length of their texts, so equal texts go together."""
+    the hash and length of their texts, so equal texts go together. ``item_col``
+    is not read: every text of the benchmark is an item."""
     name = common.fresh(docs.columns, "_text")
     data = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("id"))
-    bad = _leaks(data, _items(bench, item_col, item_text), seed, coverage).select(F.col("id").alias(name)).distinct()
+    bad = _leaks(data, _items(bench, item_text), seed, coverage).select(F.col("id").alias(name)).distinct()
     text = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
     return docs.join(bad, text == F.col(name), "left_anti")
 
