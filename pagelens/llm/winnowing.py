@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagelens.llm import common
 
-GRAM, WINDOW = 32, 128
+GRAM, WINDOW = 32, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POS_BITS = 20
 _POS = np.uint64((1 << _POS_BITS) - 1)
