@@ -390,7 +390,7 @@ def listing_pages(documents: DataFrame) -> DataFrame:
             .otherwise(F.concat(F.lit('<a class="x go" href="/item?id='), n, F.lit('&amp;s=1">link</a>'))))
     title = (F.when(i % 11 == 6, F.lit("<h2>  </h2>")).when(i % 13 == 7, F.lit(""))
              .otherwise(F.concat(F.lit("<h2> Item <b>"), n, F.lit("</b> "), F.col("lang"), F.lit(" </h2><h2>second</h2>"))))
-    summary = F.when(i % 3 == 1, F.lit("")).otherwise(F.concat(F.lit('<p class="sum">'), html_escape(F.substring("text", 1, 400)), F.lit("</p>")))
+    summary = F.when(i % 3 == 1, F.lit("")).otherwise(F.concat(F.lit('<p class="sum">'), html_escape(F.col("text")), F.lit("</p>")))
     picture = F.when(i % 4 == 0, F.concat(F.lit('<img class="pic" src="/p/'), n, F.lit('.png">'))).when(i % 4 == 1, F.lit('<img class="pic">')).otherwise(F.lit(""))
     block = F.concat(F.lit('<div class="item">'), link, title, summary, picture, F.lit("</div>"))
     more = F.when(i % 5 == 2, F.lit("<li> </li>")).otherwise(F.concat(F.lit("<li> more "), n, F.lit("</li>")))
@@ -406,7 +406,7 @@ r AS (
   SELECT page_id, i,
     CASE WHEN i % 7 = 3 THEN 'go/' || i WHEN i % 7 = 4 THEN 'empty/' || i WHEN i % 17 = 5 THEN '' ELSE '/item?id=' || i || '&s=1' END AS url,
     CASE WHEN i % 11 = 6 OR i % 13 = 7 THEN '' ELSE 'Item ' || i || ' ' || lang END AS title,
-    CASE WHEN i % 3 = 1 THEN '' ELSE regexp_replace(left(text, 400), '^[{JS_WS_CLASS}]+|[{JS_WS_CLASS}]+$', '', 'g') END AS content,
+    CASE WHEN i % 3 = 1 THEN '' ELSE regexp_replace(text, '^[{JS_WS_CLASS}]+|[{JS_WS_CLASS}]+$', '', 'g') END AS content,
     CASE WHEN i % 4 = 0 THEN '/p/' || i || '.png' END AS thumbnail FROM d)
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INTEGER) AS rank, url, title, content, thumbnail
 FROM r WHERE url <> '' AND title <> ''"""
@@ -451,18 +451,18 @@ def _filled_sql(template: str, **values: str) -> str:
 def content_pages(documents: DataFrame) -> DataFrame:
     i = F.col("doc_id").cast("string")
     href = F.element_at(F.array(*[_filled(h, i=i) for h in _HREFS]), (F.col("doc_id") % 8 + 1).cast("int"))
-    text = html_escape(js_collapse_ws(F.substring("text", 1, 300)))
+    text = html_escape(js_collapse_ws(F.col("text")))
     html = _filled(_HEAD + _ARTICLE, i=i, lang=F.col("lang"), t=text, href=href)
     return spread(documents.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://c.example.org/d/e/"), i, F.lit(".html")).alias("url"), html.alias("html")))
 
 
 _HREF_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN {_filled_sql(h, i='doc_id')}" for k, h in enumerate(_RESOLVED)) + " END"
 _HREF_RAW_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN {_filled_sql(h, i='doc_id')}" for k, h in enumerate(_HREFS)) + " END"
-CONTENT_MARKDOWN_SQL = f"""SELECT doc_id AS page_id, {_filled_sql(_MARKDOWN, i='doc_id', lang='lang', t=duck_collapse('left(text, 300)'), href=_HREF_SQL)} AS content
+CONTENT_MARKDOWN_SQL = f"""SELECT doc_id AS page_id, {_filled_sql(_MARKDOWN, i='doc_id', lang='lang', t=duck_collapse('text'), href=_HREF_SQL)} AS content
 FROM documents"""
 CONTENT_METADATA_SQL = """SELECT doc_id AS page_id, 'OG ' || doc_id AS title, 'Author ' || lang AS author, 'About & ' || doc_id AS description,
   '2024-01-02T00:00:' || doc_id AS published, 'c.example.org' AS domain, 'Site ' || lang AS site FROM documents"""
 CONTENT_LINKS_SQL = f"SELECT doc_id AS page_id, {_HREF_RAW_SQL} AS href, {_HREF_SQL} AS url, 'link ' || doc_id AS text FROM documents"
 # words outside scripts: two of every planted two-word piece, the fixed ones, and the text's own
 LINK_DENSITY_SQL = f"""SELECT doc_id AS page_id, CAST(2 AS BIGINT) AS link_words,
-  CAST(48 + len(list_filter(regexp_split_to_array(left(text, 300), '[{JS_WS_CLASS}]+'), lambda x: x <> '')) AS BIGINT) AS words FROM documents"""
+  CAST(48 + len(list_filter(regexp_split_to_array(text, '[{JS_WS_CLASS}]+'), lambda x: x <> '')) AS BIGINT) AS words FROM documents"""
