@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators on Spark and their queries.
+"""Training-data operators: thirteen corpus operators on Spark and their queries.
 
 Nothing outside this subpackage imports it; ``__spark_entry__.py`` adds its
 queries when it is present."""
