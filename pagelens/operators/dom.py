@@ -1,17 +1,23 @@
 """Selection and navigation on the node table.
 
-Everything here is DataFrame work keyed by ``page_id``:
-
-* a compound selector (tag, ``.class``, ``#id``, attribute tests,
-  ``:not``) is a filter on element rows;
-* a descendant step is an *equi* join: the candidate's ``anc`` ids are
-  exploded and joined to the ancestor matches on ``(page_id, node_id)``.
-  Each (node, ancestor) pair exists once, so the join output is bounded by
-  ``matches x depth``; no range join and no pairs within a page;
-* ``>`` joins on ``parent_id``; ``,`` is a union of node keys;
-* "first match in document order" is ``min_by(..., open_pos)``;
-* subtree text is the ordered concatenation of the text nodes that have the
-  element among their ancestors.
+Everything here is DataFrame work keyed by ``page_id``. Subtrees are intervals
+that nest, so one pass over a page in document order answers what would else
+be a range join:
+
+* a compound selector (tag, ``.class``, ``#id``, attribute tests, ``:not``) is
+  a filter on element rows;
+* "has an ancestor that matches" is a running maximum: of the matches that
+  began before, the one that ends last must end after the node (``inside``);
+* "first match in the container" is the nearest one that begins after it, a
+  running value in backward order, if it begins before the container ends
+  (``next_one``);
+* "which containers is it in" (``pair_up``, the interval join) counts how many
+  containers are open at each place; the one at each depth is the last that
+  opened there. It makes one row for each pair that exists and none beside;
+* a subtree's text is the ordered concatenation of its text nodes (``with_text``).
+
+All windows share the partitioning by page: a query over one page table needs
+one shuffle, however many steps it takes, and linear rows at any depth of tags.
 
 Selectors are small strings; the compiler below only covers the forms the
 profiles use (and users may pass to the base profile).
@@ -166,122 +172,176 @@ def compound_pred(c: Compound) -> Column:
     return F.coalesce(p, F.lit(False))
 
 
-_SIBLING_COLS = ["_place", "_siblings", "_before"]
-
-
 def _needs_siblings(groups) -> bool:
     return any(comb in "+~" or c.nth or any(n.nth for n in c.nots) for g in groups for comb, c in g)
 
 
-def _with_siblings(nodes: DataFrame) -> DataFrame:
-    """Element rows with their place among the parent's elements, how many
-    these are, and the element before. Only for selectors that ask."""
-    w = Window.partitionBy("page_id", "parent_id")
-    el = elements(nodes)
-    return el.withColumn("_place", F.row_number().over(w.orderBy("open_pos"))).withColumn(
-        "_siblings", F.count("*").over(w)).withColumn("_before", F.lag("node_id").over(w.orderBy("open_pos")))
-
-
 def elements(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind") == "el")
 
 
-def _match_chain(nodes: DataFrame, chain) -> DataFrame:
-    comb, last = chain[-1]
-    cand = nodes.filter(compound_pred(last))
-    if len(chain) == 1:
-        return cand
-    prev_chain = chain[:-1]
-    prev_single = len(prev_chain) == 1 and prev_chain[0][1].tag_only() and comb in " >"
-    if prev_single:
-        t = prev_chain[0][1].tag
-        if comb == " ":
-            return cand.filter(F.array_contains("anc_tags", t))
-        return cand.filter(F.try_element_at("anc_tags", F.lit(-1)) == t)
-    prev = _match_chain(nodes, prev_chain)
-    if comb == "~":
-        first = prev.groupBy("page_id", "parent_id").agg(F.min("open_pos").alias("_first"))
-        return cand.join(first, ["page_id", "parent_id"]).filter(F.col("open_pos") > F.col("_first")).drop("_first")
-    prev = prev.select("page_id", F.col("node_id").alias("_a"))
-    if comb == "+":
-        return cand.join(prev.withColumnRenamed("_a", "_before"), ["page_id", "_before"], "left_semi")
-    if comb == ">":
-        return cand.join(prev.withColumnRenamed("_a", "parent_id"), ["page_id", "parent_id"], "left_semi")
-    ex = cand.withColumn("_a", F.explode("anc"))
-    return ex.join(prev, ["page_id", "_a"], "left_semi").drop("_a").dropDuplicates(KEY)
-
-
-def selector_tags(sel: str):
-    """Tags the selector's subjects can have, or None when any tag can match."""
-    tags = set()
-    for g in parse_selector(sel):
-        t = g[-1][1].tag
-        if t is None:
-            return None
-        tags.add(t)
-    return tags
-
-
-def _tag_array(tags) -> Column:
-    return F.array(*[F.lit(t) for t in sorted(tags)])
-
-
-def anc_ids(tags=None) -> Column:
-    """Ancestor ids, optionally only those whose tag is in ``tags``."""
-    if not tags:
-        return F.col("anc")
-    arr = _tag_array(tags)
-    z = F.arrays_zip(F.col("anc").alias("i"), F.col("anc_tags").alias("t"))
-    return F.transform(F.filter(z, lambda x: F.array_contains(arr, x["t"])), lambda x: x["i"])
+# ---------------------------------------------------------------------------
+# one pass in document order
+# ---------------------------------------------------------------------------
+def _before(*by, order=("open_pos",)):
+    return Window.partitionBy("page_id", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _upto(*by, order=("open_pos",)):
+    return Window.partitionBy("page_id", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def inside(cond: Column) -> Column:
+    """D3: whether a row lies strictly inside an element of which ``cond``
+    holds. Rows are the nodes of whole pages, or those that matter: the
+    elements of ``cond`` and the rows that are asked about."""
+    return F.coalesce(F.max(F.when(cond, F.col("close_pos"))).over(_before()) > F.col("open_pos"), F.lit(False))
+
+
+def next_one(cond: Column, *cols) -> Column:
+    """D4 + D5: struct of the first row in document order of which ``cond``
+    holds that lies inside the row's element; NULL when none does."""
+    w = _before(order=(F.desc("open_pos"),))
+    found = F.last(F.when(cond, F.struct(F.col("open_pos").alias("pos"), *cols)), ignorenulls=True).over(w)
+    return F.when(found["pos"] < F.col("close_pos"), found)
+
+
+def pair_up(rows: DataFrame, inner: Column, outer: Column, cols, nearest: int | None = None, itself: Column | None = None) -> DataFrame:
+    """The interval join of one page table with itself: every row of ``inner``
+    with every element of ``outer`` that it lies strictly inside, as the input
+    columns, ``up`` (a struct of the element's ``cols``) and ``level`` (1: the
+    nearest). ``nearest`` keeps that many levels; elements of ``outer`` for
+    which ``itself`` holds count as inside themselves too."""
+    own = F.struct(*rows.columns)
+    at = lambda pos, turn, step: F.struct(F.col(pos).alias("pos"), F.lit(turn).alias("turn"), F.lit(step).alias("step"))
+    wide = outer & (F.col("close_pos") > F.col("open_pos"))
+    events = [F.when(inner, at("open_pos", 0, 0)), F.when(wide, at("open_pos", 1, 1)), F.when(wide, at("close_pos", 0, -1))]
+    if itself is not None:
+        events.append(F.when(wide & itself, at("open_pos", 2, 0)))
+    ev = rows.select("page_id", F.explode(F.filter(F.array(*events), lambda x: x.isNotNull())).alias("_at"), own.alias("_in"), F.struct(*cols).alias("_up"))
+    step, order = F.col("_at.step"), ("_at.pos", "_at.turn")
+    # how many are open; of a row's two roles the inner one comes first, so it is not inside itself
+    ev = ev.withColumn("_open", F.sum("_at.step").over(_upto(order=order))).filter(step >= 0)
+    low = F.lit(1) if nearest is None else F.greatest(F.lit(1), F.col("_open") - (nearest - 1))
+    depth = F.when(step == 1, F.array("_open")).when(F.col("_open") > 0, F.sequence(low.cast("long"), F.col("_open")))
+    ev = ev.select("page_id", "_at", "_in", "_open", F.when(step == 1, F.col("_up")).alias("_up"), F.explode(depth).alias("_depth"))
+    ev = ev.withColumn("up", F.last("_up", ignorenulls=True).over(_upto("_depth", order=order)))
+    return ev.filter(step == 0).select("_in.*", "up", (F.col("_open") - F.col("_depth") + 1).alias("level"))
+
+
+def with_text(rows: DataFrame, targets: Column) -> DataFrame:
+    """The rows that are no texts, each with ``content``: the texts of its
+    subtree in document order, if ``targets`` holds of it (else empty), and
+    ``content_noscript`` without the text of scripts. The rows hold the texts
+    and the script elements of the pages."""
+    columns = [c for c in rows.columns if c != "text"]
+    is_text = F.col("kind") == "text"
+    rows = rows.withColumn("_target", F.coalesce(targets, F.lit(False)))
+    rows = rows.withColumn("_script", inside((F.col("kind") == "el") & (F.col("tag") == "script"))).withColumn("_held", inside(F.col("_target")))
+    rows = rows.filter(~is_text | F.col("_held"))
+    own = F.when(~is_text, F.struct(*columns))
+    at = lambda pos, step: F.struct(F.col(pos).alias("pos"), F.lit(step).alias("step"))
+    wide = F.col("_target") & (F.col("close_pos") > F.col("open_pos"))
+    events = F.when(wide, F.array(at("open_pos", 1), at("close_pos", -1))).otherwise(F.array(at("open_pos", 0)))
+    ev = rows.select("page_id", "node_id", F.explode(events).alias("_at"), is_text.alias("_is_text"), own.alias("_own"), F.struct("open_pos", "text", "_script").alias("_piece"))
+    order = ("_at.pos", "_at.step")
+    ev = ev.withColumn("_open", F.sum("_at.step").over(_upto(order=order))).filter(F.col("_at.step") >= 0)
+    depth = F.when(F.col("_is_text"), F.sequence(F.lit(1).cast("long"), F.greatest(F.col("_open"), F.lit(1)))) \
+        .when(F.col("_at.step") == 1, F.array("_open")).otherwise(F.array(F.lit(0).cast("long")))
+    ev = ev.select("page_id", "node_id", "_at", "_is_text", "_own", "_piece", F.explode(depth).alias("_depth"))
+    holder = F.last(F.when(F.col("_at.step") == 1, F.col("node_id")), ignorenulls=True).over(_upto("_depth", order=order))
+    ev = ev.withColumn("_of", F.when(F.col("_is_text"), holder).otherwise(F.col("node_id")))
+    done = ev.groupBy("page_id", "_of").agg(
+        F.first("_own", ignorenulls=True).alias("_own"), F.array_sort(F.collect_list(F.when(F.col("_is_text"), F.col("_piece")))).alias("_p"))
+    joined = lambda parts: F.array_join(F.transform(parts, lambda x: x["text"]), "")
+    return done.select("_own.*", joined(F.col("_p")).alias("content"), joined(F.filter("_p", lambda x: ~x["_script"])).alias("content_noscript"))
+
+
+def any_compound(*selectors) -> Column:
+    """Whether a row matches any compound of the selectors: the rows that
+    ``mark`` needs."""
+    out = F.lit(False)
+    for sel in selectors:
+        groups = parse_selector(sel)
+        if _needs_siblings(groups):
+            return F.col("kind") == "el"
+        for g in groups:
+            for _, c in g:
+                out = out | compound_pred(c)
+    return out
+
+
+def mark(rows: DataFrame, **selectors) -> DataFrame:
+    """A boolean column for each selector, all in one pass. The rows are
+    whole pages, or hold at least ``any_compound`` of the selectors."""
+    columns = rows.columns
+    parsed = {name: parse_selector(sel) for name, sel in selectors.items()}
+    if any(_needs_siblings(g) for g in parsed.values()):
+        w = Window.partitionBy("page_id", "parent_id", "kind")
+        rows = rows.withColumn("_place", F.row_number().over(w.orderBy("open_pos"))).withColumn("_siblings", F.count("*").over(w))
+    for name, groups in parsed.items():
+        found = F.lit(False)
+        for i, chain in enumerate(groups):
+            flag = None
+            for k, (comb, c) in enumerate(chain):
+                cond = compound_pred(c)
+                if flag is not None and comb == " ":
+                    cond = cond & inside(F.col(flag))
+                elif flag is not None and comb == ">":
+                    up = rows.filter(F.col(flag)).select("page_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("_child"))
+                    rows = rows.join(up, ["page_id", "parent_id"], "left")
+                    cond = cond & F.coalesce("_child", F.lit(False))
+                elif flag is not None:
+                    w = Window.partitionBy("page_id", "parent_id", "kind").orderBy("open_pos")
+                    seen = F.lag(flag).over(w) if comb == "+" else F.max(flag).over(w.rowsBetween(Window.unboundedPreceding, -1))
+                    cond = cond & F.coalesce(seen, F.lit(False))
+                flag = f"_{name}_{i}_{k}"
+                rows = rows.withColumn(flag, cond).drop("_child")
+            found = found | F.col(flag)
+        rows = rows.withColumn(name, found)
+    return rows.select(*columns, *selectors)
 
 
 def select(nodes: DataFrame, sel: str) -> DataFrame:
     """Element rows matching ``sel`` (each node once)."""
-    groups = parse_selector(sel)
-    columns = nodes.columns
-    if _needs_siblings(groups):
-        nodes = _with_siblings(nodes)
-    parts = [_match_chain(nodes, g) for g in groups]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if len(parts) > 1:
-        out = out.dropDuplicates(KEY)
-    return out.select(*columns) if nodes.columns != columns else out
+    rows = nodes.filter(any_compound(sel))
+    return mark(rows, _hit=sel).filter("_hit").select(*nodes.columns)
 
 
 # ---------------------------------------------------------------------------
-# navigation
+# navigation between two tables
 # ---------------------------------------------------------------------------
-def within(matches: DataFrame, containers: DataFrame, cid: str = "cid",
-           container_tags=None) -> DataFrame:
-    """Matches that lie inside a container. ``containers`` has
-    ``page_id`` and ``cid`` (a node id). The match is selected on the whole
-    tree first, so an ancestor part of the selector may lie outside the
-    container. One output row per (container, match). ``container_tags``
-    (when known) drops impossible ancestors before the join."""
-    ex = matches.withColumn(cid, F.explode(anc_ids(container_tags)))
-    # semi join: duplicates in ``containers`` never multiply rows, and the
-    # container plan is consumed once
-    return ex.join(containers.select("page_id", cid), ["page_id", cid], "left_semi")
-
-
-def first_within(matches: DataFrame, containers: DataFrame, cols, cid: str = "cid",
-                 order=("open_pos",), container_tags=None) -> DataFrame:
-    """D4 + D5: per container the first match in document order (or by
-    ``order``, e.g. a strategy priority then position).
-    Returns ``page_id, cid`` plus the requested match columns."""
-    need = list(dict.fromkeys(["page_id", "anc", "anc_tags", *order, *cols]))
-    inside = within(matches.select(*need), containers, cid, container_tags)
-    key = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
-    first = F.min_by(F.struct(*[F.col(c) for c in cols]), key)
-    return inside.groupBy("page_id", cid).agg(first.alias("_f")).select("page_id", cid, "_f.*")
-
-
-def closest_id(tag: str) -> Column:
-    """Nearest ancestor-or-self with ``tag``; NULL when none."""
-    up = F.try_element_at(anc_ids({tag}), F.lit(-1))
-    return F.when(F.col("tag") == tag, F.col("node_id")).otherwise(up)
+def within(matches: DataFrame, containers: DataFrame, cid: str = "cid", nearest: int | None = None) -> DataFrame:
+    """Matches that lie inside a container, one row per (container, match)
+    with the container's ``cid``. ``containers`` has ``page_id``, ``cid`` and
+    the interval. The match is selected on the whole tree first, so an ancestor
+    part of the selector may lie outside the container."""
+    spot = ["page_id", "open_pos", "close_pos"]
+    a = matches.select(*spot, F.struct(*matches.columns).alias("_m"), F.lit(None).cast("int").alias("_c"))
+    b = containers.select(*spot, F.lit(None).cast(a.schema["_m"].dataType).alias("_m"), F.col(cid).alias("_c"))
+    pairs = pair_up(a.unionByName(b), F.col("_m").isNotNull(), F.col("_c").isNotNull(), ["_c"], nearest)
+    return pairs.select("_m.*", F.col("up._c").alias(cid), "level")
+
+
+def first_within(matches: DataFrame, containers: DataFrame, cols, cid: str = "cid") -> DataFrame:
+    """D4 + D5: per container the first match in document order: ``page_id``,
+    ``cid`` and the requested match columns."""
+    spot = ["page_id", "open_pos", "close_pos"]
+    a = matches.select(*spot, F.struct(*cols).alias("_m"), F.lit(None).cast("int").alias("_c"))
+    b = containers.select(*spot, F.lit(None).cast(a.schema["_m"].dataType).alias("_m"), F.col(cid).alias("_c"))
+    # of a node with both roles the container stands first in backward order
+    w = Window.partitionBy("page_id").orderBy(F.desc("open_pos"), F.col("_m").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.last(F.when(F.col("_m").isNotNull(), F.struct("open_pos", "_m")), ignorenulls=True).over(w)
+    both = a.unionByName(b).withColumn("_f", found)
+    return both.filter(F.col("_c").isNotNull() & (F.col("_f.open_pos") < F.col("close_pos"))).select("page_id", F.col("_c").alias(cid), "_f._m.*")
+
+
+def closest(nodes: DataFrame, df: DataFrame, tag: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the id of the nearest ancestor-or-self with
+    ``tag``; rows without one are absent."""
+    own = df.filter(F.col("tag") == tag).withColumn(name, F.col("node_id"))
+    up = within(df.filter(F.col("tag") != tag), elements(nodes).filter(F.col("tag") == tag).withColumn("cid", F.col("node_id")), "cid", nearest=1)
+    return own.unionByName(up.withColumnRenamed("cid", name).select(*own.columns))
 
 
 def attr(name: str) -> Column:
@@ -290,56 +350,30 @@ def attr(name: str) -> Column:
 
 
 def text_nodes(nodes: DataFrame, drop_tags=()) -> DataFrame:
-    t = nodes.filter(F.col("kind") == "text")
+    """(page_id, open_pos, close_pos, text) of texts outside ``drop_tags``."""
+    is_text = F.col("kind") == "text"
     if drop_tags:
-        banned = F.array(*[F.lit(x) for x in drop_tags])
-        t = t.filter(~F.arrays_overlap("anc_tags", banned))
-    return t.select("page_id", "open_pos", "text", "anc", "anc_tags")
-
-
-def subtree_text(nodes: DataFrame, targets: DataFrame, tid: str = "tid",
-                 drop_tags=(), tags=None) -> DataFrame:
-    """D6/D7 raw: ``targets(page_id, tid)`` -> ``(page_id, tid, text)`` with
-    the text of all text nodes below the target in document order (without
-    ``targets``: below every element with one of ``tags``). Targets without any
-    text node are absent (callers left-join and
-    coalesce to ''). ``tags``: the possible target tags; text
-    nodes without such an ancestor are dropped before the explode and the
-    exploded ancestors are filtered by tag before the join."""
-    t = text_nodes(nodes, drop_tags)
-    if tags:
-        t = t.filter(F.arrays_overlap("anc_tags", _tag_array(tags)))
-    ex = t.select("page_id", "open_pos", "text", F.explode(anc_ids(tags)).alias(tid))
-    joined = ex if targets is None else ex.join(targets.select("page_id", tid), ["page_id", tid], "left_semi")
-    return joined.groupBy("page_id", tid).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("open_pos", "text"))),
-                                 lambda x: x["text"]), "").alias("text"))
-
-
-def subtree_texts(nodes: DataFrame, targets: DataFrame, tid: str = "tid", tags=None) -> DataFrame:
-    """One pass, two texts per target: ``text`` (all text nodes, D6) and
-    ``text_noscript`` (without text inside <script>, D7 before collapsing)."""
-    t = nodes.filter(F.col("kind") == "text").select(
-        "page_id", "open_pos", "text", "anc", "anc_tags",
-        F.array_contains("anc_tags", "script").alias("in_script"))
-    if tags:
-        t = t.filter(F.arrays_overlap("anc_tags", _tag_array(tags)))
-    ex = t.select("page_id", "open_pos", "text", "in_script", F.explode(anc_ids(tags)).alias(tid))
-    joined = ex.join(targets.select("page_id", tid), ["page_id", tid], "left_semi")
-    parts = F.array_sort(F.collect_list(F.struct("open_pos", "text", "in_script")))
-    return joined.groupBy("page_id", tid).agg(parts.alias("_p")).select(
-        "page_id", tid,
-        F.array_join(F.transform("_p", lambda x: x["text"]), "").alias("text"),
-        F.array_join(F.transform(F.filter("_p", lambda x: ~x["in_script"]), lambda x: x["text"]), "")
-        .alias("text_noscript"))
+        banned = (F.col("kind") == "el") & F.col("tag").isin(*drop_tags)
+        nodes = nodes.select("page_id", "open_pos", "close_pos", "kind", "tag", "text").filter(is_text | banned).withColumn("_out", inside(banned)).filter(~F.col("_out"))
+    return nodes.filter(is_text).select("page_id", "open_pos", "close_pos", "text")
+
+
+def _joined() -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("open_pos", "text"))), lambda x: x["text"]), "").alias("text")
+
+
+def subtree_text(nodes: DataFrame, targets: DataFrame, tid: str = "tid", drop_tags=()) -> DataFrame:
+    """D6/D7 raw: ``targets(page_id, tid, open_pos, close_pos)`` ->
+    ``(page_id, tid, text)`` with the text of all text nodes below the target
+    in document order. Targets without any text node are absent (callers
+    left-join and coalesce to '')."""
+    pairs = within(text_nodes(nodes, drop_tags), targets.select("page_id", tid, "open_pos", "close_pos").dropDuplicates(["page_id", tid]), tid)
+    return pairs.groupBy("page_id", tid).agg(_joined())
 
 
 def page_text(nodes: DataFrame, drop_tags=()) -> DataFrame:
     """Text of the whole document per page: (page_id, text)."""
-    t = text_nodes(nodes, drop_tags)
-    return t.groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("open_pos", "text"))),
-                                 lambda x: x["text"]), "").alias("text"))
+    return text_nodes(nodes, drop_tags).groupBy("page_id").agg(_joined())
 
 
 def _with_empty(targets: DataFrame, r: DataFrame, tid: str) -> DataFrame:
@@ -347,51 +381,46 @@ def _with_empty(targets: DataFrame, r: DataFrame, tid: str) -> DataFrame:
         "page_id", tid, F.coalesce("text", F.lit("")).alias("text"))
 
 
-def text_trim(nodes, targets, tid="tid", tags=None, keep_empty=False) -> DataFrame:
+def text_trim(nodes, targets, tid="tid", keep_empty=False) -> DataFrame:
     """``.text().trim()``. Targets without text nodes are absent unless
     ``keep_empty`` (then they get '')."""
-    r = subtree_text(nodes, targets, tid, tags=tags)
+    r = subtree_text(nodes, targets, tid)
     if keep_empty:
         r = _with_empty(targets, r, tid)
     return r.withColumn("text", js_trim("text"))
 
 
-def text_clean(nodes, targets, tid="tid", tags=None, keep_empty=False) -> DataFrame:
+def text_clean(nodes, targets, tid="tid", keep_empty=False) -> DataFrame:
     """Text without script, whitespace collapsed, trimmed."""
-    r = subtree_text(nodes, targets, tid, drop_tags=("script",), tags=tags)
+    r = subtree_text(nodes, targets, tid, drop_tags=("script",))
     if keep_empty:
         r = _with_empty(targets, r, tid)
     return r.withColumn("text", js_collapse_ws("text"))
 
 
-def walk_up_levels(df: DataFrame, k: int, id_col: str = "node_id") -> DataFrame:
-    """D10 helper: (page_id, id, level 1..k, cid) for the first k ancestors
-    (level 1 = parent)."""
-    rev = F.slice(F.reverse(F.col("anc")), 1, k)
-    return df.select("page_id", F.col(id_col).alias("_src"),
-                     F.posexplode(rev).alias("level", "cid")).withColumn("level", F.col("level") + 1)
+def walk_up(nodes: DataFrame, df: DataFrame, k: int) -> DataFrame:
+    """``df`` with each of its first k ancestors: ``cid`` and ``level``
+    (1 = parent)."""
+    return within(df, elements(nodes).withColumn("cid", F.col("node_id")), "cid", nearest=k)
 
 
 def table_rows(nodes: DataFrame) -> DataFrame:
     """Every ``table//tr`` with at least two direct ``td`` children.
     A row of a nested table is listed once per enclosing table. Output:
-    page_id, table_id, table_pos, tr_id, tr_pos, cell0_id, cell1_id, cell1_class."""
-    tds = nodes.filter((F.col("kind") == "el") & (F.col("tag") == "td")).select(
-        "page_id", F.col("parent_id").alias("tr_id"), F.col("node_id").alias("td_id"),
-        F.col("open_pos").alias("td_pos"), F.col("attrs")["class"].alias("td_class"))
-    per_tr = tds.groupBy("page_id", "tr_id").agg(
-        F.count(F.lit(1)).alias("n_td"),
-        F.array_sort(F.collect_list(F.struct("td_pos", "td_id", "td_class"))).alias("cells"))
-    per_tr = per_tr.filter(F.col("n_td") >= 2)
-    trs = nodes.filter((F.col("kind") == "el") & (F.col("tag") == "tr")).select(
-        "page_id", F.col("node_id").alias("tr_id"), F.col("open_pos").alias("tr_pos"),
-        F.explode(anc_ids({"table"})).alias("table_id"))
-    tables = nodes.filter((F.col("kind") == "el") & (F.col("tag") == "table")).select(
-        "page_id", F.col("node_id").alias("table_id"), F.col("open_pos").alias("table_pos"))
-    rows = trs.select("page_id", "tr_id", "tr_pos", "table_id") \
-        .join(per_tr, ["page_id", "tr_id"]).join(tables, ["page_id", "table_id"])
-    return rows.select(
-        "page_id", "table_id", "table_pos", "tr_id", "tr_pos",
-        F.col("cells")[0]["td_id"].alias("cell0_id"),
-        F.col("cells")[1]["td_id"].alias("cell1_id"),
-        F.coalesce(F.col("cells")[1]["td_class"], F.lit("")).alias("cell1_class"))
+    page_id, table_id, table_pos, tr_id, tr_pos, cell0, cell1 (their texts),
+    cell1_class."""
+    rows = nodes.filter((F.col("kind") == "text") | F.col("tag").isin("table", "tr", "td", "script")).select(
+        "page_id", "node_id", "parent_id", "open_pos", "close_pos", "kind", "tag", F.col("attrs")["class"].alias("cls"), "text")
+    rows = with_text(rows, F.col("tag") == "td")
+    # cells meet at their row's id, rows and tables stand for themselves
+    key = F.when(F.col("tag") == "td", F.col("parent_id")).otherwise(F.col("node_id"))
+    own = F.when(F.col("tag").isin("tr", "table"), F.struct("open_pos", "close_pos", "tag"))
+    rows = rows.groupBy("page_id", key.alias("node_id")).agg(
+        F.max(own).alias("own"), F.array_sort(F.collect_list(F.when(F.col("tag") == "td", F.struct("open_pos", "content", "cls")))).alias("cells"))
+    rows = rows.filter(F.col("own").isNotNull()).select("page_id", "node_id", "own.*", "cells")
+    full = (F.col("tag") == "tr") & (F.size("cells") >= 2)
+    pairs = pair_up(rows, full, F.col("tag") == "table", ["node_id", "open_pos"])
+    return pairs.select(
+        "page_id", F.col("up.node_id").alias("table_id"), F.col("up.open_pos").alias("table_pos"),
+        F.col("node_id").alias("tr_id"), F.col("open_pos").alias("tr_pos"), F.get("cells", F.lit(0))["content"].alias("cell0"),
+        F.get("cells", F.lit(1))["content"].alias("cell1"), F.coalesce(F.get("cells", F.lit(1))["cls"], F.lit("")).alias("cell1_class"))

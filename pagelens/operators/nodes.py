@@ -1,25 +1,39 @@
 """Parse pages into the node table.
 
-One row per element or text node::
+Two steps. Python only splits: one regex tokenizer per Arrow batch turns the
+html of a page into a stream of tags and texts. Spark builds the tree: windows
+keyed by the page match the brackets of that stream (``structure_sql``). One
+row per element or text node::
 
-    nodes(page_id long, node_id int, parent_id int, depth int,
-          open_pos int, close_pos int, kind string, tag string,
-          attrs map<string,string>, classes array<string>, text string,
-          anc array<int>, anc_tags array<string>)
+    nodes(page_id long, node_id int, parent_id int, open_pos int, close_pos int,
+          kind string, tag string, attrs map<string,string>,
+          classes array<string>, text string)
 
 Node 0 of every page is the document (kind 'doc'); its ``attrs`` carry the
-parse time in ms (E14). ``open_pos``/``close_pos`` come from one counter per
-page, so a subtree is an interval and document order is ``open_pos``;
-``anc``/``anc_tags`` list the ancestor ids and tags root -> parent (the
-document excluded; two flat aligned arrays are much cheaper to move and
-store than an array of structs), so "descendant of" is an equi join on an
-exploded ``anc`` id.
-
-Tokenising is the only Python in the page engine: one regex tokenizer per
-Arrow batch (``mapInArrow``), with the implied-end-tag rules of HTML for
-the common cases (void elements, ``p`` closed by blocks, ``li``/``dt``/
-``dd``/``tr``/``td``/``option`` closing their open sibling, end tags that
-close everything above their match, unknown end tags ignored).
+split time in ms (E14). A node's id is the number of its token. A subtree is
+the interval between ``open_pos`` (odd) and ``close_pos`` (even); document
+order is ``open_pos``. Elements that end together have one ``close_pos``; of
+these the one with the largest ``open_pos`` lies innermost. Texts and void
+elements have ``close_pos = open_pos``.
+
+Which brackets match (the parser's rule):
+
+1. An end tag pairs with the latest start tag of its name that is still
+   without one, in the same table (list items: at the same list depth). End
+   tags without a partner are ignored.
+2. Two pairs that cross exchange their ends, so intervals always nest.
+3. A block or a list, table, ``html`` or ``body`` without an end tag ends with
+   the innermost pair around it.
+4. Any other element without an end tag ends there too, or before that where
+   a start tag beside it ends it: ``RANKS`` orders head and table sections,
+   rows, cells, list items, paragraphs, links and the rest; a start tag ends
+   all that stand at its rank (``SELF``) or above. A block ends paragraphs,
+   links and inline elements; a section, row, cell or item ends its like.
+
+Every step is a window over the page's tokens: linear rows at any depth. Where
+all tags of a page pair by plain depth (``nested_sql``) the rules change
+nothing, so only the other pages take the longer way. ``page_id`` must
+identify a page.
 """
 
 from __future__ import annotations
@@ -29,22 +43,26 @@ import time
 from html import unescape as _unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# HTML void elements, blocks that close an open <p>, and
-# elements whose content is text only.
+# HTML void elements, block elements, and elements whose content
+# is text only.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen".split())
-CLOSES_P = frozenset((
+BLOCKS = frozenset((
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure "
-    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul"
+    "footer form h1 h2 h3 h4 h5 h6 header hgroup main menu nav ol pre section summary table ul"
 ).split())
+CONTAINERS = BLOCKS | {"html", "body", "select"}    # rule 3
+LISTS = ("ul", "ol", "dl", "select")
+ITEMS = ("li", "dt", "dd", "option", "optgroup")
 RAW_TEXT = frozenset(("title", "textarea"))
-SCOPE_STOP = frozenset("html body table td th caption button marquee object template".split())
-LIST_STOP = SCOPE_STOP | {"ul", "ol"}
-DL_STOP = SCOPE_STOP | {"dl"}
-ROW_STOP = frozenset(("table", "html", "template"))
-CELL_STOP = ROW_STOP | {"tr"}
+#: Rule 4: rank of an element without an end tag, and from which rank on a start tag ends others.
+RANKS = {**dict.fromkeys(("head", "caption", "colgroup", "thead", "tbody", "tfoot"), 1), "tr": 2, "td": 3, "th": 3,
+         **dict.fromkeys(ITEMS, 4), "p": 5, "a": 6}
+INLINE = 7
+ENDS = {**{t: r for t, r in RANKS.items() if t != "head"}, **dict.fromkeys([*BLOCKS, "hr"], 5), "head": 2, "body": 1, "html": 1}
 
 # Written node tables are sorted by (kind, tag) inside each page bucket and
 # use small row groups, so a selector's tag/kind filter skips row groups by
@@ -52,131 +70,27 @@ CELL_STOP = ROW_STOP | {"tr"}
 NODE_SORT = ("kind", "tag", "page_id")
 NODE_ROW_GROUP = 4 * 1024 * 1024
 
-NODE_SCHEMA = T.StructType([
+NODE_COLS = ["page_id", "node_id", "parent_id", "open_pos", "close_pos", "kind", "tag", "attrs", "classes", "text"]
+
+TAG_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
-    T.StructField("node_id", T.IntegerType()),
-    T.StructField("parent_id", T.IntegerType()),
-    T.StructField("depth", T.IntegerType()),
-    T.StructField("open_pos", T.IntegerType()),
-    T.StructField("close_pos", T.IntegerType()),
-    T.StructField("kind", T.StringType()),
+    T.StructField("seq", T.IntegerType()),
+    T.StructField("kind", T.StringType()),          # doc, open, close, void, text
     T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("classes", T.ArrayType(T.StringType())),
     T.StructField("text", T.StringType()),
-    T.StructField("anc", T.ArrayType(T.IntegerType())),
-    T.StructField("anc_tags", T.ArrayType(T.StringType())),
 ])
 
 ARROW_SCHEMA = pa.schema([
-    ("page_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()),
-    ("depth", pa.int32()), ("open_pos", pa.int32()), ("close_pos", pa.int32()),
-    ("kind", pa.string()), ("tag", pa.string()),
-    ("attrs", pa.map_(pa.string(), pa.string())), ("classes", pa.list_(pa.string())),
-    ("text", pa.string()), ("anc", pa.list_(pa.int32())),
-    ("anc_tags", pa.list_(pa.string())),
+    ("page_id", pa.int64()), ("seq", pa.int32()), ("kind", pa.string()), ("tag", pa.string()),
+    ("attrs", pa.map_(pa.string(), pa.string())), ("classes", pa.list_(pa.string())), ("text", pa.string()),
 ])
 
 
-class _TreeBuilder:
-    """Builds flat node rows for one page."""
-
-    def __init__(self, keep_tags=None, keep_text=True):
-        self.keep_tags = keep_tags
-        self.keep_text = keep_text
-        self.rows = []           # [node_id, parent, depth, open, close, kind, tag, attrs, classes, text]
-        self.stack = [0]         # node ids; 0 = document
-        self.tags = ["#document"]
-        self.pos = 1
-        self.pending = []        # adjacent text pieces
-        self.rows.append([0, None, 0, 0, None, "doc", "#document", None, None, None])
-
-    # -- helpers ---------------------------------------------------------
-    def _flush_text(self):
-        if not self.pending:
-            return
-        text = "".join(self.pending)
-        self.pending = []
-        if not self.keep_text:
-            self.pos += 1
-            return
-        nid = len(self.rows)
-        self.rows.append([nid, self.stack[-1], len(self.stack) - 1, self.pos, self.pos,
-                          "text", None, None, None, text])
-        self.pos += 1
-
-    def _pop(self):
-        nid = self.stack.pop()
-        self.tags.pop()
-        self.rows[nid][4] = self.pos
-        self.pos += 1
-
-    def _close_to(self, tag, stop):
-        """Pop up to and including the nearest open ``tag`` unless a stop tag
-        is met first. Returns True when something was closed."""
-        for i in range(len(self.tags) - 1, 0, -1):
-            t = self.tags[i]
-            if t == tag:
-                while len(self.stack) > i:
-                    self._pop()
-                return True
-            if t in stop:
-                return False
-        return False
-
-    def _open(self, tag, attrs):
-        nid = len(self.rows)
-        amap = {}
-        for k, v in attrs:
-            if k not in amap:
-                amap[k] = "" if v is None else v
-        cls = amap.get("class")
-        classes = cls.split() if cls else []
-        self.rows.append([nid, self.stack[-1], len(self.stack) - 1, self.pos, None,
-                          "el", tag, amap, classes, None])
-        self.pos += 1
-        self.stack.append(nid)
-        self.tags.append(tag)
-
-    # -- parser callbacks ------------------------------------------------
-    def handle_starttag(self, tag, attrs):
-        self._flush_text()
-        if tag in CLOSES_P:
-            self._close_to("p", SCOPE_STOP)
-        if tag == "li":
-            self._close_to("li", LIST_STOP)
-        elif tag in ("dt", "dd"):
-            if not self._close_to("dt", DL_STOP):
-                self._close_to("dd", DL_STOP)
-        elif tag == "tr":
-            self._close_to("tr", ROW_STOP)
-        elif tag in ("td", "th"):
-            if not self._close_to("td", CELL_STOP):
-                self._close_to("th", CELL_STOP)
-        elif tag in ("option", "a"):     # a link never lies inside a link
-            self._close_to(tag, SCOPE_STOP)
-        self._open(tag, attrs)
-        if tag in VOID:
-            self._pop()
-
-    def handle_endtag(self, tag):
-        self._flush_text()
-        if tag in VOID:
-            return
-        for i in range(len(self.tags) - 1, 0, -1):
-            if self.tags[i] == tag:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-
-    def finish(self):
-        self._flush_text()
-        while len(self.stack) > 1:
-            self._pop()
-        self.rows[0][4] = self.pos
-        return self.rows
-
-
+# ---------------------------------------------------------------------------
+# splitting
+# ---------------------------------------------------------------------------
 # One master pattern: comment, markup declaration / processing instruction,
 # end tag, start tag (quoted values may hold '>'), text run, lone '<'.
 _TOKEN_RE = re.compile(r"""
@@ -209,60 +123,69 @@ def _attrs(raw: str):
     return out
 
 
-def _feed(b: "_TreeBuilder", html: str) -> None:
-    """Regex tokenizer driving the tree builder."""
+def split_tags(html: str):
+    """(kind, tag, attributes, text) of the tags and texts of a page, in order;
+    texts around a comment are one. The content of script, style, title and
+    textarea is text."""
     pos, n, last = 0, len(html), html.rfind(">")
     match = _TOKEN_RE.match
+    pending = []                                       # adjacent text pieces
     while pos < n:
         if pos > last and not html.startswith(("<!", "<?"), pos):
             # no tag can end from here on: what is left is text
             rest = html[pos:]
-            b.pending.append(_unescape(rest) if "&" in rest else rest)
+            pending.append(_unescape(rest) if "&" in rest else rest)
             break
         m = match(html, pos)
-        end_pos = m.end()
-        start = m.group("start")
-        if start is not None:
-            tag = start.lower()
-            b.handle_starttag(tag, _attrs(m.group("attrs")))
-            closer = _RAW_END.get(tag) or _RCDATA_END.get(tag)
-            if closer is not None and b.tags[-1] == tag:
-                e = closer.search(html, end_pos)
-                stop = e.start() if e else n
-                body = html[end_pos:stop]
-                if body:
-                    b.pending.append(_unescape(body) if tag in RAW_TEXT and "&" in body else body)
-                if e:
-                    gt = html.find(">", e.end())
-                    b.handle_endtag(tag)
-                    end_pos = n if gt < 0 else gt + 1
-                else:
-                    end_pos = n
-        elif m.group("end") is not None:
-            b.handle_endtag(m.group("end").lower())
-        else:
-            tok = m.group(0)
-            if tok.startswith("<!--") and not tok.endswith(">"):
-                b.pending.append(_unescape(tok) if "&" in tok else tok)   # unclosed comment: text
-            elif tok.startswith("<!") or tok.startswith("<?"):
-                pass                                   # comment / doctype / PI
-            else:
-                b.pending.append(_unescape(tok) if "&" in tok else tok)
-        pos = end_pos
-
-
-def parse_html(html: str, keep_tags=None, keep_text=True):
-    """Node rows of one page (without page_id), in document order. A page
-    whose parse breaks off keeps the rows made so far and says so: the
-    document's attributes get ``parse_error``."""
-    b = _TreeBuilder(keep_tags, keep_text)
-    error = None
+        pos = m.end()
+        tok = m.group(0)
+        if m.group("start") is None and m.group("end") is None:
+            # a comment, declaration or instruction has no text, unless it never ends
+            if not tok.startswith(("<!", "<?")) or (tok.startswith("<!--") and not tok.endswith(">")):
+                pending.append(_unescape(tok) if "&" in tok else tok)
+            continue
+        if pending:
+            yield "text", None, None, "".join(pending)
+            pending = []
+        if m.group("end") is not None:
+            tag = m.group("end").lower()
+            if tag not in VOID:
+                yield "close", tag, None, None
+            continue
+        tag = m.group("start").lower()
+        yield ("void" if tag in VOID else "open"), tag, _attrs(m.group("attrs")), None
+        closer = _RAW_END.get(tag) or _RCDATA_END.get(tag)
+        if closer is not None:
+            e = closer.search(html, pos)
+            body = html[pos:e.start() if e else n]
+            if body:
+                yield "text", None, None, _unescape(body) if tag in RAW_TEXT and "&" in body else body
+            gt = html.find(">", e.end()) if e else -1
+            if e:
+                yield "close", tag, None, None
+            pos = n if gt < 0 else gt + 1
+    if pending:
+        yield "text", None, None, "".join(pending)
+
+
+def page_tags(html: str | None):
+    """Rows (seq, kind, tag, attrs, classes, text) of one page; row 0 is the
+    document. A page whose split breaks off keeps the rows made so far and says
+    so: the document's attributes get ``parse_error``."""
+    t0 = time.perf_counter()
+    rows = [(0, "doc", "#document", {}, None, None)]
     try:
-        _feed(b, html or "")
+        for kind, tag, attrs, text in split_tags(html or ""):
+            classes = None
+            if attrs is not None:
+                first = {}
+                for k, v in attrs:
+                    first.setdefault(k, "" if v is None else v)
+                attrs, classes = first, (first.get("class") or "").split()
+            rows.append((len(rows), kind, tag, attrs, classes, text))
     except Exception as e:  # noqa: BLE001 - reported with the page
-        error = f"{type(e).__name__}: {e}"
-    rows = b.finish()
-    rows[0][7] = {"parse_error": error} if error else {}
+        rows[0][3]["parse_error"] = f"{type(e).__name__}: {e}"
+    rows[0][3]["parse_ms"] = f"{(time.perf_counter() - t0) * 1000.0:.3f}"
     return rows
 
 
@@ -271,132 +194,253 @@ class _Columns:
     value lists plus offsets and assembled with ``from_arrays`` (no
     per-row Python objects for lists and maps)."""
 
-    SCALARS = ("page_id", "node_id", "parent_id", "depth", "open_pos", "close_pos", "kind", "tag", "text")
+    SCALARS = ("page_id", "seq", "kind", "tag", "text")
 
     def __init__(self):
         self.s = {n: [] for n in self.SCALARS}
         self.attr_off, self.attr_k, self.attr_v, self.attr_null = [0], [], [], []
         self.cls_off, self.cls_v, self.cls_null = [0], [], []
-        self.anc_off, self.anc_v, self.tag_v = [0], [], []
         self.n = 0
 
-    def add(self, pid, r, ids, tags):
+    def add(self, pid, row):
+        seq, kind, tag, attrs, classes, text = row
         s = self.s
         s["page_id"].append(pid)
-        s["node_id"].append(r[0])
-        s["parent_id"].append(r[1])
-        s["depth"].append(r[2])
-        s["open_pos"].append(r[3])
-        s["close_pos"].append(r[4])
-        s["kind"].append(r[5])
-        s["tag"].append(r[6])
-        s["text"].append(r[9])
-        a = r[7]
-        if a is None:
-            self.attr_null.append(True)
-        else:
-            self.attr_null.append(False)
-            self.attr_k.extend(a.keys())
-            self.attr_v.extend(a.values())
+        s["seq"].append(seq)
+        s["kind"].append(kind)
+        s["tag"].append(tag)
+        s["text"].append(text)
+        self.attr_null.append(attrs is None)
+        if attrs:
+            self.attr_k.extend(attrs.keys())
+            self.attr_v.extend(attrs.values())
         self.attr_off.append(len(self.attr_k))
-        c = r[8]
-        if c is None:
-            self.cls_null.append(True)
-        else:
-            self.cls_null.append(False)
-            self.cls_v.extend(c)
+        self.cls_null.append(classes is None)
+        if classes:
+            self.cls_v.extend(classes)
         self.cls_off.append(len(self.cls_v))
-        self.anc_v.extend(ids)
-        self.tag_v.extend(tags)
-        self.anc_off.append(len(self.anc_v))
         self.n += 1
 
     def batch(self):
         f = ARROW_SCHEMA.field
         arrays = {n: pa.array(self.s[n], type=f(n).type) for n in self.SCALARS}
-        attr_off = pa.array(self.attr_off, type=pa.int32())
         arrays["attrs"] = pa.MapArray.from_arrays(
-            attr_off, pa.array(self.attr_k, type=pa.string()), pa.array(self.attr_v, type=pa.string()),
+            pa.array(self.attr_off, type=pa.int32()), pa.array(self.attr_k, type=pa.string()), pa.array(self.attr_v, type=pa.string()),
             mask=pa.array(self.attr_null, type=pa.bool_()))
         arrays["classes"] = pa.ListArray.from_arrays(
             pa.array(self.cls_off, type=pa.int32()), pa.array(self.cls_v, type=pa.string()),
             mask=pa.array(self.cls_null, type=pa.bool_()))
-        anc_off = pa.array(self.anc_off, type=pa.int32())
-        arrays["anc"] = pa.ListArray.from_arrays(anc_off, pa.array(self.anc_v, type=pa.int32()))
-        arrays["anc_tags"] = pa.ListArray.from_arrays(anc_off, pa.array(self.tag_v, type=pa.string()))
         return pa.RecordBatch.from_arrays([arrays[n] for n in ARROW_SCHEMA.names], schema=ARROW_SCHEMA)
 
 
-def _batches(it, keep_tags, keep_text, max_rows=65536, max_ancestors=2_000_000):
-    """Node rows as Arrow batches. Ancestors are read off the open path while
-    the rows go out, and a batch ends at either bound, also inside a page, so
-    that memory does not grow with depth."""
+def _batches(it, max_rows=65536):
     cols = _Columns()
     for batch in it:
-        ids = batch.column("page_id").to_pylist()
-        for pid, html in zip(ids, batch.column("html")):
-            t0 = time.perf_counter()
-            rows = parse_html(html.as_py(), keep_tags, keep_text)
-            rows[0][7]["parse_ms"] = f"{(time.perf_counter() - t0) * 1000.0:.3f}"
-            path_ids, path_tags = [], []
-            for r in rows:
-                depth = r[2] if r[5] != "doc" else 0
-                del path_ids[depth:], path_tags[depth:]
-                if not (keep_tags is not None and r[5] == "el" and r[6] not in keep_tags):
-                    cols.add(pid, r, path_ids, path_tags)
-                if r[5] == "el":
-                    path_ids.append(r[0])
-                    path_tags.append(r[6])
-                if cols.n >= max_rows or len(cols.anc_v) >= max_ancestors:
+        for pid, html in zip(batch.column("page_id").to_pylist(), batch.column("html")):
+            for row in page_tags(html.as_py()):
+                cols.add(pid, row)
+                if cols.n >= max_rows:
                     yield cols.batch()
                     cols = _Columns()
     if cols.n:
         yield cols.batch()
 
 
-def to_nodes(pages: DataFrame, html_col: str = "html", keep_tags=None,
-             keep_text: bool = True) -> DataFrame:
-    """D1. ``pages`` needs ``page_id`` and the html column; only those two
-    columns are handed to Python (column pruning reaches the scan).
-    ``keep_tags`` prunes element rows not needed by the caller's selectors
-    (ancestry and positions are unchanged)."""
+def to_tags(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """The tag stream. ``pages`` needs ``page_id`` and the html column; only
+    those two columns are handed to Python (column pruning reaches the scan)."""
     from pagelens.session import ensure_parallel, ship_package
     ship_package(pages.sparkSession)
     src = ensure_parallel(pages.select("page_id", pages[html_col].alias("html")))
-    keep = frozenset(keep_tags) if keep_tags is not None else None
-    return src.mapInArrow(lambda it: _batches(it, keep, keep_text), NODE_SCHEMA)
+    return src.mapInArrow(_batches, TAG_SCHEMA)
+
+
+# ---------------------------------------------------------------------------
+# the tree
+# ---------------------------------------------------------------------------
+def _case(values: dict, default) -> str:
+    """SQL: a number for each tag."""
+    of: dict = {}
+    for tag, v in sorted(values.items()):
+        of.setdefault(v, []).append(tag)
+    return "CASE " + " ".join(f"WHEN tag IN ({_list(tags)}) THEN {v}" for v, tags in sorted(of.items())) + f" ELSE {default} END"
+
+
+def _list(tags) -> str:
+    return ", ".join(f"'{t}'" for t in sorted(tags))
+
+
+def structure_sql(source: str, keys=("page_id",), carry=()) -> str:
+    """SQL that builds the tree of the tag stream ``source``: one row for each
+    node with ``parent_id``, ``open_pos`` and ``close_pos``.
+    ``keys`` identify a page (none inside a table function, which sees one);
+    ``carry`` are further columns to hand on."""
+    k, more = "".join(f"{c}, " for c in keys), "".join(f", {c}" for c in carry)
+
+    def over(*parts, order="seq", frame="ROWS UNBOUNDED PRECEDING"):
+        p = ", ".join([*keys, *parts])
+        return f"OVER ({'PARTITION BY ' + p if p else ''}{f' ORDER BY {order} {frame}' if order else ''})"
+
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    ranks = range(1, INLINE + 1)
+    alive = [f"CASE WHEN u{r} > coalesce(o, 0) AND u{r} >= coalesce(c{r}, 0) THEN u{r} END" for r in ranks]
+    ends = ", ".join(f"CASE WHEN rank = {r} THEN n{r} END" for r in ranks)
+    return f"""
+WITH tokens AS (
+  SELECT {k}seq, kind, tag{more}, CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END AS step FROM {source}),
+-- depth of tables and of lists; a count never falls below the least so far
+sums AS (
+  SELECT *, sum(IF(tag = 'table', step, 0)) {over()} AS st, sum(IF(tag IN ({_list(LISTS)}), step, 0)) {over()} AS sl,
+         max(seq) {over(order=None)} AS last_seq FROM tokens),
+depths AS (
+  SELECT *, st - least(0, min(st) {over()}) AS tables, sl - least(0, min(sl) {over()}) AS lists FROM sums),
+-- the table that a token lies in; tables themselves pair in the page
+placed AS (
+  SELECT *, IF(tag = 'table', -1, coalesce(max(IF(kind = 'open' AND tag = 'table', seq, NULL)) {over('tables')}, 0)) AS place,
+         IF(tag IN ({_list(ITEMS)}), lists, 0) AS item FROM depths),
+-- 1: pairs by name
+named AS (SELECT *, sum(step) {over('place', 'item', 'tag')} AS sn FROM placed),
+least_named AS (SELECT *, least(0, coalesce(min(sn) {over('place', 'item', 'tag', frame=before)}, 0)) AS low FROM named),
+levelled AS (
+  SELECT *, kind = 'close' AND sn >= low AS ends, CASE kind WHEN 'open' THEN sn - low WHEN 'close' THEN IF(sn >= low, sn + 1 - low, -1) END AS level FROM least_named),
+paired AS (
+  SELECT *, kind = 'open' AND coalesce(lead(kind) {over('place', 'item', 'tag', 'level', frame='')}, '') = 'close' AS pairs FROM levelled),
+-- 2: depth by pairs of any name
+paired_depth AS (SELECT *, sum(IF(pairs, 1, IF(ends, -1, 0))) {over()} AS d FROM paired),
+-- 3: blocks without an end tag end with the pair around them
+loose AS (
+  SELECT *, kind = 'open' AND NOT pairs AND tag IN ({_list(CONTAINERS)}) AS loose, IF(ends, d + 1, d) AS own FROM paired_depth),
+loose_sums AS (SELECT *, sum(IF(loose, 1, 0)) {over('own')} AS blocks FROM loose),
+closing AS (SELECT *, IF(ends, 1 + blocks - coalesce(max(IF(pairs, blocks, NULL)) {over('own')}, 0), 0) AS closes FROM loose_sums),
+nested AS (SELECT *, sum(IF(pairs OR loose, 1, -closes)) {over()} AS depth FROM closing),
+-- an element stands in the level around it and opens one; an end closes one or more
+roles AS (
+  SELECT {k}seq, kind, tag{more}, last_seq, pairs OR loose AS opens, {_case(RANKS, INLINE)} AS rank, {_case(ENDS, INLINE + 1)} AS ends_from,
+         explode(CASE WHEN kind = 'close' THEN transform(slice(sequence(1, greatest(closes, 1)), 1, int(closes)), x -> struct(int(depth + x) AS level, 'end' AS role))
+                      WHEN pairs OR loose THEN array(struct(int(depth - 1) AS level, 'node' AS role), struct(int(depth) AS level, 'opener' AS role))
+                      ELSE array(struct(int(depth) AS level, 'node' AS role)) END) AS at
+  FROM nested),
+levels AS (
+  SELECT {k}seq, kind, tag{more}, last_seq, opens, rank, ends_from, at.level AS level, at.role AS role,
+         at.role = 'node' AND kind = 'open' AND NOT opens AS free FROM roles),
+-- 4: what is open at the level, by rank, and what ends it
+opened AS (
+  SELECT *, max(IF(role = 'opener', seq, NULL)) {over('level')} AS o,
+         {', '.join(f"max(IF(free AND rank = {r}, seq, NULL)) {over('level', frame=before)} AS u{r}" for r in ranks)},
+         {', '.join(f"max(IF(role = 'node' AND kind <> 'text' AND ends_from <= {r}, seq, NULL)) {over('level')} AS c{r}" for r in ranks)} FROM levels),
+ended AS (
+  SELECT *, min(IF(role = 'end', seq, NULL)) {over('level', order='seq DESC', frame=before)} AS n0,
+         {', '.join(f"min(IF(role = 'node' AND kind <> 'text' AND ends_from <= {r}, seq, NULL)) {over('level', order='seq DESC', frame=before)} AS n{r}" for r in ranks)} FROM opened),
+ends_of AS (
+  SELECT {k}seq, kind, tag{more}, last_seq, role, IF(role = 'node', greatest(o, {', '.join(alive)}), NULL) AS parent,
+         CASE WHEN role = 'opener' THEN coalesce(n0, last_seq + 1) WHEN free THEN coalesce(least(n0, {ends}), last_seq + 1) END AS stop
+  FROM ended WHERE role <> 'end')
+SELECT {k}{_node('max(parent)', 'max(stop)')}{"".join(f", any_value({c}) AS {c}" for c in carry)}
+FROM ends_of GROUP BY {k}seq, kind, tag, last_seq"""
+
+
+def _node(parent: str, stop: str) -> str:
+    """SQL: the columns of a node from its token, its parent's and the one that ends it."""
+    return f"""seq AS node_id, IF(kind = 'doc', NULL, coalesce({parent}, 0)) AS parent_id, IF(kind = 'doc', 0, 2 * seq + 1) AS open_pos,
+       CASE WHEN kind = 'doc' THEN 2 * last_seq + 4 WHEN kind = 'open' THEN 2 * {stop} ELSE 2 * seq + 1 END AS close_pos,
+       CASE WHEN kind IN ('open', 'void') THEN 'el' ELSE kind END AS kind, tag"""
+
+
+def nested_sql(source: str) -> str:
+    """SQL that builds the tree of pages whose tags all pair by plain depth,
+    and says of the others that they do not (``broken``)."""
+    return f"""
+WITH sums AS (
+  SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS d,
+         sum(step) OVER (PARTITION BY page_id) AS total, max(seq) OVER (PARTITION BY page_id) AS last_seq
+  FROM (SELECT page_id, seq, kind, tag, CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END AS step FROM {source})),
+-- a start tag is a node in the level around it and opens one, which its end tag ends
+roles AS (
+  SELECT page_id, seq, kind, tag, total, last_seq, inline(CASE kind
+    WHEN 'open' THEN array(struct(d AS level, 'node' AS role), struct(d + 1 AS level, 'opener' AS role))
+    WHEN 'close' THEN array(struct(d + 2 AS level, 'end' AS role)) ELSE array(struct(d + 1 AS level, 'node' AS role)) END) FROM sums),
+opened AS (
+  SELECT *, max(IF(role = 'opener', seq, NULL)) OVER (PARTITION BY page_id, level ORDER BY seq ROWS UNBOUNDED PRECEDING) AS o,
+         last_value(IF(role = 'opener', tag, NULL)) IGNORE NULLS OVER (PARTITION BY page_id, level ORDER BY seq ROWS UNBOUNDED PRECEDING) AS name FROM roles),
+merged AS (
+  SELECT page_id, IF(role = 'end', o, seq) AS seq, max(IF(role = 'node', kind, NULL)) AS kind, max(IF(role = 'node', tag, NULL)) AS tag,
+         max(IF(role = 'node', o, NULL)) AS parent, max(IF(role = 'end', seq, NULL)) AS stop, max(last_seq) AS last_seq,
+         max(total) <> 0 OR max(role = 'end' AND NOT (name <=> tag)) AS broken
+  FROM opened WHERE role <> 'opener' GROUP BY page_id, IF(role = 'end', o, seq))
+SELECT page_id, {_node('parent', 'stop')}, max(broken) OVER (PARTITION BY page_id) AS broken FROM merged"""
+
+
+def build_tree(tags: DataFrame, cut=None) -> DataFrame:
+    """Tag stream -> node table. The windows run over four narrow columns; the
+    rest of each tag is joined to its node at the end. ``cut`` materialises a
+    table that is read twice."""
+    # few bytes, much work: a fixed number of partitions, or AQE would merge them by size
+    spark = tags.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    narrow = tags.select("page_id", "seq", "kind", "tag")
+    nested = spark.sql(nested_sql("{tags}"), tags=narrow.repartition(parts, "page_id"))
+    nested = cut(nested) if cut else nested
+    tree, broken = nested.filter("NOT broken").drop("broken"), nested.filter("broken")
+    if not cut or not broken.isEmpty():
+        left = narrow.join(broken.select("page_id").distinct(), "page_id", "left_semi")
+        tree = tree.unionByName(spark.sql(structure_sql("{tags}"), tags=left.repartition(parts, "page_id")))
+    wide = tags.filter("kind <> 'close'").select("page_id", F.col("seq").alias("node_id"), "attrs", "classes", "text")
+    return wide.join(tree, ["page_id", "node_id"]).select(*NODE_COLS)
+
+
+def to_nodes(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """D1, without a cut between the two steps (``node_table`` has one)."""
+    return build_tree(to_tags(pages, html_col))
+
+
+class _HtmlTags:
+    def eval(self, html: str):
+        yield from page_tags(html)
+
+
+def register_sql(spark: SparkSession) -> None:
+    """SQL table functions for LATERAL joins: ``html_tags(html)``, the stream,
+    and ``html_nodes(html)``, the node table of one page. Spark runs the latter
+    once for each distinct html, as windows keyed by it."""
+    from pagelens.session import ship_package
+    ship_package(spark)
+    rows = "seq int, kind string, tag string, attrs map<string,string>, classes array<string>, text string"
+    spark.udtf.register("html_tags", F.udtf(_HtmlTags, returnType=rows).asDeterministic())
+    spark.sql(f"""
+CREATE OR REPLACE TEMPORARY FUNCTION html_nodes(html STRING)
+RETURNS TABLE (node_id INT, parent_id INT, open_pos INT, close_pos INT, kind STRING, tag STRING,
+               attrs MAP<STRING, STRING>, classes ARRAY<STRING>, text STRING)
+RETURN {structure_sql("html_tags(html)", keys=(), carry=("attrs", "classes", "text"))}""")
 
 
 def parse_time(nodes: DataFrame) -> DataFrame:
-    """Parse time per page in ms (not deterministic)."""
-    from pyspark.sql import functions as F
+    """Time per page in ms that splitting took (not deterministic)."""
     return nodes.filter(F.col("kind") == "doc").select(
         "page_id", F.col("attrs")["parse_ms"].cast("double").alias("parse_ms"))
 
 
 def parse_errors(nodes: DataFrame) -> DataFrame:
-    """(page_id, message) of pages whose parse broke off."""
-    from pyspark.sql import functions as F
+    """(page_id, message) of pages whose split broke off."""
     return nodes.filter((F.col("kind") == "doc") & F.col("attrs")["parse_error"].isNotNull()).select(
         "page_id", F.col("attrs")["parse_error"].alias("message"))
 
 
 def node_table(src: DataFrame, name: str = "nodes", materialize: bool = True) -> DataFrame:
-    """D1 plus the lineage cut used by multi-branch plans.
-
-    ``spark.pagelens.nodeLayout`` picks the physical layout of the cut:
-    ``plain`` (default) writes parquet and lets every join shuffle on its
-    keys; ``bucketed`` hash-partitions the pages by ``page_id`` once and
-    writes a table bucketed by ``page_id`` (sorted by kind, tag), so the
-    page-keyed joins and aggregates downstream need no shuffle at all -
-    the better layout when shuffles cross a network; on one machine the
-    extra sorts cost more than the local shuffles they replace."""
+    """D1 plus the lineage cuts used by multi-branch plans: the tag stream is
+    written (Python runs once) and so is the node table.
+
+    ``spark.pagelens.nodeLayout`` picks the physical layout of the latter:
+    ``plain`` (default) writes parquet and lets page-keyed work shuffle once
+    for each query; ``bucketed`` writes a table bucketed by ``page_id`` (sorted
+    by kind, tag), so that page-keyed windows, joins and aggregates downstream
+    need no shuffle at all - the better layout when shuffles cross a network;
+    on one machine the extra sorts cost more than the shuffles they replace."""
     from pagelens.session import node_buckets, write_bucketed, write_table
     if not materialize:
         return to_nodes(src)
     spark = src.sparkSession
+    nodes = build_tree(write_table(to_tags(src), f"{name}-tags"), lambda t: write_table(t, f"{name}-nested"))
     if spark.conf.get("spark.pagelens.nodeLayout", "plain") == "bucketed":
         buckets = node_buckets(spark)
-        nodes = to_nodes(src.repartition(buckets, "page_id"))
-        return write_bucketed(nodes, name, buckets=buckets, sort_by=NODE_SORT, row_group_bytes=NODE_ROW_GROUP)
-    return write_table(to_nodes(src), name)
+        return write_bucketed(nodes.repartition(buckets, "page_id"), name.replace("-", "_"), buckets=buckets, sort_by=NODE_SORT, row_group_bytes=NODE_ROW_GROUP)
+    return write_table(nodes, name)

@@ -33,22 +33,14 @@ def py_strip(c) -> Column:
 def test_rows(nodes: DataFrame) -> DataFrame:
     """(page_id, test_no, name, status, value) from every table row
     with two or more direct cells; rows without a status class are dropped."""
-    rows = dom.table_rows(nodes)
-    cells = rows.select("page_id", F.col("cell0_id").alias("tid")).unionByName(
-        rows.select("page_id", F.col("cell1_id").alias("tid")))
-    txt = dom.subtree_text(nodes, cells, tags={"td"})
+    rows = dom.table_rows(nodes).withColumnsRenamed({"cell0": "t0", "cell1": "t1"})
     name = py_strip(F.col("t0"))
     for sfx in NAME_SUFFIXES:
         name = py_strip(F.replace(name, F.lit(sfx), F.lit("")))
     cls = F.col("cell1_class")
     status = (F.when(cls.contains("passed"), F.lit("passed")).when(cls.contains("warn"), F.lit("warn"))
               .when(cls.contains("failed"), F.lit("failed")))
-    j = (rows.join(txt.select("page_id", F.col("tid").alias("cell0_id"), F.col("text").alias("t0")),
-                   ["page_id", "cell0_id"], "left")
-         .join(txt.select("page_id", F.col("tid").alias("cell1_id"), F.col("text").alias("t1")),
-               ["page_id", "cell1_id"], "left")
-         .withColumn("t0", F.coalesce("t0", F.lit(""))).withColumn("t1", F.coalesce("t1", F.lit(""))))
-    j = j.select("page_id", "table_pos", "tr_pos", name.alias("name"), status.alias("status"),
+    j = rows.select("page_id", "table_pos", "tr_pos", name.alias("name"), status.alias("status"),
                  F.substring(py_strip("t1"), 1, VALUE_CHARS).alias("value")).filter(F.col("status").isNotNull())
     w = Window.partitionBy("page_id").orderBy("table_pos", "tr_pos")
     return j.withColumn("test_no", F.row_number().over(w)).select("page_id", "test_no", "name", "status", "value")
@@ -126,14 +118,15 @@ def webrtc_report(nodes: DataFrame) -> DataFrame:
     cls, idv = F.coalesce(F.col("attrs")["class"], F.lit("")), F.coalesce(F.col("attrs")["id"], F.lit(""))
     ice = e.filter(cls.contains("ice") | idv.contains("ice")
                    | F.coalesce(F.col("own_text").contains("candidate"), F.lit(False)))
-    ice_txt = dom.subtree_text(nodes, ice.select("page_id", F.col("node_id").alias("tid")))
+    ice_txt = dom.subtree_text(nodes, ice.withColumn("tid", F.col("node_id")))
     ips = ip_report(ice_txt, "page_id", "text").groupBy("page_id").agg(
         F.array_sort(F.collect_set("ip")).alias("leaked_ips"))
     sup = e.filter(F.coalesce(F.col("own_text").contains("WebRTC Support"), F.lit(False))).groupBy("page_id") \
-        .agg(F.min_by("parent_id", "open_pos").alias("tid"))
+        .agg(F.min_by("parent_id", "open_pos").alias("node_id")).join(nodes.select("page_id", "node_id", "open_pos", "close_pos"), ["page_id", "node_id"]) \
+        .withColumnRenamed("node_id", "tid")
     sup_txt = dom.subtree_text(nodes, sup).select(
         "page_id", py_strip(F.replace("text", F.lit("WebRTC Support"), F.lit(""))).alias("webrtc_support"))
-    ip_el = e.filter(cls.contains("ip")).select("page_id", F.col("node_id").alias("tid"), "open_pos")
+    ip_el = e.filter(cls.contains("ip")).select("page_id", F.col("node_id").alias("tid"), "open_pos", "close_pos")
     ip_txt = dom.subtree_text(nodes, ip_el).join(ip_el, ["page_id", "tid"]) \
         .withColumn("first_ip", F.try_element_at(ipv4s("text"), F.lit(1))) \
         .filter(F.col("first_ip").isNotNull()).groupBy("page_id") \
@@ -156,8 +149,8 @@ def tls_fields(nodes: DataFrame) -> DataFrame:
     doc = nodes.filter(F.col("kind") == "doc").select("page_id")
     body = doc.join(dom.page_text(nodes), "page_id", "left").select(
         "page_id", py_strip(F.coalesce("text", F.lit(""))).alias("body"))
-    pre = dom.select(nodes, "pre").groupBy("page_id").agg(F.min_by("node_id", "open_pos").alias("tid"))
-    pre_t = dom.subtree_text(nodes, pre, tags={"pre"}).select("page_id", py_strip("text").alias("pre"))
+    pre = dom.select(nodes, "pre").groupBy("page_id").agg(F.min(F.struct("open_pos", "close_pos", F.col("node_id").alias("tid"))).alias("p")).select("page_id", "p.*")
+    pre_t = dom.subtree_text(nodes, pre).select("page_id", py_strip("text").alias("pre"))
     j = body.join(pre_t, "page_id", "left")
     v = F.coalesce(F.try_parse_json("body"), F.try_parse_json("pre"))
     j = j.select("page_id", v.alias("v"))

@@ -11,14 +11,15 @@ A container that fails a rule is skipped, never the page. Ranks follow
 document order of the containers after the per-page dedupe.
 
 Physical plan: pages -> necessary-condition prefilter on raw html (native
-``contains``) -> D1 node table (cut to the shared checkpoint folder when
-several branches read it) -> per-branch filters -> equi joins on
-``(page_id, node id)`` -> per-page windows. Every join and window is keyed
-by ``page_id``; no ordered aggregate crosses pages.
+``contains``) -> D1 node table (cut to the shared checkpoint folder) -> one
+scan of it that tags the rows of all selectors at once -> windows and
+aggregates keyed by ``page_id``, which share one shuffle. No joins; no ordered
+aggregate crosses pages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from pagelens.functions.text import (JS_WS_CLASS, base64url_to_latin1, decode_uri_component,
                                      js_collapse_ws, js_trim, latin1_to_utf8)
 from pagelens.operators import dom
-from pagelens.operators.nodes import node_table, to_nodes
+from pagelens.operators.nodes import node_table
 
 RESULT_COLS = ["page_id", "rank", "url", "title", "content", "fields", "thumbnail"]
 FIELDS_TYPE = T.MapType(T.StringType(), T.StringType())
@@ -42,6 +43,8 @@ class Profile:
     wait_for_selector: str | None = None
     # necessary condition on raw html: pages without it cannot yield rows
     prefilter: list = field(default_factory=list)
+    # (nodes, options) -> (results, suggestions), as DataFrames
+    extract: Callable | None = None
 
 
 # The profile catalogue (name, captcha URL patterns, wait
@@ -57,6 +60,15 @@ PROFILES = {
 }
 
 
+def register_profile(profile: Profile) -> None:
+    """add a caller's profile, or replace one. Its ``extract`` gets the
+    node table and the options and returns results (``RESULT_COLS``) and
+    suggestions (``page_id, rank, text``)."""
+    if profile.extract is None:
+        raise ValueError(f"profile {profile.name} has no extract function")
+    PROFILES[profile.name] = profile
+
+
 def get_profile(name):
     """lookup by name; unknown -> None."""
     return PROFILES.get(name) if name else None
@@ -99,20 +111,29 @@ def _dedupe_first(df: DataFrame, key: str, pos: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def _ordered_texts(nodes, matches: DataFrame, tags=None) -> DataFrame:
-    """Trimmed non-empty texts of matches: (page_id, pos, text)."""
-    t = dom.text_trim(nodes, matches.select("page_id", F.col("node_id").alias("tid")), tags=tags)
-    pos = matches.select("page_id", F.col("node_id").alias("tid"), F.col("open_pos").alias("pos"))
-    return t.join(pos, ["page_id", "tid"]).filter(F.col("text") != "").select("page_id", "pos", "text")
+def _ordered_texts(rows: DataFrame, cond: Column) -> DataFrame:
+    """trimmed non-empty texts of the rows of ``cond``, ranked."""
+    rows = rows.filter(cond).select("page_id", "open_pos", js_trim("content").alias("text")).filter(F.col("text") != "")
+    return _rank(rows, "open_pos").select("page_id", "rank", "text")
+
+
+SPOT = ["page_id", "node_id", "open_pos", "close_pos", "kind", "tag", "text"]
+TEXT_OR_SCRIPT = (("kind", "text"), ("tag", "script"))
 
 
-def _fallback_suggestions(nodes, first_sel: str, second_sel: str) -> DataFrame:
-    """F11 pattern: the second selector only for pages where the first gave
-    no non-empty text."""
-    a = _ordered_texts(nodes, dom.select(nodes, first_sel), dom.selector_tags(first_sel))
-    b = _ordered_texts(nodes, dom.select(nodes, second_sel), dom.selector_tags(second_sel))
-    b = b.join(a.select("page_id").distinct(), "page_id", "left_anti")
-    return _rank(a.unionByName(b), "pos").select("page_id", "rank", "text")
+def _rows(nodes: DataFrame, flags: dict, **more) -> DataFrame:
+    """One scan of the node table: the texts, the scripts and the rows that
+    have a flag, with the flags as columns and what else is asked for."""
+    wanted = F.lit(False)
+    for col, value in TEXT_OR_SCRIPT:
+        wanted = wanted | F.coalesce(F.col(col) == value, F.lit(False))
+    for cond in flags.values():
+        wanted = wanted | cond
+    return nodes.filter(wanted).select(*SPOT, *[c.alias(n) for n, c in {**flags, **more}.items()])
+
+
+def _one(sel: str) -> Column:
+    return dom.compound_pred(dom.parse_selector(sel)[0][0][1])
 
 
 # ---------------------------------------------------------------------------
@@ -127,78 +148,45 @@ def clean_google_url(c: Column) -> Column:
     return F.when(c.rlike(GOOGLE_REDIRECT_RE), decode_uri_component(m)).otherwise(c)
 
 
-def _google_web(nodes: DataFrame):
-    mjj = dom.select(nodes, ".MjjYud").select("page_id", F.col("node_id").alias("cid"),
-                                               F.col("open_pos").alias("cpos"))
-    in_rso = dom.select(nodes, "#rso .MjjYud").select(
-        "page_id", F.col("node_id").alias("cid"), F.lit(True).alias("in_rso"))
-    cont = mjj.join(in_rso, ["page_id", "cid"], "left")
-    cont = cont.withColumn("in_rso", F.coalesce("in_rso", F.lit(False))).withColumn(
-        "page_has_rso", F.max("in_rso").over(Window.partitionBy("page_id")))
-    cont = cont.filter(F.col("in_rso") | ~F.col("page_has_rso")).select("page_id", "cid", "cpos")
-
-    # F5/F8/F9 in one containment pass: per container the first `a h3`
-    # (with its closest `a` and that link's href), the first snippet by
-    # strategy priority, and the first usable thumbnail.
-    # one scan of the node table for all five kinds; a node matching
-    # several kinds is exploded into one row per kind
+def _google_web(nodes: DataFrame, options: dict | None = None):
     src = F.coalesce(F.col("attrs")["src"], F.lit(""))
+    flags = {
+        "cont": _one(".MjjYud"), "rso": _one("#rso"), "link": _one("a"), "h3": _one("h3"),
+        "snip1": _one('[data-sncf*="1"]'), "snip2": _one('[data-snf="nke7rc"]'), "snip3": _one(".VwiC3b"),
+        "img": _one("img:not(.XNo5Ab)") & (src.startswith("http") | (src.startswith("data:image") & (F.length(src) > 200))),
+        "sugg1": _one(".oIk2Cb"), "sugg2": _one(".ouy7Mc")}
+    col = F.col
+    rows = _rows(nodes, flags, href=F.col("attrs")["href"], src=src)
+    # what lies above: F4 the container's place, F5 `a h3` with the link around it, F11 links
+    around = F.max(F.when(col("link"), F.struct("close_pos", "href"))).over(dom._before())
+    last = F.last(F.when(col("link"), F.struct("close_pos", "href")), ignorenulls=True).over(dom._before())
+    rows = rows.withColumns({
+        "in_rso": dom.inside(col("rso")), "title": col("h3") & dom.inside(col("link")),
+        "first": col("link") & dom.inside(col("sugg1")), "second": col("link") & dom.inside(col("sugg2")),
+        # links nest in broken pages only; then the outermost stands for one that has ended
+        "link_href": F.when(last["close_pos"] > col("open_pos"), last["href"]).otherwise(around["href"])})
+    rows = dom.with_text(rows, col("title") | col("snip1") | col("snip2") | col("snip3") | col("first") | col("second"))
+
+    # F5/F8/F9 per container: the first title, the first snippet of each strategy, the first usable image
+    res = rows.withColumns({
+        "t": dom.next_one(col("title"), "content", "link_href"), "thumb": dom.next_one(col("img"), "src"),
+        **{f"s{i}": dom.next_one(col(f"snip{i}"), "content_noscript") for i in (1, 2, 3)},
+        "page_rso": F.max(col("cont") & col("in_rso")).over(Window.partitionBy("page_id"))})
+    res = res.filter(col("cont") & (col("in_rso") | ~col("page_rso")) & col("t").isNotNull()).select(
+        "page_id", "open_pos", js_trim("t.content").alias("title"), clean_google_url(F.coalesce("t.link_href", F.lit(""))).alias("url"),
+        # the first strategy that is there wins, also with an empty text
+        js_collapse_ws(F.coalesce(*[F.col(f"s{i}.content_noscript") for i in (1, 2, 3)], F.lit(""))).alias("content"),
+        col("thumb.src").alias("thumbnail"))
+    res = res.filter((col("title") != "") & col("url").isNotNull() & col("url").startswith("http"))
+    res = _dedupe_first(res, "url", "open_pos")
+    res = _rank(res, "open_pos").select(
+        "page_id", "rank", "url", "title", "content", F.lit(None).cast(FIELDS_TYPE).alias("fields"),
+        F.when(col("thumbnail") != "", col("thumbnail")).alias("thumbnail"))
 
-    def pred(sel):
-        return dom.compound_pred(dom.parse_selector(sel)[0][0][1])
-    kinds = [
-        ("h3", 0, pred("h3") & F.array_contains("anc_tags", "a")),
-        ("snip", 1, pred('[data-sncf*="1"]')),
-        ("snip", 2, pred('[data-snf="nke7rc"]')),
-        ("snip", 3, pred(".VwiC3b")),
-        ("img", 0, pred("img:not(.XNo5Ab)")
-         & (src.startswith("http") | (src.startswith("data:image") & (F.length(src) > 200)))),
-    ]
-    any_kind = kinds[0][2]
-    for _, _, p in kinds[1:]:
-        any_kind = any_kind | p
-    tagged = F.filter(F.array(*[F.when(p, F.struct(F.lit(k).alias("kind"), F.lit(prio).alias("prio")))
-                                for k, prio, p in kinds]), lambda x: x.isNotNull())
-    matches = nodes.filter(any_kind).select(
-        "page_id", "node_id", "open_pos", "anc", "anc_tags", dom.closest_id("a").alias("link_id"),
-        src.alias("src"), F.explode(tagged).alias("k")).select(
-        "page_id", "node_id", "open_pos", "anc", "anc_tags", "k.kind", "k.prio",
-        F.when(F.col("k.kind") == "h3", F.col("link_id")).alias("link_id"),
-        F.when(F.col("k.kind") == "img", F.col("src")).alias("src"))
-    inside = dom.within(matches, cont)
-    firsts = inside.groupBy("page_id", "cid", "kind").agg(
-        F.min_by(F.struct("node_id", "link_id", "src"), F.struct("prio", "open_pos")).alias("f"))
-
-    def of(kind, field):
-        return F.max(F.when(F.col("kind") == kind, F.col("f")[field]))
-    per = firsts.groupBy("page_id", "cid").agg(
-        of("h3", "node_id").alias("h3_id"), of("h3", "link_id").alias("link_id"),
-        of("snip", "node_id").alias("snip_id"), of("img", "src").alias("thumbnail"))
-    per = per.filter(F.col("h3_id").isNotNull())
-    # one text pass for titles (all text) and snippets (script text dropped)
-    targets = per.select("page_id", F.col("h3_id").alias("tid")).unionByName(
-        per.filter(F.col("snip_id").isNotNull()).select("page_id", F.col("snip_id").alias("tid")))
-    texts = dom.subtree_texts(nodes, targets)
-    title = texts.select("page_id", F.col("tid").alias("h3_id"), js_trim("text").alias("title"))
-    snip_text = texts.select("page_id", F.col("tid").alias("snip_id"),
-                             js_collapse_ws("text_noscript").alias("content"))
-    href = dom.select(nodes, "a").select("page_id", F.col("node_id").alias("link_id"),
-                                         F.col("attrs")["href"].alias("href"))
-    res = (cont.join(per, ["page_id", "cid"])
-           .join(title, ["page_id", "h3_id"], "left")
-           .join(href, ["page_id", "link_id"], "left")
-           .join(snip_text, ["page_id", "snip_id"], "left"))
-    res = res.withColumn("title", F.coalesce("title", F.lit("")))
-    res = res.withColumn("url", clean_google_url(F.coalesce("href", F.lit(""))))
-    res = res.filter((F.col("title") != "") & F.col("url").isNotNull() & F.col("url").startswith("http"))
-    res = _dedupe_first(res, "url", "cpos")
-    res = _rank(res, "cpos").select(
-        "page_id", "rank", "url", "title", F.coalesce("content", F.lit("")).alias("content"),
-        F.lit(None).cast(FIELDS_TYPE).alias("fields"),
-        F.when(F.col("thumbnail") != "", F.col("thumbnail")).alias("thumbnail"))
-
-    sugg = _fallback_suggestions(nodes, ".oIk2Cb a", ".ouy7Mc a")
-    return res, sugg
+    # the second selector only where the first gives no text
+    given = F.coalesce(F.max(col("first") & (js_trim("content") != "")).over(Window.partitionBy("page_id")), F.lit(False))
+    links = rows.filter(col("first") | col("second")).withColumn("given", given)
+    return res, _ordered_texts(links, F.when(col("given"), col("first")).otherwise(col("second")))
 
 
 # ---------------------------------------------------------------------------
@@ -221,54 +209,33 @@ def decode_news_link(link: Column) -> Column:
     return F.when((part.isNotNull()) & (part != "") & decoded.isNotNull(), decoded).otherwise(link)
 
 
-def _google_news(nodes: DataFrame):
-    a = dom.select(nodes, 'a[href^="./read/"]')
-    a = a.select("page_id", "node_id", "open_pos", "anc", "anc_tags", F.col("attrs")["href"].alias("href"))
-    title = dom.text_trim(nodes, a.select("page_id", F.col("node_id").alias("tid")), tags={"a"}) \
-        .withColumnRenamed("tid", "node_id").withColumnRenamed("text", "title")
-    cand = a.join(title, ["page_id", "node_id"]).filter(F.length("title") >= 10)
+def _google_news(nodes: DataFrame, options: dict | None = None):
+    col = F.col
+    flags = {"cand": _one('a[href^="./read/"]'), "by": _one("[data-n-tid]"), "at": _one("time"), "img": _one("img"),
+             "box": F.col("kind").isin("el", "doc")}
+    rows = _rows(nodes, flags, href=F.col("attrs")["href"], src=F.coalesce(F.col("attrs")["src"], F.lit("")))
+    rows = dom.with_text(rows, col("cand") | col("by") | col("at"))
     link = F.concat(F.lit("https://news.google.com"), F.expr("substring(href, 2)"))
-    cand = cand.withColumn("url", decode_news_link(link))
-    cand = _dedupe_first(cand, "url", "open_pos")
-
-    # F16/F17 in one walk: ancestors 1..5 of every candidate; per ancestor
-    # the first [data-n-tid], time and img inside it (one union, one
-    # containment join); source/time take the first level with non-empty
-    # text (5 levels), the thumbnail the first level (of 3) whose first img
-    # has an http src.
-    levels = dom.walk_up_levels(cand, 5)
-    cols = ["page_id", "node_id", "open_pos", "anc", "anc_tags"]
-    matches = (dom.select(nodes, "[data-n-tid]").select(*cols, F.lit("src").alias("kind"),
-                                                         F.lit(None).cast("string").alias("img_src"))
-               .unionByName(dom.select(nodes, "time").select(*cols, F.lit("time").alias("kind"),
-                                                             F.lit(None).cast("string").alias("img_src")))
-               .unionByName(dom.select(nodes, "img").select(*cols, F.lit("img").alias("kind"),
-                                                            F.coalesce(F.col("attrs")["src"], F.lit(""))
-                                                            .alias("img_src"))))
-    inside = dom.within(matches, levels.select("page_id", "cid"))
-    firsts = inside.groupBy("page_id", "cid", "kind").agg(
-        F.min_by(F.struct("node_id", "img_src"), "open_pos").alias("f")).select(
-        "page_id", "cid", "kind", "f.node_id", "f.img_src")
-    hits = levels.join(firsts, ["page_id", "cid"]).filter((F.col("kind") != "img") | (F.col("level") <= 3))
-    txt = dom.text_trim(nodes, hits.filter(F.col("kind") != "img").select("page_id", F.col("node_id").alias("tid")))
-    hits = hits.join(txt.withColumnRenamed("tid", "node_id"), ["page_id", "node_id"], "left")
-    value = F.when(F.col("kind") == "img", F.col("img_src")).otherwise(F.coalesce("text", F.lit("")))
-    good = F.when(F.col("kind") == "img", value.startswith("http")).otherwise(value != "")
-    hits = hits.select("page_id", "_src", "kind", "level", value.alias("value"), good.alias("good"))
-
-    def pick(kind):
-        ok = (F.col("kind") == kind) & F.col("good")
-        return F.min_by(F.when(ok, F.col("value")), F.when(ok, F.col("level")))
-    meta = hits.groupBy("page_id", "_src").agg(pick("src").alias("source"), pick("time").alias("pub_time"),
-                                               pick("img").alias("thumbnail"))
-
-    res = cand.withColumnRenamed("node_id", "_src").join(meta, ["page_id", "_src"], "left")
-    res = res.withColumn("content", F.concat_ws(
-        " / ", F.when(F.col("source") != "", F.col("source")),
-        F.when(F.col("pub_time") != "", F.col("pub_time"))))
+    title = js_trim("content")
+    rows = rows.withColumn("title", F.when(col("cand") & (F.length(title) >= 10), title))
+    rows = rows.withColumn("url", F.when(col("title").isNotNull(), decode_news_link(link)))
+    # F15 the first of each link; F16/F17 what comes first inside each element
+    rows = rows.withColumns({
+        "keep": col("url").isNotNull() & (F.row_number().over(Window.partitionBy("page_id", "url").orderBy("open_pos")) == 1),
+        "by_first": dom.next_one(col("by"), "content"), "at_first": dom.next_one(col("at"), "content"), "img_first": dom.next_one(col("img"), "src")})
+    # the walk: up to five elements above; the document keeps candidates that have none
+    up = dom.pair_up(rows.select("page_id", "open_pos", "close_pos", "node_id", "kind", "box", "keep", "url", "title", "by_first", "at_first", "img_first"),
+                     col("keep"), col("box"), ["kind", "by_first", "at_first", "img_first"], nearest=5)
+
+    def pick(value, good, levels=5):
+        ok = (col("up.kind") == "el") & (col("level") <= levels) & good
+        return F.min_by(F.when(ok, value), F.when(ok, col("level")))
+    by, at, img = js_trim("up.by_first.content"), js_trim("up.at_first.content"), col("up.img_first.src")
+    res = up.groupBy("page_id", "node_id", "open_pos", "url", "title").agg(
+        pick(by, by != "").alias("source"), pick(at, at != "").alias("pub_time"), pick(img, img.startswith("http"), 3).alias("thumbnail"))
+    res = res.withColumn("content", F.concat_ws(" / ", "source", "pub_time"))
     res = _rank(res, "open_pos").select(
-        "page_id", "rank", "url", "title", "content",
-        F.lit(None).cast(FIELDS_TYPE).alias("fields"), "thumbnail")
+        "page_id", "rank", "url", "title", "content", F.lit(None).cast(FIELDS_TYPE).alias("fields"), "thumbnail")
     return res, _empty_suggestions(nodes.sparkSession)
 
 
@@ -289,132 +256,85 @@ DEBENTURE_FIELDS = [
 DEBENTURE_KEYS = [k for _, k in DEBENTURE_FIELDS]
 
 
-def _debenture_cards(nodes: DataFrame):
-    """(cards, field values) from three passes over the node table: the card
-    and title ids of each page, the elements of cards, and the texts of their
-    links and cells."""
-    own = F.col("kind") == "el"
-    sets = nodes.filter(own & F.col("tag").isin("li", "h2")).groupBy("page_id").agg(
-        F.collect_set(F.when((F.col("tag") == "li") & F.array_contains("classes", "list-item__container"), F.col("node_id"))).alias("card_ids"),
-        F.collect_set(F.when((F.col("tag") == "h2") & F.array_contains("classes", "list-item__title"), F.col("node_id"))).alias("title_ids")
-    ).filter(F.size("card_ids") > 0)
-    el = nodes.filter(own & F.col("tag").isin("li", "a", "dl", "dt", "dd")).select(
-        "page_id", "node_id", "tag", "open_pos", F.col("attrs")["href"].alias("href"), "anc", dom.anc_ids({"dl"}).alias("dl_ids"))
-    el = el.join(sets, "page_id").withColumn("cids", F.array_intersect("anc", "card_ids"))
-    tag = F.col("tag")
-    el = el.filter(((tag == "li") & F.array_contains("card_ids", F.col("node_id")))
-                   | ((tag == "a") & (F.size("cids") > 0) & F.arrays_overlap("anc", "title_ids"))
-                   | ((tag == "dl") & (F.size("cids") > 0)) | (tag.isin("dt", "dd") & (F.size("dl_ids") > 0)))
-    # every element of interest with its text, once
-    text = dom.subtree_text(nodes, None, "node_id", tags={"a", "dt", "dd"})
-    el = el.drop("anc", "card_ids", "title_ids").join(text, ["page_id", "node_id"], "left").withColumn("text", js_trim(F.coalesce("text", F.lit(""))))
-    # one aggregate per container: a card's first link, a list's first cells
-    keyed = el.select("*", F.when(tag == "li", F.array("node_id")).when(tag == "a", F.col("cids")).when(tag == "dl", F.array("node_id"))
-                      .otherwise(F.col("dl_ids")).alias("boxes")).select("*", F.explode("boxes").alias("box"))
-    first = lambda t, *cols: F.min_by(F.struct(*cols), F.when(tag == t, F.col("open_pos")))
-    box = keyed.groupBy("page_id", "box").agg(
-        F.max(F.when(tag == "li", F.col("open_pos"))).alias("cpos"), first("a", "href", "text").alias("a"),
-        F.max(F.when(tag == "dl", F.col("open_pos"))).alias("dl_pos"), F.max(F.when(tag == "dl", F.col("cids"))).alias("cids"),
-        first("dt", "text").alias("dt"), first("dd", "text").alias("dd"))
-    ticker = F.split(F.col("a.text"), f"[{JS_WS_CLASS}]")[0]
-    cards = box.filter(F.col("cpos").isNotNull() & F.col("a").isNotNull()).select(
-        "page_id", F.col("box").alias("cid"), "cpos", F.col("a.href").alias("href"), ticker.alias("title")).filter(
-        (F.col("title") != "") & (F.coalesce("href", F.lit("")) != ""))
-
-    # each dl inside a card: first dt -> key, first dd -> value
-    kv = box.filter(F.col("dl_pos").isNotNull() & F.col("dt").isNotNull()).select(
-        "page_id", F.explode("cids").alias("cid"), "dl_pos", F.col("dt.text").alias("label"), F.col("dd.text").alias("value"))
+def _debenture_cards(nodes: DataFrame) -> DataFrame:
+    """One row per card: page_id, pos, href, title (ticker) and the value of
+    each known key, from one scan of the node table."""
+    col = F.col
+    flags = {"card": _one("li.list-item__container"), "head": _one("h2.list-item__title"), "link": _one("a"),
+             "list": _one("dl"), "dt": _one("dt"), "dd": _one("dd")}
+    rows = _rows(nodes, flags, href=F.col("attrs")["href"])
+    rows = rows.withColumn("link", col("link") & dom.inside(col("head")))
+    rows = dom.with_text(rows, col("link") | col("dt") | col("dd"))
+    # a card's first link, a list's first cells
+    rows = rows.withColumns({"a": dom.next_one(col("link"), "href", "content"), "label": dom.next_one(col("dt"), "content"),
+                             "value": dom.next_one(col("dd"), "content")})
+    # each list with the cards around it, each card with itself
+    listed = col("list") & col("label").isNotNull()
+    up = dom.pair_up(rows.select("page_id", "node_id", "open_pos", "close_pos", "card", "list", "a", "label", "value"),
+                     listed, col("card"), [F.col("node_id").alias("cid")], itself=col("card"))
     fmap = F.create_map(*[x for lab, key in DEBENTURE_FIELDS for x in (F.lit(lab), F.lit(key))])
-    kv = kv.withColumn("key", fmap[F.lower("label")]).filter(F.col("key").isNotNull())
-    kv = kv.withColumn("value", F.coalesce("value", F.lit("")))
-    kv = kv.withColumn("value", F.when(F.col("value") == "-", F.lit("")).otherwise(F.col("value")))
-    # last duplicate label wins: reduce per key before building the map
-    kv = kv.groupBy("page_id", "cid", "key").agg(F.max_by("value", "dl_pos").alias("value"))
-    return cards, kv
-
-
-def _anbima(nodes: DataFrame):
-    cards, kv = _debenture_cards(nodes)
-    fields = kv.groupBy("page_id", "cid").agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("fields"))
-    res = cards.join(fields, ["page_id", "cid"], "left").withColumn(
-        "fields", F.coalesce("fields", F.create_map().cast(FIELDS_TYPE)))
-    res = _rank(res, "cpos").select(
+    value = js_trim(F.coalesce("value.content", F.lit("")))
+    up = up.withColumn("key", F.when(listed, fmap[F.lower(js_trim("label.content"))])).withColumn("text", F.when(value == "-", F.lit("")).otherwise(value))
+    own = col("node_id") == col("up.cid")
+    # last duplicate label wins
+    cards = up.groupBy("page_id", "up.cid").agg(
+        F.max(F.when(own, col("open_pos"))).alias("pos"), F.first(F.when(own, col("a")), ignorenulls=True).alias("a"),
+        *[F.max_by(F.when(col("key") == k, col("text")), F.when(col("key") == k, col("open_pos"))).alias(k) for k in DEBENTURE_KEYS])
+    ticker = F.split(js_trim("a.content"), f"[{JS_WS_CLASS}]")[0]
+    return cards.select("page_id", "pos", col("a.href").alias("href"), ticker.alias("title"), *DEBENTURE_KEYS).filter(
+        (col("title") != "") & (F.coalesce("href", F.lit("")) != ""))
+
+
+def _anbima(nodes: DataFrame, options: dict | None = None):
+    known = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in DEBENTURE_KEYS]), lambda x: x["value"].isNotNull())
+    res = _rank(_debenture_cards(nodes), "pos").select(
         "page_id", "rank", F.col("href").alias("url"), "title",
-        F.lit(None).cast("string").alias("content"), "fields",
+        F.lit(None).cast("string").alias("content"), F.map_from_entries(known).alias("fields"),
         F.lit(None).cast("string").alias("thumbnail"))
     return res, _empty_suggestions(nodes.sparkSession)
 
 
 def debenture_table(nodes: DataFrame) -> DataFrame:
     """the card fields as typed columns (absent field -> NULL)."""
-    cards, kv = _debenture_cards(nodes)
-    wide = kv.groupBy("page_id", "cid").pivot("key", DEBENTURE_KEYS).agg(F.first("value"))
-    out = cards.join(wide, ["page_id", "cid"], "left")
-    out = _rank(out, "cpos")
-    return out.select("page_id", "rank", F.col("href").alias("url"), F.col("title").alias("ticker"),
-                      *DEBENTURE_KEYS)
+    return _rank(_debenture_cards(nodes), "pos").select(
+        "page_id", "rank", F.col("href").alias("url"), F.col("title").alias("ticker"), *DEBENTURE_KEYS)
 
 
 # ---------------------------------------------------------------------------
 # base (F1-F3)
 # ---------------------------------------------------------------------------
-def _base(nodes: DataFrame, options: dict | None):
-    o = options or {}
-    res_sel, url_sel, title_sel = (o.get("results_selector") or "", o.get("url_selector") or "",
-                                   o.get("title_selector") or "")
-    content_sel, thumb_sel = o.get("content_selector") or "", o.get("thumbnail_selector") or ""
-    sugg_sel = o.get("suggestion_selector") or ""
+BASE_SELECTORS = {"is_result": "results_selector", "is_url": "url_selector", "is_title": "title_selector",
+                  "is_content": "content_selector", "is_thumb": "thumbnail_selector", "is_sugg": "suggestion_selector"}
+
+
+def _base(nodes: DataFrame, options: dict | None = None):
+    given = {name: (options or {}).get(key) or "" for name, key in BASE_SELECTORS.items()}
     spark = nodes.sparkSession
-    if not res_sel or not url_sel or not title_sel:
+    if not (given["is_result"] and given["is_url"] and given["is_title"]):
         return _empty_results(spark), _empty_suggestions(spark)
-    cont = dom.select(nodes, res_sel).select("page_id", F.col("node_id").alias("cid"),
-                                             F.col("open_pos").alias("cpos"))
-    cont_tags = dom.selector_tags(res_sel)
-
-    def first_text(sel, name):
-        f = dom.first_within(dom.select(nodes, sel), cont, ["node_id"], container_tags=cont_tags)
-        t = dom.text_trim(nodes, f.select("page_id", F.col("node_id").alias("tid")),
-                          tags=dom.selector_tags(sel))
-        return f.join(t.withColumnRenamed("tid", "node_id"), ["page_id", "node_id"], "left") \
-            .select("page_id", "cid", F.coalesce("text", F.lit("")).alias(name),
-                    F.col("node_id").alias(name + "_id"))
-
-    u = first_text(url_sel, "url_text")
-    href = dom.elements(nodes).select("page_id", F.col("node_id").alias("url_text_id"),
-                                      F.col("attrs")["href"].alias("href"))
-    u = u.join(href, ["page_id", "url_text_id"], "left").withColumn(
-        "url", F.when(F.coalesce(F.col("href"), F.lit("")) != "", F.col("href"))
-        .otherwise(F.col("url_text")))
-    t = first_text(title_sel, "title")
-    res = cont.join(u.select("page_id", "cid", "url"), ["page_id", "cid"]) \
-        .join(t.select("page_id", "cid", "title"), ["page_id", "cid"])
-    res = res.filter((F.col("url") != "") & (F.col("title") != ""))
-    if content_sel:
-        c = first_text(content_sel, "content").select("page_id", "cid", "content")
-        res = res.join(c, ["page_id", "cid"], "left").withColumn(
-            "content", F.coalesce("content", F.lit("")))
-    else:
-        res = res.withColumn("content", F.lit(""))
-    if thumb_sel:
-        th = dom.first_within(dom.select(nodes, thumb_sel), cont,
-                              ["node_id"], container_tags=cont_tags).join(
-            dom.elements(nodes).select("page_id", "node_id", F.col("attrs")["src"].alias("thumbnail")),
-            ["page_id", "node_id"]).select("page_id", "cid", "thumbnail")
-        res = res.join(th, ["page_id", "cid"], "left").withColumn(
-            "thumbnail", F.when(F.col("thumbnail") != "", F.col("thumbnail")))
-    else:
-        res = res.withColumn("thumbnail", F.lit(None).cast("string"))
-    res = _rank(res, "cpos").select("page_id", "rank", "url", "title", "content",
-                                    F.lit(None).cast(FIELDS_TYPE).alias("fields"), "thumbnail")
-    if sugg_sel:
-        s = _ordered_texts(nodes, dom.select(nodes, sugg_sel), dom.selector_tags(sugg_sel))
-        sugg = _rank(s, "pos").select("page_id", "rank", "text")
-    else:
-        sugg = _empty_suggestions(spark)
+    used = {name: sel for name, sel in given.items() if sel}
+    col = F.col
+    wanted = (F.col("kind") == "text") | F.coalesce(F.col("tag") == "script", F.lit(False)) | dom.any_compound(*used.values())
+    rows = dom.mark(nodes.filter(wanted), **used).select(
+        *SPOT, F.col("attrs")["href"].alias("href"), F.col("attrs")["src"].alias("src"),
+        *[F.col(n) if n in used else F.lit(False).alias(n) for n in BASE_SELECTORS])
+    rows = dom.with_text(rows, col("is_url") | col("is_title") | col("is_content") | col("is_sugg"))
+    res = rows.withColumns({
+        "u": dom.next_one(col("is_url"), "href", "content"), "t": dom.next_one(col("is_title"), "content"),
+        "c": dom.next_one(col("is_content"), "content"), "th": dom.next_one(col("is_thumb"), "src")})
+    url = F.when(F.coalesce("u.href", F.lit("")) != "", col("u.href")).otherwise(js_trim("u.content"))
+    res = res.filter("is_result").select(
+        "page_id", "open_pos", url.alias("url"), js_trim("t.content").alias("title"), js_trim(F.coalesce("c.content", F.lit(""))).alias("content"),
+        F.when(col("th.src") != "", col("th.src")).alias("thumbnail")).filter((col("url") != "") & (col("title") != ""))
+    res = _rank(res, "open_pos").select("page_id", "rank", "url", "title", "content", F.lit(None).cast(FIELDS_TYPE).alias("fields"), "thumbnail")
+    sugg = _ordered_texts(rows, col("is_sugg")) if given["is_sugg"] else _empty_suggestions(spark)
     return res, sugg
 
 
+for _name, _function in (("google_web", _google_web), ("google_news", _google_news), ("base", _base), ("anbima_debentures", _anbima)):
+    PROFILES[_name].extract = _function
+
+
 # Character references of letters, '.', '/', '-' and '_'.
 ENCODED_RE = "&(#|period;|sol;|lowbar;|UnderBar;)"
 
@@ -442,15 +362,11 @@ def profile_nodes(pages: DataFrame, profile: Profile, prefilter: bool = True,
 
 
 def extract_nodes(nodes: DataFrame, profile_name: str, options: dict | None = None):
-    if profile_name == "google_web":
-        return _google_web(nodes)
-    if profile_name == "google_news":
-        return _google_news(nodes)
-    if profile_name == "anbima_debentures":
-        return _anbima(nodes)
-    if profile_name == "base":
-        return _base(nodes, options)
-    raise ValueError(f"Unknown profile: {profile_name}. Available: {', '.join(list_profiles())}")
+    """A registered profile's function on the node table."""
+    profile = get_profile(profile_name)
+    if profile is None:
+        raise ValueError(f"Unknown profile: {profile_name}. Available: {', '.join(list_profiles())}")
+    return profile.extract(nodes, options)
 
 
 def extract(pages: DataFrame, profile_name: str, options: dict | None = None,
@@ -464,5 +380,4 @@ def extract(pages: DataFrame, profile_name: str, options: dict | None = None,
         if not (o.get("results_selector") and o.get("url_selector") and o.get("title_selector")):
             spark = pages.sparkSession
             return _empty_results(spark), _empty_suggestions(spark)
-    nodes = profile_nodes(pages, profile, prefilter, materialize)
-    return extract_nodes(nodes, profile_name, options)
+    return profile.extract(profile_nodes(pages, profile, prefilter, materialize), options)

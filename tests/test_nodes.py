@@ -1,126 +1,142 @@
+"""The split, and the tree that Spark builds of it."""
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
-
-from pagelens.operators.nodes import parse_html
-
-
-def by_tag(rows):
-    return [(r[6], r[1]) for r in rows if r[5] == "el"]
-
-
-def test_implied_end_tags():
-    rows = parse_html("<p><b>x<br><p>y</p><ul><li>1<li>2</ul>")
-    els = {r[0]: r for r in rows}
-    ps = [r for r in rows if r[6] == "p"]
-    assert len(ps) == 2 and ps[0][1] == ps[1][1] == 0      # siblings under the document
-    b = [r for r in rows if r[6] == "b"][0]
-    assert els[b[1]][6] == "p"
-    lis = [r for r in rows if r[6] == "li"]
-    assert [els[r[1]][6] for r in lis] == ["ul", "ul"]
-
-
-def test_script_is_raw_text_and_entities():
-    rows = parse_html('<script>var t="</p>";</script><p title="a&amp;b">x &amp; y &copy;</p>')
-    texts = [r[9] for r in rows if r[5] == "text"]
-    assert 'var t="</p>";' in texts and "x & y ©" in texts
-    p = [r for r in rows if r[6] == "p"][0]
-    assert p[7]["title"] == "a&b"
-
-
-def test_title_keeps_markup_as_text():
-    rows = parse_html("<title>a <i>b</i></title>")
-    assert [r[9] for r in rows if r[5] == "text"] == ["a <i>b</i>"]
-
-
-def test_table_cells_close():
-    rows = parse_html("<table><tr><td>a<td>b<tr><td>c</table>")
-    trs = [r for r in rows if r[6] == "tr"]
-    tds = [r for r in rows if r[6] == "td"]
-    assert len(trs) == 2 and len(tds) == 3
-    assert [t[1] for t in tds] == [trs[0][0], trs[0][0], trs[1][0]]
-
-
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.sampled_from(["<div>", "</div>", "<p>", "</p>", "<b>", "</b>", "<br>", "x", " y ",
-                                 "<li>", "<ul>", "</ul>", "<table>", "<tr>", "<td>", "</table>", "&amp;"]),
-                max_size=25))
-def test_intervals_nest_and_text_is_kept(parts):
-    html = "".join(parts)
-    rows = parse_html(html)
-    pos = {r[0]: (r[3], r[4]) for r in rows}
-    for r in rows:
-        o, c = r[3], r[4]
-        assert o <= c
-        a = r[1]
-        while a is not None:
-            ao, ac = pos[a]
-            assert ao < o and c < ac
-            a = rows[a][1]
-        if r[1] is not None:
-            po, pc = pos[r[1]]
-            assert po < o and c < pc
-    text = "".join(r[9] for r in sorted(rows, key=lambda r: r[3]) if r[5] == "text")
-    assert text == html.replace("&amp;", "&").replace("<div>", "").replace("</div>", "") \
-        .replace("<p>", "").replace("</p>", "").replace("<b>", "").replace("</b>", "") \
-        .replace("<br>", "").replace("<li>", "").replace("<ul>", "").replace("</ul>", "") \
-        .replace("<table>", "").replace("<tr>", "").replace("<td>", "").replace("</table>", "")
-
-
-def test_ancestors_follow_parents(spark):
-    from pagelens.operators.nodes import to_nodes
-    html = "<div><p>a<b>b<i>c</i></b><p>d<ul><li>e<li>f</ul></div>g<table><tr><td>h<td>i</table>"
-    rows = {r["node_id"]: r for r in to_nodes(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()}
-    for r in rows.values():
-        chain, up = [], r["parent_id"]
-        while up:
-            chain.append(up)
-            up = rows[up]["parent_id"]
-        assert list(r["anc"]) == chain[::-1]
-        assert list(r["anc_tags"]) == [rows[a]["tag"] for a in chain[::-1]]
-
-
-def test_deep_and_unfinished_pages_stay_bounded():
-    import pyarrow as pa
-
-    from pagelens.operators.nodes import _batches
-    deep = pa.RecordBatch.from_pydict({"page_id": [1], "html": ["<b>" * 3000 + "x"]})
-    n = most = 0
-    for b in _batches(iter([deep]), None, True):
-        n += b.num_rows
-        most = max(most, len(b.column("anc").flatten()))
-    assert n == 3002 and most <= 2_000_000 + 3000
-    import time
+from pyspark.sql import functions as F
+
+from pagelens.operators import dom
+from pagelens.operators import nodes as N
+
+
+def trees(spark, htmls, build=N.build_tree):
+    """Each page as nested text: tag(children) and texts."""
+    df = spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string")
+    pages = {i: [] for i in range(len(htmls))}
+    for r in build(N.to_tags(df)).collect():
+        pages[r["page_id"]].append(r)
+    return [tree(rows) for _, rows in sorted(pages.items())]
+
+
+def tree(rows):
+    below = {}
+    for r in sorted(rows, key=lambda r: r["open_pos"]):
+        below.setdefault(r["parent_id"], []).append(r)
+
+    def show(i):
+        return " ".join(r["text"] if r["kind"] == "text" else f"{r['tag']}({show(r['node_id'])})" for r in below.get(i, []))
+    return show(0)
+
+
+CASES = [
+    # end tags left out
+    ("<p><b>x<br><p>y</p><ul><li>1<li>2</ul>", "p(b(x br())) p(y) ul(li(1) li(2))"),
+    ("<table><tr><td>a<td>b<tr><td>c</table>", "table(tr(td(a) td(b)) tr(td(c)))"),
+    ("<table><caption>c<thead><tr><th>h<tbody><tr><td>x</table>z", "table(caption(c) thead(tr(th(h))) tbody(tr(td(x)))) z"),
+    ("<table><tr><td>A<table><tr><td>B</table>t</td></tr></table>", "table(tr(td(A table(tr(td(B))) t)))"),
+    ("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "dl(dt(a) dd(b) dt(c) dd(d))"),
+    ("<select><option>a<option>b</select>", "select(option(a) option(b))"),
+    ("<ul><li>a<ul><li>x</ul>t</li><li>y</ul>", "ul(li(a ul(li(x)) t) li(y))"),
+    ("<html><head><title>t</title><body><p>a<div>b</div>", "html(head(title(t)) body(p(a) div(b)))"),
+    # the page breaks off
+    ("<html><body><div><table><tr><td>a</td></tr><tr><td>b <i>c", "html(body(div(table(tr(td(a)) tr(td(b  i(c)))))))"),
+    # end tags without a start, pairs that cross
+    ("</div><p>x</div></p></p>", "p(x)"),
+    ("<div><span></div>a</span>", "div(span() a)"),
+    ("<b><i>x</b>y</i>z", "b(i(x) y) z"),
+    ("<table><tr><td><b>a</td></tr></table></b>c", "table(tr(td(b(a)))) c"),
+    # links do not lie in links
+    ("<a href=1>x<b>y<a href=2>z</a>", "a(x b(y)) a(z)"),
+    ("<table><tr><td><a>u<td><a>v</table>", "table(tr(td(a(u)) td(a(v))))"),
+    # text only
+    ("<title>a <i>b</i></title>", "title(a <i>b</i>)"), ('<script>var t="</p>";</script>x &amp; y &copy;', 'script(var t="</p>";) x & y ©'),
+    ("a<!-- c -->b<br>c", "ab br() c"), ("", ""), ("a < b", "a < b"),
+]
+
+
+def test_trees(spark):
+    assert trees(spark, [h for h, _ in CASES]) == [t for _, t in CASES]
+
+
+def test_the_short_way_and_the_rules_agree(spark):
+    nested = [h for h in ("<p><b>x</b></p>y<br>", "<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>",
+                          "<table><tr><td><p>a<div>b</div></p></td><td></td></tr></table>", "<a>x<a>y</a></a><p><ul></ul></p>")]
+
+    def by_rules(tags):
+        return tags.sparkSession.sql(N.structure_sql("{t}"), t=tags.select("page_id", "seq", "kind", "tag")).join(
+            tags.select("page_id", F.col("seq").alias("node_id"), "text"), ["page_id", "node_id"])
+    assert trees(spark, nested) == trees(spark, nested, by_rules)
+    df = spark.createDataFrame(list(enumerate(nested)), "page_id long, html string")
+    assert spark.sql(N.nested_sql("{t}"), t=N.to_tags(df)).filter("broken").count() == 0
+
+
+@settings(max_examples=2, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(
+    ["<div>", "</div>", "<p>", "</p>", "<b>", "</b>", "<br>", "x", " y ", "<li>", "<ul>", "</ul>", "<table>", "<tr>", "<td>", "</td>", "</table>",
+     "<a>", "</a>", "<tbody>", "<section>", "</section>", "&amp;"]), max_size=25), min_size=40, max_size=40))
+def test_intervals_nest_and_text_is_kept(spark, pages):
+    df = spark.createDataFrame([(i, "".join(p)) for i, p in enumerate(pages)], "page_id long, html string")
+    got = {}
+    for r in N.to_nodes(df).collect():
+        got.setdefault(r["page_id"], {})[r["node_id"]] = r
+    for i, parts in enumerate(pages):
+        rows = got[i]
+        for r in rows.values():
+            assert r["open_pos"] <= r["close_pos"]
+            if r["parent_id"] is not None:
+                up = rows[r["parent_id"]]
+                assert up["open_pos"] < r["open_pos"] and r["close_pos"] <= up["close_pos"]
+                # the parent is the innermost element around the node
+                around = [x for x in rows.values() if x["open_pos"] < r["open_pos"] < x["close_pos"]]
+                assert max(around, key=lambda x: x["open_pos"])["node_id"] == r["parent_id"]
+        texts = [r["text"] for r in sorted(rows.values(), key=lambda r: r["open_pos"]) if r["kind"] == "text"]
+        assert "".join(texts) == "".join("&" if p == "&amp;" else "" if p.startswith("<") else p for p in parts)
+        opened = sum(p.startswith("<") and not p.startswith("</") for p in parts)
+        assert sum(r["kind"] == "el" for r in rows.values()) == opened
+
+
+def test_thousands_of_unclosed_tags_stay_linear(spark):
     t = time.perf_counter()
-    rows = parse_html("<a " * 40_000)
-    assert time.perf_counter() - t < 5 and [r[5] for r in rows] == ["doc", "text"]
+    nodes = N.to_nodes(spark.createDataFrame([(1, "<b>" * 8000 + "x"), (2, "<div>" * 8000 + "x")], "page_id long, html string")).cache()
+    assert nodes.count() == 16_004
+    # every element lies in all that began before
+    assert nodes.filter("kind = 'el' AND parent_id <> node_id - 1").count() == 0
+    assert dom.select(nodes, "div div").count() == 7999 and dom.select(nodes, "b").count() == 8000
+    deepest = dom.select(nodes, "div").orderBy(F.desc("open_pos")).limit(1).withColumn("tid", F.col("node_id"))
+    assert dom.text_trim(nodes, deepest).first()["text"] == "x"
+    assert time.perf_counter() - t < 120
+    nodes.unpersist()
     t = time.perf_counter()
-    assert len(parse_html("<b>" * 40_000)) == 40_001 and time.perf_counter() - t < 10
-
+    assert [r[1] for r in N.page_tags("<a " * 40_000)] == ["doc", "text"] and time.perf_counter() - t < 5
 
-def test_broken_parse_is_reported(spark, monkeypatch):
-    from pagelens.operators import nodes as N
 
-    def broken(b, html):
-        b.handle_starttag("p", [])
+def test_broken_split_is_reported(spark, monkeypatch):
+    def broken(html):
+        yield "open", "p", [], None
         raise RuntimeError("no")
-    monkeypatch.setattr(N, "_feed", broken)
-    rows = N.parse_html("<p>x")
-    assert rows[0][7] == {"parse_error": "RuntimeError: no"} and rows[1][6] == "p"
+    monkeypatch.setattr(N, "split_tags", broken)
+    rows = N.page_tags("<p>x")
+    assert rows[0][3]["parse_error"] == "RuntimeError: no" and rows[1][2] == "p"
 
 
 def test_attribute_rules():
-    from pagelens.operators.nodes import _attrs
-    assert _attrs(""" A=1 b='x y' c="p>q" d e= f=&lt; g==h =i a=2 j="&amp;" / k=l/m """) == [
+    assert N._attrs(""" A=1 b='x y' c="p>q" d e= f=&lt; g==h =i a=2 j="&amp;" / k=l/m """) == [
         ("a", "1"), ("b", "x y"), ("c", "p>q"), ("d", None), ("e", "f=&lt;".replace("&lt;", "<")), ("g", "=h"), ("=i", None), ("a", "2"), ("j", "&"), ("k", "l/m")]
+    rows = N.page_tags('<p title="a&amp;b" class="x  y" title=c>')
+    assert rows[1][3] == {"title": "a&b", "class": "x  y"} and rows[1][4] == ["x", "y"]
+
+
+def test_sql_table_functions(spark):
+    N.register_sql(spark)
+    spark.createDataFrame([(1, CASES[1][0]), (2, CASES[2][0]), (3, CASES[1][0]), (4, None)], "page_id long, html string").createOrReplaceTempView("some_pages")
+    rows = spark.sql("SELECT p.page_id, n.* FROM some_pages p, LATERAL html_nodes(p.html) n").collect()
+    got = {i: tree([r for r in rows if r["page_id"] == i]) for i in (1, 2, 3, 4)}
+    assert got == {1: CASES[1][1], 2: CASES[2][1], 3: CASES[1][1], 4: ""}
+    cells = spark.sql("SELECT p.page_id, count(*) AS n FROM some_pages p, LATERAL html_nodes(p.html) n WHERE n.tag = 'td' GROUP BY 1").collect()
+    assert {(r[0], r[1]) for r in cells} == {(1, 3), (2, 1), (3, 3)}
 
 
-def test_links_do_not_nest():
-    rows = parse_html("<p><a href=1>x<b>y<a href=2>z</a></p><table><tr><td><a>u<td><a>v</table>")
-    links = [r for r in rows if r[6] == "a"]
-    by = {r[0]: r for r in rows}
-    for r in links:
-        up = r[1]
-        while up:
-            assert by[up][6] != "a"
-            up = by[up][1]
-    assert len(links) == 4
+def test_ancestors_by_interval(spark):
+    nodes = N.to_nodes(spark.createDataFrame([(1, "<div><p>a</p></div><p>b</p><div><div><b><p>c</p></b></div></div><p>d</p>")], "page_id long, html string")).cache()
+    for selector, want in [("div", 3), ("div p", 2), ("div > p", 1), ("div div p", 1), ("section > div > p", 0)]:
+        assert dom.select(nodes, selector).count() == want, selector

@@ -108,8 +108,7 @@ def test_news_link_decoding_cases(spark):
                    cases[3], cases[4]]
 
 
-def test_bucketed_layout_and_pruned_parse(spark):
-    from pagelens.operators.nodes import parse_html, to_nodes
+def test_bucketed_layout(spark):
     from pagelens.plans import fixtures as FX
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     pages = FX.search_pages(docs)
@@ -120,10 +119,21 @@ def test_bucketed_layout_and_pruned_parse(spark):
         assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, bucketed.collect()))
     finally:
         spark.conf.unset("spark.pagelens.nodeLayout")
-    # keep_tags drops other element rows but keeps positions and ancestry
-    full = parse_html("<div><p>a<b>b</b></p></div>")
-    pruned = to_nodes(pages_df(spark, ["<div><p>a<b>b</b></p></div>"]), keep_tags={"p"}).collect()
-    assert {r.tag for r in pruned if r.kind == "el"} == {"p"}
-    p_full = [r for r in full if r[6] == "p"][0]
-    p_pruned = [r for r in pruned if r.tag == "p"][0]
-    assert (p_pruned.open_pos, p_pruned.close_pos, p_pruned.anc_tags) == (p_full[3], p_full[4], ["div"])
+
+
+def test_a_callers_profile(spark):
+    from pagelens.operators import dom
+
+    def headings(nodes, options):
+        rows = dom.select(nodes, (options or {}).get("selector", "h1")).select("page_id", "node_id", "open_pos", "close_pos").withColumn("tid", F.col("node_id"))
+        text = dom.text_trim(nodes, rows)
+        return text.selectExpr("page_id", "1 AS rank", "'' AS url", "text AS title", "CAST(NULL AS string) AS content",
+                               "CAST(NULL AS map<string,string>) AS fields", "CAST(NULL AS string) AS thumbnail"), PR._empty_suggestions(nodes.sparkSession)
+    PR.register_profile(PR.Profile("headings", ["/blocked"], 1.0, extract=headings))
+    try:
+        assert PR.list_profiles()[-1] == "headings"
+        pages = pages_df(spark, ["<h1>a</h1><h2>b</h2>", "<h1>c</h1>"])
+        assert sorted(r.title for r in PR.extract(pages, "headings")[0].collect()) == ["a", "c"]
+        assert [r.title for r in PR.extract(pages, "headings", {"selector": "h2"})[0].collect()] == ["b"]
+    finally:
+        del PR.PROFILES["headings"]

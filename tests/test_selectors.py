@@ -30,11 +30,13 @@ def test_select_forms(spark):
 
 def test_first_within_text_and_closest(spark):
     nodes = to_nodes(pages_df(spark, [HTML])).cache()
-    cont = dom.select(nodes, ".MjjYud").select("page_id", F.col("node_id").alias("cid"))
-    h3 = dom.select(nodes, "a h3").withColumn("link_id", dom.closest_id("a"))
-    first = dom.first_within(h3, cont, ["node_id", "link_id"])
+    cont = dom.select(nodes, ".MjjYud").withColumn("cid", F.col("node_id"))
+    h3 = dom.closest(nodes, dom.select(nodes, "a h3"), "a", "link_id")
+    assert dom.within(h3, cont).count() == 3     # each match with each container around it
+    first = dom.first_within(h3, cont, ["node_id", "link_id", "open_pos", "close_pos"])
     assert first.count() == 3          # the outer nested container sees the inner h3 too
-    t = dom.text_trim(nodes, first.select("page_id", F.col("node_id").alias("tid")))
+    assert sorted(r.level for r in dom.walk_up(nodes, h3.limit(1), 2).collect()) == [1, 2]
+    t = dom.text_trim(nodes, first.withColumn("tid", F.col("node_id")))
     assert sorted(r.text for r in t.collect()) == ["T1", "T2"]
     assert first.filter(F.col("link_id").isNull()).count() == 0
 
@@ -53,13 +55,16 @@ def test_table_rows_nested(spark):
     ("li:nth-child(-n+2)", ["l1", "l2"]), ("li:nth-child(3)", ["l3"]), ("li:nth-last-child(1)", ["l4"]), ("li:nth-child(n+3)", ["l3", "l4"]),
     ("li:not(:first-child)", ["l2", "l3", "l4"]), ("b:only-child", ["b1"]), ("li + li, h2 + p", ["l2", "l3", "l4", "p1", "p4"]), (".x ~ li", ["l3", "l4"]),
 ])
-def test_siblings_and_places(spark, sel, want):
-    from pagelens.operators import dom
-    from pagelens.operators.nodes import to_nodes
-    html = ('<div><h2>a</h2>text<p id=p1>1</p><p id=p2>2</p></div><div><p id=p3><b id=b1>3</b></p><h2>b</h2><p id=p4>4</p></div>'
-            '<ul><li id=l1>1<li id=l2 class=x>2<li id=l3>3<li id=l4>4</ul>')
-    nodes = to_nodes(spark.createDataFrame([(1, html), (2, html)], "page_id long, html string"))
+def test_siblings_and_places(sibling_nodes, sel, want):
+    nodes = sibling_nodes
     got = dom.select(nodes, sel)
     assert got.columns == nodes.columns
     rows = got.collect()
     assert sorted(r["attrs"]["id"] for r in rows if r["page_id"] == 1) == want and len(rows) == 2 * len(want)
+
+
+@pytest.fixture(scope="module")
+def sibling_nodes(spark):
+    html = ('<div><h2>a</h2>text<p id=p1>1</p><p id=p2>2</p></div><div><p id=p3><b id=b1>3</b></p><h2>b</h2><p id=p4>4</p></div>'
+            '<ul><li id=l1>1<li id=l2 class=x>2<li id=l3>3<li id=l4>4</ul>')
+    return to_nodes(spark.createDataFrame([(1, html), (2, html)], "page_id long, html string")).cache()

@@ -51,13 +51,35 @@ def test_hidden_text_never_comes_back(spark):
     assert rendered(spark, f"<body><div hidden>{WORDS}</div></body>")[0] == ""
 
 
-@pytest.mark.parametrize("rule", ["always", "exact", "partial"])
-def test_each_rule_changes_the_result(spark, monkeypatch, rule):
+def test_each_rule_changes_the_result(spark, monkeypatch):
     page = f'<body><p>{WORDS}</p><nav>a nav</nav><div hidden>hid</div><div class="promo-box">buy</div></body>'
     before = rendered(spark, page)
-    rules = CT.removal_rules()
-    monkeypatch.setattr(CT, "removal_rules", lambda: rules | {rule: F.lit(False)})
-    assert rendered(spark, page) != before
+    assert before[0] == WORDS
+    for rule, text in (("exact", "a nav"), ("partial", "buy")):
+        rows = [r for r in CT.default_rules() if r[0] != rule]
+        with monkeypatch.context() as m:
+            m.setattr(CT, "default_rules", lambda: rows)  # noqa: B023
+            assert text in rendered(spark, page)[0]
+    monkeypatch.setattr(CT, "never_content", lambda: F.lit(False))
+    assert "hid" in rendered(spark, page)[0]
+
+
+def test_a_callers_rules(spark):
+    page = (f'<body><p>{WORDS}</p><div class="Teaser big">t1</div><div id="x-teasers-2">t2</div><div id="myteaser">t3</div><div role="Teaser">t4</div>'
+            '<teaser>t5</teaser><article class="teaser">t6</article><div class="share">s</div></body>')
+    nodes = PS.content_nodes_table(pages_df(spark, [page]))
+
+    def kept(rows):
+        rules = spark.createDataFrame(rows, CT.RULES)
+        texts = CT.content_nodes(nodes.filter("tag IS NULL OR tag <> 'article'"), rules=rules).filter("kind = 'text'").collect()
+        return {r["text"] for r in texts if r["text"] != WORDS}
+    every = {"t1", "t2", "t3", "t4", "t5", "t6", "s"}
+    assert kept([("exact", "class", "teaser", None)]) == every - {"t1"}
+    assert kept([("exact", "role", "teaser", None), ("exact", "tag", "teaser", None)]) == every - {"t4", "t5"}
+    assert kept([("partial", "word", "teaser", None)]) == every - {"t1", "t2"}
+    # a thousand more rules change neither rows nor plan
+    more = [("partial", "word", f"none{i}", None) for i in range(1000)]
+    assert kept([("partial", "word", "teaser", None), *more]) == every - {"t1", "t2"}
 
 
 def test_dot_segments(spark):
