@@ -760,6 +760,52 @@ def q_stream_first_sightings(spark, sf):
     return spark.read.parquet(f"{at}/out").select("user_id")
 
 
+def _event_stream(spark, sf, at):
+    """The batches of ``FX.event_batches`` as files of a stream, a batch each."""
+    batches = FX.event_batches(read_table(spark, sf, "events"))
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        batch.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+
+def _run_append(df, at):
+    (df.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint")
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/out")
+
+
+@register("stream_late_events", FX.LATE_BATCHES_SQL + """
+SELECT event_id, late FROM arrived""")
+def q_stream_late_events(spark, sf):
+    """L3: events that arrive out of order and twice, with a watermark of an
+    hour: those that came out once, and the side table of those dropped."""
+    at = _stream_folder(spark, "late")
+    stream = _event_stream(spark, sf, at)
+    first = _run_append(SJ.stream_dedupe(stream, "event_id", "ts", "1 hour"), at)
+    arrived = spark.read.schema(stream.schema).parquet(f"{at}/in")
+    late = SJ.dropped_rows(arrived, first, "event_id").select("event_id").distinct()
+    return first.select("event_id", F.lit(False).alias("late")).unionByName(late.withColumn("late", F.lit(True))).filter("event_id >= 0")
+
+
+@register("stream_user_sessions", FX.LATE_BATCHES_SQL + """,
+o AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev
+      FROM (SELECT user_id, ts FROM arrived WHERE NOT late UNION ALL SELECT user_id, ts FROM arrived WHERE NOT late AND event_id % 3 = 0)),
+s AS (SELECT user_id, ts, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL '6 hours' THEN 1 ELSE 0 END)
+        OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM o)
+SELECT min(ts) AS window_start, max(ts) + INTERVAL '6 hours' AS window_end, user_id, count(*) AS n
+FROM s GROUP BY user_id, sid""")
+def q_stream_user_sessions(spark, sf):
+    """L4: sessions on a stream in append mode. They span batches and merge
+    there; each comes out once the watermark has passed it, late events do not."""
+    at = _stream_folder(spark, "sessions")
+    stream = _event_stream(spark, sf, at)
+    out = _run_append(SJ.outcome_rates(stream, "session", "6 hours", by="user_id", delay="1 hour"), at)
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return out.filter("user_id >= 0").select(ntz("window_start"), ntz("window_end"), "user_id", "n")
+
+
 # A1, A2, B4b, B6, G1 and E16 ------------------------------------------------------------
 from pagelens.sources import pages as SP  # noqa: E402
 
@@ -817,3 +863,100 @@ def q_page_link_density(spark, sf):
     pages = FX.content_pages(read_table(spark, sf, "documents"))
     nodes = PS.content_nodes_table(pages)
     return CT.link_density(pages, nodes).select("page_id", "link_words", "words")
+
+
+# Requests with a profile, options, engine and format of their own ------------
+from pagelens.operators import dom as DM  # noqa: E402
+from pagelens.operators import jobs as JB  # noqa: E402
+
+# pages of four sites in one table; an id tells the site
+_SITES = 4
+
+
+def _mixed_pages(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    made = [FX.search_pages(docs), FX.news_pages(docs), FX.listing_pages(docs), FX.content_pages(docs)]
+    out = None
+    for i, pages in enumerate(made):
+        pages = pages.select((F.col("page_id") * _SITES + i).alias("page_id"), "url", "html")
+        out = pages if out is None else out.unionByName(pages)
+    n = F.col("page_id")
+    return out.select("page_id", "url", F.when((n % _SITES == 0) & (F.floor(n / _SITES) % 9 == 4), F.lit("https://www.google.com/sorry/index")).otherwise(F.col("url")).alias("final_url"),
+                      F.when(F.floor(n / _SITES) % 13 != 5, F.col("html")).alias("html"))
+
+
+def _bold_words(nodes, options):
+    """A caller's profile: the headings of a page, as results."""
+    rows = DM.select(nodes, options["selector"]).withColumn("tid", F.col("node_id")).select("page_id", "tid", "open_pos", "close_pos")
+    text = DM.text_trim(nodes, rows).join(rows.select("page_id", "tid", "open_pos"), ["page_id", "tid"])
+    res = PR._rank(text, "open_pos").select("page_id", "rank", F.lit("").alias("url"), F.col("text").alias("title"), F.lit("").alias("content"),
+                                            F.lit(None).cast(PR.FIELDS_TYPE).alias("fields"), F.lit(None).cast("string").alias("thumbnail"))
+    return res, PR._empty_suggestions(nodes.sparkSession)
+
+
+_HASH = "sha256(coalesce(string_agg(rank || ' ' || url || ' ' || title, chr(10) ORDER BY rank), ''))"
+
+
+@register("mixed_requests", f"""
+WITH web AS ({FX.SEARCH_RESULTS_SQL}), news AS ({FX.NEWS_RESULTS_SQL}), listing AS ({FX.LISTING_RESULTS_SQL}),
+content AS ({FX.CONTENT_MARKDOWN_SQL}),
+results AS (
+  SELECT page_id * {_SITES} AS page_id, rank, url, title FROM web UNION ALL SELECT page_id * {_SITES} + 1, rank, url, title FROM news
+  UNION ALL SELECT page_id * {_SITES} + 2, rank, url, title FROM listing
+  UNION ALL SELECT doc_id * {_SITES} + 3, 1, '', 'Head ' || doc_id FROM documents),
+pages AS (
+  SELECT DISTINCT CAST(doc_id // 10 AS BIGINT) * {_SITES} + i AS page_id FROM documents, (VALUES (0), (1), (2)) t(i)
+  UNION ALL SELECT doc_id * {_SITES} + 3 FROM documents),
+requests AS (
+  SELECT page_id * 3 AS request_id, page_id, 'extract' AS kind, page_id // {_SITES} AS n, page_id % {_SITES} AS site FROM pages
+  UNION ALL SELECT page_id * 3 + 1, page_id, 'render', page_id // {_SITES}, 3 FROM pages WHERE page_id % {_SITES} = 3
+  UNION ALL SELECT page_id * 3 + 2, page_id, 'extract', page_id // {_SITES}, 9 FROM pages WHERE page_id % 50 = 1),
+status AS (
+  SELECT *, CASE WHEN site = 9 THEN 'Unknown profile: bing. Available: google_web, google_news, base, anbima_debentures, headings'
+                 WHEN n % 13 = 5 THEN '{JB.NO_PAGE}' WHEN site = 0 AND n % 9 = 4 THEN 'CAPTCHA detected' END AS error FROM requests),
+digests AS (SELECT page_id, count(*) AS n, {_HASH} AS hash FROM results GROUP BY page_id)
+SELECT s.request_id, s.kind, s.error, CAST(CASE WHEN s.error IS NULL AND s.kind = 'extract' THEN coalesce(d.n, 0) ELSE 0 END AS BIGINT) AS results,
+  CASE WHEN s.error IS NOT NULL THEN NULL WHEN s.kind = 'render' THEN sha256(c.content) ELSE coalesce(d.hash, sha256('')) END AS digest,
+  CASE WHEN s.kind = 'render' AND s.error IS NULL THEN CASE WHEN s.n % 2 = 0 THEN 'ai' ELSE 'standard' END END AS engine
+FROM status s LEFT JOIN digests d ON d.page_id = s.page_id AND s.kind = 'extract' LEFT JOIN content c ON c.page_id = s.n AND s.kind = 'render'""")
+def q_mixed_requests(spark, sf):
+    """Four profiles (one of them the caller's), two engines, captchas, failed
+    pages and unknown profiles in one table; a digest for each request."""
+    PR.register_profile(PR.Profile("headings", [], 1.0, extract=_bold_words))
+    try:
+        pages = _mixed_pages(spark, sf)
+        n = F.col("page_id")
+        site = (n % _SITES).cast("int")
+        base = F.create_map(*[F.lit(x) for kv in FX.BASE_OPTIONS.items() for x in kv])
+        common = ["page_id", "url", F.lit(None).cast("boolean").alias("article"), F.lit(None).cast("boolean").alias("images")]
+        extract = pages.select((n * 3).alias("request_id"), F.lit("extract").alias("kind"), *common, F.lit(None).cast("string").alias("format"), F.lit(None).cast("string").alias("engine"),
+                               F.element_at(F.array(*[F.lit(x) for x in ("google_web", "google_news", "base", "headings")]), site + 1).alias("profile"),
+                               F.when(site == 2, base).when(site == 3, F.create_map(F.lit("selector"), F.lit("article h1"))).alias("options"))
+        render = pages.filter(site == 3).select((n * 3 + 1).alias("request_id"), F.lit("render").alias("kind"), *common, F.lit("markdown").alias("format"),
+                                                F.when(F.floor(n / _SITES) % 2 == 0, "ai").otherwise("reader").alias("engine"),
+                                                F.lit(None).cast("string").alias("profile"), F.lit(None).cast("map<string,string>").alias("options"))
+        unknown = extract.filter(n % 50 == 1).withColumn("request_id", n * 3 + 2).withColumn("profile", F.lit("bing"))
+        done = JB.run_requests(extract.unionByName(render).unionByName(unknown), pages)
+    finally:
+        del PR.PROFILES["headings"]
+    line = F.concat_ws(" ", F.col("rank").cast("string"), "url", "title")
+    found = done.results.groupBy("request_id").agg(F.count("*").alias("n"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    out = done.status.join(found, "request_id", "left").join(done.rendered.select("request_id", "content", "engine"), "request_id", "left")
+    text = F.when(F.col("kind") == "render", F.col("content")).otherwise(F.coalesce("lines", F.lit("")))
+    return out.select("request_id", "kind", "error", F.coalesce("n", F.lit(0)).alias("results"),
+                      F.when(F.col("error").isNull(), F.sha2(text.cast("binary"), 256)).alias("digest"), "engine")
+
+
+# D1 in SQL: the node table as a table function --------------------------------------------
+@register("page_tag_counts", """
+WITH p AS (SELECT page_id, regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '<\\1>', 'gs') AS h FROM pages),
+t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(h, '<!--.*?-->', '', 'gs'), '<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag FROM p)
+SELECT page_id, lower(tag) AS tag, count(*) AS n FROM t GROUP BY ALL""")
+def q_page_tag_counts(spark, sf):
+    """LATERAL html_nodes(html): how often each tag stands on each page."""
+    from pagelens.operators.nodes import register_sql
+    register_sql(spark)
+    return spark.sql("""
+        SELECT p.page_id, n.tag, count(*) AS n FROM {pages} p, LATERAL html_nodes(p.html) n WHERE n.kind = 'el' GROUP BY p.page_id, n.tag""",
+                     pages=read_table(spark, sf, "pages").select("page_id", "html"))

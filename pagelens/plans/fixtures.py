@@ -466,3 +466,31 @@ CONTENT_LINKS_SQL = f"SELECT doc_id AS page_id, {_HREF_RAW_SQL} AS href, {_HREF_
 # words outside scripts: two of every planted two-word piece, the fixed ones, and the text's own
 LINK_DENSITY_SQL = f"""SELECT doc_id AS page_id, CAST(2 AS BIGINT) AS link_words,
   CAST(48 + len(list_filter(regexp_split_to_array(text, '[{JS_WS_CLASS}]+'), lambda x: x <> '')) AS BIGINT) AS words FROM documents"""
+
+
+# ---------------------------------------------------------------------------
+# Event batches that arrive out of order (L3, L4): eight slices of time, a
+# tenth of the events three batches late, a third of them twice, and at the
+# end events of another time that let the watermark pass all others
+# ---------------------------------------------------------------------------
+SLICES, LATE_BY = 8, 3
+LATE_BATCHES_SQL = f"""
+WITH span AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events),
+sliced AS (SELECT event_id, user_id, ts, CAST(({SLICES} * (epoch_us(ts) - a)) // (b - a + 1) AS INTEGER) AS slice FROM events, span),
+arrived AS (SELECT *, event_id % 10 = 0 AND slice + {LATE_BY} < {SLICES} AS late FROM sliced)"""
+
+
+def event_batches(events: DataFrame):
+    """The arriving batches in order, as DataFrames (event_id, user_id, ts)."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = events.agg(F.min(us).alias("a"), F.max(us).alias("b"))
+    e = events.crossJoin(F.broadcast(span)).select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.expr(f"int(({SLICES} * (unix_micros(cast(ts AS timestamp)) - a)) div (b - a + 1))").alias("slice"))
+    late = (F.col("event_id") % 10 == 0) & (F.col("slice") + LATE_BY < SLICES)
+    e = e.withColumn("batch", F.when(late, F.col("slice") + LATE_BY).otherwise(F.col("slice")))
+    e = e.withColumn("copy", F.explode(F.when(F.col("event_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    for i in range(SLICES):
+        yield e.filter(F.col("batch") == i).select("event_id", "user_id", "ts")
+    for i in (1, 2, 3):
+        yield span.select(F.lit(-i).cast(events.schema["event_id"].dataType).alias("event_id"), F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"),
+                          F.timestamp_micros(F.col("b") + F.lit(i * 30 * 86_400_000_000)).alias("ts"))

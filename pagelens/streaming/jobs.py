@@ -5,18 +5,23 @@
   and writes its results under ``batch_id=<n>`` with overwrite, so a
   replayed batch after a failure rewrites the same files (exactly-once
   output with the checkpoint).
-* L2 ``stream_history``: latest row per (url, mode), newest ``keep`` rows;
-  the state is the small history table itself, rewritten per batch.
+* L2 ``stream_history``: latest row per (url, mode) in keyed state
+  (``transformWithStateInPandas``: a list of entries per key, timers that
+  expire it); only keys that change reach the table of the newest ``keep``.
 * L3 ``stream_dedupe``: cross-batch URL dedupe with late data via
-  ``withWatermark`` + ``dropDuplicatesWithinWatermark``.
+  ``withWatermark`` + ``dropDuplicatesWithinWatermark``; ``dropped_rows`` lists
+  what arrived and never came out.
 * L4 ``outcome_rates``: counts in tumbling / sliding / session windows with
   a watermark; rows later than the watermark are dropped in append mode.
 """
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from pagelens.operators import profiles as PR
 from pagelens.operators import report as RP
@@ -57,23 +62,121 @@ def stream_extract(pages_stream: DataFrame, profile: str, sink: str, checkpoint:
     return w.start()
 
 
+# entries as state keeps them: order, and the row as JSON to the microsecond
+ENTRY = "ts long, id string, row string"
+CHANGE = "url string, mode string, ts long, id string, row string, expired boolean"
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+class LatestEntries(StatefulProcessor):
+    """Per (url, mode): a list of the newest ``versions`` entries, newest
+    first. Hands on the newest when it changes. With ``expire_ms`` an event-time
+    timer that long after the newest entry clears the key and says so."""
+
+    def __init__(self, versions: int, expire_ms: int | None, numbers: bool):
+        self.versions, self.expire_ms, self.numbers = versions, expire_ms, numbers
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.entries = handle.getListState("entries", ENTRY)
+
+    def _order(self, entry):
+        return entry[0], int(entry[1]) if self.numbers and entry[1] is not None else entry[1] or ""
+
+    def _change(self, key, entry, expired):
+        import pandas as pd
+        return pd.DataFrame([(key[0], key[1], *entry, expired)], columns=["url", "mode", "ts", "id", "row", "expired"])
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = [tuple(e) for e in self.entries.get()] if self.entries.exists() else []
+        found = set(held)
+        for part in rows:
+            found.update(zip(part["_ts"].tolist(), part["_id"].tolist(), part["_row"].tolist()))
+        newest = sorted(found, key=self._order, reverse=True)[:self.versions]
+        if newest == held:
+            return
+        self.entries.put(newest)
+        if self.expire_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(newest[0][0] // 1000 + self.expire_ms)
+        if not held or newest[0] != held[0]:
+            yield self._change(key, newest[0], False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = [tuple(e) for e in self.entries.get()] if self.entries.exists() else []
+        self.entries.clear()
+        if held:
+            yield self._change(key, held[0], True)
+
+    def close(self) -> None:
+        pass
+
+
+@contextlib.contextmanager
+def _rocksdb(spark: SparkSession):
+    """Keyed state needs this store; a query keeps the setting it starts with."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old) if old else spark.conf.unset(name)
+
+
+def latest_changes(entries: DataFrame, versions: int = 1, expire: str | None = None) -> DataFrame:
+    """L2: the stream of changes of the newest entry per (url, mode)
+    (``CHANGE``). An entry older than the key's newest changes nothing, however
+    late it comes. ``expire`` (an interval of event time, which is then also
+    the watermark's delay) forgets keys without a newer entry."""
+    from pagelens.session import ship_package
+    ship_package(entries.sparkSession)
+    whole = entries.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    expire_ms = None
+    if expire:
+        entries = _as_event_time(entries, "ts").withWatermark("ts", expire)
+        expire_ms = int(entries.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {expire}) AS ms").first()["ms"])
+    rows = entries.select("url", "mode", *(["ts"] if expire else []), F.unix_micros(F.col("ts").cast("timestamp")).alias("_ts"),
+                          F.col("id").cast("string").alias("_id"), F.to_json(F.struct(*entries.columns), EXACT).alias("_row"))
+    return rows.groupBy("url", "mode").transformWithStateInPandas(
+        LatestEntries(versions, expire_ms, whole), CHANGE, "Update", "EventTime" if expire else "None")
+
+
 def stream_history(entries_stream: DataFrame, table_path: str, checkpoint: str, keep: int = 20,
-                   available_now: bool = True):
+                   available_now: bool = True, expire: str | None = None):
     """L2: ``entries(id, url, mode, ts, ...)``; the history table at
-    ``table_path`` holds at most ``keep`` rows, so merging it with a batch
-    is cheap. Each batch writes a version folder of its own; readers use
-    ``read_history``."""
-    spark = entries_stream.sparkSession
+    ``table_path`` holds the newest ``keep`` rows. State holds every key, so a
+    batch brings only keys that changed; they are merged with the small table.
+    A batch writes a version folder and removes those before its predecessor,
+    so that two remain; readers use ``read_history``."""
+    spark, schema = entries_stream.sparkSession, entries_stream.schema
 
     def run(batch: DataFrame, batch_id: int):
         # a replayed batch starts from the version before its own
-        cur = read_history(spark, table_path, batch.schema, before=batch_id)
-        merged = RP.upsert_history(cur.unionByName(batch), keep)
-        merged.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/v={batch_id}")
+        cur = read_history(spark, table_path, schema, before=batch_id)
+        new = batch.filter("NOT expired").select(F.from_json("row", schema, EXACT).alias("r")).select("r.*")
+        gone = batch.filter("expired").select("url", "mode", F.col("ts").alias("_at"))
+        merged = RP.upsert_history(cur.unionByName(new), keep)
+        same = (merged["url"].eqNullSafe(gone["url"]) & merged["mode"].eqNullSafe(gone["mode"])
+                & (F.unix_micros(merged["ts"].cast("timestamp")) == gone["_at"]))
+        merged.join(gone, same, "left_anti").write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/v={batch_id}")
+        _forget_versions(spark, table_path, batch_id - 1)
 
-    w = entries_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    with _rocksdb(spark):
+        w = latest_changes(entries_stream, expire=expire).writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
+        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+        return w.start()
+
+
+def _forget_versions(spark: SparkSession, table_path: str, first: int) -> None:
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(table_path.rstrip("/"))
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for st in fs.listStatus(top):
+        name = st.getPath().getName()
+        if name.startswith("v=") and int(name[2:]) < first:
+            fs.delete(st.getPath(), True)
 
 
 def read_history(spark: SparkSession, table_path: str, schema, before: int | None = None) -> DataFrame:
@@ -103,6 +206,13 @@ def stream_dedupe(df: DataFrame, key: str = "url", event_time: str = "ts",
     return _as_event_time(df, event_time).withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
 
+def dropped_rows(arrived: DataFrame, emitted: DataFrame, key) -> DataFrame:
+    """L3, the side table: rows that arrived and whose key never came out of a
+    stream, because they came after the watermark had passed them."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return arrived.join(emitted.select(*keys).distinct(), keys, "left_anti")
+
+
 def _as_event_time(df: DataFrame, event_time: str) -> DataFrame:
     """Watermarks need TIMESTAMP; a TIMESTAMP_NTZ column is read as UTC."""
     if dict(df.dtypes).get(event_time) == "timestamp_ntz":
