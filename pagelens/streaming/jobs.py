@@ -91,7 +91,7 @@ class LatestEntries(StatefulProcessor):
         held = [tuple(e) for e in self.entries.get()] if self.entries.exists() else []
         found = set(held)
         for part in rows:
-            found.update(zip(part["_ts"].tolist(), part["_id"].tolist(), part["_row"].tolist()))
+            found.update(zip(part["at"].tolist(), part["entry_id"].tolist(), part["entry"].tolist()))
         newest = sorted(found, key=self._order, reverse=True)[:self.versions]
         if newest == held:
             return
@@ -137,8 +137,8 @@ def latest_changes(entries: DataFrame, versions: int = 1, expire: str | None = N
     if expire:
         entries = _as_event_time(entries, "ts").withWatermark("ts", expire)
         expire_ms = int(entries.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {expire}) AS ms").first()["ms"])
-    rows = entries.select("url", "mode", *(["ts"] if expire else []), F.unix_micros(F.col("ts").cast("timestamp")).alias("_ts"),
-                          F.col("id").cast("string").alias("_id"), F.to_json(F.struct(*entries.columns), EXACT).alias("_row"))
+    rows = entries.select("url", "mode", *(["ts"] if expire else []), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+                          F.col("id").cast("string").alias("entry_id"), F.to_json(F.struct(*entries.columns), EXACT).alias("entry"))
     return rows.groupBy("url", "mode").transformWithStateInPandas(
         LatestEntries(versions, expire_ms, whole), CHANGE, "Update", "EventTime" if expire else "None")
 

@@ -59,3 +59,31 @@ def test_stream_history(spark):
     got = SJ.read_history(spark, os.path.join(root, "table"), h.schema)
     want = upsert_history(h, 20)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # a second run of the same query goes on from its state: older entries change nothing, newer ones do
+    more = spark.createDataFrame([(10 ** 6, "https://e.org/0", "render", "2020-01-01 00:00:00"), (10 ** 6 + 1, "https://e.org/1", "render", "2035-01-01 00:00:00.000001"),
+                                  (10 ** 6 + 2, "https://e.org/new", "render", "2034-01-01 00:00:00")], "id long, url string, mode string, t string")
+    more = more.select("id", "url", "mode", F.col("t").cast(h.schema["ts"].dataType).alias("ts"))
+    more.coalesce(1).write.mode("append").parquet(os.path.join(root, "h"))
+    SJ.stream_history(s, os.path.join(root, "table"), os.path.join(root, "ckpt"), keep=20).awaitTermination(300)
+    got = SJ.read_history(spark, os.path.join(root, "table"), h.schema)
+    want = upsert_history(h.unionByName(more), 20)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # two versions stay, however many batches came
+    assert sum(x.startswith("v=") for x in os.listdir(os.path.join(root, "table"))) == 2
+
+
+def test_keys_expire(spark):
+    root = tempfile.mkdtemp(prefix="pagelens-stream-")
+    rows = [(1, "a", "2024-01-01 00:00:00"), (2, "b", "2024-01-01 06:00:00")], [(3, "b", "2024-01-01 20:00:00")], [(4, "c", "2024-01-03 00:00:00")], [(5, "c", "2024-01-03 00:00:01")]
+    make = lambda part: spark.createDataFrame(part, "id long, url string, t string").select("id", "url", F.lit("render").alias("mode"), F.col("t").cast("timestamp").alias("ts"))
+    for part in rows:
+        make(part).coalesce(1).write.mode("append").parquet(os.path.join(root, "h"))
+    s = spark.readStream.schema(make(rows[0]).schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(root, "h"))
+    SJ.stream_history(s, os.path.join(root, "table"), os.path.join(root, "ckpt"), expire="12 HOURS").awaitTermination(300)
+    got = SJ.read_history(spark, os.path.join(root, "table"), make(rows[0]).schema)
+    assert [(r["id"], r["url"]) for r in got.collect()] == [(5, "c")]
+
+
+def test_late_rows_go_to_the_side_table(spark):
+    arrived = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n")], "k int, v string")
+    assert [r["v"] for r in SJ.dropped_rows(arrived, arrived.filter("k = 1"), "k").orderBy("v").collect()] == ["n", "z"]
