@@ -100,3 +100,22 @@ def token_report(requests: DataFrame, by: str = "model") -> DataFrame:
         F.sum(F.when((F.col("num_ctx") > 4096) & (F.col("num_ctx") <= 32768), 1).otherwise(0))
         .cast("long").alias("ctx_32k"),
         F.sum(F.when(F.col("num_ctx") > 32768, 1).otherwise(0)).cast("long").alias("ctx_large"))
+
+
+SKETCH_K = 400         # of the KLL sketches
+RANK_ERROR = 0.02      # bound on a quantile's rank error that tests and queries hold it to
+
+
+def token_sketches(requests: DataFrame, *by) -> DataFrame:
+    """A mergeable sketch of the token counts for each group of ``by``
+    (a source and a day, say), small enough to keep."""
+    return requests.groupBy(*by).agg(F.kll_sketch_agg_bigint(F.col("tokens").cast("long"), F.lit(SKETCH_K)).alias("sketch"))
+
+
+def token_quantiles(sketches: DataFrame, *by, ranks=(0.5, 0.9, 0.99)) -> DataFrame:
+    """Quantiles of the token counts per group of ``by``, from kept
+    sketches alone: (by..., n, q, tokens), within ``RANK_ERROR`` of the rank."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_bigint("sketch").alias("sketch"))
+    return merged.select(*by, F.kll_sketch_get_n_bigint("sketch").alias("n"), F.explode(F.array(*[
+        F.struct(F.lit(float(q)).alias("q"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(q))).alias("tokens")) for q in ranks])).alias("x")
+    ).select(*by, "n", "x.q", "x.tokens")

@@ -960,3 +960,46 @@ def q_page_tag_counts(spark, sf):
     return spark.sql("""
         SELECT p.page_id, n.tag, count(*) AS n FROM {pages} p, LATERAL html_nodes(p.html) n WHERE n.kind = 'el' GROUP BY p.page_id, n.tag""",
                      pages=read_table(spark, sf, "pages").select("page_id", "html"))
+
+
+# G11 quantiles, H2 on the command line, A2 bytes ---------------------------------------------
+@register("llm_token_quantiles", """
+SELECT source, count(*) AS n, q, true AS within FROM documents, (VALUES (0.5), (0.9), (0.99)) t(q) GROUP BY ALL""")
+def q_llm_token_quantiles(spark, sf):
+    """Sketches per source and language, merged per source; each quantile is
+    held against the exact ranks of all rows."""
+    r = LB.plan_requests(read_table(spark, sf, "documents"), "text", "doc_id", "qwen3:8b", 4096, keep=("source", "lang"))
+    found = LB.token_quantiles(LB.token_sketches(r, "source", "lang"), "source")
+    # a value may hold a whole range of ranks
+    ranks = r.join(F.broadcast(found.select("source", F.col("tokens").alias("t"), "q", "n")), "source").groupBy("source", "n", "q").agg(
+        (F.count_if(F.col("tokens") < F.col("t")) / F.count("*")).alias("low"), (F.count_if(F.col("tokens") <= F.col("t")) / F.count("*")).alias("high"))
+    within = (F.col("low") <= F.col("q") + LB.RANK_ERROR) & (F.col("high") >= F.col("q") - LB.RANK_ERROR)
+    return ranks.select("source", "n", F.col("q").cast("decimal(3,2)").alias("q"), within.alias("within"))
+
+
+@register("result_listing_short", _LIST_SQL.replace("   URL: ", "   ").replace(" results from google_web profile:", " results:"))
+def q_result_listing_short(spark, sf):
+    """H2: the command line's form."""
+    pages = FX.search_pages(read_table(spark, sf, "documents")).unionByName(_ordinary(spark, sf))
+    res, sugg = PR.extract(pages, "google_web")
+    return RP.listing(res, sugg, "google_web", pages, short=True)
+
+
+_LATIN = "regexp_replace(text, '[^\\x00-\\xFF]', '?', 'g')"
+
+
+@register("page_bytes", f"""
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'utf-16be' ELSE 'windows-1252' END AS charset,
+  sha256(CASE WHEN doc_id % 5 = 3 THEN '<meta charset="ISO-8859-1">' ELSE '' END || CASE WHEN doc_id % 5 >= 3 THEN '\u00fc' || {_LATIN} ELSE coalesce(text, '') END) AS html_sha
+FROM documents WHERE text IS NOT NULL""")
+def q_page_bytes(spark, sf):
+    """A2: texts as bytes of four charsets, named by a mark, a meta tag or
+    nothing, decoded again."""
+    d = read_table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", "text")
+    k = F.col("doc_id") % 5
+    latin = F.concat(F.lit("\u00fc"), F.regexp_replace("text", r"[^\x00-\xFF]", "?"))
+    content = (F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+               .when(k == 2, F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE")))
+               .when(k == 3, F.encode(F.concat(F.lit('<meta charset="ISO-8859-1">'), latin), "ISO-8859-1")).otherwise(F.encode(latin, "ISO-8859-1")))
+    d = d.select("doc_id", content.alias("content")).withColumn("charset", SP.charset_of("content"))
+    return d.select("doc_id", "charset", F.sha2(SP.decode_html("content", "charset").cast("binary"), 256).alias("html_sha"))

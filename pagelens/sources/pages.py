@@ -77,10 +77,53 @@ def check_page_ids(pages: DataFrame) -> DataFrame:
     return pages.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def read_html_files(spark: SparkSession, path: str) -> DataFrame:
-    """A2: pre-fetched HTML files, one page per file."""
-    df = spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("html"), F.input_file_name().alias("url"))
+# What the bytes 0x80 to 0x9F mean in windows-1252 (the five
+# that it leaves open stay control characters).
+WINDOWS_1252 = "\u20ac\u0081\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u008d\u017d\u008f\u0090\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u009d\u017e\u0178"
+WESTERN = ("windows-1252", "cp1252", "iso-8859-1", "latin1", "us-ascii", "ascii")
+META_BYTES = 4096      # a meta tag counts within so many bytes
+
+
+def _charset_label(text) -> F.Column:
+    return F.lower(F.regexp_extract(text, r"(?i)charset\s*=\s*[\x22']?\s*([A-Za-z0-9_:.-]+)", 1))
+
+
+def charset_of(content, header=None) -> F.Column:
+    """The charset of html bytes: utf-8, utf-16le, utf-16be or windows-1252, by
+    byte order mark, then the charset of a Content-Type ``header``, then a meta
+    tag near the start, else UTF-8 where the bytes are valid and windows-1252
+    where not. A label that names none of these counts as not given; one of
+    UTF-16 in a meta tag means UTF-8, since it could be read."""
+    content = F.col(content) if isinstance(content, str) else content
+    head = F.decode(F.substring(content, 1, META_BYTES), "ISO-8859-1")
+    known = lambda label, wide: (F.when(label.isin("utf-8", "utf8"), "utf-8").when(label.isin(*WESTERN), "windows-1252")
+                                 .when(label.isin("utf-16", "utf-16le"), wide or "utf-16le").when(label == "utf-16be", wide or "utf-16be"))
+    mark = F.hex(F.substring(content, 1, 3))
+    by_mark = F.when(mark.startswith("EFBBBF"), "utf-8").when(mark.startswith("FFFE"), "utf-16le").when(mark.startswith("FEFF"), "utf-16be")
+    by_header = known(_charset_label(header), None) if header is not None else F.lit(None).cast("string")
+    meta = F.regexp_extract(head, r"(?i)<meta\s[^>]*charset\s*=[^>]*>", 0)
+    valid = F.is_valid_utf8(content.cast("string"))
+    return F.coalesce(by_mark, by_header, known(_charset_label(meta), "utf-8"), F.when(valid, "utf-8").otherwise("windows-1252"))
+
+
+def decode_html(content, charset) -> F.Column:
+    """Bytes to text on the JVM. The mark is dropped; bytes that are no UTF-8
+    become replacement characters, half a UTF-16 unit at the end is dropped."""
+    content, charset = (F.col(c) if isinstance(c, str) else c for c in (content, charset))
+    high = "".join(chr(c) for c in range(0x80, 0xA0))
+    even = F.substring(content, F.lit(1), (F.octet_length(content) - F.octet_length(content) % 2).cast("int"))
+    text = (F.when(charset == "utf-16le", F.decode(even, "UTF-16LE")).when(charset == "utf-16be", F.decode(even, "UTF-16BE"))
+            .when(charset == "windows-1252", F.translate(F.decode(content, "ISO-8859-1"), high, WINDOWS_1252))
+            .otherwise(F.make_valid_utf8(content.cast("string"))))
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
+def read_html_files(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
+    """A2: pre-fetched HTML files as bytes, one page per file, decoded by
+    ``charset_of``; ``header`` is the Content-Type they were served with."""
+    files = spark.read.format("binaryFile").load(path)
+    html = decode_html("content", charset_of("content", F.lit(header) if header else None))
+    df = files.select(html.alias("html"), F.col("path").alias("url"))
     return with_page_ids(df.select("url", "html", F.lit(200).alias("status"), F.col("url").alias("final_url")))
 
 

@@ -52,3 +52,17 @@ def test_engine_and_format_switch(spark):
         raise AssertionError("bad format accepted")
     except ValueError as e:
         assert "Invalid format" in str(e)
+
+
+def test_charsets(spark, tmp_path):
+    cases = {"mark8": (b"\xef\xbb\xbf<p>\xc3\xa9", None, "<p>é"), "mark16": ("﻿<p>é€😀".encode("utf-16-le"), None, "<p>é€😀"),
+             "be": (b"\xfe\xff" + "<p>é€".encode("utf-16-be"), None, "<p>é€"), "header": (b"<meta charset=utf-8>\x93\xe9\x94\x80", "text/html; charset=windows-1252", '<meta charset=utf-8>“é”€'),
+             "meta": (b"<meta http-equiv=Content-Type content='text/html; charset=ISO-8859-1'>\xe9\x80", None, "<meta http-equiv=Content-Type content='text/html; charset=ISO-8859-1'>é€"),
+             "none": ("<p>日本".encode(), None, "<p>日本"), "western": (b"<p>\xe9", None, "<p>é"), "bad8": (b"<meta charset=utf-8>\xff", None, "<meta charset=utf-8>�"),
+             "unknown": ("<meta charset=klingon>é".encode(), "text/html; charset=x", "<meta charset=klingon>é"), "odd": ("﻿ab".encode("utf-16-le") + b"c", None, "ab"),
+             "empty": (b"", None, "")}
+    df = spark.createDataFrame([(k, bytearray(b), h) for k, (b, h, _) in cases.items()], "k string, content binary, header string")
+    got = df.select("k", SP.decode_html("content", SP.charset_of("content", F.col("header"))).alias("t")).collect()
+    assert {r["k"]: r["t"] for r in got} == {k: t for k, (_, _, t) in cases.items()}
+    (tmp_path / "a.html").write_bytes("﻿<p>ü".encode("utf-16-le"))
+    assert [r["html"] for r in SP.read_html_files(spark, str(tmp_path)).collect()] == ["<p>ü"]
