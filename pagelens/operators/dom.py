@@ -212,7 +212,9 @@ def pair_up(rows: DataFrame, inner: Column, outer: Column, cols, nearest: int |
     columns, ``up`` (a struct of the element's ``cols``) and ``level`` (1: the
     nearest). ``nearest`` keeps that many levels; elements of ``outer`` for
     which ``itself`` holds count as inside themselves too."""
-    own = F.struct(*rows.columns)
+    # the page stays a column of its own: then Spark knows the partitioning further on
+    columns = [c for c in rows.columns if c != "page_id"]
+    own = F.struct(*columns)
     at = lambda pos, turn, step: F.struct(F.col(pos).alias("pos"), F.lit(turn).alias("turn"), F.lit(step).alias("step"))
     wide = outer & (F.col("close_pos") > F.col("open_pos"))
     events = [F.when(inner, at("open_pos", 0, 0)), F.when(wide, at("open_pos", 1, 1)), F.when(wide, at("close_pos", 0, -1))]
@@ -226,7 +228,7 @@ def pair_up(rows: DataFrame, inner: Column, outer: Column, cols, nearest: int |
     depth = F.when(step == 1, F.array("_open")).when(F.col("_open") > 0, F.sequence(low.cast("long"), F.col("_open")))
     ev = ev.select("page_id", "_at", "_in", "_open", F.when(step == 1, F.col("_up")).alias("_up"), F.explode(depth).alias("_depth"))
     ev = ev.withColumn("up", F.last("_up", ignorenulls=True).over(_upto("_depth", order=order)))
-    return ev.filter(step == 0).select("_in.*", "up", (F.col("_open") - F.col("_depth") + 1).alias("level"))
+    return ev.filter(step == 0).select("page_id", *[F.col("_in")[c].alias(c) for c in columns], "up", (F.col("_open") - F.col("_depth") + 1).alias("level"))
 
 
 def with_text(rows: DataFrame, targets: Column) -> DataFrame:
@@ -234,7 +236,7 @@ def with_text(rows: DataFrame, targets: Column) -> DataFrame:
     subtree in document order, if ``targets`` holds of it (else empty), and
     ``content_noscript`` without the text of scripts. The rows hold the texts
     and the script elements of the pages."""
-    columns = [c for c in rows.columns if c != "text"]
+    columns = [c for c in rows.columns if c not in ("page_id", "text")]
     is_text = F.col("kind") == "text"
     rows = rows.withColumn("_target", F.coalesce(targets, F.lit(False)))
     rows = rows.withColumn("_script", inside((F.col("kind") == "el") & (F.col("tag") == "script"))).withColumn("_held", inside(F.col("_target")))
@@ -254,7 +256,7 @@ def with_text(rows: DataFrame, targets: Column) -> DataFrame:
     done = ev.groupBy("page_id", "_of").agg(
         F.first("_own", ignorenulls=True).alias("_own"), F.array_sort(F.collect_list(F.when(F.col("_is_text"), F.col("_piece")))).alias("_p"))
     joined = lambda parts: F.array_join(F.transform(parts, lambda x: x["text"]), "")
-    return done.select("_own.*", joined(F.col("_p")).alias("content"), joined(F.filter("_p", lambda x: ~x["_script"])).alias("content_noscript"))
+    return done.select("page_id", *[F.col("_own")[c].alias(c) for c in columns], joined(F.col("_p")).alias("content"), joined(F.filter("_p", lambda x: ~x["_script"])).alias("content_noscript"))
 
 
 def any_compound(*selectors) -> Column:
@@ -320,7 +322,7 @@ def within(matches: DataFrame, containers: DataFrame, cid: str = "cid", nearest:
     a = matches.select(*spot, F.struct(*matches.columns).alias("_m"), F.lit(None).cast("int").alias("_c"))
     b = containers.select(*spot, F.lit(None).cast(a.schema["_m"].dataType).alias("_m"), F.col(cid).alias("_c"))
     pairs = pair_up(a.unionByName(b), F.col("_m").isNotNull(), F.col("_c").isNotNull(), ["_c"], nearest)
-    return pairs.select("_m.*", F.col("up._c").alias(cid), "level")
+    return pairs.select(*[F.col("page_id") if c == "page_id" else F.col("_m")[c].alias(c) for c in matches.columns], F.col("up._c").alias(cid), "level")
 
 
 def first_within(matches: DataFrame, containers: DataFrame, cols, cid: str = "cid") -> DataFrame:
