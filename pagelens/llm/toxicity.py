@@ -16,11 +16,16 @@ copied a hundred times is one observation, not a hundred):
    Karlin and Altschul apply.
 
 Scoring: one linear scan (Ruzzo and Tompa) finds all maximal-scoring segments.
-A segment's E-value is K n exp(-lambda S), with lambda from the score
-distribution of clean training text and K from its maxima. The document's
-p-value is the smallest of the sum statistics over its r best segments
-(multiplicity-corrected), and the score is the posterior of label 1 under the
-bound -e p ln p of the Bayes factor and the training prior.
+A word that recurs within one excursion of the running score counts less each
+time; where the running score has fallen back to zero, counting starts anew, so
+a passage that returns later in the text weighs what it weighed before. Every
+maximal segment lies in one excursion. A segment's E-value is
+K n exp(-lambda S), with lambda from the score distribution of clean training
+text and K from its maxima, both under the same weights; n is the number of
+distinct runs of three words, since repeated text is no further chance. The
+document's p-value is the smallest of the sum statistics over its r best
+distinct segments (multiplicity-corrected), and the score is the posterior of
+label 1 under the bound -e p ln p of the Bayes factor and the training prior.
 """
 
 from __future__ import annotations
@@ -136,23 +141,52 @@ def segments(weights: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, r - l) for s, e, l, r, _ in stack]
 
 
-def scan(text: str | None, cache: _Cache):
-    """(number of words, segments) of a whole text."""
-    words = WORD.findall((text or "").lower())
-    if not words:
-        return 0, []
-    w = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
+def damped(words: list[str], w: np.ndarray) -> np.ndarray:
+    """Weights in which the k-th occurrence of a word in one excursion of the
+    running score gains log2((k + 1) / k) of its weight."""
+    w = w.copy()
+    at = np.flatnonzero(w > 0)
+    # between two positive places the running score only falls
+    falls = np.add.reduceat(w, at) - w[at] if len(at) else at
     seen: Counter = Counter()
-    for i in np.flatnonzero(w > 0).tolist():
+    run = 0.0
+    for i, x, fall in zip(at.tolist(), w[at].tolist(), falls.tolist()):
         seen[words[i]] += 1
         k = seen[words[i]]
         if k > 1:
-            w[i] *= math.log2((k + 1) / k)
-    return len(words), segments(w)
+            x *= math.log2((k + 1) / k)
+            w[i] = x
+        run += x + fall
+        if run <= 0:
+            run = 0.0
+            seen.clear()
+    return w
+
+
+def places(words: list[str]) -> int:
+    """Distinct runs of three words: how many places a segment could have by
+    chance. A text and its copies in a row have the same few."""
+    if len(words) < 3:
+        return len(words)
+    number: dict[str, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
+    with np.errstate(over="ignore"):
+        m = np.uint64(0x9E3779B97F4A7C15)
+        runs = (ids[:-2] * m + ids[1:-1]) * m + ids[2:]
+    return len(np.unique(runs))
+
+
+def scan(text: str | None, cache: _Cache):
+    """(words, damped weights, segments) of a whole text."""
+    words = WORD.findall((text or "").lower())
+    if not words:
+        return words, np.zeros(0), []
+    w = damped(words, np.fromiter(map(cache.__getitem__, words), np.float64, len(words)))
+    return words, w, segments(w)
 
 
 def p_value(n: int, segs, model: Model) -> float:
-    """Chance that clean text of n words has segments as good as these."""
+    """Chance that clean text of n places has segments as good as these."""
     if not segs:
         return 1.0
     shift = model.log_k + math.log(max(n, 1))
@@ -179,8 +213,10 @@ def posterior(p: float, prior: float) -> float:
 
 def score_text(text: str | None, model: Model, cache: _Cache):
     """(score, significant segments as word intervals with E-values)."""
-    n, segs = scan(text, cache)
-    p = p_value(n, segs, model)
+    words, _, segs = scan(text, cache)
+    n = places(words) if segs else 0
+    # a passage that recurs is one piece of evidence
+    p = p_value(n, list({tuple(words[s:e]): (s, e, x) for s, e, x in segs}.values()), model)
     shift = model.log_k + math.log(max(n, 1))
     found = [(s, e, math.exp(min(shift - model.lam * x, 600.0))) for s, e, x in segs]
     return posterior(p, model.prior), [x for x in found if x[2] <= model.alpha]
@@ -246,19 +282,18 @@ def _count_features(batches):
 
 def _background(models):
     """Of clean training documents: the word-score histogram (kind 0) and each
-    document's length and best segment (kind 1)."""
+    document's places and best segment (kind 1)."""
     def run(batches):
         caches = [_Cache(m) for m in models.value]
         for b in batches:
             hist: Counter = Counter()
             kind, x, y = [], [], []
             for text, fold in zip(b.column(0), b.column(1).to_pylist()):
-                cache, words = caches[fold], WORD.findall((text.as_py() or "").lower())
-                for w, n in Counter(words).items():
-                    hist[round(cache[w], 2)] += n
-                n, segs = scan(text.as_py(), cache)
-                if n:
-                    kind.append(1), x.append(float(n)), y.append(max((s for *_, s in segs), default=0.0))
+                words, w, segs = scan(text.as_py(), caches[fold])
+                if words:
+                    for value, n in zip(*(v.tolist() for v in np.unique(np.round(w, 2), return_counts=True))):
+                        hist[value] += n
+                    kind.append(1), x.append(float(places(words))), y.append(max((s for *_, s in segs), default=0.0))
             yield pa.RecordBatch.from_arrays([
                 pa.array([0] * len(hist) + kind, pa.int32()), pa.array([*hist.keys(), *x], pa.float64()),
                 pa.array([*map(float, hist.values()), *y], pa.float64())], names=["kind", "x", "y"])
@@ -304,7 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .join(F.broadcast(sample), "id").groupBy("id", "fold", "label").agg(F.min("text").alias("text"))
         .select("id", "fold", "label", "text", _sketch("text").alias("k")), "toxicity-sample")
-    table = _without_copies(table)
+    table = common.written(_without_copies(table), "toxicity-train")
     sums = common.written(
         table.select("text", "fold", "label").mapInArrow(_count_features, "feature string, fold int, label int, n double")
         .groupBy("feature").agg(*[
@@ -363,8 +398,9 @@ def score(docs: DataFrame, model: Model, text_col="text", out="toxicity") -> Dat
     """Append ``out``: struct(score, passages).
 
     Null and empty texts score the value of a text without evidence (the
-    training prior). Equal texts score alike; repeated rows stay. An empty
-    table gives an empty table. ``out`` is lengthened if the input has it."""
+    training prior). Equal texts score alike; repeated rows stay. A passage is
+    reported at every place where it recurs apart from itself, and text that
+    repeats does not lower the score. An empty table gives an empty table. ``out`` is lengthened if the input has it."""
     return docs.withColumn(common.fresh(docs.columns, out), score_column(docs.sparkSession, model, text_col))
 
 
