@@ -5,13 +5,13 @@ is filled greedily by the dot-product heuristic: of the examples that fit, the
 one whose demand vector (in shares of the capacities) has the largest dot
 product with what is left. Each task packs its own partition as a stream: a
 window of open examples is held, sequences are filled from it one after the
-other, and memory is bounded by the window. Nothing is shuffled; the only loss
-at a partition's end is its last sequence.
+other, and memory is bounded by the window. Nothing is shuffled.
 
 With ``cut=True`` (plain documents) whole capacities of a long document become
 sequences of their own, what no whole example fills is filled with the head of
-an open one, and the last tokens of a partition go into sequences whose
-lengths are powers of two, which need no padding.
+an open one, and a sequence that stays under-full (its segments are used up, or
+it is a partition's last) goes out as sequences whose lengths are powers of two,
+which need no padding.
 """
 
 from __future__ import annotations
@@ -71,16 +71,18 @@ class Packer:
         self._push(key, start, tokens - start, self._loss(start, tokens, tokens, loss))
         if self.n >= 2 * l.window:
             while self.n > l.window:
-                yield self._fill()
+                yield from self._out(self._fill())
 
     def finish(self):
         while self.n:
-            seq = self._fill(last=True)
-            used = sum(x[2] for x in seq)
-            if not self.n and self.l.cut and used < self.l.tokens:
-                yield from _powers(seq, used)
-            else:
-                yield seq
+            yield from self._out(self._fill())
+
+    def _out(self, seq):
+        used = sum(x[2] for x in seq)
+        if self.l.cut and used < self.l.tokens:
+            yield from _powers(seq, used)
+        else:
+            yield seq
 
     @staticmethod
     def _loss(start, stop, tokens, loss):
@@ -104,7 +106,7 @@ class Packer:
             self.key[i], self.start[i], self.need[i] = self.key[j], self.start[j], self.need[j]
         self.n = j
 
-    def _fill(self, last: bool = False):
+    def _fill(self):
         left, seq = self.cap.copy(), []
         scale = 1.0 / (self.cap.astype(float) ** 2)
         while self.n and left[1] > 0 and left[0] > 0:
@@ -131,7 +133,7 @@ class Packer:
 
 
 def _powers(seq, used):
-    """Cut the parts of a last sequence into sequences of powers of two."""
+    """Cut the parts of an under-full sequence into sequences of powers of two."""
     parts = list(seq)[::-1]
     while used:
         room = 1 << (used.bit_length() - 1)
