@@ -8,9 +8,12 @@
    stretches of words that those runs cover. Any match of at least ``seed``
    words, or of a whole shorter item, lies inside one stretch, so nothing else
    of the text is needed.
-3. Hashes are joined to the items' seeds; pairs (document, item) whose shared
-   seeds could cover enough of the item stay.
-4. Each pair is tiled: running Karp-Rabin finds matches of a search length
+3. Hashes are joined to the items' seeds, but only to their rarer ones: of the
+   seeds of an item, those held by most documents are left out as long as they
+   alone could not cover enough of it, so every leak shares one of the rest and
+   a lead-in common to many documents and items makes no pairs.
+4. Pairs (document, item) are dealt evenly. A pair whose shared seeds could
+   cover enough of the item is tiled: running Karp-Rabin finds matches of a search length
    that falls from long to ``seed``, every hash match is compared word by
    word and extended, and the longest matches are marked first, so that no
    word of either side lies in two tiles. Order does not matter, so reordered
@@ -140,12 +143,20 @@ def _item_seeds(seed: int):
                 one, two = _places(h)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([i] * len(h), b.column(0).type), pa.array([len(w)] * len(h), pa.int32()), pa.array(h.view(np.int64)),
-                    pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64))], names=["item", "words", "hash", "one", "two"])
+                    pa.array(np.arange(len(h), dtype=np.int32)), pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64))],
+                    names=["item", "words", "hash", "at", "one", "two"])
     return run
 
 
-def _stretches(shared, lengths: list[int]):
-    """``lengths``: how many words the seeds have."""
+def _whole_lines(text: str, n: int) -> np.ndarray:
+    """Where in the text's words a line of exactly n words begins."""
+    sizes = np.array([len(words_of(x)) for x in text.splitlines()], int)
+    return (np.cumsum(sizes) - sizes)[sizes == n]
+
+
+def _stretches(shared, lengths: list[int], seed: int, lines: bool):
+    """``lengths``: how many words the seeds have. With ``lines``, seeds of
+    fewer than ``seed`` words count only where they are a whole line."""
     names = ["row", "id", "seeds", "stretches"]
 
     def run(batches):
@@ -161,6 +172,8 @@ def _stretches(shared, lengths: list[int]):
                         one, two = _places(h)
                         hit = (bits[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8)) & (bits[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
                         at = np.flatnonzero(hit)
+                        if lines and n < seed and len(at):
+                            at = np.intersect1d(at, _whole_lines(t.as_py(), n))
                         hashes.append(h[at])
                         starts.append(at)
                         ends.append(at + n)
@@ -180,15 +193,47 @@ def _stretches(shared, lengths: list[int]):
     return run
 
 
+def _covered(places: np.ndarray, n: int) -> int:
+    """How many words runs of n words from these (ascending) places cover."""
+    return int(np.minimum(np.diff(places), n).sum()) + n if len(places) else 0
+
+
+def _rare(seed: int, coverage: float):
+    """The seeds of each item that a leak must share one of: all but the most
+    frequent, which together cover too few of its words."""
+    def run(batches):
+        for b in batches:
+            items, hashes = [], []
+            for item, words, places in zip(*(c.to_pylist() for c in b.columns)):
+                n = min(seed, words)
+                order = sorted(places, key=lambda x: (-x["df"], x["hash"], x["at"]))
+                taken, covered, k = np.zeros(words, bool), 0, 0
+                for k, x in enumerate(order):
+                    part = taken[x["at"]:x["at"] + n]
+                    covered += n - int(part.sum())
+                    if covered >= coverage * words:
+                        break
+                    part[:] = True
+                keep = {x["hash"] for x in order[k:]}
+                items += [item] * len(keep)
+                hashes += keep
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(items, b.column(0).type)], names=["hash", "item"])
+    return run
+
+
 def _tile(seed: int, coverage: float):
     names = ["row", "id", "item", "n_tiles", "n_matched", "coverage"]
 
     def run(batches):
         for b in batches:
             out = []
-            for row, i, item, stretches, text in zip(*(c.to_pylist() for c in b.columns)):
+            for row, i, item, seeds, stretches, text in zip(*(b.column(k) if k == 3 else b.column(k).to_pylist() for k in range(6))):
                 words = words_of(text)
-                found = tiles([s.split(" ") for s in stretches], words, max(1, min(seed, len(words))))
+                least = max(1, min(seed, len(words)))
+                shared = np.isin(rolling(word_hashes(words), least).view(np.int64), seeds.values.to_numpy())
+                if _covered(np.flatnonzero(shared), least) < coverage * len(words):
+                    continue
+                found = tiles([s.split(" ") for s in stretches], words, least)
                 n = sum(x[3] for x in found)
                 if words and n >= coverage * len(words):
                     out.append((row, i, item, len(found), n, n / len(words)))
@@ -198,12 +243,12 @@ def _tile(seed: int, coverage: float):
     return run
 
 
-def _leaks(docs: DataFrame, bench: DataFrame, seed: int, coverage: float) -> DataFrame:
+def _leaks(docs: DataFrame, bench: DataFrame, seed: int, coverage: float, lines: bool = False) -> DataFrame:
     """(row, id, item, n_tiles, n_matched, coverage); docs has row, id, text."""
     spark = docs.sparkSession
     common.ready(spark)
     kind, item_kind = docs.schema["id"].dataType.simpleString(), bench.schema["item"].dataType.simpleString()
-    seeds = common.written(bench.mapInArrow(_item_seeds(seed), f"item {item_kind}, words int, hash long, one long, two long"), "item-seeds")
+    seeds = common.written(bench.mapInArrow(_item_seeds(seed), f"item {item_kind}, words int, hash long, at int, one long, two long"), "item-seeds")
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     # set words of the filter: at most FILTER_BITS / 32 rows, whatever the benchmark
     place = seeds.select(F.explode(F.array("one", "two")).alias("p"))
@@ -214,16 +259,19 @@ def _leaks(docs: DataFrame, bench: DataFrame, seed: int, coverage: float) -> Dat
     if not lengths:
         return spark.createDataFrame([], f"row long, id {kind}, item {item_kind}, n_tiles int, n_matched int, coverage double")
     held = common.written(docs.select("row", "id", "text").mapInArrow(
-        _stretches(common.broadcast(spark, bits), lengths), f"row long, id {kind}, seeds array<long>, stretches array<string>"), "doc-stretches")
-    # places of an item, by hash; a pair's shared places bound what tiles can cover
-    known = seeds.groupBy("hash", "item", "words").agg(F.count("*").alias("places"))
-    pairs = (held.select("row", F.explode("seeds").alias("hash")).join(known, "hash")
-             .groupBy("row", "item", "words").agg(F.sum("places").alias("shared"))
-             .where(F.col("shared") * seed >= F.col("words") * coverage).select("row", "item"))
+        _stretches(common.broadcast(spark, bits), lengths, seed, lines), f"row long, id {kind}, seeds array<long>, stretches array<string>"), "doc-stretches")
+    common_first = held.select(F.explode("seeds").alias("hash")).groupBy("hash").agg(F.count("*").alias("df"))
+    # one item's seeds are one row: as long as its text
+    rare = (seeds.join(common_first, "hash", "left")
+            .groupBy("item", "words").agg(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "hash", "at")).alias("places"))
+            .mapInArrow(_rare(seed, coverage), f"hash long, item {item_kind}"))
+    pairs = held.select("row", F.explode("seeds").alias("hash")).join(rare, "hash").select("row", "item").distinct()
     texts = bench.select(F.col("item").alias("of"), "text")
-    full = (pairs.join(held.select("row", "id", "stretches"), "row").join(texts, F.col("item").eqNullSafe(F.col("of")))
-            .select("row", "id", "item", "stretches", "text"))
-    return full.mapInArrow(_tile(seed, coverage), f"row long, id {kind}, item {item_kind}, n_tiles int, n_matched int, coverage double")
+    full = (pairs.join(held.select("row", "id", "seeds", "stretches"), "row").join(texts, F.col("item").eqNullSafe(F.col("of")))
+            .select("row", "id", "item", "seeds", "stretches", "text"))
+    # dealt by count: a few bytes may be much work
+    dealt = full.repartition(4 * spark.sparkContext.defaultParallelism, "row", "item")
+    return dealt.mapInArrow(_tile(seed, coverage), f"row long, id {kind}, item {item_kind}, n_tiles int, n_matched int, coverage double")
 
 
 def _items(bench: DataFrame, text_col: str) -> DataFrame:
@@ -252,12 +300,15 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", i
 
 
 def clean(docs: DataFrame, bench: DataFrame, text_col="text", item_col="item_id", item_text="text", seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
-    """Documents that leak no item; columns unchanged. Rows are told apart by
-    the hash and length of their texts, so equal texts go together. ``item_col``
-    is not read: every text of the benchmark is an item."""
+    """Documents that leak no item; columns unchanged. An item of fewer than
+    ``seed`` words ("yes", a name) stands in many ordinary documents: it takes
+    out only those that have it as a whole line (``str.splitlines``), with no
+    other word in that line; ``leaks`` reports it anywhere. Rows are told apart
+    by the hash of their texts, so equal texts go together. ``item_col`` is not
+    read: every text of the benchmark is an item."""
     name = common.fresh(docs.columns, "_text")
     data = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("id"))
-    bad = _leaks(data, _items(bench, item_text), seed, coverage).select(F.col("id").alias(name)).distinct()
+    bad = _leaks(data, _items(bench, item_text), seed, coverage, lines=True).select(F.col("id").alias(name)).distinct()
     text = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
     return docs.join(bad, text == F.col(name), "left_anti")
 
