@@ -134,19 +134,19 @@ def gate(table) -> list[str]:
     return sorted(s for s in stems if not any(t != s and t in s for t in stems))
 
 
+_FOUND = "struct<start:int,size:int,tier:int,rule:int,label:string>"
+
+
 def count_words(s: str) -> str:
     return f"(length({s}) - length(replace({s}, '<', '')))"
 
 
 def spans_sql(words: str, regex: str, fields: str) -> str:
     """SQL: array of structs (start word, end word, ...) of all matches."""
-    return f"""aggregate(
-        zip_with(split({words}, {regex}, -1), regexp_extract_all({words}, {regex}, 0),
-                 (gap, hit) -> struct(cast({count_words('gap')} as int) as skip, cast({count_words('hit')} as int) as len, hit as hit)),
-        struct(0 as at, cast(array() as array<struct<start:int,size:int,tier:int,rule:int,label:string>>) as out),
-        (acc, m) -> if(m.hit is null, acc, struct(acc.at + m.skip + m.len as at,
-            concat(acc.out, array(struct(acc.at + m.skip as start, -m.len as size, {fields}))) as out)),
-        acc -> acc.out)"""
+    hits = f"""filter(zip_with(split({words}, {regex}, -1), regexp_extract_all({words}, {regex}, 0),
+        (gap, hit) -> struct(cast({count_words('gap')} as int) as skip, cast({count_words('hit')} as int) as len)), m -> m.len is not null)"""
+    return common.running(hits, _FOUND, "0", lambda at, m: f"{at} + {m}.skip + {m}.len", lambda a, b: f"{a} + {b}",
+                          lambda at, m: f"struct({at} + {m}.skip as start, -{m}.len as size, {fields})")
 
 
 def detect(df: DataFrame, text_col: str = "text", out: str = "license", table=None) -> DataFrame:
@@ -167,12 +167,12 @@ def detect(df: DataFrame, text_col: str = "text", out: str = "license", table=No
         for label, p in BASE) + ")"
     every = f"""array_sort(array_distinct(flatten(transform(filter({r}, x -> contains({w}, x.keyword)),
         x -> {spans_sql(w, 'x.regex', 'x.tier as tier, x.rule as rule, x.label as label')}))))"""
-    kept = f"""aggregate({every},
-        struct(array(0, 0, 0, 0) as far, cast(array() as array<struct<start:int,size:int,tier:int,rule:int,label:string>>) as out),
-        (acc, d) -> struct(
-            transform(acc.far, (e, i) -> if(i >= d.tier, greatest(e, d.start - d.size), e)) as far,
-            if(acc.far[d.tier] >= d.start - d.size, acc.out, concat(acc.out, array(d))) as out),
-        acc -> acc.out)"""
+    # for each tier the furthest end of the detections of its own or a stronger one
+    far = common.running(every, f"struct<inside:boolean,d:{_FOUND}>", "array(0, 0, 0, 0)",
+                         lambda e, d: f"transform({e}, (at, i) -> if(i >= {d}.tier, greatest(at, {d}.start - {d}.size), at))",
+                         lambda a, b: f"zip_with({a}, {b}, (x, y) -> greatest(x, y))",
+                         lambda e, d: f"struct({e}[{d}.tier] >= {d}.start - {d}.size as inside, {d} as d)")
+    kept = f"transform(filter({far}, x -> not x.inside), x -> x.d)"
     gated = df.withColumn(plain, spaced(F.col(text_col)))
     # a few plain searches decide whether a text needs any rule at all
     some = reduce(lambda x, y: x | y, [F.contains(F.col(plain), F.lit(k)) for k in gate(table)])

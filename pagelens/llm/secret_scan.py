@@ -72,12 +72,11 @@ def spans_of(text: str, regex: str, kind: int, group: int, least: int) -> str:
     """SQL: spans of all leftmost non-overlapping matches that are long
     enough. The gaps between matches place them."""
     r = _quoted(regex)
-    return f"""aggregate(
-      arrays_zip(split({text}, {r}, -1), regexp_extract_all({text}, {r}, 0), regexp_extract_all({text}, {r}, {group})),
-      struct(0 as at, cast(array() as {_SPAN}) as out),
-      (acc, m) -> if(m.`1` is null, acc, struct(acc.at + length(m.`0`) + length(m.`1`) as at,
-        if(length(m.`2`) >= {least}, concat(acc.out, array(struct(acc.at + length(m.`0`) as start, {kind} as kind, acc.at + length(m.`0`) + length(m.`1`) as end))), acc.out) as out)),
-      acc -> acc.out)"""
+    hits = f"""filter(zip_with(split({text}, {r}, -1), arrays_zip(regexp_extract_all({text}, {r}, 0), regexp_extract_all({text}, {r}, {group})),
+      (gap, hit) -> struct(length(gap) as gap, length(hit.`0`) as len, length(hit.`1`) as val)), m -> m.len is not null)"""
+    rows = common.running(hits, "struct<start:int,kind:int,end:int,val:int>", "0", lambda at, m: f"{at} + {m}.gap + {m}.len", lambda a, b: f"{a} + {b}",
+                          lambda at, m: f"struct({at} + {m}.gap as start, {kind} as kind, {at} + {m}.gap + {m}.len as end, {m}.val as val)")
+    return f"transform(filter({rows}, m -> m.val >= {least}), m -> struct(m.start as start, m.kind as kind, m.end as end))"
 
 
 #: A quick test that holds wherever a rule has a span, for rules run on all texts.
@@ -110,13 +109,18 @@ def scan(docs: DataFrame, rules=RULES, id_col="doc_id", text_col="text", out="sp
     return rows.withColumn(out, F.array_sort(F.expr("concat(" + ",\n".join(each) + ")"))).drop(t, c)
 
 
-def redacted(text: Column, spans: Column, mark: str = MARK) -> Column:
-    """The text with every span, or run of overlapping spans, replaced."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    end = F.aggregate(spans, start, lambda acc, s: F.when(
-        s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")))
-        .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text))))
+def redacted(text: str, spans: str, mark: str = MARK) -> Column:
+    """The text (a column's name) with every span, or run of overlapping spans,
+    replaced. What is kept is cut out block by block, and within the block's
+    own text, so that no cut counts code points from the start of the text."""
+    gaps = common.running(spans, "struct<from:int,to:int>", "0", lambda at, s: f"greatest({at}, {s}.end)", lambda a, b: f"greatest({a}, {b})",
+                          lambda at, s: f"struct({at} as from, {s}.start as to)")
+    kept = f"""transform(array(filter({gaps}, r_g -> r_g.to >= r_g.from)), r_gaps -> transform(array(cast(greatest(32, sqrt(size(r_gaps))) as int)), r_n -> flatten(transform(
+        sequence(0, greatest(size(r_gaps) - 1, 0) div r_n), r_i -> transform(array(slice(r_gaps, cast(r_i * r_n as int) + 1, r_n)), r_part -> transform(
+          array(substring({text}, r_part[0].from + 1, element_at(r_part, -1).to - r_part[0].from)),
+          r_here -> transform(r_part, r_g -> substring(r_here, r_g.from - r_part[0].from + 1, r_g.to - r_g.from)))[0])[0])))[0])[0]"""
+    rest = f"substring({text}, aggregate({spans}, 0, (at, s) -> greatest(at, s.end)) + 1)"
+    return F.expr(f"if(size({spans}) = 0, {text}, array_join(concat({kept}, array({rest})), {_quoted(mark)}))")
 
 
 def redact(docs: DataFrame, id_col="doc_id", text_col="text", chars_col: str | None = None) -> DataFrame:
@@ -125,7 +129,7 @@ def redact(docs: DataFrame, id_col="doc_id", text_col="text", chars_col: str | N
     name = common.fresh(docs.columns, "_spans")
     found = scan(docs, id_col=id_col, text_col=text_col, out=name)
     has = F.size(name) > 0
-    new = redacted(F.col(text_col), F.col(name))
+    new = redacted(f"`{text_col}`", f"`{name}`")
     cols = []
     for x in docs.columns:
         if x == text_col:

@@ -450,12 +450,24 @@ def test_shards_are_whole_and_even(spark):
     for r in out.itertuples():
         b = src[r.doc_id].encode()
         assert r.size == len(b) + 16 and r.text_crc32 == zlib.crc32(b)
-    largest = out["size"].max()
+    largest = out.groupby("text_crc32")["size"].sum().max()      # a group of equal texts stays whole
     sums = out.groupby("shard")["size"].sum()
     assert set(sums.index) == set(range(40)) and (sums - sums.mean()).abs().max() <= largest
     assert out.groupby("shard").slot.agg(lambda s: sorted(s) == list(range(len(s)))).all()
     groups = out.groupby("text_crc32").shard.nunique()
-    assert (groups > 1).sum() <= 3
+    assert (groups > 1).sum() == 0
+
+
+def test_only_groups_larger_than_a_shard_are_cut(spark):
+    rows = [(i, f"text {i} " + "x" * 100) for i in range(400)]
+    rows += [(1000 + i, "common " + "y" * 100) for i in range(30)] + [(2000 + i, "huge " + "z" * 100) for i in range(200)]
+    out = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 10).toPandas()
+    sums, share = out.groupby("shard")["size"].sum(), out["size"].sum() / 10
+    text = dict(rows)
+    groups = out.groupby(out.doc_id.map(lambda i: text[i][:6])).shard.nunique()
+    assert set(groups[groups > 1].index) <= {"huge z"[:6]} | {t for t in groups.index if t.startswith("text")}
+    assert groups["common"] == 1 and groups["huge z"] > 2
+    assert (sums - share).abs().max() <= 30 * 125
 
 
 def test_splitters_are_exact(spark):
