@@ -1,14 +1,18 @@
 """URL rules by a sort-merge range join, in DataFrame functions only.
 
-A host's key is its labels in reverse, each ended by a dot: ``a.example.org``
-is ``org.example.a.``. All subdomains of a rule's host then lie in one
-interval, from its key up to the key with the last dot raised by one, and the
-intervals of all rules are nested or apart. Every interval boundary carries
-the stack of rules active from there on. Distinct host keys of the pages
-(aggregated first, so a hot host is one key) and boundaries are dealt by range
-and sorted together; each host takes the last boundary before it, within its
-partition by a window, and across partitions from the last boundary of the
-partitions before. Pages then join their host's stack, and the path decides.
+The key of a host and path is the host's labels in reverse, each ended by a
+dot, then ``#`` and the path: ``a.example.org/en/1`` is
+``org.example.a.#/en/1``. A rule is one interval of keys, all that begin with
+its own; such intervals are nested or apart. A url asks once for its host and
+once for every host above it, as a rule of those fits it too. Interval ends
+and asked keys (distinct first, so that a hot host is one key) are dealt by
+range and sorted together. The sweep counts the open intervals: a rule opens
+one level, its end closes one. Its stack of active rules is, for each level
+up to the present one, the rule that opened it last; so the innermost rule at
+a key is the last one opened at the key's own level, a window within the
+partition, or, where that lies in an earlier partition, what the partitions
+before carry over at this level. The innermost rule of a host is its longest;
+the longest of all its hosts' decides a url. Rows are linear in rules and urls.
 """
 
 from __future__ import annotations
@@ -34,48 +38,58 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def key_of(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, "\\.", -1)), "."), F.lit("."))
-
-
-def boundaries(rules: DataFrame) -> DataFrame:
-    """(key, stack) where the set of active rules changes. ``rules`` has
-    verdict, host, path. A host's stack is its own rules and those of the
-    hosts it is a subdomain of, found by an equal join on its suffixes."""
-    own = (rules.where(F.col("host").isNotNull() & F.col("verdict").isNotNull())
-           .select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
-           # one verdict per host and path: block wins
-           .groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-           .groupBy("host").agg(F.collect_list(F.struct("path", "verdict")).alias("own")))
-    labels = F.split("host", "\\.", -1)
-    up = own.select("host", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels)),
-                                                     lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("up", "suffix"))
-    chain = (up.join(own.select(F.col("host").alias("suffix"), "own"), "suffix")
-             .select("host", F.col("up"), F.transform("own", lambda r: F.struct(F.col("suffix").alias("host"), r["path"].alias("path"), r["verdict"].alias("verdict"))).alias("rules"))
-             .groupBy("host").agg(F.flatten(F.collect_list("rules")).alias("stack")))
-    key = key_of(F.col("host"))
-    outer = F.filter("stack", lambda r: r["host"] != F.col("host"))
-    return chain.select(F.explode(F.array(
-        F.struct(key.alias("key"), F.col("stack").alias("stack")),
-        F.struct(F.concat(key.substr(F.lit(1), F.length(key) - 1), F.lit("/")).alias("key"), outer.alias("stack")))).alias("b")).select("b.key", "b.stack")
-
-
-def stacks(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, stack) for every distinct host: the sorted sweep."""
-    stack_type = "array<struct<host:string,path:string,verdict:string>>"
-    events = boundaries(rules).select("key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), F.col("stack").cast(stack_type).alias("stack"))
-    keys = hosts.select(key_of(F.col("host")).alias("key"), F.lit(1).alias("kind"), "host", F.lit(None).cast(stack_type).alias("stack"))
-    # written with its partition's number: dealt once, read by both steps below
-    dealt = common.written(events.unionByName(keys).repartitionByRange("key", "kind").withColumn("part", F.spark_partition_id()), "url-sweep")
-    ends = dealt.where("kind = 0").groupBy("part").agg(F.max_by("stack", "key").alias("stack"))
-    parts = dealt.groupBy("part").agg(F.count("*").alias("n")).join(ends, "part", "left")
+def key_of(host: Column, path: Column) -> Column:
+    """Neither hosts nor paths of urls hold the ``#`` between the two."""
+    return F.concat(F.array_join(F.reverse(F.split(host, "\\.", -1)), "."), F.lit(".#"), path).cast("binary")
+
+
+def plain_rules(rules: DataFrame) -> DataFrame:
+    """(host, path, verdict), one verdict for a host and path: block wins."""
+    return (rules.where(F.col("host").isNotNull() & F.col("verdict").isNotNull())
+            .select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+            .groupBy("host", "path").agg(F.max("verdict").alias("verdict")))
+
+
+def events(rules: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key, kind, step, what): two rows for a rule, one for an asked key."""
+    key = key_of(F.col("host"), F.col("path"))
+    rule = F.struct("host", "path", "verdict")
+    bounds = rules.select(F.explode(F.array(
+        F.struct(key.alias("key"), F.lit(1).alias("step"), rule.alias("what")),
+        # no text in UTF-8 holds the byte FF: all keys that begin with the rule's lie before
+        F.struct(F.concat(key, F.unhex(F.lit("FF"))).alias("key"), F.lit(-1).alias("step"), rule.alias("what")))).alias("e"))
+    asks = asked.select(key.alias("key"), F.lit(1).alias("kind"), F.lit(0).alias("step"),
+                        F.struct("host", "path", F.lit(None).cast("string").alias("verdict")).alias("what"))
+    return bounds.select("e.key", F.lit(0).alias("kind"), "e.step", "e.what").unionByName(asks)
+
+
+def sweep(rules: DataFrame, asked: DataFrame) -> DataFrame:
+    """(host, path, rule) for every asked (host, path) that lies in a rule of
+    its very host: the innermost one."""
+    # written with its partition's number: dealt once, read by all steps below
+    dealt = common.written(events(rules, asked).repartitionByRange("key", "kind").withColumn("part", F.spark_partition_id()), "url-sweep")
     # one row per partition, whatever the input
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    carried = parts.select("part", F.last("stack", ignorenulls=True).over(before).alias("carried"))
+    starts = (dealt.groupBy("part").agg(F.sum("step").alias("change"))
+              .select("part", F.coalesce(F.sum("change").over(before), F.lit(0)).alias("at")))
     here = W.partitionBy("part").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, 0)
-    swept = dealt.withColumn("seen", F.last("stack", ignorenulls=True).over(here)).where("kind = 1")
-    return (swept.join(carried, "part", "left")
-            .select("host", F.coalesce("seen", "carried").alias("stack")).where(F.size("stack") > 0))
+
+    def levelled(rows: DataFrame) -> DataFrame:
+        return rows.join(starts, "part").withColumn("level", F.col("at") + F.sum("step").over(here))
+
+    opened = (levelled(dealt.where("kind = 0")).where("step = 1").groupBy("part", "level")
+              .agg(F.max_by("what", "key").alias("rule")).withColumn("own", F.lit(1)))
+    needed = (starts.where("at > 0").select("part", F.explode(F.sequence(F.lit(1), F.col("at"))).alias("level"))
+              .withColumns({"rule": F.lit(None).cast(opened.schema["rule"].dataType), "own": F.lit(0)}))
+    # the last rule opened at this level in an earlier partition
+    earlier = W.partitionBy("level").orderBy("part", "own").rowsBetween(W.unboundedPreceding, 0)
+    carried = (needed.unionByName(opened).withColumn("carried", F.last("rule", ignorenulls=True).over(earlier))
+               .where("own = 0").select("part", "level", "carried"))
+    level = W.partitionBy("part", "level").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, 0)
+    seen = (levelled(dealt).withColumn("seen", F.last(F.when(F.col("step") == 1, F.col("what")), ignorenulls=True).over(level))
+            .where("kind = 1 AND level > 0"))
+    return (seen.join(carried, ["part", "level"], "left")
+            .select("what.host", "what.path", F.coalesce("seen", "carried").alias("rule")))
 
 
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
@@ -89,17 +103,24 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame
     names = {}
     for wish in ("host", "path", "rule", "verdict"):
         names[wish] = common.fresh(pages.columns + list(names.values()), wish)
+    rules = common.written(plain_rules(rules), "url-rules")
+    # no rule reads a path further than this
+    longest = rules.agg(F.max(F.length("path"))).first()[0] or 0
     url = F.col(url_col)
     read = pages.withColumns({names["host"]: host_of(url), names["path"]: path_of(url)})
-    found = stacks(read.select(F.col(names["host"]).alias("host")).distinct(), rules)
-    h, s, b = (common.fresh(read.columns, x) for x in ("_host", "_stack", "_best"))
-    joined = read.join(found.select(F.col("host").alias(h), F.col("stack").alias(s)), F.col(names["host"]) == F.col(h), "left")
-    fits = F.transform(F.filter(s, lambda r: F.startswith(F.col(names["path"]), r["path"])),
-                       lambda r: F.struct((F.length(r["host"]) + F.length(r["path"])).alias("size"), F.length(r["host"]).alias("hosts"),
-                                          r["verdict"].alias("verdict"), F.concat(r["host"], r["path"]).alias("rule")))
-    best = joined.withColumn(b, F.array_max(fits))
+    host, path, best = (common.fresh(read.columns, x) for x in ("_host", "_path", "_best"))
+    read = read.withColumn(path, F.substring(F.col(names["path"]), 1, longest))
+    urls = common.written(read.select(F.col(names["host"]).alias(host), path).distinct(), "url-keys")
+    labels = F.split(host, "\\.", -1)
+    above = urls.select(host, F.col(path).alias("path"), F.explode(F.transform(
+        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("host"))
+    found = (above.join(sweep(rules, above.select("host", "path").distinct()), ["host", "path"])
+             .groupBy(F.col(host), F.col("path").alias(path))
+             .agg(F.max(F.struct((F.length("rule.host") + F.length("rule.path")).alias("size"), F.length("rule.host").alias("hosts"),
+                                 F.col("rule.verdict").alias("verdict"), F.concat("rule.host", "rule.path").alias("rule"))).alias(best)))
+    joined = read.withColumn(host, F.col(names["host"])).join(found, [host, path], "left")
     default = F.when(F.col(names["host"]) == "", "block").otherwise("allow")
-    return (best.withColumns({names["rule"]: F.col(b)["rule"], names["verdict"]: F.coalesce(F.col(b)["verdict"], default)})
+    return (joined.withColumns({names["rule"]: F.col(best)["rule"], names["verdict"]: F.coalesce(F.col(best)["verdict"], default)})
             .select(*pages.columns, *names.values()))
 
 
