@@ -21,7 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagelens.llm import common
+from pagelens.llm import common, license_bodies
 from pagelens.llm.secret_rules import MAX_SET, _exact as exact_strings
 
 # License names as word sequences, the SPDX form, and the label.
@@ -64,7 +64,7 @@ NOTICES = [
     ("as-is", 3, "<provided>", "<provided><as><is>"),
 ]
 BASE = [("mit", "<mit><license>"), ("apache", "<apache><license>"), ("gpl", "<general><public><license>")]
-#: Weight of evidence by tier: an identifier, a grant, a name, a notice.
+#: Weight of evidence by tier: an identifier, a grant or body, a name or shared sentence, a notice.
 CONFIDENCE = (0.95, 0.9, 0.6, 0.3)
 VERSION = "(?:<(?:version|v)>)?(?:<v?[0-9]+>(?:<[0-9]+>)?)?"
 SCHEMA = "array<struct<tier:int,label:string,keyword:string,regex:string>>"
@@ -75,7 +75,8 @@ def _words(phrase: str) -> str:
 
 
 def rules() -> list[dict]:
-    """About 290 signatures in order: identifiers, grants, names, notices."""
+    """About 390 signatures in order: by license its identifier, grants and
+    name, then sentences of license bodies, then notices."""
     out = []
 
     def rule(tier, label, keyword, regex):
@@ -90,6 +91,8 @@ def rules() -> list[dict]:
         rule(2, label, full, body + VERSION)
         if len(spdx.split()) > 1:
             rule(1, label, ident, "<licen[sc]ed><under>(?:<the>)?" + ident)
+    for body_rule in license_bodies.rules():
+        rule(*body_rule)
     for label, tier, keyword, regex in NOTICES:
         rule(tier, label, keyword, regex)
     return out
