@@ -140,3 +140,40 @@ def test_ancestors_by_interval(spark):
     nodes = N.to_nodes(spark.createDataFrame([(1, "<div><p>a</p></div><p>b</p><div><div><b><p>c</p></b></div></div><p>d</p>")], "page_id long, html string")).cache()
     for selector, want in [("div", 3), ("div p", 2), ("div > p", 1), ("div div p", 1), ("section > div > p", 0)]:
         assert dom.select(nodes, selector).count() == want, selector
+
+
+def test_no_node_table_is_broadcast(spark, tmp_path):
+    """Parquet packs a million nodes into a few MB: such a table must not pass through the driver."""
+    for html in ("<p>x</p>" * 200, "<p>x" * 200):                     # nested, and by the rules
+        pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit(html).alias("html"))
+        seen = []
+        tags = N.to_tags(pages)
+        tags.write.parquet(str(tmp_path / f"{len(html)}"))
+        tags = spark.read.schema(tags.schema).parquet(str(tmp_path / f"{len(html)}"))
+        nodes = N.build_tree(tags, lambda t: seen.append(t._jdf.queryExecution().executedPlan().toString()) or t)
+        for plan in [*seen, nodes._jdf.queryExecution().executedPlan().toString()]:
+            assert "Broadcast" not in plan
+        assert nodes.filter("kind = 'el'").count() == 300 * 200 and len(seen) == (1 if "</p>" not in html else 0)
+
+
+def test_the_splitter_knows_nested_pages(spark):
+    htmls = [h for h, _ in CASES] + ["<p></p></p><p>", "<a><b></a></b>", "</b><b>", "<i><br><u>x</u></i>y", "<p><p></p></p>", "<script>x"]
+    df = spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string")
+    by_sql = {r[0] for r in spark.sql(N.nested_sql("{t}"), t=N.to_tags(df)).filter("NOT broken").select("page_id").distinct().collect()}
+    assert by_sql == {i for i, h in enumerate(htmls) if N.pair_by_depth(N.page_tags(h))}
+    # end tags are left out of nested pages only
+    left = {r[0] for r in N.to_tags(df, ends=False).filter("kind = 'close'").select("page_id").distinct().collect()}
+    assert left == {i for i, h in enumerate(htmls) if i not in by_sql and "</" in h}
+
+
+def test_html_nodes_of_a_table_carries_no_html(spark):
+    """The LATERAL join meets the nodes by digest, whatever the html's length; equal htmls are built once."""
+    htmls = [CASES[1][0], CASES[2][0], CASES[1][0], None, "", "<p><b>y</b></p>"]
+    pages = spark.createDataFrame([*enumerate(htmls), (0, htmls[0])], "page_id long, html string")
+    N.register_sql(spark, pages)
+    found = spark.sql("SELECT p.page_id, n.tag, count(*) AS n FROM {p} p, LATERAL html_nodes(p.html) n WHERE n.kind = 'el' GROUP BY ALL", p=pages)
+    N.register_sql(spark)
+    whole = spark.sql("SELECT p.page_id, n.tag, count(*) AS n FROM {p} p, LATERAL html_nodes(p.html) n WHERE n.kind = 'el' GROUP BY ALL", p=pages)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect())) and found.count() == 15
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "<=>" not in plan and "html_tags" not in plan
