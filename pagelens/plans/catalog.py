@@ -956,10 +956,11 @@ SELECT page_id, lower(tag) AS tag, count(*) AS n FROM t GROUP BY ALL""")
 def q_page_tag_counts(spark, sf):
     """LATERAL html_nodes(html): how often each tag stands on each page."""
     from pagelens.operators.nodes import register_sql
-    register_sql(spark)
+    pages = read_table(spark, sf, "pages").select("page_id", "html")
+    register_sql(spark, pages)
     return spark.sql("""
         SELECT p.page_id, n.tag, count(*) AS n FROM {pages} p, LATERAL html_nodes(p.html) n WHERE n.kind = 'el' GROUP BY p.page_id, n.tag""",
-                     pages=read_table(spark, sf, "pages").select("page_id", "html"))
+                     pages=pages)
 
 
 # G11 quantiles, H2 on the command line, A2 bytes ---------------------------------------------

@@ -151,6 +151,7 @@ def test_no_node_table_is_broadcast(spark, tmp_path):
         tags.write.parquet(str(tmp_path / f"{len(html)}"))
         tags = spark.read.schema(tags.schema).parquet(str(tmp_path / f"{len(html)}"))
         nodes = N.build_tree(tags, lambda t: seen.append(t._jdf.queryExecution().executedPlan().toString()) or t)
+        seen = seen[1:]          # the first is the list of ids that repeat
         for plan in [*seen, nodes._jdf.queryExecution().executedPlan().toString()]:
             assert "Broadcast" not in plan
         assert nodes.filter("kind = 'el'").count() == 300 * 200 and len(seen) == (1 if "</p>" not in html else 0)
@@ -177,3 +178,15 @@ def test_html_nodes_of_a_table_carries_no_html(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect())) and found.count() == 15
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "<=>" not in plan and "html_tags" not in plan
+
+
+def test_repeated_and_missing_page_ids(spark):
+    """Pages of one id are one page, as the windows see it; pages without an id are dropped."""
+    html = "<div><p>a<b>c</b></p><br></div>"
+    pages = spark.createDataFrame([(1, html), (1, html), (2, html), (None, html)], "page_id long, html string")
+    rows = N.node_table(pages, "repeated").collect()
+    tokens = N.to_tags(pages.filter("page_id = 1"))
+    want = {(r["node_id"], r["parent_id"], r["open_pos"], r["close_pos"]) for r in spark.sql(N.nested_sql("{t}"), t=tokens).collect()}
+    of = lambda i: [(r["node_id"], r["parent_id"], r["open_pos"], r["close_pos"]) for r in rows if r["page_id"] == i]
+    assert set(of(1)) == want and len(of(1)) == 2 * len(want) and len(of(2)) == len(want) and not of(None)
+    assert {(a, c, d) for a, _, c, d in of(2)} == {(a, c, d) for a, _, c, d in want}
