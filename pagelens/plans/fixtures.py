@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import JS_WS_CLASS, js_collapse_ws
+from pagelens.session import ensure_parallel
 
 ROWS_PER_PAGE = 10
 
@@ -355,9 +356,9 @@ def webrtc_pages(documents: DataFrame) -> DataFrame:
     ipbox = F.when(i % 5 != 0, F.concat(F.lit('<div class="ip-box">Your IP: 203.0.113.'), i % 250,
                                          F.lit("</div>"))).otherwise(F.lit(""))
     html = F.concat(F.lit("<html><body><h1>WebRTC Leak Test</h1>"), support, ice, ipbox, F.lit("</body></html>"))
-    return spread(documents.select(i.alias("page_id"),
-                                   F.concat(F.lit("https://probe.example.org/webrtc?d="), i).alias("url"),
-                                   html.alias("html")))
+    # a page per row: only a small table is dealt out, and before its rows become html
+    return ensure_parallel(documents, "doc_id").select(
+        i.alias("page_id"), F.concat(F.lit("https://probe.example.org/webrtc?d="), i).alias("url"), html.alias("html"))
 
 
 WEBRTC_SQL = r"""
@@ -453,7 +454,8 @@ def content_pages(documents: DataFrame) -> DataFrame:
     href = F.element_at(F.array(*[_filled(h, i=i) for h in _HREFS]), (F.col("doc_id") % 8 + 1).cast("int"))
     text = html_escape(js_collapse_ws(F.col("text")))
     html = _filled(_HEAD + _ARTICLE, i=i, lang=F.col("lang"), t=text, href=href)
-    return spread(documents.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://c.example.org/d/e/"), i, F.lit(".html")).alias("url"), html.alias("html")))
+    # as in webrtc_pages
+    return ensure_parallel(documents, "doc_id").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://c.example.org/d/e/"), i, F.lit(".html")).alias("url"), html.alias("html"))
 
 
 _HREF_SQL = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN {_filled_sql(h, i='doc_id')}" for k, h in enumerate(_RESOLVED)) + " END"
