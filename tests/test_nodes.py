@@ -190,3 +190,47 @@ def test_repeated_and_missing_page_ids(spark):
     of = lambda i: [(r["node_id"], r["parent_id"], r["open_pos"], r["close_pos"]) for r in rows if r["page_id"] == i]
     assert set(of(1)) == want and len(of(1)) == 2 * len(want) and len(of(2)) == len(want) and not of(None)
     assert {(a, c, d) for a, _, c, d in of(2)} == {(a, c, d) for a, _, c, d in want}
+
+
+LEFT_OUT = [                                                           # only end tags that rule 4 supplies are missing
+    "<ul><li>one<ul><li>two</ul><li>three</ul>", "<table><tr><th>k<th>v<tr><td>1<td>2</table>", "<div><p><b>x<br><p>y</div>z",
+    "<p>a<div>b</div>c<hr><i>d", "<dl><dt>a<dd><i>b<dd>c</dl>", "<div><a>u<b>v<a>w</div>", "<table><tr><td>A<table><tr><td>B</table>t</table>",
+    "<ul><li>a<ul><li>x</li></ul>t<li>y</li></ul>", "<select><option>a<option>b</select>"]
+NOT_BY_RANK = ["<p>x<p>y", "<div><p>x", "<b><i>x</b>y</i>", "</b><p>x<i>y</p>", "<ul><li>x</ul></ul>", "<table><tr><td>x"]
+
+
+def test_pages_that_lack_end_tags_need_no_windows(spark):
+    """Content pages leave out the ends of items, cells and paragraphs: the splitter places their nodes as the windows do."""
+    assert all(N.pair_by_rank(N.page_tags(h)) for h in LEFT_OUT) and not any(N.pair_by_rank(N.page_tags(h)) for h in NOT_BY_RANK)
+    df = spark.createDataFrame(list(enumerate(LEFT_OUT)), "page_id long, html string")
+    tags = N.to_tags(df)
+    spot = ["page_id", "node_id", "parent_id", "open_pos", "close_pos", "kind", "tag"]
+    want = spark.sql(N.structure_sql("{t}"), t=tags).select(*spot).collect()
+    cuts = []
+    nodes = N.build_tree(tags, lambda t: cuts.append(1) or t)
+    assert len(cuts) == 1 and "Window" not in nodes._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, nodes.select(*spot).collect())) == sorted(map(tuple, want))
+
+
+@given(st.lists(st.sampled_from("<p> </p> <li> </li> <ul> </ul> <td> </td> <tr> <table> </table> <b> </b> <a> </a> <div> </div> <br> <hr> <dd> </dd> x".split()), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_a_stack_pairs_only_what_nests(parts):
+    rows = N.page_tags("".join(parts))
+    found = N.pair_by_depth(rows) or N.pair_by_rank(rows)
+    if found:
+        around, stops = found
+        for seq, kind, *_ in rows[1:]:
+            assert kind == "close" or (around[seq] < seq and (around[seq] == 0 or stops[around[seq]] > seq))
+        assert all((stops[seq] is not None) == (kind in ("open", "doc")) for seq, kind, *_ in rows)
+
+
+def test_page_work_is_dealt_out_by_rows(spark, monkeypatch):
+    """A task's share of the nodes stays the same as the table grows, whatever its bytes."""
+    monkeypatch.setattr(N, "NODES_PER_TASK", 1000)
+    parts = []
+    for pages in (50, 500):
+        nodes = N.node_table(spark.range(pages).select(F.col("id").alias("page_id"), F.lit("<div>x</div>" * 50).alias("html")), "dealt")
+        by_page = nodes.groupBy("page_id").count()
+        assert by_page.count() == pages and by_page.first()["count"] == 101
+        parts.append(nodes.rdd.getNumPartitions())
+    assert parts[1] == 500 * 101 // 1000 and parts[0] < parts[1]
