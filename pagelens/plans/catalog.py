@@ -536,9 +536,9 @@ from pagelens.operators import probes as PB  # noqa: E402
 from pagelens.operators.nodes import node_table as _node_table  # noqa: E402
 
 
-def _to_nodes(pages):
+def _to_nodes(pages, deal=True):
     """Probe pages -> node table written once (several branches read it)."""
-    return _node_table(pages.select("page_id", "html"), "probe_nodes")
+    return _node_table(pages.select("page_id", "html"), "probe_nodes", deal=deal)
 
 
 @register("bot_tests", FX.BOT_TESTS_SQL)
@@ -585,7 +585,7 @@ def q_ip_report(spark, sf):
 
 @register("tls_fingerprints", FX.TLS_SQL)
 def q_tls_fingerprints(spark, sf):
-    nodes = _to_nodes(FX.tls_pages(read_table(spark, sf, "events")))
+    nodes = _to_nodes(FX.tls_pages(read_table(spark, sf, "events")), deal=False)
     return PB.tls_fields(nodes)
 
 

@@ -68,3 +68,16 @@ def sibling_nodes(spark):
     html = ('<div><h2>a</h2>text<p id=p1>1</p><p id=p2>2</p></div><div><p id=p3><b id=b1>3</b></p><h2>b</h2><p id=p4>4</p></div>'
             '<ul><li id=l1>1<li id=l2 class=x>2<li id=l3>3<li id=l4>4</ul>')
     return to_nodes(spark.createDataFrame([(1, html), (2, html)], "page_id long, html string")).cache()
+
+
+def test_text_within_in_one_pass(spark):
+    """``with_text`` also tells what lies in an element, and needs one window of its own order for all of it."""
+    html = "<h2><a>in<b> bold</b><script>s</script></a></h2><a>out</a>loose<h2>x<div><a>deep</a></div></h2><a></a>"
+    nodes = to_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    rows = nodes.select("page_id", "node_id", "open_pos", "close_pos", "kind", "tag", "text")
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    done = dom.with_text(rows, F.col("tag") == "a", in_head=F.col("tag") == "h2")
+    got = [(r["content"], r["content_noscript"], r["in_head"]) for r in done.filter("tag = 'a'").orderBy("open_pos").collect()]
+    assert got == [("in bolds", "in bold", True), ("out", "out", False), ("deep", "deep", True), ("", "", False)]
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2
