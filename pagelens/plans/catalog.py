@@ -742,8 +742,9 @@ def q_stream_history_latest(spark, sf):
     """L2: history entries arrive as files, a few at a time."""
     at = _stream_folder(spark, "history")
     h = _history_entries(spark, sf)
-    h.repartition(3, "id").write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(h.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    files = spark.sparkContext.defaultParallelism     # of a batch: a task each
+    h.repartition(3 * files, "id").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(h.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in")
     SJ.stream_history(stream, f"{at}/table", f"{at}/checkpoint").awaitTermination()
     return SJ.read_history(spark, f"{at}/table", h.schema)
 

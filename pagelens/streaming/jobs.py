@@ -6,7 +6,7 @@
   replayed batch after a failure rewrites the same files (exactly-once
   output with the checkpoint).
 * L2 ``stream_history``: latest row per (url, mode) in keyed state
-  (``transformWithStateInPandas``: a list of entries per key, timers that
+  (``transformWithState``: a list of entries per key, timers that
   expire it); only keys that change reach the table of the newest ``keep``.
 * L3 ``stream_dedupe``: cross-batch URL dedupe with late data via
   ``withWatermark`` + ``dropDuplicatesWithinWatermark``; ``dropped_rows`` lists
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import contextlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -81,17 +81,18 @@ class LatestEntries(StatefulProcessor):
         self.entries = handle.getListState("entries", ENTRY)
 
     def _order(self, entry):
-        return entry[0], int(entry[1]) if self.numbers and entry[1] is not None else entry[1] or ""
+        # as in SQL: no time and no id come before all others
+        ts, own = entry[0], entry[1]
+        return ts is not None, ts or 0, own is not None, (int(own) if self.numbers else own) if own is not None else ""
 
     def _change(self, key, entry, expired):
-        import pandas as pd
-        return pd.DataFrame([(key[0], key[1], *entry, expired)], columns=["url", "mode", "ts", "id", "row", "expired"])
+        return Row(url=key[0], mode=key[1], ts=entry[0], id=entry[1], row=entry[2], expired=expired)
 
     def handleInputRows(self, key, rows, timerValues):
-        held = [tuple(e) for e in self.entries.get()] if self.entries.exists() else []
+        # each call of the state is a message to the JVM: one to read, one to write
+        held = list(self.entries.get())
         found = set(held)
-        for part in rows:
-            found.update(zip(part["at"].tolist(), part["entry_id"].tolist(), part["entry"].tolist()))
+        found.update((r["at"], r["entry_id"], r["entry"]) for r in rows)
         newest = sorted(found, key=self._order, reverse=True)[:self.versions]
         if newest == held:
             return
@@ -99,12 +100,13 @@ class LatestEntries(StatefulProcessor):
         if self.expire_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(newest[0][0] // 1000 + self.expire_ms)
+            if newest[0][0] is not None:
+                self.handle.registerTimer(newest[0][0] // 1000 + self.expire_ms)
         if not held or newest[0] != held[0]:
             yield self._change(key, newest[0], False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        held = [tuple(e) for e in self.entries.get()] if self.entries.exists() else []
+        held = list(self.entries.get())
         self.entries.clear()
         if held:
             yield self._change(key, held[0], True)
@@ -139,7 +141,7 @@ def latest_changes(entries: DataFrame, versions: int = 1, expire: str | None = N
         expire_ms = int(entries.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {expire}) AS ms").first()["ms"])
     rows = entries.select("url", "mode", *(["ts"] if expire else []), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
                           F.col("id").cast("string").alias("entry_id"), F.to_json(F.struct(*entries.columns), EXACT).alias("entry"))
-    return rows.groupBy("url", "mode").transformWithStateInPandas(
+    return rows.groupBy("url", "mode").transformWithState(
         LatestEntries(versions, expire_ms, whole), CHANGE, "Update", "EventTime" if expire else "None")
 
 
@@ -155,12 +157,18 @@ def stream_history(entries_stream: DataFrame, table_path: str, checkpoint: str,
     def run(batch: DataFrame, batch_id: int):
         # a replayed batch starts from the version before its own
         cur = read_history(spark, table_path, schema, before=batch_id)
+        # the state's step runs once for a batch: only with expire are its changes read twice
+        batch = batch.persist() if expire else batch
         new = batch.filter("NOT expired").select(F.from_json("row", schema, EXACT).alias("r")).select("r.*")
-        gone = batch.filter("expired").select("url", "mode", F.col("ts").alias("_at"))
         merged = RP.upsert_history(cur.unionByName(new), keep)
-        same = (merged["url"].eqNullSafe(gone["url"]) & merged["mode"].eqNullSafe(gone["mode"])
-                & (F.unix_micros(merged["ts"].cast("timestamp")) == gone["_at"]))
-        merged.join(gone, same, "left_anti").write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/v={batch_id}")
+        if expire:
+            gone = batch.filter("expired").select("url", "mode", F.col("ts").alias("_at"))
+            same = (merged["url"].eqNullSafe(gone["url"]) & merged["mode"].eqNullSafe(gone["mode"])
+                    & (F.unix_micros(merged["ts"].cast("timestamp")) == gone["_at"]))
+            merged = merged.join(gone, same, "left_anti")
+        merged.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/v={batch_id}")
+        if expire:
+            batch.unpersist()
         _forget_versions(spark, table_path, batch_id - 1)
 
     with _rocksdb(spark):
