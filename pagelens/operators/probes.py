@@ -15,7 +15,7 @@ from pagelens.functions.text import col_
 from pagelens.operators import dom
 
 # Python's str.strip() whitespace set (str.isspace).
-PY_WS_CLASS = r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+PY_WS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 IPV4_RE = r"(?<![0-9A-Za-z_])(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![0-9A-Za-z_])"
 # The address prefixes the probe treats as private.
 REFERENCE_PRIVATE_PREFIXES = ["10.", "192.168.", "172.16.", "172.17.", "172.18.", "172.19.", "172.2", "172.3"]
@@ -24,7 +24,7 @@ VALUE_CHARS = 80
 
 
 def py_strip(c) -> Column:
-    return F.regexp_replace(col_(c), rf"^[{PY_WS_CLASS}]+|[{PY_WS_CLASS}]+$", "")
+    return F.btrim(col_(c), F.lit(PY_WS))
 
 
 # ---------------------------------------------------------------------------
@@ -145,24 +145,20 @@ _HDR = "array<struct<key:string,name:string,value:string>>"
 
 def tls_fields(nodes: DataFrame) -> DataFrame:
     """JSON from the page body text, else the first <pre>, else an
-    error row; then the flattened fingerprint fields."""
-    doc = nodes.filter(F.col("kind") == "doc").select("page_id")
-    body = doc.join(dom.page_text(nodes), "page_id", "left").select(
-        "page_id", py_strip(F.coalesce("text", F.lit(""))).alias("body"))
-    pre = dom.select(nodes, "pre").groupBy("page_id").agg(F.min(F.struct("open_pos", "close_pos", F.col("node_id").alias("tid"))).alias("p")).select("page_id", "p.*")
-    pre_t = dom.subtree_text(nodes, pre).select("page_id", py_strip("text").alias("pre"))
-    j = body.join(pre_t, "page_id", "left")
-    v = F.coalesce(F.try_parse_json("body"), F.try_parse_json("pre"))
-    j = j.select("page_id", v.alias("v"))
+    error row; then the flattened fingerprint fields. Both texts of a page come
+    out of one aggregate: one shuffle, no join."""
+    j = dom.page_texts(nodes, "pre").select("page_id", py_strip("text").alias("body"), py_strip("first_text").alias("pre"))
+    j = j.select("page_id", F.coalesce(F.try_parse_json("body"), F.try_parse_json("pre")).alias("v"))
 
     def s(path):
         x = F.try_variant_get("v", path, "string")
         return F.when(x != "", x)
-    h1 = F.try_variant_get("v", "$.http_1.headers", _HDR)
-    h2 = F.try_variant_get("v", "$.http_2.sent_headers", _HDR)
-    headers = F.when(F.coalesce(F.size(h1), F.lit(0)) > 0, h1).otherwise(h2)
-    ua = F.try_element_at(F.filter(headers, lambda h: F.lower(F.coalesce(h["key"], h["name"], F.lit("")))
-                                   == "user-agent"), F.lit(1))["value"]
+    # each in a step of its own: the array of headers is read out once
+    j = j.withColumn("h1", F.try_variant_get("v", "$.http_1.headers", _HDR))
+    headers = F.when(F.coalesce(F.size("h1"), F.lit(0)) > 0, F.col("h1")).otherwise(F.try_variant_get("v", "$.http_2.sent_headers", _HDR))
+    j = j.withColumn("ua", F.try_element_at(F.filter(headers, lambda h: F.lower(F.coalesce(h["key"], h["name"], F.lit("")))
+                                                     == "user-agent"), F.lit(1))["value"])
+    ua = F.col("ua")
     out = j.select(
         "page_id",
         F.when(F.col("v").isNull(), F.lit("Could not parse TLS data as JSON")).alias("error"),

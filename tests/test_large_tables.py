@@ -4,9 +4,15 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from pagelens.operators import dom, probes as PB
+from pagelens.operators.nodes import node_table
 from pagelens.streaming import jobs as SJ
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_history_state_runs_once_a_batch(spark):
     root = tempfile.mkdtemp(prefix="pagelens-stream-")
     rows = [[(1, "a", "2024-01-01 00:00:00"), (2, "b", "2024-01-02 00:00:00")], [(3, "b", None), (4, "a", "2024-01-03 00:00:00"), (None, "c", "2024-01-03 00:00:00")]]
@@ -19,3 +25,17 @@ def test_history_state_runs_once_a_batch(spark):
     assert sum(p["numInputRows"] for p in q.recentProgress) == 5
     got = SJ.read_history(spark, os.path.join(root, "table"), make(rows[0]).schema)
     assert sorted((r["url"], r["id"] or 0) for r in got.collect()) == [("a", 4), ("b", 2), ("c", 0)]
+
+
+def test_tls_fields_in_one_shuffle(spark):
+    ip = '{"ip":"10.0.0.1"}'
+    pages = [(1, f"<body> {ip}\x1c\n</body>"), (2, f"<body>x<pre> {ip}</pre><pre>{{}}</pre></body>"), (3, f"<body>x<pre> </pre><pre>{ip}</pre></body>"),
+             (4, f'<body>x<pre>{{"ip":<b>"10.0.0.2"</b>}}</pre></body>'), (5, ""), (6, None), (7, f"<p>x<pre><pre>{ip}</pre></pre>")]
+    nodes = node_table(spark.createDataFrame(pages, "page_id long, html string"), "tls-test", deal=False)
+    out = PB.tls_fields(nodes)
+    got = {r["page_id"]: (r["ip"], r["error"] is None) for r in out.collect()}
+    assert got == {1: ("10.0.0.1", True), 2: ("10.0.0.1", True), 3: (None, False), 4: ("10.0.0.2", True), 5: (None, False), 6: (None, False), 7: ("10.0.0.1", True)}
+    assert "Join" not in _plan(out) and "Window" not in _plan(out)
+    # the one aggregate says what the helpers say
+    want = {r["page_id"]: r["text"] for r in dom.page_text(nodes).collect()}
+    assert {r["page_id"]: r["text"] for r in dom.page_texts(nodes, "pre").collect() if r["text"]} == want
