@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from pagelens.operators import dom, probes as PB
+from pagelens.operators import content as CT, dom, probes as PB, process as PS
 from pagelens.operators.nodes import node_table
 from pagelens.streaming import jobs as SJ
 
@@ -39,3 +39,13 @@ def test_tls_fields_in_one_shuffle(spark):
     # the one aggregate says what the helpers say
     want = {r["page_id"]: r["text"] for r in dom.page_text(nodes).collect()}
     assert {r["page_id"]: r["text"] for r in dom.page_texts(nodes, "pre").collect() if r["text"]} == want
+
+
+def test_content_is_marked_once(spark):
+    pages = spark.createDataFrame([(1, "https://e.org/1", "<body><p>two words<ul><li>three <b>four</b></ul><p> </body>"), (2, "https://e.org/2", None)], "page_id long, url string, html string")
+    nodes = PS.content_nodes_table(pages)
+    for fmt, render in (("markdown", "markdown"), ("html", "html"), ("json", "html")):
+        out = PS.process(pages, fmt, nodes=nodes)
+        assert [(r["page_id"], r["word_count"]) for r in out.orderBy("page_id").collect()] == [(1, 4), (2, 0)]
+        windows = lambda df: _plan(df).count("Window [")
+        assert windows(out) <= windows(CT.render(pages, nodes, render)) + windows(CT.metadata(pages, nodes))
