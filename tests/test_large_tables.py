@@ -4,6 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from pagelens.functions.text import js_trim, word_count
 from pagelens.operators import content as CT, dom, probes as PB, process as PS
 from pagelens.operators.nodes import node_table
 from pagelens.streaming import jobs as SJ
@@ -36,6 +37,10 @@ def test_tls_fields_in_one_shuffle(spark):
     got = {r["page_id"]: (r["ip"], r["error"] is None) for r in out.collect()}
     assert got == {1: ("10.0.0.1", True), 2: ("10.0.0.1", True), 3: (None, False), 4: ("10.0.0.2", True), 5: (None, False), 6: (None, False), 7: ("10.0.0.1", True)}
     assert "Join" not in _plan(out) and "Window" not in _plan(out)
+    # repeated ids: a row for each document row
+    again = node_table(spark.createDataFrame([pages[0], pages[0], pages[4]], "page_id long, html string"), "tls-twice", deal=False)
+    docs = sorted(r["page_id"] for r in again.filter("kind = 'doc'").collect())
+    assert sorted(r["page_id"] for r in PB.tls_fields(again).collect()) == docs and docs.count(1) == 2
     # the one aggregate says what the helpers say
     want = {r["page_id"]: r["text"] for r in dom.page_text(nodes).collect()}
     assert {r["page_id"]: r["text"] for r in dom.page_texts(nodes, "pre").collect() if r["text"]} == want
@@ -48,4 +53,18 @@ def test_content_is_marked_once(spark):
         out = PS.process(pages, fmt, nodes=nodes)
         assert [(r["page_id"], r["word_count"]) for r in out.orderBy("page_id").collect()] == [(1, 4), (2, 0)]
         windows = lambda df: _plan(df).count("Window [")
-        assert windows(out) <= windows(CT.render(pages, nodes, render)) + windows(CT.metadata(pages, nodes))
+        assert windows(out) <= windows(CT.render(pages, nodes, render)) + windows(CT.metadata(pages, nodes)) + 1
+    # a page that stands twice in the page table: its words count once
+    twice = pages.unionByName(pages.filter("page_id = 1"))
+    assert {(r["page_id"], r["word_count"]) for r in PS.process(twice, nodes=nodes).collect()} == {(1, 4), (2, 0)}
+
+
+def test_texts_are_trimmed_and_counted(spark):
+    d = spark.createDataFrame([("\ufeff a  b\u3000", "a  b", 2), ("a \x85", "a \x85", 2), ("\u2028", "", 0), ("", "", 0), (None, None, None)], "s string, t string, n int")
+    for r in d.select("*", js_trim("s").alias("trimmed"), word_count("s").alias("words"), PB.py_strip("s").alias("py")).collect():
+        assert (r["trimmed"], r["words"]) == (r["t"], r["n"]) and (r["s"] is None or r["py"] == r["s"].strip())
+    # no regular expression over whole texts, no comparison by a lambda
+    assert "regexp_replace" not in _plan(d.select(js_trim("s"))) and "lambda" not in _plan(d.select(word_count("s")))
+    nodes = node_table(spark.createDataFrame([(1, "<table><tr><td>x<td class=passed>y</table>")], "page_id long, html string"), "rows-test")
+    assert "array_sort(" not in _plan(dom.table_rows(nodes))
+    assert [(r["name"], r["status"], r["value"]) for r in PB.test_rows(nodes).collect()] == [("x", "passed", "y")]
