@@ -1,12 +1,15 @@
 """Steps whose work has to stay small on large tables."""
 import os
+import random
 import tempfile
 
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import js_trim, word_count
 from pagelens.operators import content as CT, dom, probes as PB, process as PS
+from pagelens.operators import nodes as N, profiles as PR
 from pagelens.operators.nodes import node_table
+from pagelens.plans import fixtures as FX
 from pagelens.streaming import jobs as SJ
 
 
@@ -68,3 +71,71 @@ def test_texts_are_trimmed_and_counted(spark):
     nodes = node_table(spark.createDataFrame([(1, "<table><tr><td>x<td class=passed>y</table>")], "page_id long, html string"), "rows-test")
     assert "array_sort(" not in _plan(dom.table_rows(nodes))
     assert [(r["name"], r["status"], r["value"]) for r in PB.test_rows(nodes).collect()] == [("x", "passed", "y")]
+
+
+def _card(inner, title="<h2 class='x list-item__title'><a href=/d/1>T1 x</a></h2>"):
+    return f"<li class='list-item__container y'>{title}{inner}</li>"
+
+
+CARD_PAGES = [
+    "<ul>" + _card("<dl><dt>Emissor<dd> A &amp; B </dl><dl><dt>setor</dt><dd>-</dd></dl><dl><dd>no label</dl>") + _card("", "<h2 class=list-item__title><a>none</a></h2>") + "</ul>",
+    # the last of a label's lists wins; lists in lists, texts in cells and a script
+    "<ul>" + _card("<dl><dt>pu <b>par</b></dt><dd>1</dd></dl><dl><dt>x<dd><dl><dt>PU PAR</dt><dd>2<script>3</script></dd></dl></dl>") + "</ul>",
+    # cards in cards, the link outside a heading, two links, a heading around the cards
+    "<ul>" + _card("<ul>" + _card("<dl><dt>duration</dt><dd>5</dd></dl>", "<a href=/no>N</a><h2 class=list-item__title></h2>") + "</ul>") + "</ul>",
+    "<h2 class=list-item__title><a href=/o>O</a><ul>" + _card("", "<a href=/in>In</a>") + _card("", "") + "</ul></h2>" + _card("", "<a href=/out>Out</a>"),
+    "<ul>" + _card("", "<h2 class=list-item__title><h2 class=list-item__title><i>i</i></h2><a href=/1>\ufeff K1\xa0z</a><a href=/2>2</a></h2>") + "</ul>",
+    # broken: nothing ends, pairs cross, end tags without a start
+    "<div></p><ul><li class=list-item__container><h2 class=list-item__title><a href=/b>B 1<dl><dt>Emissor<dd>e<li class=list-item__container><h2 class=list-item__title><a href=/c>C",
+    "<ul><li class=list-item__container><h2 class=list-item__title><b><a href=/q>Q</b></a></h2></dl><dl><dt>Emissor</dt><dd>v</dl></li></ul>",
+    "<!-- list-item__container --><title><li class=list-item__container></title>", "", None,
+]
+
+
+def test_cards_of_a_page_index_are_those_of_the_node_table(spark):
+    pages = spark.createDataFrame([*enumerate(CARD_PAGES), (None, CARD_PAGES[0])], "page_id long, html string")
+    index, nodes = PR.profile_nodes(pages, PR.get_profile("anbima_debentures"), prefilter=False), node_table(pages, "card-pages")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert "node_id" not in index.columns and index.count() == len(CARD_PAGES)
+    assert rows(PR.debenture_table(index)) == rows(PR.debenture_table(nodes))
+    assert rows(PR.extract(pages, "anbima_debentures")[0]) == rows(PR.extract_nodes(nodes, "anbima_debentures")[0])
+    got = {(r["page_id"], r["rank"]): (r["url"], r["emissor"], r["setor"], r["duration"], r["pu_par"]) for r in PR.debenture_table(index).collect()}
+    assert got[0, 1] == ("/d/1", "A & B", "", None, None) and (0, 2) not in got and got[1, 1][4] == "23" and got[2, 1][3] == "5" and (2, 2) not in got
+    assert got[3, 1][0] == "/in" and (3, 2) not in got and got[4, 1][0] == "/1" and got[5, 1][:2] == ("/b", "e")
+    # pages whose ids repeat are built as before
+    twice = pages.unionByName(pages.filter("page_id = 0"))
+    assert "node_id" in PR.profile_nodes(twice, PR.get_profile("anbima_debentures")).columns
+
+
+def test_cards_need_one_shuffle_of_the_orders(spark):
+    orders = spark.range(100).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "id * 1.5D AS o_totalprice", "timestamp'2024-01-02 00:00:00' AS o_orderdate",
+                                         "IF(id % 3 = 0, 'F', 'O') AS o_orderstatus", "'1-URGENT' AS o_orderpriority")
+    out = PR.debenture_table(PR.profile_nodes(FX.card_pages(orders), PR.get_profile("anbima_debentures")))
+    assert out.count() == sum(k % 17 != 5 for k in range(100))
+    # the orders' columns are dealt out by page, and neither html nor nodes are
+    plan = _plan(out)
+    assert plan.count("Exchange") == 1 and "o_custkey" in plan.split("Exchange")[1] and "Window" not in plan and "Sort" not in plan
+
+
+def test_one_pass_pairs_tags_as_the_rules_do(spark):
+    rnd = random.Random(7)
+    tags = [f"<{e}{t}>" for t in ("div", "p", "b", "li", "ul", "table", "tr", "td", "a", "tbody", "dl", "dt", "dd", "h2", "select", "option", "body") for e in ("", "/")] + ["x", "<br>", "<hr>", "</br>"]
+    pages = ["".join(rnd.choices(rnd.sample(tags, rnd.randint(4, 14)), k=rnd.randint(1, 40))) for _ in range(400)]
+    tokens = N.to_tags(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).select("page_id", "seq", "kind", "tag").cache()
+    want = {(r["page_id"], r["node_id"]): (r["parent_id"], r["close_pos"]) for r in spark.sql(N.structure_sql("{t}"), t=tokens).collect()}
+    got = {}
+    for i, html in enumerate(pages):
+        rows = N.page_tags(html)
+        around, stops = N.pair_by_rules(rows)
+        got |= {(i, s): (None, 2 * stops[0] + 4) if not s else (around[s], 2 * stops[s] if kind == "open" else 2 * s + 1) for s, kind, *_ in rows if kind != "close"}
+    assert got == want
+
+
+def test_plain_pages_split_as_others_do(monkeypatch):
+    rnd = random.Random(3)
+    parts = ["<p>", "</p>", "<a href='x>y'>", '<a href="1" b=\'2\'>', "<br/>", "</br >", "a < b", "a > b", "&lt;x&amp", "<", ">", "<>", "</>", "< p>", "<p", '<i t="', "<i t=x\">", "<P Class=A>", "é\n", "</p x>", "<q/r=1>", "<x<y>", " "]
+    pages = ["".join(rnd.choices(parts, k=rnd.randint(0, 9))) for _ in range(20_000)] + ["<p " + "k=v " * 100 + ">x</p>"]
+    fast = [[r for r in N.split_tags(h)] for h in pages]
+    assert sum(N._plain_pieces(h) is not None for h in pages) > 2_000
+    monkeypatch.setattr(N, "_plain_pieces", lambda html: None)
+    assert [[(k, t, a and tuple(a), x) for k, t, a, x in r] for r in fast] == [[(k, t, a and tuple(a), x) for k, t, a, x in N.split_tags(h)] for h in pages]
