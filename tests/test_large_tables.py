@@ -139,3 +139,16 @@ def test_plain_pages_split_as_others_do(monkeypatch):
     assert sum(N._plain_pieces(h) is not None for h in pages) > 2_000
     monkeypatch.setattr(N, "_plain_pieces", lambda html: None)
     assert [[(k, t, a and tuple(a), x) for k, t, a, x in r] for r in fast] == [[(k, t, a and tuple(a), x) for k, t, a, x in N.split_tags(h)] for h in pages]
+
+
+def test_card_fields_need_one_shuffle_too(spark):
+    orders = spark.createDataFrame([(1, 3, 10.5, "O", "2-HIGH"), (2, 4, 7.25, "F", None), (None, 5, 1.0, "O", "x"), (5, 6, 2.0, "O", "x"), (41, 7, None, "O", "y"), (41, 9, 3.0, "O", "z")],
+                                   "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderpriority string").withColumn("o_orderdate", F.lit("2024-03-09").cast("timestamp"))
+    out, _ = PR.extract(FX.card_pages(orders), "anbima_debentures")
+    plan = _plan(out)
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "MapInArrow" in plan
+    got = {(r["page_id"], r["rank"]): (r["url"], r["title"], r["fields"]) for r in out.collect()}
+    # a card with a null column is no text; an order key may repeat
+    want = {"emissor": "Cliente 3", "remuneracao": "1050", "vencimento": "09/03/2024", "duration": "3", "setor": "2-HIGH", "pu_par": "3"}
+    assert got == {(0, 1): ("/debentures/DEB1", "DEB1", want),
+                   (2, 1): ("/debentures/DEB41", "DEB41", {**want, "emissor": "Cliente 9", "remuneracao": "300", "duration": "9", "setor": "z", "pu_par": "9"})}
