@@ -2,10 +2,11 @@
 import os
 import random
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
-from pagelens.functions.text import js_trim, word_count
+from pagelens.functions.text import JS_WORD_RE, JS_WS, JS_WS_RUN_RE, js_collapse_ws, js_trim, word_count
 from pagelens.operators import content as CT, dom, probes as PB, process as PS
 from pagelens.operators import nodes as N, profiles as PR
 from pagelens.operators.nodes import node_table
@@ -133,8 +134,9 @@ def test_one_pass_pairs_tags_as_the_rules_do(spark):
 
 def test_plain_pages_split_as_others_do(monkeypatch):
     rnd = random.Random(3)
-    parts = ["<p>", "</p>", "<a href='x>y'>", '<a href="1" b=\'2\'>', "<br/>", "</br >", "a < b", "a > b", "&lt;x&amp", "<", ">", "<>", "</>", "< p>", "<p", '<i t="', "<i t=x\">", "<P Class=A>", "é\n", "</p x>", "<q/r=1>", "<x<y>", " "]
-    pages = ["".join(rnd.choices(parts, k=rnd.randint(0, 9))) for _ in range(20_000)] + ["<p " + "k=v " * 100 + ">x</p>"]
+    parts = ["<p>", "</p>", "<a href='x>y'>", '<a href="1" b=\'2\'>', "<br/>", "</br >", "a < b", "a > b", "&lt;x&amp", "<", ">", "<>", "</>", "< p>", "<p", '<i t="', "<i t=x\">", "<P Class=A>", "é\n", "</p x>", "<q/r=1>", "<x<y>", " ",
+             "<!-- c > d -->", "<!-->", "<!--", "-->", "<!DOCTYPE html>", "<?x y?>", "<!", "<title>", "</title>", "<Title a='b>c'>x &amp; <b></TITLE >", "<script>if (a<b) '&amp;'</script>", "</script", "<style/>", "<textarea>", "</textarea\n>", "<titles>"]
+    pages = ["".join(rnd.choices(parts, k=rnd.randint(0, 9))) for _ in range(30_000)] + ["<p " + "k=v " * 100 + ">x</p>"]
     fast = [[r for r in N.split_tags(h)] for h in pages]
     assert sum(N._plain_pieces(h) is not None for h in pages) > 2_000
     monkeypatch.setattr(N, "_plain_pieces", lambda html: None)
@@ -152,3 +154,22 @@ def test_card_fields_need_one_shuffle_too(spark):
     want = {"emissor": "Cliente 3", "remuneracao": "1050", "vencimento": "09/03/2024", "duration": "3", "setor": "2-HIGH", "pu_par": "3"}
     assert got == {(0, 1): ("/debentures/DEB1", "DEB1", want),
                    (2, 1): ("/debentures/DEB41", "DEB41", {**want, "emissor": "Cliente 9", "remuneracao": "300", "duration": "9", "setor": "z", "pu_par": "9"})}
+
+
+def test_unended_tags_are_split_in_linear_time():
+    t = time.perf_counter()
+    for part in ("<a ", "<!--", "<script>", "<title></titles>", "<!-->", "<script </script>", "<style>x</style", "a < b >", "<p '"):
+        for end in ("", ">", "-->", "</script>", "</title x>"):
+            rows = N.page_tags(part * 40_000 + end)
+            assert "parse_error" not in rows[0][3]
+    assert time.perf_counter() - t < 60
+
+
+def test_visible_characters_are_told_first(spark):
+    # every character up to U+FFFF, alone and between words
+    chars = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000] + ["\U0001f600"]
+    rows = spark.createDataFrame([(c, f"a{c}{c} b") for c in chars], "c string, s string").select("c", js_collapse_ws("s").alias("t"), word_count("s").alias("n")).collect()
+    assert len(rows) == len(chars)
+    assert all((r["t"], r["n"]) == (("a b", 2) if r["c"] in JS_WS else (f"a{r['c']}{r['c']} b", 2)) for r in rows)
+    assert sorted(r["c"] for r in spark.createDataFrame([(c,) for c in chars], "c string").filter(F.col("c").rlike(f"^{JS_WS_RUN_RE}$") | ~F.col("c").rlike(JS_WORD_RE)).collect()) == sorted(JS_WS)
+    assert JS_WS_RUN_RE.startswith("[[^!-~]&&") and JS_WORD_RE.startswith("[!-~[^")
